@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
+from .secrets import op2_secret_scan
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op8_language_id": op8_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": ORACLE_OP3,
+}
