@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
+from .packing import op1_pack
 from .secrets import op2_secret_scan
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op8_language_id": op8_language_id,
