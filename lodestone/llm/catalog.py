@@ -6,11 +6,13 @@ from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
 from .packing import op1_pack
 from .secrets import op2_secret_scan
+from .tokenfile import op6_token_files
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
+    "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {
