@@ -8,6 +8,7 @@ from .neardup import ORACLE_OP7, op7_near_duplicates
 from .packing import op1_pack
 from .secrets import op2_secret_scan
 from .tokenfile import op6_token_files
+from .winnow import op9_fingerprints
 
 QUERIES = {
     "op1_pack": op1_pack,
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": ORACLE_OP3,
