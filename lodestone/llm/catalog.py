@@ -8,12 +8,14 @@ from .neardup import ORACLE_OP7, op7_near_duplicates
 from .packing import op1_pack
 from .secrets import op2_secret_scan
 from .tokenfile import op6_token_files
+from .toxicity import op4_toxicity
 from .winnow import op9_fingerprints
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op6_token_files": op6_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
