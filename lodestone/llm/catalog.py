@@ -9,6 +9,7 @@ from .packing import op1_pack
 from .secrets import op2_secret_scan
 from .tokenfile import op6_token_files
 from .toxicity import op4_toxicity
+from .warc import ORACLE_OP10, op10_warc_revisits
 from .winnow import op9_fingerprints
 
 QUERIES = {
@@ -20,8 +21,10 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
     "op9_fingerprints": op9_fingerprints,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": ORACLE_OP3,
     "op7_near_duplicates": ORACLE_OP7,
+    "op10_warc_revisits": ORACLE_OP10,
 }
