@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
+from .licences import op5_licence_scan
 from .neardup import ORACLE_OP7, op7_near_duplicates
 from .packing import op1_pack
 from .secrets import op2_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_licence_scan": op5_licence_scan,
     "op6_token_files": op6_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
