@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
 from .licences import op5_licence_scan
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc_revisits": op10_warc_revisits,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": ORACLE_OP3,
