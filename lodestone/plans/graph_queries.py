@@ -71,12 +71,12 @@ def d4_fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS source_id FROM lineitem WHERE l_suppkey % 4 < 2 ORDER BY 1 LIMIT 200""")
+SELECT event_id AS id, user_id AS source_id FROM events WHERE user_id % 4 < 2 ORDER BY 1 LIMIT 200""")
 def d5_edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.access import may_see
 
-    edges = mapping.facts(spark, sf_dir).select("id", "source_id")
-    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(mapping.LEVEL.format("s_suppkey")).alias("confidentiality"))
+    edges = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"))
+    sources = edges.select(F.col("source_id").alias("id")).distinct().withColumn("confidentiality", F.expr(mapping.LEVEL.format("id")))
     return graph.edge_scan(edges, sources, may_see(F.col("confidentiality"), "researcher"))
 
 

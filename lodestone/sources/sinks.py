@@ -37,8 +37,9 @@ def json_ld(edges: DataFrame) -> DataFrame:
 
 
 def _literal(value: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(escaped, "\n", r"\\\\n"), "\r", r"\\\\r"), F.lit('"'))
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), value, F.lit('"'))
 
 
 def turtle(edges: DataFrame) -> DataFrame:
