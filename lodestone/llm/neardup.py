@@ -5,10 +5,12 @@
 2. Texts with equal sets collapse into one representative, so a group of exact copies costs one row from here on.
 3. Signatures are cut into bands; representatives that agree on a band share a bucket. With the default 48 bands of 5
    minima, a pair at the threshold of 0.8 misses every bucket with a chance below 1e-8.
-4. Pairs within buckets are checked on signatures and then confirmed on the full sets. Not all pairs of a bucket are made:
-   every member first meets one hub, the least of its buckets' least members; components are taken; then only members of
-   buckets that still span several components meet more hubs, sixteen times as many each round, and only across components,
-   until every pair of a bucket has been checked or lies within one component. So no link between components is lost.
+4. Not all pairs of a bucket are made. First every member meets one hub, the least of its buckets' least members: the pair is
+   checked on signatures and confirmed on the full sets, and components are taken. Most buckets then lie within one
+   component and are done. The rest are joined to clusters of documents that share buckets, and in each cluster everything
+   outside its largest component is compared with everything in it, exactly and on full sets, in blocks of `BLOCK` by `BLOCK`
+   documents: a block pair counts common shingles through a sorted index, and returns only links that join components. So
+   no link between different components is lost, and rows grow with documents times blocks, not with pairs.
 5. Components come from alternating large-star and small-star.
 
 Counts by bucket and set are grouped sums, combined in each task; joins on hot buckets and hubs may be split by adaptive
@@ -40,8 +42,8 @@ PERCENT = 80
 SLACK = 0.16
 #: The bitmap that tells candidates has so many bits, however many documents there are.
 BITMAP_BITS = 1 << 26
-#: Buckets of at most so many members are compared in full at once.
-SMALL_BUCKET = 16
+#: Documents on either side of one exact comparison.
+BLOCK = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -179,6 +181,58 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _joining_links(table: pa.Table, percent: int) -> pa.Table:
+    """(a, b): links between the group's sides `asking` and not, as many as join components of either side and no more."""
+    asking = np.array(table["asking"].to_pylist(), bool)
+    nodes, comps = np.array(table["node"].to_pylist(), np.int64), table["c"].to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+    mine = np.nonzero(asking)[0]
+    owner = np.repeat(np.arange(len(mine)), [len(sets[i]) for i in mine])
+    held = np.concatenate([sets[i] for i in mine]) if len(mine) else np.zeros(0, np.uint64)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    sizes = np.array([len(sets[i]) for i in mine], np.int64)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out_a, out_b = [], []
+    for j in np.nonzero(~asking)[0]:
+        other = sets[j]
+        first, last = np.searchsorted(held, other, "left"), np.searchsorted(held, other, "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(mine))
+        for i in np.nonzero(100 * common >= percent * (sizes + len(other) - common))[0]:
+            x, y = root(comps[mine[i]]), root(comps[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out_a.append(int(nodes[mine[i]]))
+                out_b.append(int(nodes[j]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _links_within_clusters(open_: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, for buckets (bucket, node) that span several of found (node, component)."""
+    hubs = open_.groupBy("bucket").agg(F.min("node").alias("hub"))
+    clusters = components(open_.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    placed = write_shared(clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c")), "clusters")
+    parts = placed.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    plan = parts.groupBy("cluster").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = plan.select("cluster", "largest", blocks(F.col("all") - F.col("most")).alias("askers"), blocks(F.col("all")).alias("others"))
+    rows = placed.join(plan, "cluster").join(sets, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    asking = rows.where("c <> largest").select("cluster", "node", "c", "set", own(F.col("askers")).alias("i"), spread(F.col("others")).alias("j"), F.lit(True).alias("asking"))
+    other = rows.select("cluster", "node", "c", "set", spread(F.col("askers")).alias("i"), own(F.col("others")).alias("j"), F.lit(False).alias("asking"))
+    groups = asking.unionByName(other).groupBy("cluster", "i", "j")
+    return groups.applyInArrow(lambda t: _joining_links(t, percent), "a long, b long")
+
+
 def find_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text): the least doc_id that links reach."""
     bounded_batches(docs.sparkSession)
@@ -196,26 +250,12 @@ def find_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     checked = _check(first, sigs, sets, percent)
     links = checked.where("linked")
     found = components(links.select("a", "b"))
-    open_ = members.select("bucket", "node", F.col("n").cast("double").alias("n"))
-    turn = 0
-    while True:
-        placed = open_.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-        apart = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-        open_ = write_shared(placed.join(apart, "bucket", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        # of n members, one in `every` is a hub this turn
-        every = F.pow(F.lit(4.0), F.greatest(F.lit(0.0), F.ceil(F.log(F.col("n") / SMALL_BUCKET) / F.log(F.lit(4.0))) - 2 * turn)).cast("long")
-        hubs = open_.where(F.pmod(F.xxhash64("node"), every) == 0).select("bucket", F.col("node").alias("h"), F.col("c").alias("hc"))
-        met = open_.join(hubs, "bucket").where("c <> hc").select(*_pair(F.col("node"), F.col("h"))).distinct()
-        more = _check(met.join(checked, ["a", "b"], "left_anti"), sigs, sets, percent)
-        new = more.where("linked")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links.select("a", "b"))
-        checked = checked.unionByName(more)
-        open_ = open_.where(every > 1).select("bucket", "node", "n")
-        turn += 1
+    placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    apart = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+    open_ = write_shared(placed.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
+    if not open_.isEmpty():
+        more = write_shared(_links_within_clusters(open_, found, sets, percent), "links")
+        found = components(links.select("a", "b").unionByName(more))
     least = classes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     joined = told.join(least, ["k1", "k2"], "left")
     return joined.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
