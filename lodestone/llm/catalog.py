@@ -8,6 +8,7 @@ from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
 from .licences import op5_licence_scan
 from .neardup import ORACLE_OP7, op7_near_duplicates
+from .oracles import ORACLE_OP2, ORACLE_OP5
 from .packing import op1_pack
 from .secrets import op2_secret_scan
 from .tokenfile import op6_token_files
@@ -29,7 +30,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": ORACLE_OP2,
     "op3_decontaminate": ORACLE_OP3,
+    "op5_licence_scan": ORACLE_OP5,
     "op7_near_duplicates": ORACLE_OP7,
     "op10_warc_revisits": ORACLE_OP10,
 }
