@@ -137,6 +137,12 @@ def a18_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.readiness({n: table(spark, sf_dir, n) for n in ("documents", "pages")}, {"documents": 100, "pages": 1_000_000})
 
 
+@query("SELECT count(*) AS documents, count(vec_id) AS embedded, round(count(vec_id) / count(*), 6) AS coverage FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def a18_embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit("m").alias("model"))
+    return evaluate.embedding_coverage(mapping.chunks(spark, sf_dir), have, "m").withColumn("coverage", F.round("coverage", 6))
+
+
 @query("SELECT (l_orderkey * 10 + l_linenumber) AS fact_id, l_returnflag AS property, l_quantity AS min_value, NULL::VARCHAR AS evidence, NULL::VARCHAR AS geography FROM lineitem")
 def a19_evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.evidence_table(mapping.facts(spark, sf_dir)).select("fact_id", "property", "min_value", "evidence", "geography")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import chunk as chunking
-from ..operators import extract, facts, retrieve
+from ..operators import extract, facts, ingest, retrieve
 from . import mapping
 from .mapping import table
 from .register import registry
@@ -141,6 +141,20 @@ def b13_units_and_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "unit_canonical", numeric.comparator(raw).alias("comparator"), F.array_join(warned, ",").alias("warnings"))
 
 
+@query("""
+SELECT 'sources' AS name, count(*) AS n FROM part UNION ALL SELECT 'documents', count(*) FROM part UNION ALL SELECT 'entities', 3 UNION ALL SELECT 'edges', count(*) * 3 FROM part
+UNION ALL SELECT 'facts', count(*) * 3 FROM part UNION ALL SELECT 'embeddings', count(*) FROM part UNION ALL SELECT 'tables', 0 UNION ALL SELECT 'failures', 0""")
+def b23_document_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table that ingest builds from sentences about parts."""
+    terms = spark.createDataFrame(MEASURE_TERMS, "category string, canonical string, alias string")
+    built = ingest.build_tables(_measured(spark, sf_dir).select("source_id", "text"), terms, spark.createDataFrame(UNITS, "canonical string, alias string"))
+    out = None
+    for name, df in built.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 PIPES = r"""
 WITH l AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: contains(s, ' | ')), lambda s: list_transform(string_split(trim(s), '|'), lambda c: trim(c))) AS rows FROM documents),
 w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM l WHERE len(rows) >= 2),

@@ -70,3 +70,33 @@ def test_stream_resumes(spark, tmp_path):
     status = {r.path.rsplit("/", 1)[-1]: r.status for r in spark.read.parquet(f"{out}/manifest").collect()}
     assert status == {"a.txt": "indexed", "b.txt": "duplicate_skipped", "c.md": "indexed"}
     assert sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect()) == ["another", "first text"]
+
+
+def test_dictionaries_experts_and_reports(spark, tmp_path):
+    import json
+
+    from lodestone.operators import extract, governance
+
+    (tmp_path / "d.json").write_text(json.dumps({"materials": {"nickel": ["никель", "Ni"]}, "geography": {"ural": ["Урал"]}}))
+    assert {tuple(r) for r in extract.dictionary(spark, str(tmp_path / "d.json")).collect()} == {("materials", "nickel", "никель"), ("materials", "nickel", "Ni"), ("geography", "ural", "Урал")}
+    (tmp_path / "u.json").write_text(json.dumps({"mg_l": ["мг/л", "mg/l"]}))
+    assert extract.unit_dictionary(spark, str(tmp_path / "u.json")).count() == 2
+    (tmp_path / "e.json").write_text(json.dumps([{"name": "A", "expertise": ["x", "y"], "geography": "g"}]))
+    assert {r.object for r in tables.expert_edges(tables.experts(spark, str(tmp_path / "e.json"))).collect()} == {"x", "y"}
+    sinks.write_reports(spark.createDataFrame([(1, "# one"), (2, "# two")], "query_id int, markdown string"), str(tmp_path / "r"))
+    assert {(r.query_id, r.value) for r in spark.read.text(str(tmp_path / "r")).collect()} == {(1, "# one"), (2, "# two")}
+    sinks.write_payloads(spark.createDataFrame([(1, "a")], "query_id int, x string"), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).first().x == "a"
+    log = spark.createDataFrame([("me", "export", "2024-01-01 10:00:00")], "actor string, action string, t string").select("actor", "action", F.to_timestamp("t").alias("created_at"))
+    governance.append_audit(log, str(tmp_path / "audit"))
+    governance.append_audit(log, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).where("date = '2024-01-01'").count() == 2
+
+
+def test_request_log_stream(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text('{"method":"GET","path":"/x","status":500,"ms":5.0,"at":"2024-01-01T00:00:01Z"}\n{"method":"GET","path":"/x","status":200,"ms":15.0,"at":"2024-01-01T00:00:31Z"}\n{"method":"GET","path":"/y","status":200,"ms":1.0,"at":"2024-01-01T01:00:00Z"}\n')
+    ingest.stream_request_metrics(spark, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.path, row.requests, row.errors, row.avg_ms, row.max_ms) == ("/x", 2, 1, 10.0, 15.0)
+    assert ingest.batch_request_metrics(spark, str(tmp_path / "log")).count() == 2
