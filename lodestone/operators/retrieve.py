@@ -207,17 +207,27 @@ def relative_cut(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_top", top).where(kept).drop("_top")
 
 
+def metadata_filter() -> Column:
+    """Whether a source (year, geography, additional_geography) meets a query's year_from, year_to and q_geography; a query without
+    one of these asks nothing about it."""
+    years = (F.col("year_from").isNull() | (F.col("year") >= F.col("year_from"))) & (F.col("year_to").isNull() | (F.col("year") <= F.col("year_to")))
+    listed = lambda c: F.coalesce(F.array_contains("q_geography", F.col(c)), F.lit(False))
+    return years & (F.col("q_geography").isNull() | (F.size("q_geography") == 0) | listed("geography") | listed("additional_geography"))
+
+
 def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: DataFrame, lengths: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, access: Column, k: int = 8, source_entities: DataFrame | None = None, norm: str = "inverse") -> DataFrame:
-    """The flagship: for queries (query_id, tokens, wanted, and optionally year_from and year_to), the k best sources each.
+    """The flagship: for queries (query_id, tokens, wanted, and optionally year_from, year_to and geography), the k best sources each.
 
     Access and metadata filters come before every limit. Candidates come from BM25 on prefixes; a query without any falls back
     to substrings and then to the most reliable chunks; candidates alone meet vectors and entities."""
     have = queries.columns
     asked = queries.withColumns({c: F.lit(None).cast("int") for c in ("year_from", "year_to") if c not in have})
-    allowed = chunks.join(sources.where(access).withColumnRenamed("id", "source_id").select("source_id", "title", "year", "reliability_score"), "source_id")
+    asked = asked.withColumn("q_geography", F.col("geography") if "geography" in have else F.lit(None).cast("array<string>"))
+    places = [F.col(c) if c in sources.columns else F.lit(None).cast("string").alias(c) for c in ("geography", "additional_geography")]
+    allowed = chunks.join(sources.where(access).withColumnRenamed("id", "source_id").select("source_id", "title", "year", "reliability_score", *places), "source_id")
     wanted = asked.select("query_id", F.explode("tokens").alias("prefix"))
-    in_years = (F.col("year_from").isNull() | (F.col("year") >= F.col("year_from"))) & (F.col("year_to").isNull() | (F.col("year") <= F.col("year_to")))
-    limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to"), "query_id").join(allowed.select("document_id", "year", "reliability_score"), "document_id").where(in_years).select(*rows.columns, "year", "reliability_score")
+    told = allowed.select("document_id", "year", "reliability_score", "geography", "additional_geography")
+    limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to", "q_geography"), "query_id").join(told, "document_id").where(metadata_filter()).select(*rows.columns, "year", "reliability_score")
     ranked = top_k(limited(bm25(index, lengths, wanted)), min(160, max(40, 10 * k)), F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id")
     missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id")

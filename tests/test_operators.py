@@ -147,3 +147,14 @@ def test_extraction_scores_with_nulls(spark):
 
 def test_percentile_is_linear(spark):
     assert abs(evaluate.latency(spark.createDataFrame([("q", float(v)) for v in (10, 20, 30, 40)], "q string, ms double"), ["q"]).first().p95 - 38.5) < 1e-9
+
+
+def test_search_filters_falls_back_and_ranks(spark):
+    from lodestone.functions.access import may_see
+
+    chunks = spark.createDataFrame([(1, 1, "nickel electrolyte leaching"), (2, 2, "nickel electrolyte"), (3, 3, "nickel"), (4, 4, "xnickelx only inside")], "document_id long, source_id long, text string")
+    sources = spark.createDataFrame([(1, "a", 2020, 0.9, "public", "ural", None), (2, "b", 2010, 0.9, "public", "x", "ural"), (3, "c", 2020, 0.5, "secret", "ural", None), (4, "d", 2020, 0.4, "public", "y", None)], "id long, title string, year int, reliability_score double, confidentiality string, geography string, additional_geography string")
+    queries = spark.createDataFrame([(1, ["nickel"], ["nickel"], 2015, None, []), (2, ["nick"], ["nickel"], None, None, ["ural"]), (3, ["nickelx"], [], None, None, None)], "query_id int, tokens array<string>, wanted array<string>, year_from int, year_to int, geography array<string>")
+    vectors, asked = retrieve.embed(chunks), retrieve.embed(queries.select("query_id", F.concat_ws(" ", "tokens").alias("text")), key="query_id")
+    found = retrieve.search(chunks, sources, queries, retrieve.postings(chunks), retrieve.document_lengths(chunks), vectors, asked, may_see(F.col("confidentiality"), "analyst"))
+    assert {(r.query_id, r.source_id, r.method) for r in found.collect()} == {(1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 4, 1)}
