@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,14 +50,10 @@ def remainder(key: Column) -> Column:
 
 
 def held_out(key: Column) -> Column:
-    """True for the quarter of the rows that no model learns from; a null key counts as learnable-free and not held out."""
+    """True for the quarter of the rows that no model learns from; a null key is not held out."""
     return F.coalesce(remainder(key) == 2, F.lit(False))
 
 
-def batches_out(columns: dict[str, tuple[Sequence, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], names=list(columns))
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """A column of texts as Python strings; null becomes an empty text."""
     return [x or "" for x in column.to_pylist()]
