@@ -11,15 +11,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+import sys
+from array import array
+from itertools import chain, filterfalse
 
-import numpy as np
-
-#: Pieces that a worker keeps, and their letters; the table starts afresh beyond either (about 250 bytes a piece).
-MOST_PIECES, MOST_LETTERS = 1_000_000, 32_000_000
-_TOUCHING = re.compile(r"\s | \s")
+#: Pieces that a worker keeps, and their letters; the table starts afresh beyond either (about 150 bytes a piece).
+MOST_PIECES, MOST_LETTERS = 1_000_000, 64_000_000
 #: White space to Python alone.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
 
@@ -36,20 +35,25 @@ class Encoder:
     spaced: the vocabulary has tokens that begin with a space, and a piece takes the space before it; otherwise white
     space is dropped and letters are folded to lower case."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most_pieces: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = Tokenizer(self.whole.model)
-        self.spaced, self.letters = spaced, _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.spaced, self.letters, self.most_pieces = spaced, _byte_letters(), most_pieces
+        # a piece at whose ends white space touches a space has None: its text is encoded whole
+        self.known: dict[str, bytes | None] = {}
         self.held = 0
 
     @staticmethod
     def _packed(encodings) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encodings]
+        out = [array("I", e.ids) for e in encodings]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
 
     def _encode_whole(self, pieces: list[str]) -> list[bytes]:
         return self._packed(self.whole.encode_batch_fast(pieces, add_special_tokens=False)) if pieces else []
@@ -63,10 +67,15 @@ class Encoder:
                 word = m[1] if self.spaced else m[1].lower()
                 ends.append((piece, word, m[2]))
                 plain[word] = b""
+            elif self.spaced and before and (not piece or piece[0].isspace() or piece[-1].isspace()):
+                known[piece] = None
             else:
                 odd.append(piece)
-        words = list(plain)
-        coded = [(before + w).encode().decode("latin-1").translate(self.letters) for w in words]
+        # a word may be known already, without the mark or the capital letter
+        plain = {word: known.get(word) or b"" for word in plain}
+        words = [word for word, found in plain.items() if not found]
+        lead = before.translate(self.letters)
+        coded = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
         plain.update(zip(words, self._packed(self.model.encode_batch_fast(coded, add_special_tokens=False))))
         marks = {m: b"" for _, _, m in ends if m}
         marks.update(zip(marks, self._encode_whole(list(marks))))
@@ -75,37 +84,41 @@ class Encoder:
         known.update(zip(odd, self._encode_whole([before + piece for piece in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, odd = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                cut.append([])
-            elif (_TOUCHING if self.spaced else _SEPARATORS).search(text):
-                odd[i] = b""
-                cut.append([])
-            else:
-                cut.append(text.split(" ") if self.spaced else text.split())
-        odd.update(zip(odd, self._encode_whole([texts[i] for i in odd])))
-        before = " " if self.spaced else ""
-        if len(self.known) > MOST_PIECES or self.held > MOST_LETTERS:
+        if len(self.known) > self.most_pieces or self.held > MOST_LETTERS:
             self.known, self.held = {}, 0
-        rest = (lambda p: islice(p, 1, None)) if self.spaced else (lambda p: p)
-        new = list({w for p in cut for w in rest(p)} - self.known.keys())
+        if self.spaced:
+            cut = [t.split(" ") for t in texts]
+            odd = [i for i, p in enumerate(cut) if p[0][-1:].isspace()]
+            rest, before = [p[1:] for p in cut], " "
+        else:
+            odd = [i for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)]
+            rest, before = [t.split() for t in texts], ""
+        new = list(dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(rest))))
         self.held += sum(map(len, new))
         self._learn(new, self.known, before)
-        first: dict[str, bytes] = {}
+        first: dict[str, bytes | None] = {}
         if self.spaced:
-            self._learn(list({p[0] for p in cut if p}), first, "")
-        get = self.known.__getitem__
-        return [odd[i] if i in odd else (first[p[0]] if p and self.spaced else b"") + b"".join(map(get, rest(p))) for i, p in enumerate(cut)]
+            self._learn(list({p[0] for p in cut}), first, "")
+        get, out = self.known.__getitem__, []
+        for i, p in enumerate(rest):
+            try:
+                out.append((first[cut[i][0]] if self.spaced else b"") + b"".join(map(get, p)))
+            except TypeError:
+                out.append(b"")
+                odd.append(i)
+        odd = sorted(set(odd))
+        for i, ids in zip(odd, self._encode_whole([texts[i] for i in odd])):
+            out[i] = ids
+        return out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, most_pieces: int = MOST_PIECES) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
+        _encoders[path, spaced] = Encoder(path, spaced, most_pieces)
     return _encoders[path, spaced]
 
 
