@@ -334,6 +334,16 @@ def test_licence_cosine_equals_brute_force(spark):
     assert got == best and len(got) >= 2
 
 
+def test_wrapped_headers_and_licence_texts_are_found(spark):
+    import textwrap
+
+    said = {f"{name}-{i}": (name, notice) for name, notices in licences.WHOLE.items() for i, notice in enumerate(notices)}
+    rows = [(f"{key}-{mark}-{width}.c", prose(random.randint(20, 60)) + "\n" + "\n".join(f"{mark} {line}" for line in textwrap.wrap(notice, width)) + "\n" + prose(300)) for key, (_, notice) in said.items() for mark, width in (("#", 60), (" *", 76), ("", 10_000))]
+    rows += [("cc.txt", "# This work is licensed under a Creative Commons Attribution 4.0\n# International License."), ("none.txt", prose(200) + " warranty license permission " + prose(200)), ("null", None)]
+    got = {r.path: (r.licence, r.basis) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {**{path: (said[path.rsplit("-", 2)[0]][0], "own") for path, _ in rows[:-3]}, "cc.txt": ("CC-BY-4.0", "own"), "none.txt": (None, "none"), "null": (None, "none")}
+
+
 def test_revisits_take_the_latest_earlier_response(spark):
     schema = "record_id long, url string, at long, warc_type string, status int, headers map<string,string>, body string"
     full = lambda i, at, tag, url="http://www.A.com/x/": (i, url, at, "response", 200, {"etag": tag, "content-type": "text/html", "date": "old"}, f"b{i}")
