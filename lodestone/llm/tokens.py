@@ -32,18 +32,23 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
 
+    special_as_text: names of special tokens in a text are encoded like other text (the tokenizer's encode_special_tokens);
+    otherwise, which is the tokenizer's default, they become the special tokens, and texts that hold one are encoded whole.
+
     spaced: the vocabulary has tokens that begin with a space, and a piece takes the space before it; otherwise white
     space is dropped and letters are folded to lower case."""
 
-    def __init__(self, path: str, spaced: bool, most_pieces: int = MOST_PIECES):
+    def __init__(self, path: str, spaced: bool, most_pieces: int = MOST_PIECES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = Tokenizer(self.whole.model)
         self.spaced, self.letters, self.most_pieces = spaced, _byte_letters(), most_pieces
-        # a piece at whose ends white space touches a space has None: its text is encoded whole
+        # a piece that holds an added token, or at whose ends white space touches a space, has None: its text is encoded whole
         self.known: dict[str, bytes | None] = {}
         self.held = 0
 
@@ -69,6 +74,8 @@ class Encoder:
                 plain[word] = b""
             elif self.spaced and before and (not piece or piece[0].isspace() or piece[-1].isspace()):
                 known[piece] = None
+            elif self.added and self.added.search(piece):
+                known[piece] = None
             else:
                 odd.append(piece)
         # a word may be known already, without the mark or the capital letter
@@ -116,9 +123,9 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool, most_pieces: int = MOST_PIECES) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file, special tokens as the tokenizer has them by default."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced, most_pieces)
+        _encoders[path, spaced] = Encoder(path, spaced, most_pieces, special_as_text=False)
     return _encoders[path, spaced]
 
 

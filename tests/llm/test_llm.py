@@ -155,6 +155,17 @@ def test_encoder_equals_the_tokenizer():
             assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_encoder_of_the_operators_equals_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    odd = ["ab <|endoftext|> cd", "<|endoftext|>", "a<|startoftext|>b c <|ENDOFTEXT|>", " <|endoftext|>  x\n<|endoftext|> y", "a <|endoftext |> b", "plain words.", "é\x1c<|endoftext|>"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.vocabulary(name)
+        whole = Tokenizer.from_file(path)
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(path, spaced).encode(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [None, ""] + [prose(random.choice([3, 40, 200])) for _ in range(60)] + [prose(3000)] * 2
     rows = common.write_shared(packing.tokenized_pieces(docs_of(spark, texts), keep_ids=True), "pieces")
