@@ -91,22 +91,26 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners) over all candidates of found (_repo, _owner, found)."""
-    held = found.select("_repo", "_owner", F.explode("found.hash").alias("hash"))
+def ownership(found: DataFrame, by_text: bool = False) -> DataFrame:
+    """(hash, n_repos, n_owners) over all candidates of found (_repo, _owner, found); by_text: the copies of a text
+    (_digest) are one holder, so no value has more owners than texts."""
+    held = found.select("_repo", "_owner", *(["_digest"] if by_text else []), F.explode("found.hash").alias("hash"))
     count = lambda who, name: held.groupBy("hash", who).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias(name))
-    return count("_repo", "n_repos").join(count("_owner", "n_owners"), "hash")
+    counted = count("_repo", "n_repos").join(count("_owner", "n_owners"), "hash")
+    if by_text:
+        counted = counted.join(count("_digest", "n_texts"), "hash").withColumn("n_owners", F.least("n_owners", "n_texts")).drop("n_texts")
+    return counted
 
 
-def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """scan() with the ownership verdicts: adds spans (array of start, rank, stop, live, shared), in order.
+def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS, by_text: bool = False) -> DataFrame:
+    """scan() with the ownership verdicts: adds spans (array of start, rank, stop, live, shared), in order. by_text: see ownership().
 
     The scan is written to the shared folder once; what is joined after that are the candidates, not the texts."""
     keep = [c for c in docs.columns if c in keep]
-    told = docs.select(*keep, *([] if "text" in keep else ["text"]), repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"))
-    found = write_shared(scan(told, [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    told = docs.select(*keep, *([] if "text" in keep else ["text"]), repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *([F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")] if by_text else []))
+    found = write_shared(scan(told, [*keep, "_repo", "_owner", *(["_digest"] if by_text else [])]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     held = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("s"))
-    verdict = held.withColumn("hash", F.col("s.hash")).join(ownership(found), "hash")
+    verdict = held.withColumn("hash", F.col("s.hash")).join(ownership(found, by_text), "hash")
     shared = F.col("n_owners") >= shared_owners
     spans = (
         verdict.where((F.col("s.rank") < 3) | (F.col("s.live") & ~shared))
@@ -114,7 +118,7 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str],
         .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.stop", (F.col("s.live") & ~shared).alias("live"), shared.alias("shared")))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,live:boolean,shared:boolean>>")
-    return found.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("_row", "_repo", "_owner", "found")
+    return found.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("_row", "_repo", "_owner", "_digest", "found")
 
 
 def spans_text(spans: str) -> Column:
@@ -148,10 +152,11 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: masks owner-specific live-looking secrets in the texts and keeps every document; n_chars follows."""
+    """Pipeline stage: masks all base candidates that are no shared example, of any length and entropy, and bare live ones, and
+    keeps every document; n_chars follows. Copies of one text do not make its values shared."""
     columns = docs.columns
-    found = find_secrets(docs, *_where(docs), columns)
-    live = F.filter("spans", lambda s: s["live"])
+    found = find_secrets(docs, *_where(docs), columns, by_text=True)
+    live = F.filter("spans", lambda s: ~s["shared"])
     text = F.when(F.size(live) > 0, masked(F.col("text"), live)).otherwise(F.col("text"))
     out = found.withColumn("_text", text)
     if "n_chars" in columns:

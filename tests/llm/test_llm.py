@@ -141,6 +141,14 @@ def test_masking_keeps_the_rest(spark):
     assert out[0].text == "é [SECRET] end" and out[0].n_chars == len(out[0].text) and out[1].text == "plain" and out[2].text is None
 
 
+def test_masking_takes_short_plain_and_copied_secrets(spark):
+    copied, shared = "token=9f8A7b6C5d4E3f2G1h0Jk in each copy", "secret=copied_Example_1234"
+    texts = ["password=changeme1 x", f"hex {'0a' * 20} y", "AKIA" + "A" * 12 + " z", copied, copied, copied, f"a {shared}", f"b {shared}", f"c {shared}"]
+    out = {r.doc_id: r.text for r in secrets.mask_secrets(spark, docs_of(spark, texts), "").collect()}
+    assert [out[i] for i in range(3)] == ["[SECRET] x", "hex [SECRET] y", "[SECRET] z"]
+    assert {out[i] for i in (3, 4, 5)} == {"[SECRET] in each copy"} and [out[i] for i in (6, 7, 8)] == texts[6:]
+
+
 def test_encoder_equals_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
