@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into words of at most `WORD` code points (an ideograph is a word of its own). A polynomial hash rolls over
+A text is cut into words of at most `WORD` code points (an ideograph is a word of its own; longer runs without white space,
+as of Thai or encoded data, have overlapping words of `WORD` code points, one from each code point). A polynomial hash rolls over
 every `gram` consecutive words; in every window of `window` such hashes the least is selected, the rightmost of equal ones,
 and it is kept with its position. Any passage of gram + window - 1 words that two texts share therefore yields a common
-selected hash. A text of fewer words than a gram has the one gram of all its words; one of fewer grams than a window has
+selected hash, and so does any of WORD + gram + window - 2 code points inside long runs. A text of fewer words than a gram has the one gram of all its words; one of fewer grams than a window has
 one window.
 
 Hash and position travel as one 63-bit number, hash first and position counted down, so that a plain minimum settles ties.
@@ -28,7 +29,17 @@ _LOW = 1 << 32
 BLOCK_ROWS, MOST_BLOCKS = 4096, 4096
 
 
-def words(text: Column) -> Column:
+_LETTER = r"[^\s\p{IsIdeographic}]"
+#: An ideograph, a whole run of at most WORD letters, or WORD letters of a longer run from any of its code points; looked
+#: for at every code point, which is then passed.
+_SLIDING = rf"(?s)(?=(\p{{IsIdeographic}}|(?<!{_LETTER}){_LETTER}{{1,{WORD}}}(?!{_LETTER})|{_LETTER}{{{WORD}}}))."
+
+
+def words(text: Column, sliding: bool = False) -> Column:
+    """The words of a text; sliding: a run of more than WORD letters has a word at every code point with WORD letters left,
+    so that its words do not depend on where it begins, otherwise it is cut into pieces."""
+    if sliding:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SLIDING), F.lit(1))
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\p{{IsIdeographic}}|[^\s\p{{IsIdeographic}}]{{1,{WORD}}}"), F.lit(0))
 
 
@@ -36,14 +47,14 @@ def _shifted(c: str, n: int) -> Column:
     return F.slice(F.col(c), n + 1, F.greatest(F.size(c) - n, F.lit(0)))
 
 
-def with_fingerprints(df: DataFrame, texts: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def with_fingerprints(df: DataFrame, texts: dict[str, str], gram: int = GRAM, window: int = WINDOW, sliding: bool = False) -> DataFrame:
     """Adds for each entry (name of a text column, name of the new column) hash * 2^32 + (2^32 - 1 - position) of the
     selected grams as array<bigint>, in order of position.
 
     Every step is a column of its own, so that it is computed once for a row. Steps on shifted arrays leave nulls at the
     end, where there is no full gram or window any more; these are cut off last."""
     for text, name in texts.items():
-        df = df.withColumn("_words", words(F.col(text)))
+        df = df.withColumn("_words", words(F.col(text), sliding))
         df = df.withColumn("_1", F.transform("_words", lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME))))
         have, used = 1, ["_words", "_1"]
         while have < gram:
@@ -117,7 +128,7 @@ def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter)
     docs = docs.withColumn("edited", F.concat(kept, F.substring(F.col("next"), F.lit(1), quarter)))
-    docs = with_fingerprints(docs, {"text": "own", "edited": "other", "next": "after"})
+    docs = with_fingerprints(docs, {"text": "own", "edited": "other", "next": "after"}, sliding=True)
     docs = docs.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited", "next")
     docs = docs.withColumns({"a": hashes_of(F.col("own")), "b": hashes_of(F.col("other")), "c": hashes_of(F.col("after"))})
     return docs.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

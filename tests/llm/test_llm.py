@@ -295,6 +295,17 @@ def test_winnowing_equals_brute_force(spark, gram, window):
     assert [r.t for r in got] == [" ".join(f"{h}:{p}" for h, p in fingerprint_brute(t, gram, window)) for t in texts]
 
 
+def test_shifted_unspaced_texts_share_fingerprints(spark):
+    thai = "".join(chr(random.randint(0x0E01, 0x0E2E)) for _ in range(3000))
+    part = thai[100:123]
+    texts = [thai, "ก" + thai, "x" * 40 + part + "y" * 40, "😀 日本 " + "😀" * 17, "ab " + "c" * 16 + " " + "d" * 17]
+    df = docs_of(spark, texts)
+    got = [{h for h in r.h} for r in winnow.with_fingerprints(df, {"text": "f"}, sliding=True).orderBy("doc_id").select(winnow.hashes_of(F.col("f")).alias("h")).collect()]
+    assert len(got[0] & got[1]) > 0.98 * len(got[0] | got[1]) and got[0] & got[2]
+    cut = [r.w for r in df.orderBy("doc_id").select(winnow.words(F.col("text"), True).alias("w")).collect()]
+    assert cut[3] == ["😀", "日", "本", "😀" * 16, "😀" * 16] and cut[4] == ["ab", "c" * 16, "d" * 16, "d" * 16]
+
+
 def test_next_document_wraps_and_crosses_blocks(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BLOCK_ROWS", 3)
     ids = [5, 1, 9, 3, 30, 12, 7, 2, 40, 41, 8]
