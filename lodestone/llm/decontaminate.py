@@ -6,12 +6,14 @@ its n shingles can only be met by a document that has one of its n - ceil(contai
 Documents are joined on those shingles alone. A match at document position i of a shingle at window position p fixes
 where the window would start; length and position bounds reject what cannot fit, and the rest is verified on the words.
 
-The benchmark is the small side: it is taken in blocks of at most `block_words` words, so what is broadcast is bounded,
-and each block passes once over all documents.
+The benchmark is the small side: it is taken in blocks of about `block_words` words (an item is never split), so what is
+broadcast is bounded, and each block passes over all documents to count shingles and to match. With more than one block,
+the documents are numbered and written once, blocks write the findings of the documents they hit, and these are merged.
 
 Defined results: null and wordless texts have no words, no hits and are not contaminated; null item texts and items
-without words have no windows; items with the same text all count; a repeated item_id counts once. Repeated documents
-each get their row. Extra columns are ignored.
+without words have no windows; items with the same text all count; a repeated item_id counts once; the words of an item
+whose id is null are hit like others, but it has no id to be counted or listed by. Repeated documents, and documents without
+a doc_id, each get their row. Extra columns are ignored, whatever their names; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, table, texts_of, write_shared
+from .common import bounded_batches, fields, let_go, of, private, table, texts_of, write_shared
 
 WINDOW, SHINGLE, CONTAINMENT, BLOCK_WORDS = 13, 3, 1.0, 500_000
 #: A document is contaminated if at least one word of so many is hit.
@@ -45,7 +48,7 @@ def _shingles(words: list[bytes], k: int) -> list[tuple[bytes, ...]]:
 class Block:
     """The windows of some benchmark items, by content."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int, containment: float):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, shingle: int, containment: float):
         self.containment, self.windows, self.owners, self.of_item = containment, [], [], defaultdict(int)
         seen: dict[tuple[bytes, ...], int] = {}
         for item, text in items:
@@ -56,7 +59,8 @@ class Block:
                     seen[content] = len(self.windows)
                     self.windows.append(list(content))
                     self.owners.append(set())
-                self.owners[seen[content]].add(item)
+                if item is not None:
+                    self.owners[seen[content]].add(item)
         for owners in self.owners:
             for item in owners:
                 self.of_item[item] += 1
@@ -100,9 +104,9 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, window: int, shingle: int, containment: float, block_words: int) -> Iterator[Block]:
-    items: list[tuple[str, str]] = []
+    items: list[tuple[str | None, str]] = []
     words = 0
-    for r in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
+    for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         items.append((r.item_id, r.text))
         words += 1 + len(words_of(r.text))
         if words >= block_words:
@@ -118,6 +122,7 @@ def _count_shingles(docs: DataFrame, block: Block) -> None:
     shared = docs.sparkSession.sparkContext.broadcast(({s: i for i, s in enumerate(names)}, block.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index, sizes = shared.value
         counts: dict[int, int] = defaultdict(int)
         for batch in batches:
@@ -132,72 +137,104 @@ def _count_shingles(docs: DataFrame, block: Block) -> None:
         block.frequency[names[r.shingle]] = r.n
 
 
-def _mark(docs: DataFrame, block: Block, keep: list[str], keep_text: bool) -> DataFrame:
-    """Adds the block's findings to those of earlier blocks, row by row."""
+#: What is found in a document: its number of words, the hit stretches (word offsets, start and end in turn), the items of
+#: which windows occur, and the share of windows for each of them.
+FOUND = "struct<n_words:long,spans:array<long>,items:array<string>,shares:array<double>>"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[int]:
+    out: list[int] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
+
+
+def _mark(docs: DataFrame, block: Block, keep: list[str], name: str, hit_only: bool = False) -> DataFrame:
+    """The columns in keep and FOUND under the given name; hit_only: of documents with a hit alone."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    fields = [f for f in docs.schema if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(["text string"] if keep_text else []), "n_words long", "n_hit long", "spans array<long>", "items array<string>", "max_containment double"])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         block = shared.value
         for batch in batches:
-            old = {n: batch.column(n).to_pylist() for n in ("spans", "items", "max_containment")}
-            out: dict[str, list] = {n: [] for n in ("n_words", "n_hit", "spans", "items", "max_containment")}
+            out, rows = [], []
             for row, text in enumerate(texts_of(batch.column("text"))):
                 words = words_of(text)
                 found = block.matches(words)
-                spans = {(s, e) for s, e in zip(old["spans"][row][::2], old["spans"][row][1::2])} | {(at, at + len(block.windows[w])) for w, starts in found.items() for at in starts}
-                merged: list[int] = []
-                for s, e in sorted(spans):
-                    if merged and s <= merged[-1]:
-                        merged[-1] = max(merged[-1], e)
-                    else:
-                        merged += [s, e]
+                if hit_only and not found:
+                    continue
                 share: dict[str, int] = defaultdict(int)
                 for w in found:
                     for item in block.owners[w]:
                         share[item] += 1
-                out["n_words"].append(len(words))
-                out["n_hit"].append(sum(merged[1::2]) - sum(merged[::2]))
-                out["spans"].append(merged)
-                out["items"].append(sorted({*old["items"][row], *share}))
-                out["max_containment"].append(max([old["max_containment"][row], *(v / block.of_item[k] for k, v in share.items())]))
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "max_containment": pa.float64()}
-            kept = [f.name for f in fields] + (["text"] if keep_text else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(v, kinds[k]) for k, v in out.items())], names=[*kept, *out])
+                items = sorted(share)
+                spans = _merged([(at, at + len(block.windows[w])) for w, starts in found.items() for at in starts])
+                out.append({"n_words": len(words), "spans": spans, "items": items, "shares": [share[i] / block.of_item[i] for i in items]})
+                rows.append(row)
+            held = batch.take(pa.array(rows, pa.int64())) if hit_only else batch
+            yield pa.RecordBatch.from_arrays([*(held.column(c) for c in keep), pa.array(out, kind)], names=[*keep, name])
+
+    return docs.mapInArrow(run, fields(docs, keep, (name, FOUND)))
 
-    return docs.mapInArrow(run, schema)
 
+@F.udf(T.ArrayType(T.LongType()))
+def _united(parts: list[list[int]]) -> list[int]:
+    """The stretches of several blocks as one list; only for documents that more than one block hits."""
+    return _merged([(s, e) for part in parts for s, e in zip(part[::2], part[1::2])])
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, shingle: int = SHINGLE, containment: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs (with a column text): the columns named in keep, n_words, n_hit, spans (word offsets of the hit
-    stretches, start and end in turn), items (found item ids) and max_containment (largest share of an item's windows)."""
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, shingle: int = SHINGLE, containment: float = CONTAINMENT, block_words: int = BLOCK_WORDS, name: str = "found") -> DataFrame:
+    """For each row of docs (with a column text): the columns in keep, and a struct of the given name with n_words, n_hit, spans
+    (word offsets of the hit stretches, start and end in turn), items (found item ids, sorted) and max_containment (the
+    largest share of an item's windows)."""
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c in keep]
-    more = [c for c in keep if c != "text"]
-    state = docs.select(*more, "text").withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>"), "max_containment": F.lit(0.0)})
+    docs = docs.select(*map(of, dict.fromkeys([*keep, "text"])))
     blocks = _blocks(benchmark, window, shingle, containment, block_words)
-    block, first = next(blocks, Block([], window, shingle, containment)), True
-    while block:
-        later = next(blocks, None)
-        if not first:
-            state = write_shared(state.drop("n_words", "n_hit"), "decontaminate")
+    block, later = next(blocks, Block([], window, shingle, containment)), next(blocks, None)
+    if later is None:
         if block.windows:
             _count_shingles(docs, block)
             block.order()
-        state = _mark(state, block, more, bool(later) or "text" in keep)
-        block, first = later, False
-    return state
-
-
-def contaminated() -> F.Column:
-    return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
+        state = _mark(docs, block, keep, name)
+    else:
+        (number,) = private([*keep, "text"], "row")
+        docs = write_shared(docs.withColumn(number, F.monotonically_increasing_id()), "decontaminate")
+        parts = []
+        while block:
+            _count_shingles(docs, block)
+            block.order()
+            parts.append(write_shared(_mark(docs, block, [number], "part", hit_only=True), "hits"))
+            block, later = later, next(blocks, None)
+        hits = parts[0]
+        for part in parts[1:]:
+            hits = hits.unionByName(part)
+        hits = hits.groupBy(number).agg(F.collect_list("part.spans").alias("spans"), F.array_sort(F.collect_list(F.arrays_zip("part.items", "part.shares"))).alias("parts"))
+        # an item whose text stands in several rows may lie in several blocks: its share is the largest of them
+        pairs = F.flatten("parts")
+        hits = hits.select(number, F.when(F.size("spans") > 1, _united("spans")).otherwise(F.col("spans")[0]).alias("spans"), F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["items"]))).alias("items"), F.transform(pairs, lambda p: p["shares"]).alias("shares"))
+        none = Block([], window, shingle, containment)
+        state = _mark(docs, none, [*keep, number], name).join(hits.select(number, F.struct("spans", "items", "shares").alias("hits")), number, "left")
+        merged = F.struct(of(name)["n_words"].alias("n_words"), *(F.coalesce(F.col("hits")[c], of(name)[c]).alias(c) for c in ("spans", "items", "shares")))
+        state = state.select(*map(of, keep), merged.alias(name))
+    found = of(name)
+    hit = F.aggregate(F.transform(found["spans"], lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda done, x: done + x)
+    whole = F.struct(found["n_words"].alias("n_words"), hit.alias("n_hit"), found["spans"].alias("spans"), found["items"].alias("items"), F.coalesce(F.array_max(found["shares"]), F.lit(0.0)).alias("max_containment"))
+    return state.select(*map(of, keep), whole.alias(name))
+
+
+def contaminated(found: F.Column) -> F.Column:
+    return (found["n_hit"] > 0) & (ONE_IN * found["n_hit"] >= found["n_words"])
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = find_contamination(docs, benchmark, ["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), contaminated(F.col("found")).alias("contaminated"))
 
 
 ORACLE_OP3 = r"""
@@ -206,7 +243,7 @@ WITH folded AS (
   FROM documents),
 items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, pos, pos + least(13, len(w)) - 1), ' ') AS content
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS pos FROM items WHERE len(w) > 0)),
@@ -218,7 +255,7 @@ hits AS (
 counted AS (
   SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS word FROM hits) GROUP BY doc_id),
 listed AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT f.doc_id, len(f.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(f.w) AS contaminated
 FROM folded f LEFT JOIN counted USING (doc_id) LEFT JOIN listed USING (doc_id)
@@ -226,6 +263,8 @@ FROM folded f LEFT JOIN counted USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops the documents that the contract's rule calls contaminated."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(~contaminated()).select(*docs.columns)
+    """Pipeline stage: drops the documents that the contract's rule calls contaminated; for odd input see the module. All
+    columns keep their values, whatever their names."""
+    (name,) = private(docs.columns, "found")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns, name=name)
+    return found.where(~contaminated(of(name))).select(*map(of, docs.columns))

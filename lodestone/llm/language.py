@@ -1,53 +1,56 @@
 """Language identification by cross-parsing entropy.
 
 One suffix automaton is built from a labelled sample of each language. A text is cut greedily into the longest phrases
-that occur in the sample; the language that needs the fewest phrases, each costed at log2 of its sample's length and
-divided by the text's length, wins. All texts of an Arrow batch walk all automata in step with numpy, so a character
-costs a table lookup for each language.
+that occur in the sample (a symbol that the sample lacks is a phrase by itself and counts twice); the language that needs the fewest phrases,
+each costed at log2 of its sample's length and divided by the text's length, wins. All texts of an Arrow batch walk all
+automata in step with numpy, so a symbol costs a few table lookups for each language.
+
+Symbols are the letters of the samples, however many, in lower case; a run of anything else is one gap, and letters that no
+sample has are one symbol more, which no phrase holds. The automata's transitions lie in one double array (the entry of a
+state and a symbol is at base[state] + symbol), whose size follows the samples and not their alphabets.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with nothing to learn from every text is
 `und`. A tie goes to the language that sorts first. Repeated rows each get their row. Rows with a null doc_id are
-predicted but never learned from. Extra columns are ignored.
+predicted but never learned from. Very long texts are parsed whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, pieces
+from .common import bounded_batches, fields, held_out, let_go, of, pieces, private, table
 
-#: The classifier is fitted on at most so many documents and characters of each language.
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 32_768
+#: The classifier is fitted on at most so many documents and code points of each language, and takes from a document at most
+#: a stretch of SAMPLE_STRETCH code points, which begins at a place told by a hash of doc_id.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCH = 128, 32_768, 512
 #: Texts are parsed in blocks of so many symbols; a phrase ends at its block's end.
 BLOCK = 512
 PAD, GAP, RARE, FIRST = 0, 1, 2, 3
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, stretch: int = SAMPLE_STRETCH) -> dict[str, str]:
     """A bounded labelled sample for each language, from learnable rows of (doc_id, text, lang), chosen by a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = {r.doc_id: r.lang for r in known.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= sample_docs).collect()}
-    if not chosen:
-        return {}
-    rows = known.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).collect()
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - stretch + 1, F.lit(1))) + 1
+    part = F.substring(F.col("text"), begin.cast("int"), F.lit(stretch))
+    told = known.select("lang", F.xxhash64("doc_id").alias("rank"), "doc_id", part.alias("text"))
+    # at most sample_docs rows a language come to the driver, repeated rows included
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", "text"))
+    rows = told.withColumn("nth", nth).where(F.col("nth") <= sample_docs).collect()
     sample: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
-        sample.setdefault(r.lang, "")
-        if len(sample[r.lang]) < sample_chars:
-            sample[r.lang] += f"{r.text[: max(1, sample_chars // 8)]}\n"
+    for r in sorted(rows, key=lambda r: (r.lang, r.nth)):
+        sample[r.lang] = sample.get(r.lang, "") + f"{r.text}\n"
     return {k: v[:sample_chars] for k, v in sorted(sample.items())}
 
 
-def _automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of a string as a table of [state, symbol]; -1 where there is no way on."""
+def _automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of a string: for each state, the next state by symbol. State 0 is the root."""
     ways, link, size, last = [{}], [-1], [0], 0
     for c in symbols.tolist():
         new = len(ways)
@@ -72,39 +75,67 @@ def _automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(ways), width), -1, np.int32)
+    return ways
+
+
+def _double_array(ways: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, to): state s goes on with symbol c to to[base[s] + c] if owner[base[s] + c] is s."""
+    base = np.zeros(len(ways), np.int32)
+    used = bytearray(width)
+    by_size: dict[int, list[int]] = defaultdict(list)
     for state, way in enumerate(ways):
-        for c, to in way.items():
-            out[state, c] = to
-    return out
+        by_size[len(way)].append(state)
+    for size in sorted(by_size, reverse=True):
+        low = width
+        for state in by_size[size] if size else ():
+            symbols = sorted(ways[state])
+            at, tries = low, 0
+            while True:
+                at = used.find(0, at)
+                if at < 0 or tries > 32:
+                    at = len(used)
+                if len(used) < at + width:
+                    used.extend(bytes(at + width - len(used)))
+                place = at - symbols[0]
+                if not any(used[place + c] for c in symbols):
+                    break
+                at, tries = at + 1, tries + 1
+            if tries > 32 or size == 1:
+                low = at
+            base[state] = place
+            for c in symbols:
+                used[place + c] = 1
+    owner, to = np.full(len(used) + width, -1, np.int32), np.zeros(len(used) + width, np.int32)
+    for state, way in enumerate(ways):
+        for c, next_state in way.items():
+            owner[base[state] + c], to[base[state] + c] = state, next_state
+    return base, owner, to
 
 
 class CrossParser:
-    """Automata of all languages in one table; `phrases` counts the phrases of many texts at once."""
+    """Automata of all languages in one double array; `phrases` counts the phrases of many texts at once."""
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
-        counts = Counter(ch for text in sample.values() for ch in text.lower() if ch.isalpha())
-        letters = [ch for ch, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 255 - FIRST]]
-        self.width = 1 << max(3, (len(letters) + FIRST - 1).bit_length())
-        self.symbol = np.full(0x110000, GAP, np.uint8)
+        letters = sorted({ch for text in sample.values() for ch in text.lower() if ch.isalpha()})
+        self.width = FIRST + len(letters)
+        self.symbol = np.full(0x110000, GAP, np.uint16 if self.width < 1 << 16 else np.uint32)
         self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = RARE
-        for i, ch in enumerate(letters):
-            self.symbol[ord(ch)] = FIRST + i
-        tables, roots, self.cost, at = [], [], [], 0
-        for lang in self.langs:
-            coded = self.code(sample[lang])
-            way = _automaton(coded, self.width)
-            root = np.where(way[0] >= 0, way[0], 0) + at
-            # a negative entry says: the phrase ends here, and the next one starts from the root with this symbol
-            step = np.where(way >= 0, (way + at) * self.width, ~(root * self.width)[None, :]).astype(np.int32)
-            step[:, PAD] = (np.arange(len(way)) + at) * self.width
-            tables.append(step)
-            roots.append(at * self.width)
-            self.cost.append(float(np.log2(max(2, len(coded)))))
-            at += len(way)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)
+        self.symbol[[ord(ch) for ch in letters]] = np.arange(FIRST, self.width)
+        ways: list[dict[int, int]] = []
+        # the state with which a phrase begins, by language and symbol; a language's last state stands for a symbol it lacks
+        self.start, self.lost, cost = np.zeros((len(self.langs), self.width), np.int32), [], []
+        for row, lang in enumerate(self.langs):
+            coded, at = self.code(sample[lang]), len(ways)
+            own = _automaton(coded)
+            ways += [{c: to + at for c, to in way.items()} for way in own] + [{}]
+            self.start[row] = len(ways) - 1
+            self.lost.append(len(ways) - 1)
+            for c, to in own[0].items():
+                self.start[row, c] = to + at
+            cost.append(float(np.log2(max(2, len(coded)))))
+        self.cost = np.array(cost)
+        self.base, self.owner, self.to = _double_array(ways, self.width)
 
     def code(self, text: str) -> np.ndarray:
         """Symbols of a text: letters in lower case, and one gap for each run of anything else."""
@@ -116,18 +147,18 @@ class CrossParser:
         """Phrases needed, as [text, language]."""
         blocks = np.array([-(-len(x) // BLOCK) for x in coded])
         starts = np.concatenate(([0], np.cumsum(blocks)))
-        sheet = np.zeros(starts[-1] * BLOCK, np.uint8)
+        sheet = np.full(starts[-1] * BLOCK, PAD, self.symbol.dtype)
         for at, x in zip(starts, coded):
             sheet[at * BLOCK : at * BLOCK + len(x)] = x
         steps = np.ascontiguousarray(sheet.reshape(-1, BLOCK).T.astype(np.int32))
-        state = np.repeat(self.roots[:, None], starts[-1], axis=1)
-        ended, at, sign = (np.zeros_like(state) for _ in range(3))
-        for step in steps:
-            np.add(state, step, out=at)
-            np.take(self.table, at, out=state, mode="clip")
-            np.right_shift(state, 31, out=sign)
-            np.subtract(ended, sign, out=ended)
-            np.bitwise_xor(state, sign, out=state)
+        state = self.start[:, steps[0]] if starts[-1] else np.zeros((len(self.langs), 0), np.int32)
+        lost = np.array(self.lost, np.int32)[:, None]
+        ended = (state == lost).astype(np.int32)
+        for step in steps[1:]:
+            at = self.base[state] + step
+            on = self.owner[at] == state
+            state = np.where(on, self.to[at], self.start[:, step])
+            ended += (~on * (1 + (state == lost))) * (step != PAD)
         total = np.concatenate((np.zeros((len(self.langs), 1), np.int64), np.cumsum(ended, axis=1, dtype=np.int64)), axis=1)
         return (total[:, starts[1:]] - total[:, starts[:-1]]).T + blocks[:, None]
 
@@ -136,52 +167,43 @@ class CrossParser:
         spoken = [bool((x >= RARE).any()) for x in coded]
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        bits = self.phrases(coded) * np.array(self.cost) / np.maximum(1, [len(x) for x in coded])[:, None]
+        bits = self.phrases(coded) * self.cost / np.maximum(1, [len(x) for x in coded])[:, None]
         best = bits.argmin(axis=1)
         weight = np.exp(bits.min(axis=1)[:, None] - bits)
         score = 1 / weight.sum(axis=1)
         return [self.langs[i] if ok else "und" for i, ok in zip(best, spoken)], [float(s) if ok else 0.0 for s, ok in zip(score, spoken)]
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
-def _parser(sample: Broadcast) -> CrossParser:
-    """The worker's parser, built once for each model."""
-    key = hash(tuple(sorted(sample.value.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(sample.value)
-    return _parsers[key]
-
-
-def identify(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
-    """Adds lang_pred and score to every row of docs, which needs a column text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(sample)
-    docs = docs.drop("lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
+def identify(docs: DataFrame, sample: dict[str, str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds two columns, the language and the score, to every row of docs, which needs a column text."""
+    bounded_batches(docs.sparkSession)
+    # the parser's size is bounded by the sample's
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(sample))
+    docs = docs.drop(*names)
+    lang, score = names
+    schema = fields(docs, docs.columns, (lang, "string"), (score, "double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(shared)
+        let_go()
+        parser = shared.value
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole, 1 << 20):
                 langs, scores = parser.predict(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang, score])
 
     return docs.mapInArrow(run, schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_spoken(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents in no language (`und`). The model is learned from the stage's own input."""
-    columns = docs.columns
-    return identify(docs, learn(docs)).where(F.col("lang_pred") != "und").select(*columns)
+    """Pipeline stage: drops documents in no language (`und`). The model is learned from the stage's own input.
+
+    Null and empty texts go; repeated rows and rows without a doc_id are judged one by one; all columns keep their values,
+    whatever their names; an empty table stays empty."""
+    names = private(docs.columns, "lang_pred", "score")
+    return identify(docs, learn(docs), tuple(names)).where(F.col(names[0]) != "und").select(*map(of, docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, texts_of, write_shared
+from .common import bounded_batches, kept, table, texts_of, write_shared
 from .components import components
 
 SHINGLE, BANDS, ROWS, SEED = 2, 48, 5, 20_177
@@ -59,7 +59,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         found = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -67,15 +67,12 @@ class Words(dict):
         return found
 
 
-_words = Words()
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct shingles of a text, as hashes. Words are parted by ASCII white space; A-Z count as a-z."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(kept("words", Words).__getitem__, words), np.uint64, len(words))
     size = min(k, len(hashes))
     out = np.full(len(hashes) - size + 1, size, np.uint64)
     for i in range(size):

@@ -40,12 +40,12 @@ FROM files f LEFT JOIN own o ON f.path = o.path LEFT JOIN near n ON f.path = n.p
 _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 ORACLE_OP2 = rf"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source, concat_ws('/', source, lang) AS repo FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, concat_ws('/', source, lang) AS repo, sha256(coalesce(text, '')) AS digest FROM documents),
 m AS (
-  SELECT row, doc_id, source, repo, 'assign' AS kind, 0 AS rank, regexp_extract_all(text, '{_ASSIGN}', 0) AS whole, regexp_extract_all(text, '{_ASSIGN}', 1) AS value, regexp_split_to_array(text, '{_ASSIGN}') AS rest FROM d
-  UNION ALL SELECT row, doc_id, source, repo, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]{{12,}}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{{12,}}'), regexp_split_to_array(text, 'AKIA[A-Z0-9]{{12,}}') FROM d
-  UNION ALL SELECT row, doc_id, source, repo, 'hex', 2, regexp_extract_all(text, '[0-9a-f]{{32,}}'), regexp_extract_all(text, '[0-9a-f]{{32,}}'), regexp_split_to_array(text, '[0-9a-f]{{32,}}') FROM d
-  UNION ALL SELECT row, doc_id, source, repo, 'bare', 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{24,}}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{24,}}'), regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{{24,}}') FROM d),
+  SELECT row, doc_id, source, repo, digest, 'assign' AS kind, 0 AS rank, regexp_extract_all(text, '{_ASSIGN}', 0) AS whole, regexp_extract_all(text, '{_ASSIGN}', 1) AS value, regexp_split_to_array(text, '{_ASSIGN}') AS rest FROM d
+  UNION ALL SELECT row, doc_id, source, repo, digest, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]{{12,}}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{{12,}}'), regexp_split_to_array(text, 'AKIA[A-Z0-9]{{12,}}') FROM d
+  UNION ALL SELECT row, doc_id, source, repo, digest, 'hex', 2, regexp_extract_all(text, '[0-9a-f]{{32,}}'), regexp_extract_all(text, '[0-9a-f]{{32,}}'), regexp_split_to_array(text, '[0-9a-f]{{32,}}') FROM d
+  UNION ALL SELECT row, doc_id, source, repo, digest, 'bare', 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{24,}}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{24,}}'), regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{{24,}}') FROM d),
 placed AS (
   SELECT * EXCLUDE (whole, rest, value, k), value[k] AS value,
     (list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start, length(whole[k]) AS size
@@ -58,17 +58,21 @@ bare AS (
   SELECT p.* FROM placed p JOIN entropy e ON p.value = e.value WHERE rank = 3 AND regexp_matches(p.value, '[0-9]') AND regexp_matches(p.value, '[a-z]') AND regexp_matches(p.value, '[A-Z]') AND bits >= 3.5
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.start < p.start + p.size AND p.start < b.start + b.size)),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT value, count(DISTINCT source) AS n_owners FROM found GROUP BY 1),
+texts AS (SELECT value, min({{'o': source, 'r': repo}}) AS holder FROM found GROUP BY value, digest),
+repos AS (SELECT value, holder.o AS owner, count(DISTINCT holder.r) AS n FROM texts GROUP BY 1, 2),
+owners AS (SELECT value, count(*) AS n_owners, sum(n) AS n_repos, max(n) AS most FROM repos GROUP BY 1),
 judged AS (
-  SELECT f.*, n_owners >= {SHARED_OWNERS} AS shared, length(f.value) >= 12 AND bits >= 2.5 AND n_owners < {SHARED_OWNERS} AS live
+  SELECT f.*, n_owners, n_repos, n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos AS shared, length(f.value) >= 12 AND bits >= 2.5 AND NOT (n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos) AS live
   FROM found f JOIN owners o ON f.value = o.value JOIN entropy e ON f.value = e.value),
 spans AS (
   SELECT row, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS c, count(*) FILTER (rank = 2) AS h,
     string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
     string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) FILTER (rank < 3 OR live) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (shared AND rank < 3) AS n_shared
+    count(*) FILTER (live) AS n_live, count(*) FILTER (shared AND rank < 3) AS n_shared,
+    max(n_owners) FILTER (rank < 3 OR live) AS most_owners, max(n_repos) FILTER (rank < 3 OR live) AS most_repos
   FROM judged GROUP BY 1)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared
+  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared,
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
 FROM d LEFT JOIN spans USING (row)
 """

@@ -1,14 +1,15 @@
 """Best-fit packing of tokenized documents into sequences of a fixed length.
 
 Only the histogram of piece lengths (at most `capacity` numbers) decides the packing, so it is solved on the driver
-whatever the corpus' size: the configuration linear program (choose how often to use each multiset of lengths that fits a
-sequence) is solved by multiplicative weights, whose pricing step finds the most valuable multiset by dynamic programming
-over the capacity; the solution is rounded down, and what remains is packed best-fit. Every piece then learns its place
-from its number among the pieces of its length: these numbers come from counts by (length, block), so no task holds all
-pieces of a common length.
-
-Defined results: a null text is empty and packs as its end token alone; repeated rows are packed as separate documents;
-extra columns are ignored; an empty table gives no pieces.
+whatever the corpus' size: the configuration linear program (see `configuration`) is solved by multiplicative weights with
+knapsack pricing, its solution is rounded, and what the rounding leaves is packed best-fit. Every piece then learns its
+place from its number among the pieces of its length: these numbers come from counts by (length, block), with as many blocks
+as the commonest length needs, so no task holds all pieces of a common length. A piece of full length is a sequence by
+itself and needs no number.
+
+Defined results: a null text is empty and packs as its end token alone; repeated rows, and rows without a doc_id, are packed
+as separate documents; a very long text is cut into pieces; extra columns are ignored, whatever their names; an empty table
+gives no pieces. Sequences of one full piece have negative sequence ids.
 """
 
 from __future__ import annotations
@@ -23,15 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, pieces, table, texts_of, write_shared
+from .configuration import rounded, solve
 from .tokens import encoder, vocabulary
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
-#: Rounds of the multiplicative weights, and how hard a round's coverage pushes a weight down.
-ROUNDS, STEP = 200, 0.5
-#: Pieces of text that a worker's encoder keeps.
-MOST_PIECES = 2_000_000
-#: Blocks of pieces that are numbered apart from each other.
-BLOCKS = 64
+#: Pieces of one length that are numbered together.
+BLOCK_PIECES = 65_536
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_name: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
@@ -42,9 +40,9 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary(vocabulary_name), spaced=True, most_pieces=MOST_PIECES)
+        code = encoder(vocabulary(vocabulary_name), spaced=True)
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole, 1 << 20):
                 at, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
                 for row, coded in enumerate(code.encode(texts_of(batch.column("text")))):
                     coded = memoryview(coded + end)
@@ -70,58 +68,35 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     return rows.mapInArrow(run, f"doc_id {kind}, doc_row long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
-def best_pattern(value: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths (value[l] is that of length l; 0: not offered) of most value that fits the capacity."""
-    lengths = np.nonzero(value > 0)[0]
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = value[lengths]
-    for room in range(1, capacity + 1):
-        fit = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if fit:
-            total = best[room - lengths[:fit]] + worth[:fit]
-            top = int(total.argmax())
-            if total[top] > best[room]:
-                best[room], choice[room] = total[top], lengths[top]
-    out: Counter = Counter()
-    room = capacity
-    while room > 0:
-        if choice[room]:
-            out[int(choice[room])] += 1
-            room -= int(choice[room])
-        else:
-            room -= 1
-    return out
-
-
-def configuration_lp(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[Counter, float]]:
-    """Fractional use of patterns that together hold no more pieces than there are, nearly as many as can be."""
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[n] for n in lengths.tolist()], float)
-    weight = np.ones(len(lengths))
-    covered = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        value = np.zeros(capacity + 1)
-        # the dual price of a length: what it takes up, raised while it lags behind the others in coverage
-        value[lengths] = lengths * weight
-        pattern = best_pattern(value, capacity)
-        mine = np.array([pattern.get(n, 0) for n in lengths.tolist()], float)
-        held = mine > 0
-        if not held.any():
-            break
-        amount = float((need[held] / mine[held]).min()) / max(1, rounds // 8)
-        gain = amount * mine / need
-        covered += gain
-        weight *= np.exp(-step * gain / max(gain.max(), 1e-12) / max(1, rounds // 50))
-        weight /= weight.max()
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0.0) + amount
-    scale = 1 / max(1.0, covered.max()) if len(covered) else 1.0
-    return [(Counter(dict(key)), amount * scale) for key, amount in used.items()]
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+def best_fit(left: dict[int, int], capacity: int, begun: list[tuple[Counter, int]] = ()) -> list[tuple[Counter, int]]:
+    """Packs lengths with counts, longest first: a piece goes to the sequence with the least room that takes it, among those
+    begun and those opened; like sequences are kept together, as a pattern and how often it stands."""
+    by_room: dict[int, list[tuple[Counter, int]]] = {}
+
+    def put(pattern: Counter, times: int) -> None:
+        by_room.setdefault(capacity - sum(n * k for n, k in pattern.items()), []).append((pattern, times))
+
+    for pattern, times in begun:
+        put(pattern, times)
+    for n in sorted(left, reverse=True):
+        count = left[n]
+        while count:
+            room = min((r for r in by_room if r >= n), default=None)
+            if room is None:
+                put(Counter(), count)
+                continue
+            pattern, times = by_room[room].pop()
+            if not by_room[room]:
+                del by_room[room]
+            used = min(times, count)
+            if used < times:
+                put(pattern, times - used)
+            put(pattern + Counter({n: 1}), used)
+            count -= used
+    return [(pattern, times) for same in by_room.values() for pattern, times in same if pattern]
+
+
+def fill(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     """Packs lengths with counts: the longest piece opens a sequence, and the longest that fits fills it; a pattern is used as
     often as its pieces last."""
     left = {n: c for n, c in left.items() if c}
@@ -144,22 +119,11 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Counter, int]]:
-    """Patterns and how often to use each, so that exactly the given pieces are held."""
-    left, out = dict(counts), []
-    if full := left.pop(capacity, 0):
-        out.append((Counter({capacity: 1}), full))
-    options = [out + best_fit(left, capacity)]
-    if left:
-        rest, chosen = dict(left), list(out)
-        for pattern, amount in sorted(configuration_lp(left, capacity, rounds), key=lambda x: -x[1]):
-            times = min(int(amount), *(rest[n] // k for n, k in pattern.items()))
-            if times:
-                chosen.append((pattern, times))
-                for n, k in pattern.items():
-                    rest[n] -= k * times
-        options.append(chosen + best_fit(rest, capacity))
-    return min(reversed(options), key=lambda o: sum(times for _, times in o))
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
+    """Patterns and how often to use each, so that exactly the given pieces are held: those of the linear program, rounded,
+    and what the rounding leaves, best-fit into their room or into sequences of its own, whichever takes fewer."""
+    chosen, left = rounded(solve(counts, capacity), counts)
+    return min(chosen + fill(left, capacity), best_fit(left, capacity, chosen), key=lambda o: sum(times for _, times in o))
 
 
 def places(chosen: list[tuple[Counter, int]]) -> dict[int, np.ndarray]:
@@ -177,7 +141,7 @@ def places(chosen: list[tuple[Counter, int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-def numbered(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def numbered(rows: DataFrame, blocks: int) -> DataFrame:
     """Adds `number`: each row's own number from 0 among the rows of its length. Rows are numbered within (length, block)
     and each block begins where the counts of those before it end."""
     block = F.pmod(F.xxhash64("doc_row", "piece"), F.lit(blocks))
@@ -189,12 +153,13 @@ def numbered(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return rows.withColumn("nth", nth).join(begin, ["length", "block"]).withColumn("number", F.col("begin") + F.col("nth") - 1).drop("block", "nth", "begin")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_row, piece, length and more). rows must be stable: written, not computed anew."""
-    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
-    rows = numbered(rows)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "sequence_id long, offset long"])
+    counts = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    shared = rows.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
+    alone = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    others = numbered(rows.where(F.col("length") < capacity), -(-max(counts.values(), default=1) // block_pieces))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), "sequence_id long, offset long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
@@ -210,7 +175,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
                 offset[mine] = found[:, 3] + nth % found[:, 1] * n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, schema).drop("number")
+    return others.mapInArrow(run, schema).drop("number").unionByName(alone)
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:
@@ -219,6 +184,6 @@ def op1_pack(spark, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the packed pieces of the documents that are left."""
+    """Pipeline stage, the last: the packed pieces of the documents that are left; for odd input see the module."""
     rows = write_shared(tokenized_pieces(docs), "pieces")
     return pack(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

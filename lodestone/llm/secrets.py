@@ -1,18 +1,21 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in each whole text: assignments to secret-like names, cloud access keys and long hexadecimal runs
-(the base kinds), and bare runs of mixed, high-entropy characters (kind `bare`). Each candidate's value is hashed, and
-the hashes are counted over the whole corpus by distinct repository and distinct owner. A value that at least
-`shared_owners` owners hold is a widely copied example; any other value that looks live (long and varied enough) is an
-owner-specific credential. Bare candidates become spans only if they are owner-specific.
+(the base kinds), and bare runs of mixed, high-entropy characters (kind `bare`). Each candidate's value is hashed, and the
+hashes are counted over the whole corpus by distinct repository and distinct owner; the copies of one text count once, for
+the owner that sorts first. A value is a widely copied example if at least `shared_owners` owners hold it and none of them
+has more than half of the repositories that do; held mostly in one owner's repositories it is that owner's, whoever copied
+it. Any value that is no such example and looks live (long and varied enough) is an owner-specific credential. Bare
+candidates become spans only if they are owner-specific.
 
-The counts run over (hash, repository) and (hash, owner) pairs that each task combines before the shuffle, so a value
-or an owner with a third of all rows stays spread; values come back to their documents by a join that adaptive execution
-may split.
+The counts run over distinct (value, text), (value, owner, repository) and (value, owner), which each task combines before
+the shuffle, so a value or an owner with a third of all rows stays spread; values come back to their documents by a join that
+adaptive execution may split.
 
 Defined results: a null text is empty and has no spans; a null repository or owner counts as one unnamed repository or
-owner; repeated rows each get their row and count once in the ownership; extra columns are ignored. Offsets are code
-points, ends exclusive.
+owner; repeated rows, and rows without a doc_id, each get their row and count once in the ownership; very long texts are
+scanned whole; extra columns are ignored, whatever their names; an empty table gives no rows. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, table, texts_of, write_shared
+from .common import bounded_batches, fields, let_go, of, private, table, texts_of, write_shared
 
 KINDS = ("assign", "access", "hex", "bare")
 SHARED_OWNERS, LIVE_ENTROPY, LIVE_LENGTH = 3, 2.5, 12
@@ -68,60 +73,61 @@ def looks_live(value: str) -> bool:
     return len(value) >= LIVE_LENGTH and entropy(value) >= LIVE_ENTROPY
 
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Every row of docs with its candidates: the columns in keep, n_assign, n_access, n_hex, base_sha256 and found (spans)."""
+#: What scan() tells of a text.
+SCAN = f"struct<n_assign:long,n_access:long,n_hex:long,base_sha256:string,found:array<{SPAN}>>"
+_SCAN = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("found", pa.list_(_SPAN))])
+
+
+def scan(docs: DataFrame, keep: list[str], name: str = "scan") -> DataFrame:
+    """Every row of docs (with a column text) with its candidates: the columns in keep, and SCAN under the given name."""
     bounded_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c in keep]
-    rows = docs.select(*keep, F.col("text").alias("_scanned"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "n_assign long, n_access long, n_hex long, base_sha256 string", f"found array<{SPAN}>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            counts: list[list[int]] = [[], [], []]
-            digests, found = [], []
-            for text in texts_of(batch.column("_scanned")):
+            out = []
+            for text in texts_of(batch.column("text")):
                 spans = candidates(text)
-                for rank in range(3):
-                    counts[rank].append(sum(s[1] == rank for s in spans))
-                digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans if k < 3).encode()).hexdigest())
-                found.append([{"start": s, "rank": k, "stop": e, "hash": hashlib.sha256(v.encode()).hexdigest(), "live": looks_live(v)} for s, k, e, v in spans])
-            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64()) for n in counts] + [pa.array(digests, pa.string()), pa.array(found, pa.list_(_SPAN))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+                count = [sum(s[1] == rank for s in spans) for rank in range(3)]
+                digest = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans if k < 3).encode()).hexdigest()
+                found = [{"start": s, "rank": k, "stop": e, "hash": hashlib.sha256(v.encode()).hexdigest(), "live": looks_live(v)} for s, k, e, v in spans]
+                out.append({"n_assign": count[0], "n_access": count[1], "n_hex": count[2], "base_sha256": digest, "found": found})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, _SCAN)], names=[*keep, name])
 
-    return rows.mapInArrow(run, schema)
+    return docs.select(*map(of, dict.fromkeys([*keep, "text"]))).mapInArrow(run, fields(docs, keep, (name, SCAN)))
 
 
-def ownership(found: DataFrame, by_text: bool = False) -> DataFrame:
-    """(hash, n_repos, n_owners) over all candidates of found (_repo, _owner, found); by_text: the copies of a text
-    (_digest) are one holder, so no value has more owners than texts."""
-    held = found.select("_repo", "_owner", *(["_digest"] if by_text else []), F.explode("found.hash").alias("hash"))
-    count = lambda who, name: held.groupBy("hash", who).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias(name))
-    counted = count("_repo", "n_repos").join(count("_owner", "n_owners"), "hash")
-    if by_text:
-        counted = counted.join(count("_digest", "n_texts"), "hash").withColumn("n_owners", F.least("n_owners", "n_texts")).drop("n_texts")
-    return counted
+def ownership(held: DataFrame) -> DataFrame:
+    """(hash, n_repos, n_owners, most) of the values in held (hash, digest, owner, repo): the repositories and owners that
+    hold a value, and the most repositories of one owner that do."""
+    texts = held.groupBy("hash", "digest").agg(F.min(F.struct("owner", "repo")).alias("by"))
+    repos = texts.select("hash", "by.owner", "by.repo").distinct()
+    owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    return owners.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max("n").alias("most"))
 
 
-def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS, by_text: bool = False) -> DataFrame:
-    """scan() with the ownership verdicts: adds spans (array of start, rank, stop, live, shared), in order. by_text: see ownership().
+def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS, name: str = "secrets") -> DataFrame:
+    """The columns of docs in keep, and a struct of the given name: n_assign, n_access, n_hex, base_sha256 and spans, an array of
+    (start, rank, stop, live, shared, n_owners, n_repos) in order.
 
     The scan is written to the shared folder once; what is joined after that are the candidates, not the texts."""
     keep = [c for c in docs.columns if c in keep]
-    told = docs.select(*keep, *([] if "text" in keep else ["text"]), repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *([F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")] if by_text else []))
-    found = write_shared(scan(told, [*keep, "_repo", "_owner", *(["_digest"] if by_text else [])]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    held = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("s"))
-    verdict = held.withColumn("hash", F.col("s.hash")).join(ownership(found, by_text), "hash")
-    shared = F.col("n_owners") >= shared_owners
-    spans = (
-        verdict.where((F.col("s.rank") < 3) | (F.col("s.live") & ~shared))
-        .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.stop", (F.col("s.live") & ~shared).alias("live"), shared.alias("shared")))).alias("spans"))
-    )
-    empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,live:boolean,shared:boolean>>")
-    return found.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("_row", "_repo", "_owner", "_digest", "found")
-
-
-def spans_text(spans: str) -> Column:
+    row, repo_, owner_, digest, told_ = private([*keep, "text"], "row", "repo", "owner", "digest", "scan")
+    own = [repo.cast("string").alias(repo_), owner.cast("string").alias(owner_), F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest)]
+    told = docs.select(*map(of, dict.fromkeys([*keep, "text"])), *own)
+    found = write_shared(scan(told, [*keep, repo_, owner_, digest], told_).withColumn(row, F.monotonically_increasing_id()), "secrets")
+    held = found.select(F.col(row).alias("row"), F.col(repo_).alias("repo"), F.col(owner_).alias("owner"), F.col(digest).alias("digest"), F.explode(F.col(told_)["found"]).alias("s"))
+    verdict = held.select("row", "s", F.col("s.hash").alias("hash")).join(ownership(held.select(F.col("s.hash").alias("hash"), "digest", "owner", "repo")), "hash")
+    shared = (F.col("n_owners") >= shared_owners) & (2 * F.col("most") <= F.col("n_repos"))
+    span = F.struct("s.start", "s.rank", "s.stop", (F.col("s.live") & ~shared).alias("live"), shared.alias("shared"), "n_owners", "n_repos")
+    spans = verdict.where((F.col("s.rank") < 3) | (F.col("s.live") & ~shared)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,live:boolean,shared:boolean,n_owners:bigint,n_repos:bigint>>")
+    joined = found.join(spans.select(F.col("row").alias(row), F.col("spans").alias(digest + "_spans")), row, "left")
+    whole = F.struct(*(F.col(told_)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256")), F.coalesce(F.col(digest + "_spans"), empty).alias("spans"))
+    return joined.select(*map(of, keep), whole.alias(name))
+
+
+def spans_text(spans: Column) -> Column:
     kinds = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(kinds, s["rank"] + 1), F.lit(":"), s["start"], F.lit(":"), s["stop"])), ",")
 
@@ -134,31 +140,45 @@ def _where(docs: DataFrame) -> tuple[Column, Column]:
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = find_secrets(docs, *_where(docs), ["doc_id"])
-    count = lambda p: F.size(F.filter("spans", p)).cast("long")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text("spans").alias("spans"), count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["shared"]).alias("n_shared"))
+    spans = F.col("secrets.spans")
+    count = lambda p: F.size(F.filter(spans, p)).cast("long")
+    widest = lambda c: F.coalesce(F.array_max(F.transform(spans, lambda s: s[c])), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", "secrets.base_sha256", spans_text(spans).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["shared"]).alias("n_shared"), widest("n_owners").alias("most_owners"), widest("n_repos").alias("most_repos"),
+    )
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+def mask_text(text: str, spans: list[tuple[int, int]], mask: str = "[SECRET]") -> str:
     """text with the given spans replaced; spans that overlap or touch become one mask."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    begin = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
+    out, at = [], 0
+    for i, (start, stop) in enumerate(sorted(spans)):
+        if i == 0 or start > at:
+            out += [text[at:start], mask]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
 
-    def step(done: Column, s: Column) -> Column:
-        apart = (s["start"] > done["at"]) | (done["at"] == 0)
-        more = F.concat(done["done"], F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int")), F.lit(mask))
-        return F.struct(F.when(apart, more).otherwise(done["done"]).alias("done"), F.greatest(done["at"], s["stop"]).alias("at"))
 
-    return F.aggregate(ordered, begin, step, lambda done: F.concat(done["done"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
+@F.pandas_udf(T.StringType())
+def _masked(text: pd.Series, bounds: pd.Series) -> pd.Series:
+    """bounds: start and stop of each span in turn; rows without a text need no mask."""
+    return pd.Series([None if t is None else mask_text(t, list(zip(b[::2].tolist(), b[1::2].tolist()))) for t, b in zip(text, bounds)], dtype=object)
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: masks all base candidates that are no shared example, of any length and entropy, and bare live ones, and
-    keeps every document; n_chars follows. Copies of one text do not make its values shared."""
+    keeps every document; n_chars follows. All other columns keep their values, whatever their names; for odd input see the
+    module."""
     columns = docs.columns
-    found = find_secrets(docs, *_where(docs), columns, by_text=True)
-    live = F.filter("spans", lambda s: ~s["shared"])
-    text = F.when(F.size(live) > 0, masked(F.col("text"), live)).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
+    name, bounds_, masked = private(columns, "secrets", "bounds", "masked")
+    found = find_secrets(docs, *_where(docs), columns, name=name)
+    hidden = F.filter(of(name)["spans"], lambda s: ~s["shared"])
+    bounds = F.flatten(F.transform(hidden, lambda s: F.array(s["start"], s["stop"])))
+    found = found.withColumn(bounds_, bounds)
+    some = F.size(of(bounds_)) > 0
+    # only the texts that have something to mask go through Python
+    out = found.withColumn(masked, _masked(F.when(some, F.col("text")), F.col(bounds_)))
+    new = {"text": F.when(some, F.col(masked)).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(live) > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(*columns)
+        new["n_chars"] = F.when(some, F.length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*(new[c].alias(c) if c in new else of(c) for c in columns))

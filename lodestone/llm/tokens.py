@@ -15,8 +15,11 @@ import sys
 from array import array
 from itertools import chain, filterfalse
 
-#: Pieces that a worker keeps, and their letters; the table starts afresh beyond either (about 150 bytes a piece).
-MOST_PIECES, MOST_LETTERS = 1_000_000, 64_000_000
+from .common import kept
+
+#: Bytes that a worker's table of known pieces may take; beyond them it starts afresh. A piece takes PIECE_BYTES and its
+#: letters and ids.
+MOST_BYTES, PIECE_BYTES = 64 << 20, 180
 #: White space to Python alone.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
@@ -38,7 +41,7 @@ class Encoder:
     spaced: the vocabulary has tokens that begin with a space, and a piece takes the space before it; otherwise white
     space is dropped and letters are folded to lower case."""
 
-    def __init__(self, path: str, spaced: bool, most_pieces: int = MOST_PIECES, special_as_text: bool = True):
+    def __init__(self, path: str, spaced: bool, most_bytes: int = MOST_BYTES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,7 +50,7 @@ class Encoder:
         added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = Tokenizer(self.whole.model)
-        self.spaced, self.letters, self.most_pieces = spaced, _byte_letters(), most_pieces
+        self.spaced, self.letters, self.most_bytes = spaced, _byte_letters(), most_bytes
         # a piece that holds an added token, or at whose ends white space touches a space, has None: its text is encoded whole
         self.known: dict[str, bytes | None] = {}
         self.held = 0
@@ -91,7 +94,7 @@ class Encoder:
         known.update(zip(odd, self._encode_whole([before + piece for piece in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most_pieces or self.held > MOST_LETTERS:
+        if self.held > self.most_bytes:
             self.known, self.held = {}, 0
         if self.spaced:
             cut = [t.split(" ") for t in texts]
@@ -101,8 +104,8 @@ class Encoder:
             odd = [i for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)]
             rest, before = [t.split() for t in texts], ""
         new = list(dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(rest))))
-        self.held += sum(map(len, new))
         self._learn(new, self.known, before)
+        self.held += sum(PIECE_BYTES + len(p) + len(self.known[p] or b"") for p in new)
         first: dict[str, bytes | None] = {}
         if self.spaced:
             self._learn(list({p[0] for p in cut}), first, "")
@@ -119,14 +122,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, spaced: bool, most_pieces: int = MOST_PIECES) -> Encoder:
+def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder for a vocabulary file, special tokens as the tokenizer has them by default."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced, most_pieces, special_as_text=False)
-    return _encoders[path, spaced]
+    return kept(("encoder", path, spaced), lambda: Encoder(path, spaced, special_as_text=False))
 
 
 def vocabulary(name: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, pieces, table, texts_of
+from .common import bounded_batches, held_out, kept, pieces, table, texts_of
 
 TOXIC_DOCS, CLEAN_DOCS, MOST_TERMS = 4_000, 12_000, 400
 #: A term needs this log-likelihood ratio, and to be so many times as frequent in toxic documents.
@@ -185,15 +185,8 @@ class Scorer:
         return [float(np.log1p(exact)), float(np.log1p(near)), float(np.log1p(quoted))]
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(terms: list[str], strict: list[str]) -> Scorer:
-    key = (tuple(terms), tuple(strict))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(terms, strict)
-    return _scorers[key]
+    return kept(("scorer", tuple(terms), tuple(strict)), lambda: Scorer(terms, strict))
 
 
 def _sample(labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
