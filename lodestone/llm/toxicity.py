@@ -1,22 +1,25 @@
 """Toxicity by a lexicon that tolerates misspellings, and the context in which its terms stand.
 
-A lexicon is learned from labelled documents: words that are far more often in toxic ones (log-likelihood ratio). Its trie is
-intersected with Levenshtein automata, one edit for terms of 5 letters and two from 9 on; the product is made
-deterministic as far as words need it, so that most words leave it after a few letters, and each worker looks a word up
-once. Every hit is then judged in a window of words around it: inside quotation marks or beside a reporting verb it is
-quoted speech, otherwise abuse. A logistic model over the amounts of exact abuse, misspelled abuse and quotation gives the
-score; it is fitted with a prior, so that kinds of hits which the labelled sample lacks keep a sensible weight.
+A lexicon is learned from labelled documents: words that are more often in toxic ones, by at least LEAST_ODDS and with a
+log-likelihood ratio so high that the share of false terms stays below FALSE_TERMS (Benjamini and Hochberg's bound over all
+words tested). Its trie is intersected with Levenshtein automata, one edit for terms of 5 letters and two from 9 on; the
+product is made deterministic as far as words need it, so that most words leave it after a few letters, and each worker looks
+a word up once. A term allows edits only if the words near it speak for toxic documents as well, or no clean document has
+any. Every hit is then judged in a window of words around it: inside quotation marks it is quoted speech, otherwise abuse. A
+logistic model over the amounts of exact abuse, misspelled abuse and quotation gives the score; it is fitted with a prior, so
+that kinds of hits which the labelled sample lacks keep a sensible weight.
 
 Labels, language, source and doc_id are no inputs of a score. The lexicon and the model are fitted on at most `toxic_docs`
-toxic and `clean_docs` other labelled documents, chosen by a hash of doc_id.
+toxic and `clean_docs` other labelled documents, chosen by a hash of doc_id; all texts are read and scored whole.
 
 Defined results: null and empty texts get the score of a text without hits; with no labels there is no lexicon and every
-score is that of the prior; a document labelled both ways counts as toxic; null labels and ids are not learned from;
-repeated rows each get their row; extra columns are ignored.
+score is that of the prior; a document labelled both ways counts as toxic; null labels and ids are not learned from; of rows
+that share a doc_id one is learned from; repeated rows each get their score; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,23 +27,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, kept, pieces, table, texts_of
+from .common import bounded_batches, held_out, kept, pieces, table, texts_of, write_shared
 
 TOXIC_DOCS, CLEAN_DOCS, MOST_TERMS = 4_000, 12_000, 400
-#: A term needs this log-likelihood ratio, and to be so many times as frequent in toxic documents.
-LEAST_RATIO, LEAST_ODDS = 24.0, 100.0
+#: A term is so many times as frequent in toxic documents, and a strong one so many times; the share of terms that may be
+#: there by chance.
+LEAST_ODDS, STRONG_ODDS, FALSE_TERMS = 10.0, 100.0, 0.05
+#: Words near a term are so many times as frequent in toxic documents, or the term allows no edits.
+NEAR_ODDS = 20.0
 THRESHOLD, CONTEXT = 0.3, 6
 _WORD = re.compile(r"\w+")
-#: Verbs and nouns that report speech, in the corpus' languages.
-REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term terms insult insults sagte sagt schrieb nannte zitat wort dit disait écrit appelle cite mot dijo dice escribió llamó cita palabra".split())
 _OPEN, _CLOSE, _EITHER = "“«„‹", "”»›", '"'
-#: Prior means and precisions of bias, exact abuse, misspelled abuse and quotation. Samples seldom hold misspelled terms; the
-#: prior of these is then moved to NEAR times the weight that exact ones have learned.
-PRIOR, NEAR = np.array([-3.0, 2.5, 2.0, 0.2]), 0.9
-PRECISION = np.array([0.1, 0.3, 1.0, 1.0])
+#: Prior means and precisions of bias, strong abuse, weak abuse, misspelled strong abuse and quotation. Samples seldom hold
+#: misspelled terms; the prior of these is then moved to NEAR times the weight that exact ones have learned.
+PRIOR, NEAR = np.array([-3.0, 2.5, 1.0, 2.0, 0.2]), 0.9
+PRECISION = np.array([0.1, 0.3, 0.3, 1.0, 1.0])
 
 
 def edits_allowed(term: str) -> int:
@@ -50,8 +54,8 @@ def edits_allowed(term: str) -> int:
 class FuzzyTrie:
     """nearest(word): the edits to the nearest lexicon term within reach, or None. Terms in `strict` allow no edits."""
 
-    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
-        self.terms = frozenset(terms)
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset(), weak: frozenset[str] = frozenset()):
+        self.terms, self.weak = frozenset(terms), weak
         edits_of = {t: 0 if t in strict else edits_allowed(t) for t in terms}
         self.children: list[dict[str, int]] = [{}]
         self.allowed = [0]  # the most edits that any term below a node allows
@@ -76,7 +80,7 @@ class FuzzyTrie:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.steps: dict[tuple[int, str], int] = {}
-        self.accepts: list[int | None] = []
+        self.accepts: list[tuple[int, bool] | None] = []
         self.start = self._state({0: 0})
 
     def _state(self, reached: dict[int, int]) -> int:
@@ -94,7 +98,7 @@ class FuzzyTrie:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.accepts.append(min((e for n, e in key if e <= self.ends[n]), default=None))
+            self.accepts.append(min(((e, self.term_at[n] in self.weak) for n, e in key if e <= self.ends[n]), default=None))
         return self.number[key]
 
     def _step(self, state: int, ch: str) -> int:
@@ -110,12 +114,17 @@ class FuzzyTrie:
             reach(node, edits + 1)
         return self._state(reached) if reached else -1
 
-    def nearest(self, word: str) -> int | None:
+    def hit(self, word: str) -> tuple[int, bool] | None:
+        """The edits to the nearest term within reach, and whether only weak terms are so near; or None."""
         if word in self.terms:
-            return 0
+            return 0, word in self.weak
         state = self._walk(word)
         return None if state < 0 else self.accepts[state]
 
+    def nearest(self, word: str) -> int | None:
+        found = self.hit(word)
+        return found and found[0]
+
     def reached(self, word: str) -> list[str]:
         """All terms within reach of a word."""
         state = self._walk(word)
@@ -139,54 +148,57 @@ class FuzzyTrie:
 class Model:
     terms: list[str]
     strict: list[str]  # terms that other words come near to by nature; no edits for these
+    weak: list[str]  # terms that clean documents use as well
     weights: list[float]
 
 
 class Scorer:
     """A worker's view of a lexicon: known words cost a lookup."""
 
-    def __init__(self, terms: list[str], strict: list[str]):
-        self.trie, self.known = FuzzyTrie(terms, frozenset(strict)), {}
+    def __init__(self, terms: list[str], strict: list[str], weak: list[str] = ()):
+        self.trie, self.known = FuzzyTrie(terms, frozenset(strict), frozenset(weak)), {}
 
-    def hits(self, words: list[str]) -> dict[int, int]:
-        """Edits of the hits, by word number."""
+    def hits(self, words: list[str]) -> dict[int, tuple[int, bool]]:
+        """Edits of the hits and whether they are weak, by word number."""
         known, out = self.known, {}
         if len(known) > 500_000:
             known.clear()
         for i, word in enumerate(words):
             try:
-                edits = known[word]
+                found = known[word]
             except KeyError:
-                edits = self.trie.nearest(word) if len(word) <= 64 else None
-                known[word] = edits
-            if edits is not None:
-                out[i] = edits
+                found = self.trie.hit(word)
+                if len(word) <= 64:
+                    known[word] = found
+            if found is not None:
+                out[i] = found
         return out
 
     def features(self, text: str) -> list[float]:
-        """log(1 + amount) of exact abuse, misspelled abuse and quoted hits."""
+        """log(1 + amount) of strong abuse, weak abuse (misspelled or not), misspelled strong abuse and quoted hits."""
         lower = text.lower()
         found = self.hits(_WORD.findall(lower))
-        exact = near = quoted = 0.0
+        strong = faint = near = quoted = 0
         if found:
             spans = [m.span() for m in _WORD.finditer(lower)]
-            words = [lower[s:e] for s, e in spans]
-            for i, edits in found.items():
+            for i, (edits, weak) in found.items():
                 first, last = max(0, i - CONTEXT), min(len(spans), i + CONTEXT + 1)
                 before, after = lower[spans[first][0] : spans[i][0]], lower[spans[i][1] : spans[last - 1][1]]
                 open_ = sum(map(before.count, _OPEN)) > sum(map(before.count, _CLOSE)) or before.count(_EITHER) % 2 == 1
                 closed = any(c in after for c in _CLOSE + _EITHER)
-                if open_ and closed or any(w in REPORTING for w in words[first:last]):
+                if open_ and closed:
                     quoted += 1
+                elif weak:
+                    faint += 1
                 elif edits:
                     near += 1
                 else:
-                    exact += 1
-        return [float(np.log1p(exact)), float(np.log1p(near)), float(np.log1p(quoted))]
+                    strong += 1
+        return np.log1p([strong, faint, near, quoted]).tolist()
 
 
-def _scorer(terms: list[str], strict: list[str]) -> Scorer:
-    return kept(("scorer", tuple(terms), tuple(strict)), lambda: Scorer(terms, strict))
+def _scorer(terms: list[str], strict: list[str], weak: list[str]) -> Scorer:
+    return kept(("scorer", tuple(terms), tuple(strict), tuple(weak)), lambda: Scorer(terms, strict, weak))
 
 
 def _sample(labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
@@ -196,43 +208,54 @@ def _sample(labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
     return part(1, toxic_docs).unionByName(part(0, clean_docs))
 
 
-def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
-    """Words of sample (text, toxic) that mark toxic documents, strongest first."""
+def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> dict[str, float]:
+    """Words of sample (text, toxic) that mark toxic documents, strongest first, with their odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist()):
-                (toxic if label else clean).update({w for w in _WORD.findall(text.lower()) if 4 <= len(w) <= 64})
+                (toxic if label else clean).update(set(_WORD.findall(text.lower())))
         words = list(toxic | clean)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "t", "c"])
 
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     t_all, c_all = size.get(1, 0), size.get(0, 0)
     if not t_all or not c_all:
-        return []
+        return {}
     words = sample.select("text", "toxic").mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     share = (F.col("t") + F.col("c")) / (t_all + c_all)
     part = lambda n, of: F.when(n > 0, n * F.log(n / (share * of))).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), t_all) + part(F.col("c"), c_all))
-    odds = (F.col("t") + 0.5) / (t_all + 1) / ((F.col("c") + 0.5) / (c_all + 1))
-    chosen = words.withColumns({"ratio": ratio, "odds": odds}).where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS))
-    return [r.word for r in chosen.orderBy(F.col("ratio").desc(), "word").limit(most_terms).collect()]
+    tested = words.where("t + c > 1")
+    chosen = tested.withColumns({"ratio": ratio, "odds": _odds(F.col("t"), F.col("c"), t_all, c_all)}).where(F.col("odds") >= LEAST_ODDS)
+    ranked = [(r.word, r.odds, math.erfc(math.sqrt(max(r.ratio, 0.0) / 2))) for r in chosen.orderBy(F.col("ratio").desc(), "word").limit(most_terms).collect()]
+    tests = tested.count()
+    last = max((k for k, (_, _, chance) in enumerate(ranked, 1) if chance <= FALSE_TERMS * k / tests), default=0)
+    return {word: odds for word, odds, _ in ranked[:last]}
+
+
+def _odds(t: Column | float, c: Column | float, t_all: int, c_all: int) -> Column | float:
+    return (t + 0.5) / (t_all + 1) / ((c + 0.5) / (c_all + 1))
 
 
 def crowded(sample: DataFrame, terms: list[str]) -> list[str]:
-    """Terms that ordinary words of the sample's clean documents come near to: near them an edit is no misspelling."""
+    """Terms near which an edit is no misspelling: clean documents have words that come near to them, and toxic ones do not
+    have such words more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, found = FuzzyTrie(terms), set()
+        trie, count = FuzzyTrie(terms), (Counter(), Counter())
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                for word in set(_WORD.findall(text.lower())) - trie.terms:
-                    if len(word) <= 64:
-                        found.update(trie.reached(word))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+            for text, label in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist()):
+                count[label].update({term for word in set(_WORD.findall(text.lower())) - trie.terms for term in trie.reached(word)})
+        for label in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(list(count[label]), pa.string()), pa.array([label] * len(count[label]), pa.int32()), pa.array(list(count[label].values()), pa.int64())], names=["term", "toxic", "n"])
 
-    return sorted(r.term for r in sample.where("toxic = 0").select("text").mapInArrow(run, "term string").distinct().collect())
+    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    near: dict[str, list[int]] = {}
+    for r in sample.mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect():
+        near.setdefault(r.term, [0, 0])[r.toxic] = r.n
+    return sorted(term for term, (c, t) in near.items() if c and _odds(t, c, size.get(1, 0), size.get(0, 0)) < NEAR_ODDS)
 
 
 def fit(features: np.ndarray, labels: np.ndarray) -> list[float]:
@@ -247,25 +270,28 @@ def fit(features: np.ndarray, labels: np.ndarray) -> list[float]:
             w = w - step
             if np.abs(step).max() < 1e-8:
                 break
-        prior = np.array([PRIOR[0], PRIOR[1], max(PRIOR[2], NEAR * w[1]), PRIOR[3]])
+        prior = PRIOR.copy()
+        prior[3] = max(PRIOR[3], NEAR * w[1])
     return w.tolist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, most_terms: int = MOST_TERMS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     bounded_batches(docs.sparkSession)
-    # the sample has toxic_docs + clean_docs short rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(_sample(labels, toxic_docs, clean_docs)), "doc_id").select("text", "toxic")
-    terms = lexicon(sample, most_terms)
+    # the sample has toxic_docs + clean_docs short rows at most, and one text for each
+    chosen = docs.select("doc_id", "text").join(F.broadcast(_sample(labels, toxic_docs, clean_docs)), "doc_id")
+    sample = write_shared(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+    found = lexicon(sample, most_terms)
+    terms, weak = list(found), [t for t, odds in found.items() if odds < STRONG_ODDS]
     strict = crowded(sample, terms) if terms else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_scorer(terms, strict).features(t) for t in texts_of(batch.column("text"))]
+            rows = [_scorer(terms, strict, weak).features(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     rows = sample.mapInArrow(run, "x array<double>, toxic int").collect() if terms else []
-    return Model(terms, strict, fit(np.array([r.x for r in rows]).reshape(-1, len(PRIOR) - 1), np.array([r.toxic for r in rows], float)))
+    return Model(terms, strict, weak, fit(np.array([r.x for r in rows]).reshape(-1, len(PRIOR) - 1), np.array([r.toxic for r in rows], float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -276,7 +302,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer, w = _scorer(model.terms, model.strict), np.array(model.weights)
+        scorer, w = _scorer(model.terms, model.strict, model.weak), np.array(model.weights)
         for whole in batches:
             for batch in pieces(whole):
                 x = np.array([scorer.features(t) for t in texts_of(batch.column("text"))]).reshape(-1, len(w) - 1)
