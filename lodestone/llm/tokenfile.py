@@ -10,11 +10,13 @@ compressed bytes, documents u32, bytes an id u32) and then, for each document, d
 footer holds the index' offset u64, size u32 and crc32 u32, frames u32, documents u64, ids u64 and the magic text.
 
 Spark's text sink writes the rows of a partition in order, each followed by 0x0A, to any file system it knows, with its
-commit protocol; hence the 0x0A after each part. Files are read with the binaryFile source. A reader takes the footer and
-the index, and then decompresses only the frames that hold the requested documents.
+commit protocol; hence the 0x0A after each part. A file holds about FILE_CHARS code points of text, however large the corpus,
+so one fits a task's memory; rows of one doc_id, or of none, may spread over files. Files are read with the binaryFile source,
+one at a time. A reader takes the footer and the index, and then decompresses only the frames that hold the requested documents.
 
-Defined results: a null text is empty and has its end token alone; repeated documents are all written, in the order of
-doc_id and text; a null doc_id comes first; an empty table gives no rows; extra columns are ignored.
+Defined results: a null text is empty and has its end token alone; repeated documents are all written, next to each other in
+the order of a hash of their texts; a null doc_id comes first; a very long text is one document of one frame; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .tokens import encoder, vocabulary
 END_ID, VOCABULARY = 2, "word_bpe_49k.json"
 #: A frame ends once it has so many ids.
 FRAME_IDS = 1 << 16
+#: Code points of text in a file, about.
+FILE_CHARS = 16_000_000
 MAGIC = b"LODETOK1"
 _FRAME, _FOOTER = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("docs", "<u4"), ("width", "<u4")]), struct.Struct("<QIIIQQ8s")
 
@@ -115,7 +119,7 @@ class Reader:
                     yield int(self.keys[doc]), ids
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary_name: str = VOCABULARY, end_id: int = END_ID, frame_ids: int = FRAME_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary_name: str = VOCABULARY, end_id: int = END_ID, frame_ids: int = FRAME_IDS, file_chars: int = FILE_CHARS) -> None:
     """Encodes docs (doc_id, text) and writes them to path, a file for each range of doc_id, in ascending order."""
     bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
@@ -123,21 +127,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_name: str = VOCABUL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, writer = encoder(vocabulary(vocabulary_name), spaced=False), Writer(frame_ids)
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole, 1 << 20):
                 for key, ids in zip(batch.column("doc_id").to_pylist(), code.encode(texts_of(batch.column("text")))):
                     for part in writer.add(key, ids + end):
                         yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
         for part in writer.finish():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "number"]
+    # the last two part rows that share a doc_id, even those of one text
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"tie": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(chars // file_chars + 1, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, "part binary").select(F.col("part").cast("string").alias("value")).write.text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of the files at path; `file` is the number of its part, which ascends with doc_id."""
     found = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
-    return found.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "content")
+    return found.select(F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long").alias("file"), "content")
 
 
 def read_token_files(spark: SparkSession, path: str, keys: list[int] | None = None) -> DataFrame:
