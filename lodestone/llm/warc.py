@@ -1,8 +1,9 @@
 """WARC not-modified revisits, resolved to the latest earlier full response of the same canonical URL.
 
-The as-of join has two levels, so that a URL with very many records is no single group: time is cut into slices, a window
-within (URL, slice) finds the latest response of the same slice, and the slices' last responses, of which a URL has at most
-`slices`, tell the rest. Only keys and times go through the windows; headers and bodies are joined on at the end.
+The as-of join has two levels, so that a URL with very many records is no single group: where a URL has more than `slice_rows`
+records, time is cut into slices at the quantiles of such URLs' times (at most MOST_SLICES of them; then slices grow, and their
+windows spill). A window within (URL, slice) finds the latest response of the same slice, and the slices' last responses tell
+the rest. Only keys and times go through the windows; headers and bodies are joined on at the end.
 
 A revisit resolves if its validators allow: its entity tag must equal the response's (weakly compared), or, without a tag,
 its Last-Modified; a revisit without validators resolves unverified. The headers that a not-modified response may renew
@@ -20,28 +21,42 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SLICES = 64
+SLICE_ROWS, MOST_SLICES = 65_536, 4_096
 #: The fields that a 304 response may carry to renew stored ones, and query keys that only track.
 RENEWABLE = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www. or m. and default port, path without a slash at its end, query without tracking
+    """Host in lower case without www. and default port, path without a slash at its end, query without tracking
     keys and in order; no scheme, no fragment."""
     bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^(www|m)\.", ""), r":(80|443)$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda q: (q != "") & ~q.rlike(TRACKING)))
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
-def latest_earlier(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def _slice(keys: DataFrame, slice_rows: int) -> Column:
+    """The slice of time that a record lies in; equal times share one."""
+    counts = keys.groupBy("canonical").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    slices = min(MOST_SLICES, -(-most // slice_rows))
+    if slices < 2:
+        return F.lit(0)
+    hot = keys.join(counts.where(F.col("n") > slice_rows), "canonical", "left_semi")
+    bounds = sorted(set(hot.agg(F.percentile_approx("at", [i / slices for i in range(1, slices)], 20 * slices)).first()[0] or []))
+    # a slice begins after its bound; two looks, at every 64th bound and at the 64 from there, instead of one at all
+    above = lambda part: F.size(F.filter(part, lambda b: b < F.col("at")))
+    literal = lambda values: F.array(*map(F.lit, values))
+    coarse = F.greatest(above(literal(bounds[::64])) - 1, F.lit(0)) * 64
+    return coarse + above(F.slice(literal(bounds), coarse + 1, F.lit(64)))
+
+
+def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(record_id, canonical, at, response_id) of the revisits among records (record_id, canonical, at, full) that have an earlier response."""
     keys = records.select("record_id", "canonical", "at", "full").where("canonical IS NOT NULL AND at IS NOT NULL")
-    low, high = keys.agg(F.min("at"), F.max("at")).first()
-    width = max(1, ((high or 0) - (low or 0)) // slices + 1)
-    keys = keys.withColumn("slice", F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    keys = keys.withColumn("slice", _slice(keys, slice_rows))
     response = F.when(F.col("full"), F.struct("at", "record_id"))
     inside = Window.partitionBy("canonical", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     near = keys.withColumn("found", F.max(response).over(inside)).where(~F.col("full"))
@@ -58,7 +73,7 @@ def _tag(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """A row for each revisit of records (record_id, url, at as a number, warc_type, status, headers as map<string,string> with
     names in lower case, body): record_id, canonical, response_id, verdict, status, headers and body."""
     records = records.select("record_id", "url", "at", "warc_type", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "body")
@@ -66,7 +81,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     keyed = records.withColumn("canonical", canonical_url(F.col("url"))).withColumn("full", F.coalesce(full, F.lit(False)))
     revisits = keyed.where((F.col("warc_type") == "revisit") & (F.col("status") == 304))
     used = keyed.where(F.col("full") | ((F.col("warc_type") == "revisit") & (F.col("status") == 304)))
-    matched = revisits.drop("body", "full").join(latest_earlier(used, slices), ["record_id", "canonical", "at"], "left")
+    matched = revisits.drop("body", "full").join(latest_earlier(used, slice_rows), ["record_id", "canonical", "at"], "left")
     stored = keyed.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("body"))
     joined = matched.join(stored.dropDuplicates(["response_id"]), "response_id", "left")
     own, old = F.col("headers"), F.col("stored")
@@ -120,9 +135,9 @@ WITH bare AS (
     regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
   FROM pages),
 parts AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^www\.', ''), ':(80|443)$', '') AS host,
     regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS query
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|fbclid|gclid)(=|$)'))) AS query
   FROM bare),
 p AS (SELECT *, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical FROM parts),
 matched AS (
