@@ -268,6 +268,11 @@ def test_token_files_round_trip(spark):
     assert [bytes(r.ids) for r in got] == [b + end for b in mine] and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     some = tokenfile.read_token_files(spark, path, [5, 1, 77]).orderBy("doc_id").collect()
     assert [(r.doc_id, bytes(r.ids)) for r in some] == [(i, mine[i] + end) for i in (1, 5)]
+    odd, repeated = [(None, "b"), (None, None), (7, "a"), (7, "a"), (7, "b"), (-3, "c")], common.new_path(spark, "part-00009-tokens")
+    tokenfile.write_token_files(spark.createDataFrame(odd, "doc_id long, text string"), repeated, file_chars=2)
+    rows = tokenfile.read_token_files(spark, repeated).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, -3, 7, 7, 7] and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(6)]
+    assert sorted(bytes(r.ids) for r in rows) == sorted(b + end for b in tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False).encode([t or "" for _, t in odd]))
     empty = common.new_path(spark, "tokens")
     tokenfile.write_token_files(docs_of(spark, []), empty)
     assert tokenfile.read_token_files(spark, empty).count() == 0
@@ -385,7 +390,9 @@ def test_toxicity_lexicon_context_and_odd_texts(spark):
         best = min(distance(word, t) for t in trie.terms if distance(word, t) <= toxicity.edits_allowed(t)) if any(distance(word, t) <= toxicity.edits_allowed(t) for t in trie.terms) else None
         assert trie.nearest(word) == best, word
     scorer = toxicity.Scorer(["idiot"], [])
-    assert scorer.features('you idiot')[0] > 0 and scorer.features('they said "idiot" once')[2] > 0 and scorer.features("an idi0t here")[1] > 0
+    assert scorer.features('you idiot')[0] > 0 and scorer.features('they said "idiot" once')[3] > 0 and scorer.features("an idi0t here")[2] > 0 and scorer.features("he said idiot")[0] > 0
+    assert toxicity.Scorer(["idiot"], [], ["idiot"]).features("idiot idi0t") == [0, np.log1p(2), 0, 0]
+    assert toxicity.Scorer(["a" * 90], []).features("a" * 88 + " " + "a" * 90)[:3] == [np.log1p(1), 0, np.log1p(1)]
     texts = [f"{prose(20)} {'idiot' if i % 4 == 0 else 'fine'} {prose(20)}" for i in range(240)] + [None, "", prose(10) + " idiiot"]
     docs = docs_of(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)] + [(None, 1), (5, None)], "doc_id long, toxic int")
@@ -440,8 +447,8 @@ def test_revisits_take_the_latest_earlier_response(spark):
     full = lambda i, at, tag, url="http://www.A.com/x/": (i, url, at, "response", 200, {"etag": tag, "content-type": "text/html", "date": "old"}, f"b{i}")
     again = lambda i, at, headers, url="https://a.com:443/x?utm_source=q#f": (i, url, at, "revisit", 304, headers, None)
     rows = [full(1, 10, "t1"), full(2, 20, "t2"), full(3, 20, "t3"), full(9, 5000, "t9"), again(4, 15, {"etag": "W/t1", "date": "new", "content-type": "no"}), again(5, 20, {"etag": "t1"}), again(6, 4000, {"etag": "t2"}), again(7, 5, {}), again(8, 4000, None), again(10, 50, {}, None), again(11, 6000, {"etag": "t9"})]
-    for slices in (1, 64):
-        got = {r.record_id: (r.verdict, r.response_id) for r in warc.resolve_revisits(spark.createDataFrame(rows, schema).withColumn("canonical", F.lit(1)), slices).collect()}
+    for slice_rows in (1, 3, 100):
+        got = {r.record_id: (r.verdict, r.response_id) for r in warc.resolve_revisits(spark.createDataFrame(rows, schema).withColumn("canonical", F.lit(1)), slice_rows).collect()}
         assert got == {4: ("resolved", 1), 5: ("resolved", 1), 6: ("validator_mismatch", None), 7: ("unresolved", None), 8: ("unverified", 3), 10: ("unresolved", None), 11: ("resolved", 9)}
     r = warc.resolve_revisits(spark.createDataFrame(rows, schema)).where("record_id = 4").first()
     assert r.headers == {"etag": "W/t1", "content-type": "text/html", "date": "new"} and r.body == "b1" and r.status == 200
