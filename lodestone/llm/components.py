@@ -13,10 +13,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: Parts that the neighbours of every node are dealt to, so that a hub's neighbours meet in no single task.
+SALTS = 8
+
+
+def _with_least(near: DataFrame, least: DataFrame) -> DataFrame:
+    """near (u, v) with m of least (u, m): the few columns of least are repeated for each salt."""
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["u", "salt"])
+
+
 def _star(edges: DataFrame, near: DataFrame, keep: Column) -> DataFrame:
     """Points each neighbour v of u that `keep` allows to the least of u and its neighbours."""
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _with_least(near, least).where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, most_steps: int = 64) -> DataFrame:
@@ -24,8 +34,8 @@ def components(edges: DataFrame, most_steps: int = 64) -> DataFrame:
 
     large-star: each larger neighbour of u is linked to u's least neighbour; small-star: each smaller neighbour of u, and u,
     is linked to the least of them. Both keep the components, and repeating them leaves stars around the least nodes. The
-    least neighbours come from a grouped minimum, combined in each task first; a node with very many neighbours is then only
-    one side of a join that adaptive execution may split. Edges with a null end and loops link nothing and are left out.
+    least neighbours come from a grouped minimum, combined in each task first, and meet the neighbours in a salted join, so a
+    node with very many neighbours is spread. Edges with a null end and loops link nothing and are left out.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     edges = write_shared(edges, "edges")
@@ -38,7 +48,7 @@ def components(edges: DataFrame, most_steps: int = 64) -> DataFrame:
         # large is (v, m) with v > m: every u has its smaller neighbours in it
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = _with_least(down, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         edges = write_shared(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         after = _state(edges)
         if after == before:

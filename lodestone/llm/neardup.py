@@ -1,24 +1,27 @@
 """MinHash near-duplicates: exact links, found by banding.
 
 1. Each text gets the set of its distinct shingles of `shingle` words, as 64-bit hashes, and a signature: the minima of
-   `bands * rows` universal hash functions a * x + b over the set.
+   `bands * rows` functions of a strongly universal family, the high half of a * x + b modulo 2^64, over the set.
 2. Texts with equal sets collapse into one representative, so a group of exact copies costs one row from here on.
 3. Signatures are cut into bands; representatives that agree on a band share a bucket. With the default 48 bands of 5
    minima, a pair at the threshold of 0.8 misses every bucket with a chance below 1e-8.
 4. Not all pairs of a bucket are made. First every member meets one hub, the least of its buckets' least members: the pair is
    checked on signatures and confirmed on the full sets, and components are taken. Most buckets then lie within one
-   component and are done. The rest are joined to clusters of documents that share buckets, and in each cluster everything
-   outside its largest component is compared with everything in it, exactly and on full sets, in blocks of `BLOCK` by `BLOCK`
-   documents: a block pair counts common shingles through a sorted index, and returns only links that join components. So
-   no link between different components is lost, and rows grow with documents times blocks, not with pairs.
+   component and are done. In each of the rest, once for buckets of the same members, everything outside the bucket's largest
+   component is compared with everything in it, in blocks of `BLOCK` by `BLOCK` documents: pairs of one component are passed
+   over, the others are verified on signatures and then on full sets, and a block returns only links that join components.
+   Where buckets overlap so much that it takes less, the documents that buckets join are compared as one such group instead.
+   No link between different components is lost; those within a component are not all listed.
 5. Components come from alternating large-star and small-star.
 
-Counts by bucket and set are grouped sums, combined in each task; joins on hot buckets and hubs may be split by adaptive
-execution. The sets of the candidates alone are kept, found by a fixed-size bitmap that only ever lets too much through.
+Counts by bucket and set are grouped sums, combined in each task; joins on hot buckets may be split by adaptive execution,
+and those on hubs are salted. The sets of the candidates alone are kept, found by a fixed-size bitmap that only ever lets too
+much through.
 
 Defined results: a text without words, or null, has no shingles and is linked with nothing; rows that share a doc_id count
 as one document, and what they link joins; a null doc_id is linked with nothing, has a null component and is kept;
-repeated rows each get their row; extra columns are ignored; an empty table gives no rows.
+repeated rows each get their row; very long texts are taken whole; extra columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, kept, table, texts_of, write_shared
+from .common import bounded_batches, kept, of, table, texts_of, write_shared
 from .components import components
 
 SHINGLE, BANDS, ROWS, SEED = 2, 48, 5, 20_177
@@ -82,17 +85,18 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
-    return draw.integers(0, 1 << 31, n, np.uint32)[:, None] * np.uint32(2) + np.uint32(1), draw.integers(0, 1 << 32, n, np.uint32)[:, None]
+    a, b = draw.integers(0, 1 << 64, (2, n, 1), np.uint64)
+    return a, b
 
 
 def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """The low 16 bits of each function's minimum over the set."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    """16 bits of each function's minimum over the set."""
+    x = shingles >> np.uint64(32)
     a, b = functions
-    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        np.minimum(least, (a * x[None, at : at + 1024] + b).min(axis=1), out=least)
-    return least.astype("<u2").tobytes()
+    least = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(x), 256):
+        np.minimum(least, (a * x[None, at : at + 256] + b).min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype("<u2").tobytes()
 
 
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -181,15 +185,10 @@ def _pair(x: Column, y: Column) -> list[Column]:
 def _joining_links(table: pa.Table, percent: int) -> pa.Table:
     """(a, b): links between the group's sides `asking` and not, as many as join components of either side and no more."""
     asking = np.array(table["asking"].to_pylist(), bool)
-    nodes, comps = np.array(table["node"].to_pylist(), np.int64), table["c"].to_pylist()
+    nodes, comps = np.array(table["node"].to_pylist(), np.int64), np.array(table["c"].to_pylist(), np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
-    mine = np.nonzero(asking)[0]
-    owner = np.repeat(np.arange(len(mine)), [len(sets[i]) for i in mine])
-    held = np.concatenate([sets[i] for i in mine]) if len(mine) else np.zeros(0, np.uint64)
-    order = np.argsort(held, kind="stable")
-    held, owner = held[order], owner[order]
-    sizes = np.array([len(sets[i]) for i in mine], np.int64)
-    parent: dict[int, int] = {}
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(nodes), -1)
+    mine, parent = np.nonzero(asking)[0], {}
 
     def root(c: int) -> int:
         while parent.get(c, c) != c:
@@ -198,35 +197,49 @@ def _joining_links(table: pa.Table, percent: int) -> pa.Table:
 
     out_a, out_b = [], []
     for j in np.nonzero(~asking)[0]:
-        other = sets[j]
-        first, last = np.searchsorted(held, other, "left"), np.searchsorted(held, other, "right")
-        n = last - first
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(mine))
-        for i in np.nonzero(100 * common >= percent * (sizes + len(other) - common))[0]:
-            x, y = root(comps[mine[i]]), root(comps[j])
+        apart = mine[comps[mine] != comps[j]]
+        near = apart[(sigs[apart] == sigs[j]).mean(axis=1) >= percent / 100 - SLACK] if len(apart) else apart
+        for i in near:
+            x, y = root(int(comps[i])), root(int(comps[j]))
             if x != y:
-                parent[max(x, y)] = min(x, y)
-                out_a.append(int(nodes[mine[i]]))
-                out_b.append(int(nodes[j]))
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    parent[max(x, y)] = min(x, y)
+                    out_a.append(int(nodes[i]))
+                    out_b.append(int(nodes[j]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _links_within_clusters(open_: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_within_buckets(open_: DataFrame, found: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Links between components, for buckets (bucket, node) that span several of found (node, component)."""
-    hubs = open_.groupBy("bucket").agg(F.min("node").alias("hub"))
-    clusters = components(open_.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
-    placed = write_shared(clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c")), "clusters")
-    parts = placed.groupBy("cluster", "c").agg(F.count("*").alias("n"))
-    plan = parts.groupBy("cluster").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    # buckets of the same members are one
+    told = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    one = told.groupBy("n", "hub", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
+    distinct = open_.join(one, "bucket")
+    clusters = components(distinct.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    comps = clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c"))
+    placed = write_shared(distinct.select("bucket", "node").join(comps, "node"), "placed")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    plan = plan.select("cluster", "largest", blocks(F.col("all") - F.col("most")).alias("askers"), blocks(F.col("all")).alias("others"))
-    rows = placed.join(plan, "cluster").join(sets, "node")
+
+    def plan(rows: DataFrame, *key: str) -> DataFrame:
+        parts = rows.groupBy(*key, "c").agg(F.count("*").alias("n"))
+        whole = parts.groupBy(*key).agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        return whole.where(F.col("all") > F.col("most")).select(*key, "largest", blocks(F.col("all") - F.col("most")).alias("askers"), blocks(F.col("all")).alias("others"), ((F.col("all") - F.col("most")) * F.col("all")).alias("work"))
+
+    by_bucket = plan(placed, "cluster", "bucket")
+    members = placed.select("cluster", "node", "c").distinct()
+    by_cluster = plan(members, "cluster")
+    # per cluster, whichever takes fewer comparisons
+    whole = by_bucket.groupBy("cluster").agg(F.sum("work").alias("apart")).join(by_cluster, "cluster").where(F.col("work") <= F.col("apart")).drop("apart", "work")
+    single = by_bucket.join(whole.select("cluster"), "cluster", "left_anti").drop("work")
+    rows = members.join(whole, "cluster").withColumn("bucket", F.lit(None).cast("long")).unionByName(placed.join(single, ["cluster", "bucket"]))
+    rows = rows.join(sets, "node").join(sigs, "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    asking = rows.where("c <> largest").select("cluster", "node", "c", "set", own(F.col("askers")).alias("i"), spread(F.col("others")).alias("j"), F.lit(True).alias("asking"))
-    other = rows.select("cluster", "node", "c", "set", spread(F.col("askers")).alias("i"), own(F.col("others")).alias("j"), F.lit(False).alias("asking"))
-    groups = asking.unionByName(other).groupBy("cluster", "i", "j")
+    known = ["cluster", "bucket", "node", "c", "set", "sig"]
+    asking = rows.where("c <> largest").select(*known, own(F.col("askers")).alias("i"), spread(F.col("others")).alias("j"), F.lit(True).alias("asking"))
+    other = rows.select(*known, spread(F.col("askers")).alias("i"), own(F.col("others")).alias("j"), F.lit(False).alias("asking"))
+    groups = asking.unionByName(other).groupBy("cluster", "bucket", "i", "j")
     return groups.applyInArrow(lambda t: _joining_links(t, percent), "a long, b long")
 
 
@@ -251,7 +264,7 @@ def find_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     apart = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
     open_ = write_shared(placed.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
     if not open_.isEmpty():
-        more = write_shared(_links_within_clusters(open_, found, sets, percent), "links")
+        more = write_shared(_links_within_buckets(open_, found, sets, sigs, percent), "links")
         found = components(links.select("a", "b").unionByName(more))
     least = classes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     joined = told.join(least, ["k1", "k2"], "left")
@@ -291,8 +304,8 @@ FROM sized d LEFT JOIN classes c ON d.k = c.k AND d.n > 0 LEFT JOIN least l ON l
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keeps the least document of each group of near-duplicates, and every document without words.
 
-    Word shingles here take five words, as near-duplicate stages do; repeated rows of one doc_id are one document and stay."""
+    Word shingles here take five words, as near-duplicate stages do; repeated rows of one doc_id are one document and stay, as
+    do rows without a doc_id. All columns keep their values, whatever their names; an empty table stays empty."""
     found = find_components(docs, shingle=5)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(gone, "doc_id", "left_anti").select(*map(of, docs.columns))

@@ -64,6 +64,21 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_near_duplicates_among_boilerplate(spark, monkeypatch):
+    """Documents that share half of their text crowd the buckets; their groups must come out whole all the same."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    shared, texts = prose(40), []
+    for _ in range(60):
+        own = prose(30).split()
+        for _ in range(random.choice([1, 1, 2, 4])):
+            copy = list(own)
+            copy[random.randrange(30)] = random.choice(VOCABULARY)
+            texts.append(f"{shared} {' '.join(copy)}")
+    _, comp = brute_components(texts, 2)
+    got = {r.doc_id: r.component_id for r in neardup.find_components(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == comp and len(set(comp)) > 20
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("x"), "sig": F.lit(1)})
@@ -76,7 +91,8 @@ def test_blocks_join_components_exactly():
     import pyarrow as pa
 
     sets = [np.arange(i, i + 20, dtype=np.uint64) for i in range(0, 12, 2)]
-    table = pa.table({"node": list(range(6)) * 2, "c": list(range(6)) * 2, "set": [s.tobytes() for s in sets] * 2, "asking": [True] * 6 + [False] * 6})
+    functions = neardup._functions(240)
+    table = pa.table({"node": list(range(6)) * 2, "c": list(range(6)) * 2, "set": [s.tobytes() for s in sets] * 2, "sig": [neardup.signature(s << np.uint64(40), functions) for s in sets] * 2, "asking": [True] * 6 + [False] * 6})
     out = neardup._joining_links(table, 80)
     assert {tuple(sorted(x)) for x in zip(out["a"].to_pylist(), out["b"].to_pylist())} == {(i, i + 1) for i in range(5)}
 
