@@ -23,7 +23,7 @@ def _with_least(near: DataFrame, least: DataFrame) -> DataFrame:
     return salted.join(least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["u", "salt"])
 
 
-def _star(edges: DataFrame, near: DataFrame, keep: Column) -> DataFrame:
+def _star(near: DataFrame, keep: Column) -> DataFrame:
     """Points each neighbour v of u that `keep` allows to the least of u and its neighbours."""
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return _with_least(near, least).where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -44,7 +44,7 @@ def components(edges: DataFrame, most_steps: int = 64) -> DataFrame:
         if not before[0]:
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(edges, both, F.col("v") > F.col("u")).distinct()
+        large = _star(both, F.col("v") > F.col("u"))
         # large is (v, m) with v > m: every u has its smaller neighbours in it
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))

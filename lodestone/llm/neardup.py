@@ -10,7 +10,6 @@
    component and are done. In each of the rest, once for buckets of the same members, everything outside the bucket's largest
    component is compared with everything in it, in blocks of `BLOCK` by `BLOCK` documents: pairs of one component are passed
    over, the others are verified on signatures and then on full sets, and a block returns only links that join components.
-   Where buckets overlap so much that it takes less, the documents that buckets join are compared as one such group instead.
    No link between different components is lost; those within a component are not all listed.
 5. Components come from alternating large-star and small-star.
 
@@ -213,33 +212,21 @@ def _joining_links(table: pa.Table, percent: int) -> pa.Table:
 def _links_within_buckets(open_: DataFrame, found: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Links between components, for buckets (bucket, node) that span several of found (node, component)."""
     # buckets of the same members are one
-    told = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
-    one = told.groupBy("n", "hub", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
-    distinct = open_.join(one, "bucket")
-    clusters = components(distinct.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
-    comps = clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c"))
-    placed = write_shared(distinct.select("bucket", "node").join(comps, "node"), "placed")
+    told = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    one = told.groupBy("n", "low", "all").agg(F.min("bucket").alias("bucket"))
+    placed = open_.join(one.select("bucket"), "bucket").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    placed = write_shared(placed, "placed")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-
-    def plan(rows: DataFrame, *key: str) -> DataFrame:
-        parts = rows.groupBy(*key, "c").agg(F.count("*").alias("n"))
-        whole = parts.groupBy(*key).agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
-        return whole.where(F.col("all") > F.col("most")).select(*key, "largest", blocks(F.col("all") - F.col("most")).alias("askers"), blocks(F.col("all")).alias("others"), ((F.col("all") - F.col("most")) * F.col("all")).alias("work"))
-
-    by_bucket = plan(placed, "cluster", "bucket")
-    members = placed.select("cluster", "node", "c").distinct()
-    by_cluster = plan(members, "cluster")
-    # per cluster, whichever takes fewer comparisons
-    whole = by_bucket.groupBy("cluster").agg(F.sum("work").alias("apart")).join(by_cluster, "cluster").where(F.col("work") <= F.col("apart")).drop("apart", "work")
-    single = by_bucket.join(whole.select("cluster"), "cluster", "left_anti").drop("work")
-    rows = members.join(whole, "cluster").withColumn("bucket", F.lit(None).cast("long")).unionByName(placed.join(single, ["cluster", "bucket"]))
-    rows = rows.join(sets, "node").join(sigs, "node")
+    parts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    plan = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    plan = plan.select("bucket", "largest", blocks(F.col("all") - F.col("most")).alias("askers"), blocks(F.col("all")).alias("others"))
+    rows = placed.join(plan, "bucket").join(sets, "node").join(sigs, "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    known = ["cluster", "bucket", "node", "c", "set", "sig"]
+    known = ["bucket", "node", "c", "set", "sig"]
     asking = rows.where("c <> largest").select(*known, own(F.col("askers")).alias("i"), spread(F.col("others")).alias("j"), F.lit(True).alias("asking"))
     other = rows.select(*known, spread(F.col("askers")).alias("i"), own(F.col("others")).alias("j"), F.lit(False).alias("asking"))
-    groups = asking.unionByName(other).groupBy("cluster", "bucket", "i", "j")
+    groups = asking.unionByName(other).groupBy("bucket", "i", "j")
     return groups.applyInArrow(lambda t: _joining_links(t, percent), "a long, b long")
 
 
