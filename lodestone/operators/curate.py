@@ -44,6 +44,17 @@ def assign_facts(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.where("action = 'assign'").select("seq", "fact_id", "assignee", F.col("at").alias("assigned_at"), F.col("_until").alias("released_at"), status.alias("status")), rejects
 
 
+def close_assignments(assignments: DataFrame, decided: DataFrame) -> DataFrame:
+    """assignments (as from assign_facts) after decisions (fact_id, at) on their facts, reviews that change a status or
+    replacements: an active one is completed by the first decision that is not before it."""
+    when = decided.select("fact_id", F.col("at").alias("_at"))
+    active = assignments.where("status = 'active'").join(when, "fact_id").where(F.col("_at") >= F.col("assigned_at"))
+    first = active.groupBy("seq").agg(F.min("_at").alias("_closed"))
+    out = assignments.join(first, "seq", "left")
+    done = F.col("_closed").isNotNull()
+    return out.withColumns({"status": F.when(done, "completed").otherwise(F.col("status")), "released_at": F.coalesce("_closed", "released_at")}).select(*assignments.columns)
+
+
 DISPUTE = "dispute_id long, fact_id long, severity string, status string, assignee string, due_at timestamp, escalated_at timestamp, resolved_by string, resolved_at timestamp, resolution string, fact_status string, n_comments long, rejected array<long>"
 
 

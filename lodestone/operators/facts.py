@@ -47,17 +47,23 @@ def search_facts(facts: DataFrame, wanted: DataFrame, filters: DataFrame, core_t
     return marked.withColumn("_nth", nth).where(F.col("_nth") <= max(20, 3 * k)).drop("_nth")
 
 
-def contradictions(facts: DataFrame) -> DataFrame:
-    """Groups of facts (subject, property, unit) whose ranges exclude each other, or merely differ.
-
-    As the source system has it, comparators and unit conversion do not count here, a missing lower end is 0, and facts with
-    only an upper end are left out. Groups are sums and extremes, combined before the shuffle."""
-    low, high = F.coalesce("min_value", "value"), F.coalesce("max_value", "value")
-    ranged = facts.withColumns({"_lo": F.coalesce(low, F.lit(0.0)), "_hi": F.coalesce(high, low)}).where(F.coalesce("value", "min_value").isNotNull())
+def contradictions(facts: DataFrame, first: int | None = None) -> DataFrame:
+    """Groups of facts (subject, property, unit) whose ranges exclude each other, or merely differ; with `first`, only so many of
+    them, in order of subject, property and unit.
+
+    As the source system has it, comparators and unit conversion do not count here; a fact needs a property; its value comes
+    before its range, an upper end that is missing or 0 is the lower one, and facts with only an upper end are left out. Groups
+    are sums and extremes, combined before the shuffle."""
+    low = F.coalesce("value", "min_value")
+    high = F.when(F.col("value").isNotNull(), F.col("value")).when(F.coalesce("max_value", F.lit(0.0)) != 0, F.col("max_value")).otherwise(F.col("min_value"))
+    ranged = facts.where((F.col("property") != "") & low.isNotNull()).withColumns({"_lo": low, "_hi": high})
     ends = F.struct(F.round("_lo", 6), F.round("_hi", 6))
-    groups = ranged.groupBy("subject", "property", "unit").agg(F.count("*").alias("n_facts"), F.max("_lo").alias("max_lo"), F.min("_hi").alias("min_hi"), F.min(ends).alias("_first"), F.max(ends).alias("_last"))
+    groups = ranged.groupBy("subject", "property", "unit").agg(
+        F.count("*").alias("n_facts"), F.max("_lo").alias("max_lo"), F.min("_hi").alias("min_hi"), F.min(ends).alias("_first"), F.max(ends).alias("_last")
+    )
     kind = F.when(F.col("max_lo") > F.col("min_hi"), "contradiction").when(F.col("_first") != F.col("_last"), "range_divergence")
-    return groups.where("n_facts >= 2").withColumn("kind", kind).where("kind IS NOT NULL").drop("_first", "_last")
+    found = groups.where("n_facts >= 2").withColumn("kind", kind).where("kind IS NOT NULL").drop("_first", "_last")
+    return found if first is None else found.orderBy("subject", "property", "unit").limit(first)
 
 
 def gaps(queries: DataFrame, documents: DataFrame, experiments: DataFrame, matches: DataFrame, filters: DataFrame, rules: DataFrame) -> DataFrame:
@@ -113,18 +119,29 @@ def evidence_pack(found: DataFrame, facts: DataFrame, most: int = 30) -> DataFra
     return s.join(f, "query_id", "full")
 
 
+#: What each thing adds to or takes from an answer's confidence, and the most that it may.
+BONUS, BONUS_MOST = 0.02, 0.12
+PENALTIES = {"gaps": (0.08, 0.25), "contradictions": (0.05, 0.15), "suspicious": (0.015, 0.12)}
+
+
 def confidence(scores: DataFrame, coverage: DataFrame, penalties: DataFrame) -> DataFrame:
-    """(query_id, confidence): the mean of scores (query_id, score), up to 0.12 more for coverage (n_sources), less up to 0.25 for
-    gaps, 0.15 for contradictions and 0.12 for suspicious facts (query_id, gaps, contradictions, suspicious); 0.2 without scores."""
+    """(query_id, confidence): the mean of scores (query_id, score: of sources, facts and experiments), more for coverage (query_id,
+    n_sources, n_experiments), less for gaps, contradictions and facts that are not valid (penalties: query_id, gaps,
+    contradictions, suspicious), each up to its bound; 0.2 without scores."""
     mean = scores.groupBy("query_id").agg(F.avg("score").alias("mean"))
     rows = penalties.join(mean, "query_id", "left").join(coverage, "query_id", "left")
-    value = F.col("mean") + F.least(F.lit(0.12), 0.02 * F.coalesce("n_sources", F.lit(0))) - F.least(F.lit(0.25), 0.08 * F.col("gaps")) - F.least(F.lit(0.15), 0.05 * F.col("contradictions")) - F.least(F.lit(0.12), 0.03 * F.col("suspicious"))
-    return rows.select("query_id", F.when(F.col("mean").isNull(), 0.2).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 2)).alias("confidence"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    value = F.col("mean") + F.least(F.lit(BONUS_MOST), BONUS * (count("n_sources") + count("n_experiments")))
+    for name, (each, most) in PENALTIES.items():
+        value = value - F.least(F.lit(most), each * count(name))
+    bounded = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 2)
+    return rows.select("query_id", F.when(F.col("mean").isNull(), 0.2).otherwise(bounded).alias("confidence"))
 
 
-def answer_mode(n_gaps: Column, query: Column, intent: Column, n_experiments: Column) -> Column:
+def answer_mode(n_gaps: Column, query: Column, intent: Column) -> Column:
+    """gap_analysis where there are gaps or the query asks for them; else by the query's intent."""
     gap = (n_gaps > 0) | F.lower(query).rlike("пробел|gap")
-    return F.when(gap, "gap_analysis").when(intent == "comparison", "comparison").when(n_experiments > 0, "protocol").otherwise("review")
+    return F.when(gap, "gap_analysis").when(intent == "comparison", "comparison").when(intent == "experiments", "protocol").otherwise("review")
 
 
 def report(sections: DataFrame) -> DataFrame:
@@ -134,19 +151,27 @@ def report(sections: DataFrame) -> DataFrame:
     return ordered.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("markdown"))
 
 
+#: The words by which a query tells its intent, from the strongest on, and the forms of a span of years.
+INTENT_WORDS = (("experts", "эксперт|команд|лаборатор"), ("experiments", "эксперимент|опыт|протокол"), ("comparison", "сравн| vs | versus |против"))
+LAST_YEARS = r"последн(?:ие|их|ий)\s+(\d+)\s+лет"
+YEAR_PAIR = r"(?:с|от)\s*(20\d{2})\s*(?:по|до|-)\s*(20\d{2})"
+ONE_YEAR = r"(?<!\d)(20\d{2})(?!\d)"
+
+
 def query_intent(query: Column) -> Column:
     """comparison, experiments or experts by the query's words, the last of these that applies; else review."""
-    low = F.translate(F.lower(query), "ё", "е")
-    return F.when(low.rlike("эксперт|команд|лаборатор"), "experts").when(low.rlike("эксперимент|опыт|протокол"), "experiments").when(low.rlike("сравн| vs | versus |против"), "comparison").otherwise("review")
+    low, found = F.translate(F.lower(query), "ё", "е"), F
+    for intent, words in INTENT_WORDS:
+        found = found.when(low.rlike(words), intent)
+    return found.otherwise("review")
 
 
 def query_years(query: Column, as_of_year: int) -> Column:
     """struct(year_from, year_to): "last N years", "from Y to Y", or the least and largest year named."""
     low = F.translate(F.lower(query), "ё", "е")
-    last = F.regexp_extract(low, r"последн(?:ие|их|ий)\s+(\d+)\s+лет", 1)
-    pair = r"(?:с|от)\s*(20\d{2})\s*(?:по|до|-)\s*(20\d{2})"
-    first, second = F.regexp_extract(low, pair, 1), F.regexp_extract(low, pair, 2)
-    named = F.transform(F.regexp_extract_all(low, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
+    last = F.regexp_extract(low, LAST_YEARS, 1)
+    first, second = F.regexp_extract(low, YEAR_PAIR, 1), F.regexp_extract(low, YEAR_PAIR, 2)
+    named = F.transform(F.regexp_extract_all(low, F.lit(ONE_YEAR), F.lit(1)), lambda y: y.cast("int"))
     start = F.when(first != "", first.try_cast("int")).when(last != "", F.lit(as_of_year + 1) - last.try_cast("int")).otherwise(F.array_min(named))
     end = F.when(second != "", second.try_cast("int")).when(last != "", F.lit(as_of_year)).otherwise(F.array_max(named))
     return F.struct(start.cast("int").alias("year_from"), end.cast("int").alias("year_to"))

@@ -11,9 +11,16 @@ EDGE_KEY = ("source_id", "subject_id", "predicate", "object_id", "evidence")
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder that the session names; a temporary one where it names none."""
+    """df cut from its lineage by a checkpoint in the folder that the session names. A local session that names none gets one of
+    its own; on a cluster, whose machines would not see it, that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named:
+            context.setCheckpointDir(named)
+            return df.checkpoint()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")

@@ -7,7 +7,7 @@ A query's fallbacks are anti-joins on query_id, never a branch on the driver.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +124,10 @@ def structured_groups(parsed: DataFrame, terms: DataFrame, most_tokens: int = 5)
     return grouped.select(F.col("query_id.query_id").alias("query_id"), F.concat_ws(":", "query_id.category", "query_id.canonical").alias("group_id"), F.explode(useful).alias("prefix"))
 
 
+#: Fixed value: what a token of the embedding is.
+TOKEN = "[a-zA-Zа-яА-ЯёЁ0-9_]{2,}"
+
+
 def _bucket(token: str, dims: int) -> tuple[int, float]:
     digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
     number = int.from_bytes(digest, "big")
@@ -131,15 +135,16 @@ def _bucket(token: str, dims: int) -> tuple[int, float]:
 
 
 def embed(docs: DataFrame, text: str = "text", key: str = "document_id", dims: int = DIMS) -> DataFrame:
-    """(key, vector): hashed bag of tokens of two letters and more, with trigrams of longer ones at 0.2, of length 1.
+    """(key, vector): hashed bag of tokens of two letters and more, with trigrams of longer ones at 0.2, of length 1. Trigrams are
+    features of their own, apart from tokens of the same letters.
 
     A token's bucket and sign are worked out once for each distinct feature, in an Arrow UDF, and joined back."""
-    tokens = F.regexp_extract_all(F.lower(F.translate(text, "ёЁ", "еЕ")), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.translate(text, "ёЁ", "еЕ")), F.lit(TOKEN), F.lit(0))
     words = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     grams = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3)))
     features = F.concat(
         F.array(F.struct(F.col("token").alias("feature"), F.lit(1.0).alias("weight"))),
-        F.when(F.length("token") > 5, F.transform(grams, lambda g: F.struct(g.alias("feature"), F.lit(0.2).alias("weight")))).otherwise(F.array().cast("array<struct<feature:string,weight:double>>")),
+        F.when(F.length("token") > 5, F.transform(grams, lambda g: F.struct(F.concat(F.lit("ng:"), g).alias("feature"), F.lit(0.2).alias("weight")))).otherwise(F.array().cast("array<struct<feature:string,weight:double>>")),
     )
     weighed = words.select(key, "n", F.explode(features).alias("f")).groupBy(key, "f.feature").agg(F.sum(F.col("n") * F.col("f.weight")).alias("w"))
 
@@ -215,11 +220,12 @@ def metadata_filter() -> Column:
     return years & (F.col("q_geography").isNull() | (F.size("q_geography") == 0) | listed("geography") | listed("additional_geography"))
 
 
-def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: DataFrame, lengths: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, access: Column, k: int = 8, source_entities: DataFrame | None = None, norm: str = "inverse") -> DataFrame:
+def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: DataFrame, lengths: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame] | None, query_vectors: DataFrame | None, access: Column, k: int = 8, source_entities: DataFrame | None = None, norm: str = "inverse") -> DataFrame:
     """The flagship: for queries (query_id, tokens, wanted, and optionally year_from, year_to and geography), the k best sources each.
 
     Access and metadata filters come before every limit. Candidates come from BM25 on prefixes; a query without any falls back
-    to substrings and then to the most reliable chunks; candidates alone meet vectors and entities."""
+    to substrings and then to the most reliable chunks; candidates alone meet vectors and entities. vectors: a stored table
+    (document_id, vector), or a function that makes one of chunks, which then gets the candidates alone."""
     have = queries.columns
     asked = queries.withColumns({c: F.lit(None).cast("int") for c in ("year_from", "year_to") if c not in have})
     asked = asked.withColumn("q_geography", F.col("geography") if "geography" in have else F.lit(None).cast("array<string>"))
@@ -230,9 +236,19 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to", "q_geography"), "query_id").join(told, "document_id").where(metadata_filter()).select(*rows.columns, "year", "reliability_score")
     ranked = top_k(limited(bm25(index, lengths, wanted)), min(160, max(40, 10 * k)), F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id")
     missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-    loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id")
-    found = with_fallback(asked, ranked, loose).select("query_id", "document_id", "rank", "method")
+    surest = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"]
+    loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, *surest)
+    # a query that even substrings leave without a candidate takes the most reliable chunks that it may see; all such queries
+    # of the same years and places share one choice
+    asks = ["year_from", "year_to", "q_geography"]
+    kinds = missed.join(loose.select("query_id").distinct(), "query_id", "left_anti").select("query_id", *asks).withColumn("kind", F.xxhash64(*asks))
+    each = kinds.select("kind", *asks).dropDuplicates(["kind"])
+    any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), 2 * k, *surest)
+    last = any_.withColumnRenamed("query_id", "kind").join(kinds.select("query_id", "kind"), "kind").select(*loose.columns)
+    found = with_fallback(asked, ranked, loose, last).select("query_id", "document_id", "rank", "method")
     rows = found.join(asked.select("query_id", "tokens", "wanted"), "query_id").join(allowed, "document_id")
+    if callable(vectors):
+        vectors = vectors(rows.select("document_id", "text").dropDuplicates(["document_id"]))
     if vectors is not None and query_vectors is not None:
         rows = rows.join(vectors.select("document_id", F.col("vector").alias("_v")), "document_id", "left").join(query_vectors.select("query_id", F.col("vector").alias("_q")), "query_id", "left").withColumn("vector_score", dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
     else:

@@ -135,10 +135,13 @@ def c20_evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 OR o_orderpriority LIKE '%LOW%' AND false THEN 'gap_analysis' WHEN o_orderstatus = 'F' THEN 'comparison' WHEN o_custkey % 3 = 0 THEN 'protocol' ELSE 'review' END AS mode FROM orders""")
+SELECT o_orderkey, CASE WHEN o_custkey % 4 > 1 OR o_orderkey % 5 = 0 THEN 'gap_analysis' WHEN o_orderstatus = 'F' THEN 'comparison' WHEN o_orderstatus = 'O' AND o_custkey % 3 = 0 THEN 'protocol' ELSE 'review' END AS mode FROM orders""")
 def c22_answer_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = facts.answer_mode(F.when(F.col("o_custkey") % 4 == 0, 1).otherwise(0), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "F", "comparison").otherwise("review"), F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0))
-    return table(spark, sf_dir, "orders").select("o_orderkey", mode.alias("mode"))
+    """Orders as questions: with gaps, with the word in them, and of each intent."""
+    said = F.when(F.col("o_orderkey") % 10 == 0, "A GAP here").when(F.col("o_orderkey") % 5 == 0, "где Пробелы").otherwise("other")
+    intent = F.when(F.col("o_orderstatus") == "F", "comparison").when(F.col("o_orderstatus") == "P", "experts").when(F.col("o_custkey") % 3 == 0, "experiments").otherwise("review")
+    gaps = F.greatest(F.lit(0), F.col("o_custkey") % 4 - 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", facts.answer_mode(gaps, said, intent).alias("mode"))
 
 
 @query("""

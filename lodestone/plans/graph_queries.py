@@ -216,6 +216,15 @@ def f2_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.assign_facts(_assign_commands(spark, sf_dir))[0].select("seq", "fact_id", "assignee", "released_at", "status")
 
 
+@query(ASSIGN + """, a AS (SELECT seq, fact_id, moment, until, CASE WHEN next IS NULL THEN 'active' WHEN next = 'complete' THEN 'completed' ELSE 'released' END AS status FROM w WHERE action = 'assign'),
+d AS (SELECT a.seq, min(e.ts) AS closed FROM a JOIN events e ON a.fact_id = e.user_id AND e.ts >= a.moment AND e.event_type <> 'view' WHERE status = 'active' GROUP BY 1)
+SELECT a.seq, fact_id, coalesce(closed, until) AS released_at, CASE WHEN closed IS NOT NULL THEN 'completed' ELSE status END AS status FROM a LEFT JOIN d ON a.seq = d.seq""")
+def f1_closed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that change a status complete the active assignment of their fact."""
+    decided = mapping.reviews(spark, sf_dir).where("action <> 'comment'").select("fact_id", "at")
+    return curate.close_assignments(curate.assign_facts(_assign_commands(spark, sf_dir))[0], decided).select("seq", "fact_id", "released_at", "status")
+
+
 @query(ASSIGN + "SELECT seq, fact_id FROM w WHERE action <> 'assign' AND before IS DISTINCT FROM 'assign'")
 def f2_rejected_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.assign_facts(_assign_commands(spark, sf_dir))[1].select("seq", "fact_id")

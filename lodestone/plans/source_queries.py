@@ -64,10 +64,10 @@ def a4a_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.duplicate_groups(rows, ["checksum", "length"]).withColumn("paths", F.array_join("paths", " "))
 
 
-@query("SELECT doc_id, 'doc ' || doc_id AS title, doc_id AS number, md5(trim(text, ' ')) AS body_md5 FROM documents WHERE NOT contains(text, '---')")
+@query("SELECT doc_id, 'doc ' || doc_id AS title, doc_id AS number, md5(trim(coalesce(text, ''), ' ')) AS body_md5 FROM documents")
 def a5_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Front matter put before each text is read back."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("---"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     whole = F.concat(F.lit('---\ntitle: "doc '), F.col("doc_id").cast("string"), F.lit('"\nnumber: '), F.col("doc_id").cast("string"), F.lit("\n--- "), "text")
     meta, body = text.front_matter(whole)
     return docs.select("doc_id", meta.alias("m"), body.alias("b")).select("doc_id", F.col("m")["title"].alias("title"), files.typed_value(F.col("m")["number"])["n"].alias("number"), F.md5("b").alias("body_md5"))

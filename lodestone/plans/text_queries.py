@@ -260,7 +260,9 @@ def b21_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b21_embed_blake2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.embed(mapping.chunks(spark, sf_dir)).select("document_id", F.size("vector").alias("dims"))
+    vectors = retrieve.embed(mapping.chunks(spark, sf_dir))
+    moment = F.aggregate(F.transform("vector", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return vectors.select("document_id", F.size("vector").alias("dims"), F.round(moment, 2).alias("moment"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +271,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chunks, asked = mapping.chunks(spark, sf_dir), spark.createDataFrame([(1, "licensed under the apache license", ["apache"]), (2, "secret token", ["token"]), (3, "que la nicht", ["que"])], "query_id int, text string, wanted array<string>")
     asked = asked.withColumn("tokens", text.search_tokens(F.col("text")))
-    vectors, query_vectors = retrieve.embed_md5(chunks), retrieve.embed_md5(asked, key="query_id")
-    found = retrieve.search(chunks, mapping.sources(spark, sf_dir), asked.select("query_id", "tokens", "wanted"), retrieve.postings(chunks), retrieve.document_lengths(chunks), vectors, query_vectors, may_see(F.col("confidentiality"), "researcher"), k=8)
+    query_vectors = retrieve.embed(asked, key="query_id")
+    found = retrieve.search(chunks, mapping.sources(spark, sf_dir), asked.select("query_id", "tokens", "wanted"), retrieve.postings(chunks), retrieve.document_lengths(chunks), retrieve.embed, query_vectors, may_see(F.col("confidentiality"), "researcher"), k=8)
     return found.select("query_id", "source_id", "document_id", "score", "method")
 
 
@@ -290,18 +292,29 @@ def c15_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_partkey::VARCHAR AS subject, l_returnflag AS property, l_linestatus AS unit, count(*) AS n_facts, max(l_quantity) AS max_lo, min(l_quantity + 20) AS min_hi, min(l_quantity) AS lo FROM lineitem GROUP BY ALL)
-SELECT subject, property, unit, n_facts, max_lo, min_hi, CASE WHEN max_lo > min_hi THEN 'contradiction' ELSE 'range_divergence' END AS kind FROM g WHERE n_facts >= 2 AND (max_lo > min_hi OR max_lo > lo)""")
+WITH f AS (SELECT l_partkey::VARCHAR AS subject, CASE WHEN l_orderkey % 9 > 0 THEN l_returnflag END AS property, l_linestatus AS unit, CASE WHEN l_orderkey % 4 = 0 THEN l_extendedprice END AS value, l_quantity AS low, CASE WHEN l_orderkey % 5 > 1 THEN l_quantity + 20 WHEN l_orderkey % 5 = 1 THEN 0 END AS high FROM lineitem),
+r AS (SELECT subject, property, unit, coalesce(value, low) AS lo, CASE WHEN value IS NOT NULL THEN value WHEN coalesce(high, 0) <> 0 THEN high ELSE low END AS hi FROM f WHERE property IS NOT NULL),
+g AS (SELECT subject, property, unit, count(*) AS n_facts, max(lo) AS max_lo, min(hi) AS min_hi, count(DISTINCT (round(lo, 6), round(hi, 6))) AS ranges FROM r GROUP BY ALL)
+SELECT subject, property, unit, n_facts, max_lo, min_hi, CASE WHEN max_lo > min_hi THEN 'contradiction' ELSE 'range_divergence' END AS kind FROM g WHERE n_facts >= 2 AND (max_lo > min_hi OR ranges > 1)""")
 def c19_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.contradictions(mapping.facts(spark, sf_dir))
+    """Line items as facts: some without a property, with a value, without an upper end, or with 0 as such."""
+    li = table(spark, sf_dir, "lineitem")
+    fifth = F.col("l_orderkey") % 5
+    return facts.contradictions(li.select(
+        F.col("l_partkey").cast("string").alias("subject"), F.when(F.col("l_orderkey") % 9 > 0, F.col("l_returnflag")).alias("property"), F.col("l_linestatus").alias("unit"),
+        F.when(F.col("l_orderkey") % 4 == 0, F.col("l_extendedprice")).alias("value"), F.col("l_quantity").alias("min_value"), F.when(fifth > 1, F.col("l_quantity") + 20).when(fifth == 1, 0.0).alias("max_value"),
+    ))
 
 
 @query("""
-SELECT s_suppkey AS query_id, CASE WHEN n > 0 THEN round(least(1.0, greatest(0.0, mean + least(0.12, 0.02 * n) - least(0.25, 0.08 * (s_suppkey % 3)) - least(0.15, 0.05 * (s_suppkey % 2)))), 2) ELSE 0.2 END AS confidence
-FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_discount) AS mean, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""")
+WITH li AS (SELECT l_suppkey, avg(l_discount * 10) AS mean, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+SELECT s_suppkey AS query_id, CASE WHEN n > 0 THEN round(least(1.0, greatest(0.0, mean + least(0.12, 0.02 * (n % 4 + s_suppkey % 4)) - least(0.25, 0.08 * (s_suppkey % 5)) - least(0.15, 0.05 * (s_suppkey % 6)) - least(0.12, 0.015 * (s_suppkey % 11)))), 2)
+  ELSE 0.2 END AS confidence
+FROM supplier LEFT JOIN li ON l_suppkey = s_suppkey""")
 def c21_answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    scores = li.select(F.col("l_suppkey").alias("query_id"), F.col("l_discount").alias("score"))
-    coverage = li.groupBy(F.col("l_suppkey").alias("query_id")).agg(F.countDistinct("l_partkey").alias("n_sources"))
-    penalties = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 3).alias("gaps"), (F.col("s_suppkey") % 2).alias("contradictions"), F.lit(0).alias("suspicious"))
+    """Suppliers as answers; every count varies with them, below and beyond its bound."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 7 != 0)
+    scores = li.select(F.col("l_suppkey").alias("query_id"), (F.col("l_discount") * 10).alias("score"))
+    coverage = li.groupBy(F.col("l_suppkey").alias("query_id")).agg((F.countDistinct("l_partkey") % 4).alias("n_sources")).withColumn("n_experiments", F.col("query_id") % 4)
+    penalties = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 5).alias("gaps"), (F.col("s_suppkey") % 6).alias("contradictions"), (F.col("s_suppkey") % 11).alias("suspicious"))
     return facts.confidence(scores, coverage, penalties)

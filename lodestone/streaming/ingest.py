@@ -1,10 +1,13 @@
 """Incremental ingest as a stream: new files of a folder are triaged, checked against a manifest and cut into chunks.
 
-The stream's checkpoint replaces a resume list; the manifest is still written, for status and retries.
+The stream's checkpoint replaces a resume list; the manifest is still written, for status and retries. What a batch writes
+lies under its number and replaces what an earlier try of the same batch has left, so a repeated batch doubles nothing.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,34 +15,70 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import front_matter
 from ..operators.chunk import chunk
 from ..operators.evaluate import request_metrics
-from ..sources.files import checksum, plan_load, triage
+from ..operators.graph import shared_table
+from ..sources.files import checksum, expand_archives, office_text, plan_load, suffix, triage
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
-MANIFEST = "path string, checksum string, status string, duplicate_of string"
+MANIFEST = "path string, checksum string, status string, duplicate_of string, error string, batch long"
 LOG = "method string, path string, status int, ms double, at timestamp"
 
 
-def ingest_batch(batch: DataFrame, manifest: DataFrame, out: str) -> None:
-    """Loads one batch of files: appends chunks to out/chunks and their status to out/manifest. A batch that is repeated after a
-    failure finds its files in the manifest."""
-    told = batch.withColumns({"checksum": checksum(F.col("content")), "triage": triage(F.col("path"), F.col("content"))["status"]})
-    planned = plan_load(told.select("path", "checksum", "triage"), manifest)
-    texts = told.join(planned.where("status = 'pending'").select("path"), "path", "left_semi")
+def with_members(files: DataFrame) -> DataFrame:
+    """(path, content, error): files (path, content), and the members of the archives among them as `archive!/member`."""
+    archives = files.where(triage(F.col("path"))["status"] == "supported_archive")
+    members = expand_archives(archives).select(F.concat_ws("!/", "path", "member").alias("path"), "content", "error")
+    # an archive that cannot be opened has one row, under its own name
+    broken = members.where(F.col("error").isNotNull() & ~F.col("path").contains("!/"))
+    inside = members.where(F.col("path").contains("!/"))
+    opened = files.select("path", "content").join(broken.select("path", "error"), "path", "left")
+    return opened.unionByName(inside)
+
+
+def readable(told: DataFrame) -> DataFrame:
+    """(path, text, error) of files (path, content, reason): text files without their front matter, CSV files as lines of cells
+    joined by ' | ', and office files as their parts, each under its locator."""
     _, body = front_matter(F.col("content").cast("string"))
-    chunks = chunk(texts.select("path", F.col("checksum").alias("source_id"), body.alias("text")))
-    chunks.write.mode("append").parquet(f"{out}/chunks")
-    planned.withColumn("status", F.when(F.col("status") == "pending", "indexed").otherwise(F.col("status"))).write.mode("append").parquet(f"{out}/manifest")
+    cells = F.split(F.col("content").cast("string"), r"\r?\n")
+    lines = F.filter(F.transform(cells, lambda row: F.array_join(F.split(row, r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), " | ")), lambda row: F.regexp_replace(row, r"[\s|]", "") != "")
+    table = F.concat(F.lit("[sheet: csv]\n"), F.array_join(lines, "\n"))
+    plain = told.where("reason = 'text'").select("path", F.when(suffix(F.col("path")) == "csv", table).otherwise(body).alias("text"), F.lit(None).cast("string").alias("error"))
+    parts = office_text(told.where("reason = 'office'")).withColumn("part", F.when(F.col("error").isNull(), F.concat_ws("\n", "locator", "text"))).withColumn("at", F.monotonically_increasing_id())
+    office = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), "\n").alias("text"), F.max("error").alias("error"))
+    return plain.unionByName(office)
+
+
+def ingest_batch(batch: DataFrame, manifest: DataFrame, out: str, number: int = 0) -> None:
+    """Loads one batch of files: writes chunks to out/chunks/batch=number and their status to out/manifest/batch=number. Archives
+    are opened and their members loaded like files; what cannot be read, or gives no chunk, is `failed` with its error, and
+    the rest of the batch goes on."""
+    files = with_members(batch)
+    kind = triage(F.col("path"), F.col("content"))
+    state = F.when(F.col("error").isNotNull(), "failed").otherwise(kind["status"])
+    told = shared_table(files.select("path", "content", "error", checksum(F.coalesce("content", F.lit("").cast("binary"))).alias("checksum"), kind["reason"].alias("reason"), state.alias("triage")))
+    earlier = manifest.where(F.col("batch") != number)
+    planned = plan_load(told.where("triage <> 'failed'").select("path", "checksum", "triage"), earlier)
+    pending = planned.where("status = 'pending'").select("path")
+    texts = shared_table(readable(told.join(pending, "path", "left_semi").where("triage = 'supported'")))
+    chunks = chunk(texts.where("error IS NULL").join(planned.select("path", F.col("checksum").alias("source_id")), "path").select("path", "source_id", "text"))
+    chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+    cut = batch.sparkSession.read.schema(chunks.schema).parquet(f"{out}/chunks/batch={number}").select("path").distinct().withColumn("cut", F.lit(True))
+    loaded = planned.join(told.select("path", "triage"), "path").join(texts.select("path", "error"), "path", "left").join(cut, "path", "left")
+    done = F.when(F.col("status") != "pending", F.col("status")).when(F.col("triage") == "supported_archive", "archive_indexed").when(F.col("cut"), "indexed").otherwise("failed")
+    error = F.when(done == "failed", F.coalesce("error", F.lit("no_chunks")))
+    rows = loaded.select("path", "checksum", done.alias("status"), "duplicate_of", error.alias("error"))
+    bad = told.where("triage = 'failed'").select("path", "checksum", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("duplicate_of"), "error")
+    rows.unionByName(bad).write.mode("overwrite").parquet(f"{out}/manifest/batch={number}")
 
 
 def start_ingest(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:
     """Takes all files that are there now and stops; run it again for later ones."""
-    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{out}/manifest")
+    spark.createDataFrame([], MANIFEST).drop("batch").write.mode("overwrite").parquet(f"{out}/manifest/batch=-1")
     files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(root)
 
-    def load(batch: DataFrame, _: int) -> None:
-        ingest_batch(batch, batch.sparkSession.read.schema(MANIFEST).parquet(f"{out}/manifest"), out)
+    def load(out: str, batch: DataFrame, number: int) -> None:
+        ingest_batch(batch, batch.sparkSession.read.schema(MANIFEST).parquet(f"{out}/manifest"), out, number)
 
-    return files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(partial(load, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_request_metrics(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:

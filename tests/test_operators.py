@@ -158,3 +158,47 @@ def test_search_filters_falls_back_and_ranks(spark):
     vectors, asked = retrieve.embed(chunks), retrieve.embed(queries.select("query_id", F.concat_ws(" ", "tokens").alias("text")), key="query_id")
     found = retrieve.search(chunks, sources, queries, retrieve.postings(chunks), retrieve.document_lengths(chunks), vectors, asked, may_see(F.col("confidentiality"), "analyst"))
     assert {(r.query_id, r.source_id, r.method) for r in found.collect()} == {(1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 4, 1)}
+
+
+def test_embedding_equals_brute_force(spark):
+    import hashlib
+    import re
+
+    import pytest
+
+    from lodestone.operators import retrieve
+
+    def brute(text):
+        vector = [0.0] * 96
+        for token in re.findall("[a-zA-Zа-яА-ЯёЁ0-9_]{2,}", text.lower().replace("ё", "е")):
+            features = [(token, 1.0)] + [(f"ng:{token[i : i + 3]}", 0.2) for i in range(len(token) - 2) if len(token) > 5]
+            for feature, weight in features:
+                number = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+                vector[number % 96] += weight if number % 2 == 0 else -weight
+        norm = sum(v * v for v in vector) ** 0.5
+        return [v / norm for v in vector]
+
+    texts = ["electrolyte ele lyte electrolyte", "ёлка и циркуляция католита 2020", "a bc def ghijkl"]
+    rows = retrieve.embed(spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")).collect()
+    for r in rows:
+        assert r.vector == pytest.approx(brute(texts[r.document_id]), abs=1e-6)
+
+
+def test_decisions_close_active_assignments(spark):
+    from lodestone.operators import curate
+
+    assigned = spark.createDataFrame([(1, 7, "a", 10, None, "active"), (2, 8, "b", 10, None, "active"), (3, 9, "c", 10, 20, "released")], "seq int, fact_id int, assignee string, assigned_at int, released_at int, status string")
+    decided = spark.createDataFrame([(7, 12), (7, 30), (8, 5), (9, 30)], "fact_id int, at int")
+    got = {r.seq: (r.status, r.released_at) for r in curate.close_assignments(assigned, decided).collect()}
+    assert got == {1: ("completed", 12), 2: ("active", None), 3: ("released", 20)}
+
+
+def test_search_falls_back_to_the_most_reliable(spark):
+    from lodestone.operators import retrieve
+
+    chunks = spark.createDataFrame([(i, i, f"text number {i}") for i in range(6)], "document_id int, source_id int, text string")
+    sources = spark.createDataFrame([(i, f"s{i}", 2000 + i, (i + 1) / 10) for i in range(6)], "id int, title string, year int, reliability_score double")
+    queries = spark.createDataFrame([(1, ["zzzz"], [], None), (2, ["number"], [], None), (3, ["zzzz"], [], 2002)], "query_id int, tokens array<string>, wanted array<string>, year_to int").withColumn("year_from", F.lit(None).cast("int"))
+    found = retrieve.search(chunks, sources, queries, retrieve.postings(chunks), retrieve.document_lengths(chunks), None, None, F.lit(True), k=2).collect()
+    got = {q: [r.source_id for r in found if r.query_id == q] for q in (1, 2, 3)}
+    assert sorted(got[1]) == [4, 5] and sorted(got[3]) == [1, 2] and len(got[2]) == 2

@@ -67,11 +67,59 @@ def test_stream_resumes(spark, tmp_path):
     ingest.start_ingest(spark, str(root), out, mark).awaitTermination()
     (root / "c.md").write_text("another")
     ingest.start_ingest(spark, str(root), out, mark).awaitTermination()
-    status = {r.path.rsplit("/", 1)[-1]: r.status for r in spark.read.parquet(f"{out}/manifest").collect()}
+    status = {r.path.rsplit("/", 1)[-1]: r.status for r in spark.read.schema(ingest.MANIFEST).parquet(f"{out}/manifest").collect()}
     assert status == {"a.txt": "indexed", "b.txt": "duplicate_skipped", "c.md": "indexed"}
     assert sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect()) == ["another", "first text"]
 
 
+def test_ingest_by_file_kind_and_replay(spark, tmp_path):
+    import io
+    import zipfile
+
+    def office(name, body):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr(name, body)
+        return held.getvalue()
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    word = office("word/document.xml", '<w:document xmlns:w="x"><w:t>Word text</w:t></w:document>')
+    sheet = office("xl/worksheets/sheet1.xml", '<s xmlns="x"><row><c><v>1</v></c><c><v>2</v></c></row></s>')
+    (root / "a.md").write_text("---\nyear: 2020\n---\nmarked text")
+    (root / "b.csv").write_text('x,y\n1,"2, 3"\n,,\n')
+    (root / "c.docx").write_bytes(word)
+    (root / "d.xlsx").write_bytes(sheet)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("in/e.txt", "inner text")
+        z.writestr("../bad.txt", "unsafe")
+        z.writestr("c.docx", word)
+        z.writestr("f.exe", b"MZ")
+    (root / "g.zip").write_bytes(held.getvalue())
+    (root / "h.docx").write_bytes(b"not a zip")
+    (root / "i.zip").write_bytes(b"neither")
+    (root / "j.txt").write_text("  ")
+    ingest.start_ingest(spark, str(root), out, str(tmp_path / "mark")).awaitTermination()
+    base = f"file:{root}/"
+
+    def state():
+        rows = spark.read.schema(ingest.MANIFEST).parquet(f"{out}/manifest").where("batch >= 0").collect()
+        return {r.path.replace("file://", "file:").removeprefix(base): (r.status, (r.error or "").split(":")[0]) for r in rows}, len(rows)
+
+    expected = {
+        "a.md": ("indexed", ""), "b.csv": ("indexed", ""), "c.docx": ("indexed", ""), "d.xlsx": ("indexed", ""), "g.zip": ("archive_indexed", ""), "g.zip!/in/e.txt": ("indexed", ""),
+        "g.zip!/../bad.txt": ("failed", "unsafe_path"), "g.zip!/c.docx": ("duplicate_skipped", ""), "g.zip!/f.exe": ("unsupported", ""), "h.docx": ("failed", "BadZipFile"), "i.zip": ("failed", "BadZipFile"), "j.txt": ("failed", "no_chunks"),
+    }
+    assert state() == (expected, len(expected))
+    chunks = lambda: sorted((r.path.rsplit("/", 1)[-1], r.text) for r in spark.read.parquet(f"{out}/chunks").collect())
+    before = chunks()
+    assert [t for _, t in before if "Word text" in t] and ("a.md", "marked text") in before and any("1 | " in t for _, t in before)
+    again = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+    ingest.ingest_batch(again, spark.read.schema(ingest.MANIFEST).parquet(f"{out}/manifest"), out, 0)
+    assert chunks() == before and state() == (expected, len(expected))
+
+
 def test_dictionaries_experts_and_reports(spark, tmp_path):
     import json
 
