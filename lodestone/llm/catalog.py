@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontaminate import ORACLE_OP3, op3_decontaminate
 from .language import op8_language_id
 from .licences import op5_licence_scan
@@ -27,7 +25,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc_revisits": op10_warc_revisits,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_secret_scan": ORACLE_OP2,
