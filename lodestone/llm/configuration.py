@@ -15,7 +15,9 @@ as many rounds as lengths, whatever the counts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
@@ -23,22 +25,31 @@ import numpy as np
 STEEP, STEP = 1.05, 0.2
 #: Rooms that one step of the dynamic program takes together; shorter lengths are added one by one.
 _BLOCK = 32
+#: Patterns besides the best that one pricing may serve, and by which share they may be worse.
+REUSE, NEARLY = 16, 1e-3
 
 
 class Knapsack:
-    """The multiset of lengths of most worth that fits the capacity."""
+    """The multiset of lengths of most worth that fits the capacity, to within the rounding of 32-bit floats."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
 
     def solve(self, worth: np.ndarray) -> tuple[float, Counter]:
         """worth[n] is that of a piece of length n; 0: not offered. Returns the best pattern's worth and the pattern."""
+        self.price(worth)
+        best = self.pattern(self.capacity)
+        return float(sum(float(worth[n]) * k for n, k in best.items())), best
+
+    def price(self, worth: np.ndarray) -> None:
+        """Works out the best pattern of every room."""
         size, far = self.capacity, min(_BLOCK, self.capacity)
-        offered = np.where(worth > 0, worth, -np.inf)
+        worth = worth.astype(np.float32)
+        offered = np.where(worth > 0, worth, np.float32(-np.inf))
         # windows over `best` run backwards through the lengths: entry j of a window is what stays after a length of size - j
         value = offered[::-1].copy()
         value[size - far + 1 :] = -np.inf
-        held = np.full(2 * size + 1, -np.inf)
+        held = np.full(2 * size + 1, -np.inf, np.float32)
         best, choice = held[size:], np.zeros(size + 1, np.int64)
         best[:far] = 0.0
         windows = np.lib.stride_tricks.sliding_window_view(held, size + 1)
@@ -56,20 +67,31 @@ class Knapsack:
             n, times = n + 1, 1
             while n * times <= size:
                 before = best.copy()
-                np.maximum(best[n * times :], before[: size + 1 - n * times] + times * worth[n], out=best[n * times :])
+                np.maximum(best[n * times :], before[: size + 1 - n * times] + np.float32(times) * worth[n], out=best[n * times :])
                 steps.append((n, times, before))
                 times *= 2
-        worth_of_best, out, room = float(best[size]), Counter(), size
-        now = best.copy()
-        for n, times, before in reversed(steps):
+        self.worth, self.best, self.choice, self.steps = worth, best, choice, steps
+
+    def pattern(self, room: int) -> Counter:
+        """The best pattern that fits the room."""
+        out: Counter = Counter()
+        now = self.best
+        for n, times, before in reversed(self.steps):
             if now[room] > before[room]:
                 out[n] += times
                 room -= n * times
             now = before
-        while room > 0 and choice[room]:
-            out[int(choice[room])] += 1
-            room -= int(choice[room])
-        return worth_of_best, out
+        while room > 0 and self.choice[room]:
+            out[int(self.choice[room])] += 1
+            room -= int(self.choice[room])
+        return out
+
+    def patterns_through(self, lengths: np.ndarray) -> Iterator[Counter]:
+        """For each length the best pattern that holds it, in descending order of worth."""
+        total = self.worth[lengths] + self.best[self.capacity - lengths]
+        for n in lengths[np.argsort(-total, kind="stable")].tolist():
+            if self.worth[n] > 0:
+                yield self.pattern(self.capacity - n) + Counter({n: 1})
 
 
 @dataclass
@@ -95,7 +117,7 @@ def _no_more_than_there_are(pattern: Counter, counts: dict[int, int], worth: np.
             pattern.update(Knapsack(room).solve(rest)[1])
 
 
-def solve(counts: dict[int, int], capacity: int, step: float = STEP, steep: float = STEEP) -> Solution:
+def solve(counts: dict[int, int], capacity: int, step: float = STEP, steep: float = STEEP, reuse: int = REUSE) -> Solution:
     """A fractional cover of counts (pieces by length) that uses every piece exactly once."""
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[n] for n in lengths.tolist()], float)
@@ -108,15 +130,22 @@ def solve(counts: dict[int, int], capacity: int, step: float = STEP, steep: floa
         price = np.where(left > 0, first * np.exp(-step * (1 - left / need)), 0.0)
         worth[lengths] = price
         total, pattern = knapsack.solve(worth)
-        out.bound = max(out.bound, float((price * need).sum()) / total)
+        # the best pattern may be better by what 32-bit sums round off
+        out.bound = max(out.bound, float((price * need).sum()) / (total * (1 + 1e-5)))
+        # one pricing serves several patterns that are nearly as good as the best
         _no_more_than_there_are(pattern, counts, worth)
-        at = np.searchsorted(lengths, list(pattern))
-        mine = np.array(list(pattern.values()), float)
-        amount = float((left[at] / mine).min())
-        left[at] -= amount * mine
-        left[left < 1e-9 * need] = 0.0
-        out.use.append((pattern, amount))
-        out.value += amount
+        others = (p for p in islice(knapsack.patterns_through(lengths), reuse) if all(k <= counts[n] for n, k in p.items()))
+        near = (p for p in others if sum(worth[n] * k for n, k in p.items()) >= (1 - NEARLY) * total)
+        # the first of them covers a length to its end, so every round comes on
+        for pattern in [pattern, *near]:
+            at = np.searchsorted(lengths, list(pattern))
+            mine = np.array(list(pattern.values()), float)
+            amount = float((left[at] / mine).min())
+            if amount > 0:
+                left[at] -= amount * mine
+                left[left < 1e-9 * need] = 0.0
+                out.use.append((pattern, amount))
+                out.value += amount
     return out
 
 

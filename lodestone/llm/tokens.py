@@ -19,7 +19,7 @@ from .common import kept
 
 #: Bytes that a worker's table of known pieces may take; beyond them it starts afresh. A piece takes PIECE_BYTES and its
 #: letters and ids.
-MOST_BYTES, PIECE_BYTES = 64 << 20, 180
+MOST_BYTES, PIECE_BYTES = 96 << 20, 180
 #: White space to Python alone.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
