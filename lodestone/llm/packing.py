@@ -4,7 +4,7 @@ Only the histogram of piece lengths (at most `capacity` numbers) decides the pac
 whatever the corpus' size: the configuration linear program (see `configuration`) is solved by multiplicative weights with
 knapsack pricing, its solution is rounded, and what the rounding leaves is packed best-fit. Every piece then learns its
 place from its number among the pieces of its length: these numbers come from counts by (length, block), with as many blocks
-as the commonest length needs, so no task holds all pieces of a common length. A piece of full length is a sequence by
+as the length's pieces need, so no task holds all pieces of a common length. A piece of full length is a sequence by
 itself and needs no number.
 
 Defined results: a null text is empty and packs as its end token alone; repeated rows, and rows without a doc_id, are packed
@@ -29,7 +29,7 @@ from .tokens import encoder, vocabulary
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Pieces of one length that are numbered together.
-BLOCK_PIECES = 65_536
+BLOCK_PIECES = 1_024
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_name: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
@@ -141,10 +141,11 @@ def places(chosen: list[tuple[Counter, int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-def numbered(rows: DataFrame, blocks: int) -> DataFrame:
-    """Adds `number`: each row's own number from 0 among the rows of its length. Rows are numbered within (length, block)
-    and each block begins where the counts of those before it end."""
-    block = F.pmod(F.xxhash64("doc_row", "piece"), F.lit(blocks))
+def numbered(rows: DataFrame, counts: dict[int, int], block_pieces: int) -> DataFrame:
+    """Adds `number`: each row's own number from 0 among the rows of its length. Rows are numbered within (length, block), where
+    a length has as many blocks as its count needs, and each block begins where the counts of those before it end."""
+    blocks = F.array(*(F.lit(max(1, -(-counts.get(n, 0) // block_pieces))) for n in range(1, max(counts, default=1) + 1)))
+    block = F.pmod(F.xxhash64("doc_row", "piece"), F.element_at(blocks, F.col("length").cast("int")))
     rows = rows.withColumn("block", block)
     count = rows.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +159,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PI
     counts = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = rows.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
     alone = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    others = numbered(rows.where(F.col("length") < capacity), -(-max(counts.values(), default=1) // block_pieces))
+    others = numbered(rows.where(F.col("length") < capacity), counts, block_pieces)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), "sequence_id long, offset long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
