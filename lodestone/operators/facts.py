@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import conversion_factor, interval, is_open, overlaps, scaled
+from ..functions.text import normalize_key
 
 
 def with_interval(df: DataFrame, name: str = "span") -> DataFrame:
@@ -77,35 +78,62 @@ def gaps(queries: DataFrame, documents: DataFrame, experiments: DataFrame, match
     return none(documents, "no_documents").unionByName(none(experiments, "no_experiments")).unionByName(none(matches, "no_numeric_facts", filters)).unionByName(by_rule)
 
 
+def _folded(terms: str) -> Column:
+    """An array of terms in lower case, each once; none for null."""
+    return F.coalesce(F.array_distinct(F.transform(terms, lambda t: F.lower(t))), F.array().cast("array<string>"))
+
+
+def _best(rows: DataFrame, k: int, *order: Column | str, group: str = "query_id") -> DataFrame:
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")
+
+
 def search_experiments(experiments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Experiments for queries (query_id, materials, processes, geography, year_from, year_to): text must name a material and a
-    process (a process may miss where two materials are named); if none does, either is enough."""
-    text = F.lower(F.concat_ws(" ", "title", "material", "process", "result_summary"))
-    rows = experiments.withColumn("_text", text)
-    some = lambda terms: (F.size(terms) == 0) | F.exists(terms, lambda t: F.contains("_text", F.lower(t)))
+    """The k best experiments (experiment_key and more) for queries (query_id, materials, processes, geography, year_from,
+    year_to), with `exact`.
+
+    Text must name a material and a process, the latter also with blanks for its underscores; a process may miss where two
+    materials are named; year and place must fit. A query that finds none takes near misses: any material or process named,
+    whatever the year and place. Texts are searched once for each distinct term of all queries, and queries meet the hits by
+    term; queries without a term share one choice for each place and span of years."""
+    said = ["title", "material", "process", "result_summary", *(["team"] if "team" in experiments.columns else [])]
+    asked = queries.select("query_id", _folded("materials").alias("_m"), _folded("processes").alias("_p"), F.coalesce("geography", F.array().cast("array<string>")).alias("_places"), "year_from", "year_to")
     years = (F.col("year_from").isNull() | (F.col("year") >= F.col("year_from"))) & (F.col("year_to").isNull() | (F.col("year") <= F.col("year_to")))
-    place = (F.size("q_geography") == 0) | F.array_contains("q_geography", F.col("geography"))
-    asked = queries.select("query_id", "materials", "processes", F.col("geography").alias("q_geography"), "year_from", "year_to")
-    n_materials = F.size(F.filter("materials", lambda t: F.contains("_text", F.lower(t))))
-    both = some(F.col("materials")) & (some(F.col("processes")) | (n_materials >= 2))
-    # queries are a batch of questions; the pairing is a filter on text, for which there is no key
-    pairs = rows.join(asked, place & years & (both | some(F.col("materials")) | some(F.col("processes")))).withColumn("exact", both)
-    any_exact = F.max("exact").over(Window.partitionBy("query_id"))
-    kept = pairs.withColumn("_any", any_exact).where(F.col("exact") | ~F.col("_any"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "experiment_key"))
-    return kept.withColumn("_nth", nth).where(F.col("_nth") <= k).select("query_id", *experiments.columns, "exact")
+    fits = years & ((F.size("_places") == 0) | F.array_contains("_places", F.col("geography")))
+    order = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "experiment_key"]
+    terms = asked.select("query_id", F.explode("_m").alias("term"), F.lit(True).alias("material_")).unionByName(asked.select("query_id", F.explode("_p").alias("term"), F.lit(False).alias("material_")))
+    texts = experiments.select("experiment_key", normalize_key(F.concat_ws(" ", *said)).alias("_text"))
+    plain = F.contains("_text", F.col("term"))
+    blank = ~F.col("material_") & F.contains("_text", F.translate("term", "_", " "))
+    hits = texts.join(terms.select("term", "material_").distinct(), plain | blank).select("experiment_key", "term", "material_", plain.alias("plain"))
+    per = terms.join(hits, ["term", "material_"]).groupBy("query_id", "experiment_key").agg(F.count_if("material_").alias("n_m"), F.count_if(~F.col("material_")).alias("n_p"), F.bool_or("plain").alias("near"))
+    enough = ((F.size("_m") == 0) | (F.col("n_m") > 0)) & ((F.size("_p") == 0) | (F.col("n_p") > 0) | (F.col("n_m") >= 2))
+    pairs = per.join(asked, "query_id").join(experiments, "experiment_key").withColumn("exact", F.coalesce(enough & fits, F.lit(False)))
+    met = _best(pairs.where("exact"), k, *order)
+    near = pairs.where("near AND NOT exact").join(met.select("query_id").distinct(), "query_id", "left_anti")
+    kinds = asked.where((F.size("_m") == 0) & (F.size("_p") == 0)).select("query_id", "_places", "year_from", "year_to", F.xxhash64("_places", "year_from", "year_to").alias("kind"))
+    any_ = _best(experiments.join(kinds.drop("query_id").dropDuplicates(["kind"]), fits), k, *order, group="kind")
+    open_ = kinds.select("query_id", "kind").join(any_, "kind").withColumn("exact", F.lit(True))
+    kept = ["query_id", *experiments.columns, "exact"]
+    return met.select(*kept).unionByName(_best(near, k, *order).select(*kept)).unionByName(open_.select(*kept))
 
 
 def search_experts(experts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Experts by the number of shared topics (queries: query_id, topics); without an equal topic, by topics inside expertise.
-    A query without topics takes all."""
-    mine = F.transform("expertise", lambda e: F.lower(e))
-    topics = F.transform("topics", lambda t: F.lower(t))
-    equal = F.size(F.array_intersect(mine, topics))
-    inside = F.size(F.filter(topics, lambda t: F.exists(mine, lambda e: e.contains(t))))
-    pairs = experts.join(queries.select("query_id", "topics")).withColumn("score", F.when(equal > 0, equal).otherwise(inside)).where((F.col("score") > 0) | (F.size("topics") == 0))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name"))
-    return pairs.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth", "topics")
+    """The k best experts (name, expertise and more; a name is one expert) for queries (query_id, topics), by the number of
+    topics they share; without an equal one, of topics inside their expertise, also with blanks for underscores. A query
+    without topics takes the first by name. Expertise is searched once for each distinct topic, and queries meet the hits by
+    topic."""
+    asked = queries.select("query_id", _folded("topics").alias("_topics"))
+    topics = asked.select("query_id", F.explode("_topics").alias("t"))
+    mine = experts.select("name", _folded("expertise").alias("_mine")).withColumn("_text", normalize_key(F.array_join("_mine", " ")))
+    inside = F.contains("_text", F.col("t")) | F.contains("_text", F.translate("t", "_", " ")) | F.array_contains("_mine", F.col("t"))
+    hits = mine.join(topics.select("t").distinct(), inside).select("name", "t", F.array_contains("_mine", F.col("t")).alias("same")).distinct()
+    shared = topics.join(hits, "t").groupBy("query_id", "name").agg(F.count_if("same").alias("_equal"), F.count("*").alias("_inside"))
+    score = F.when(F.col("_equal") > 0, F.col("_equal")).otherwise(F.col("_inside")).cast("int")
+    scored = _best(shared.select("query_id", "name", score.alias("score")), k, F.col("score").desc(), "name")
+    first = experts.select("name").distinct().orderBy("name").limit(k)
+    # the k names at most
+    rest = asked.where(F.size("_topics") == 0).select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0))
+    return scored.unionByName(rest).join(experts, "name").select("query_id", *experts.columns, "score")
 
 
 def evidence_pack(found: DataFrame, facts: DataFrame, most: int = 30) -> DataFrame:

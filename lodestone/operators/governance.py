@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.access import LEVELS, ROLES, may_export, rank_of
+from .graph import shared_table
 
 #: Our own default rules: (name, pattern, action, classification).
 RULES = [
@@ -36,9 +37,11 @@ def string_paths(df: DataFrame, key: str) -> DataFrame:
 def inspect(texts: DataFrame, rules: list[tuple[str, str, str, str]] = RULES, most: int = 5) -> DataFrame:
     """(rule, action, classification, matches, paths) of (key, path, text): matches over all texts and the first paths with one.
 
-    Each rule is one pattern count; counts are summed in each task first, and only `most` paths a rule are kept there too."""
+    Each rule is one pattern count, made once and written; counts are summed in each task first, and only `most` paths a rule
+    are kept there too."""
     key = [c for c in texts.columns if c not in ("path", "text")]
     counted = texts.select(*key, "path", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(a).alias("action"), F.lit(c).alias("classification"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p, a, c in rules))).alias("r")).select(*key, "path", "r.*").where("n > 0")
+    counted = shared_table(counted)
     totals = counted.groupBy("rule", "action", "classification").agg(F.sum("n").alias("matches"))
     where = F.concat_ws(":", *(F.col(k).cast("string") for k in key), "path")
     first = counted.withColumn("_nth", F.row_number().over(Window.partitionBy("rule").orderBy(*key, "path"))).where(F.col("_nth") <= most)

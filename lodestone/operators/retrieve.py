@@ -35,20 +35,16 @@ def document_lengths(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("document_id", F.size(index_tokens(F.col(text))).alias("len"))
 
 
-def expand_prefixes(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, prefix) for every indexed token that begins with a wanted prefix (wanted: prefix).
+def prefix_hits(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(prefix, document_id, f): occurrences in each document of tokens that begin with a wanted prefix.
 
-    Each token of the vocabulary is cut to the lengths that wanted prefixes have, so that the join is on equality."""
+    Each posting is cut, as it is read, to the lengths that wanted prefixes have (one row of numbers, no longer than the longest
+    prefix), and meets the prefixes by equality: postings without one are dropped before anything is shuffled."""
     wanted = wanted.select("prefix").distinct()
-    lengths = wanted.select(F.length("prefix").alias("n")).distinct()
-    vocabulary = index.select("token").distinct()
-    cut = vocabulary.crossJoin(F.broadcast(lengths.agg(F.collect_set("n").alias("ns")))).select("token", F.explode("ns").alias("n")).where(F.length("token") >= F.col("n"))
-    return cut.select("token", F.substring(F.col("token"), F.lit(1), F.col("n")).alias("prefix")).join(wanted, "prefix")
-
-
-def prefix_hits(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(prefix, document_id, f): occurrences in each document of tokens that begin with a wanted prefix."""
-    return index.join(expand_prefixes(index, wanted), "token").groupBy("prefix", "document_id").agg(F.sum("tf").alias("f"))
+    lengths = wanted.agg(F.collect_set(F.length("prefix")).alias("ns"))
+    cut = index.crossJoin(F.broadcast(lengths)).select("token", "document_id", "tf", F.explode("ns").alias("n")).where(F.length("token") >= F.col("n"))
+    held = cut.select("document_id", "tf", F.substring(F.col("token"), F.lit(1), F.col("n")).alias("prefix")).join(wanted, "prefix")
+    return held.groupBy("prefix", "document_id").agg(F.sum("tf").alias("f"))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -58,7 +54,8 @@ def bm25(index: DataFrame, lengths: DataFrame, wanted: DataFrame, k1: float = K1
     before any filter; an idf that is not positive counts as 1e-6."""
     hits = prefix_hits(index, wanted)
     totals = lengths.agg(F.count("*").alias("n_all"), F.avg("len").alias("avg_len"))
-    n = hits.groupBy("prefix").agg(F.count("*").alias("n")).crossJoin(F.broadcast(totals))
+    # n reads the same columns as the scores do, so that both use one exchange of hits
+    n = hits.groupBy("prefix").agg(F.count_if(F.col("f") > 0).alias("n")).crossJoin(F.broadcast(totals))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = n.select("prefix", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
     f, norm = F.col("f"), F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len"))

@@ -61,7 +61,20 @@ def b5_chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("doc_id").agg((F.min("start_char") + 1).alias("begins"), F.max("end_char").alias("ends"), F.bool_and(F.length("text") <= 1800).alias("fits"), F.bool_and(same).alias("same"))
 
 
-@query()
+#: Cut points: a piece of 1,800 characters ends after the last full stop of its second half; the next begins 200 before.
+CUTS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {NORMAL} AS s, length({NORMAL}) AS size FROM documents),
+ends(doc_id, begin_, end_) AS (
+  SELECT doc_id, 0::BIGINT, CASE WHEN size <= 1800 THEN size WHEN {{0}} > 900 THEN {{0}} + 1 ELSE 1800 END FROM (SELECT *, s[1:1800] AS w FROM d) WHERE size > 0
+  UNION ALL
+  SELECT doc_id, from_, CASE WHEN size <= from_ + 1800 THEN size WHEN {{0}} > 900 THEN from_ + {{0}} + 1 ELSE from_ + 1800 END
+  FROM (SELECT doc_id, greatest(begin_ + 1, end_ - 200) AS from_, size, s[greatest(begin_ + 1, end_ - 200) + 1:greatest(begin_ + 1, end_ - 200) + 1800] AS w FROM ends JOIN d USING (doc_id) WHERE end_ < size)),
+cut AS (SELECT doc_id, begin_ + length(p) - length(ltrim(p)) AS start_char, trim(p) AS body FROM (SELECT doc_id, begin_, s[begin_ + 1:end_] AS p FROM ends JOIN d USING (doc_id)))
+SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk_no, body AS text, 'chunk' AS locator_type, 'chunk ' || row_number() OVER w AS locator, start_char::INT AS start_char, (start_char + length(body))::INT AS end_char
+FROM cut WHERE body <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)""".replace("{0}", "(CASE WHEN contains(w, '. ') THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END)")
+
+
+@query(CUTS)
 def b5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

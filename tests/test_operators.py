@@ -202,3 +202,30 @@ def test_search_falls_back_to_the_most_reliable(spark):
     found = retrieve.search(chunks, sources, queries, retrieve.postings(chunks), retrieve.document_lengths(chunks), None, None, F.lit(True), k=2).collect()
     got = {q: [r.source_id for r in found if r.query_id == q] for q in (1, 2, 3)}
     assert sorted(got[1]) == [4, 5] and sorted(got[3]) == [1, 2] and len(got[2]) == 2
+
+
+def test_experiments_fall_back_to_near_misses_of_any_year_and_place(spark):
+    rows = [("e1", "Flash smelting of nickel", "nickel", "flash", "", "NO", 2020, 0.9), ("e2", "nickel and copper", "copper", "", "", "CA", 2010, 0.5), ("e3", "gold", "gold", "", "", "NO", 2021, 0.7)]
+    exps = spark.createDataFrame(rows, "experiment_key string, title string, material string, process string, result_summary string, geography string, year int, reliability_score double")
+    asked = spark.createDataFrame(
+        [(1, ["nickel"], ["flash_smelting"], [], 2015, None), (2, ["nickel", "copper"], ["leaching"], ["CA"], None, None), (3, ["gold"], [], ["CA"], None, None), (4, [], [], ["NO"], 2021, None), (5, [], ["flash_smelting"], ["CA"], None, None), (6, None, None, None, None, None), (7, [], ["zinc"], [], None, None)],
+        "query_id int, materials array<string>, processes array<string>, geography array<string>, year_from int, year_to int",
+    )
+    got = {(r.query_id, r.experiment_key, r.exact) for r in facts.search_experiments(exps, asked).collect()}
+    assert got == {(1, "e1", True), (2, "e2", True), (3, "e3", False), (4, "e3", True), (6, "e1", True), (6, "e2", True), (6, "e3", True)}
+    assert facts.search_experiments(exps.limit(0), asked).count() == 0
+
+
+def test_experts_by_equal_topics_then_by_topics_inside(spark):
+    experts = spark.createDataFrame([("a", ["Gold", "flash smelting"]), ("b", ["gold leaching"]), ("c", None)], "name string, expertise array<string>")
+    asked = spark.createDataFrame([(1, ["gold", "flash_smelting"]), (2, ["flash_smelting"]), (3, []), (4, ["none"])], "query_id int, topics array<string>")
+    got = {(r.query_id, r.name, r.score) for r in facts.search_experts(experts, asked).collect()}
+    assert got == {(1, "a", 1), (1, "b", 1), (2, "a", 1), (3, "a", 0), (3, "b", 0), (3, "c", 0)}
+    assert [r.name for r in facts.search_experts(experts, asked, k=2).where("query_id = 3").orderBy("name").collect()] == ["a", "b"]
+
+
+def test_prefix_hits_count_each_token_under_its_prefixes(spark):
+    index = spark.createDataFrame([("license", 1, 2), ("licensed", 1, 1), ("li", 2, 5), ("mit", 2, 1)], "token string, document_id int, tf long")
+    wanted = spark.createDataFrame([(1, "li"), (1, "licen"), (2, "zz"), (2, "li")], "query_id int, prefix string")
+    assert {tuple(r) for r in retrieve.prefix_hits(index, wanted).collect()} == {("li", 1, 3), ("li", 2, 5), ("licen", 1, 3)}
+    assert retrieve.prefix_hits(index, wanted.limit(0)).count() == 0
