@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOISE_WORDS, search_tokens
+from .graph import shared_table
 
 K1, B = 1.2, 0.75
 DIMS = 96
@@ -31,6 +32,12 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("document_id", F.explode(index_tokens(F.col(text))).alias("token")).groupBy("token", "document_id").agg(F.count("*").alias("tf"))
 
 
+def occurrences(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """postings that are read once and not stored: a row for each occurrence, so that nothing is shuffled before the wanted
+    prefixes have met it."""
+    return chunks.select("document_id", F.explode(index_tokens(F.col(text))).alias("token"), F.lit(1).cast("long").alias("tf"))
+
+
 def document_lengths(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("document_id", F.size(index_tokens(F.col(text))).alias("len"))
 
@@ -221,7 +228,7 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     """The flagship: for queries (query_id, tokens, wanted, and optionally year_from, year_to and geography), the k best sources each.
 
     Access and metadata filters come before every limit. Candidates come from BM25 on prefixes; a query without any falls back
-    to substrings and then to the most reliable chunks; candidates alone meet vectors and entities. vectors: a stored table
+    to substrings and then to the most reliable chunks; candidates are written once and alone meet vectors and entities. vectors: a stored table
     (document_id, vector), or a function that makes one of chunks, which then gets the candidates alone."""
     have = queries.columns
     asked = queries.withColumns({c: F.lit(None).cast("int") for c in ("year_from", "year_to") if c not in have})
@@ -231,7 +238,8 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     wanted = asked.select("query_id", F.explode("tokens").alias("prefix"))
     told = allowed.select("document_id", "year", "reliability_score", "geography", "additional_geography")
     limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to", "q_geography"), "query_id").join(told, "document_id").where(metadata_filter()).select(*rows.columns, "year", "reliability_score")
-    ranked = top_k(limited(bm25(index, lengths, wanted)), min(160, max(40, 10 * k)), F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id")
+    # at most 160 rows a query; what follows reads them several times
+    ranked = shared_table(top_k(limited(bm25(index, lengths, wanted)), min(160, max(40, 10 * k)), F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"))
     missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     surest = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"]
     loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, *surest)
@@ -242,7 +250,7 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     each = kinds.select("kind", *asks).dropDuplicates(["kind"])
     any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), 2 * k, *surest)
     last = any_.withColumnRenamed("query_id", "kind").join(kinds.select("query_id", "kind"), "kind").select(*loose.columns)
-    found = with_fallback(asked, ranked, loose, last).select("query_id", "document_id", "rank", "method")
+    found = shared_table(with_fallback(asked, ranked, loose, last).select("query_id", "document_id", "rank", "method"))
     rows = found.join(asked.select("query_id", "tokens", "wanted"), "query_id").join(allowed, "document_id")
     if callable(vectors):
         vectors = vectors(rows.select("document_id", "text").dropDuplicates(["document_id"]))

@@ -285,7 +285,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = mapping.chunks(spark, sf_dir), spark.createDataFrame([(1, "licensed under the apache license", ["apache"]), (2, "secret token", ["token"]), (3, "que la nicht", ["que"])], "query_id int, text string, wanted array<string>")
     asked = asked.withColumn("tokens", text.search_tokens(F.col("text")))
     query_vectors = retrieve.embed(asked, key="query_id")
-    found = retrieve.search(chunks, mapping.sources(spark, sf_dir), asked.select("query_id", "tokens", "wanted"), retrieve.postings(chunks), retrieve.document_lengths(chunks), retrieve.embed, query_vectors, may_see(F.col("confidentiality"), "researcher"), k=8)
+    found = retrieve.search(chunks, mapping.sources(spark, sf_dir), asked.select("query_id", "tokens", "wanted"), retrieve.occurrences(chunks), retrieve.document_lengths(chunks), retrieve.embed, query_vectors, may_see(F.col("confidentiality"), "researcher"), k=8)
     return found.select("query_id", "source_id", "document_id", "score", "method")
 
 
