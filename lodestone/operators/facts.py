@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import conversion_factor, interval, is_open, overlaps, scaled
 from ..functions.text import normalize_key
+from .contain import contained
 
 
 def with_interval(df: DataFrame, name: str = "span") -> DataFrame:
@@ -102,9 +103,11 @@ def search_experiments(experiments: DataFrame, queries: DataFrame, k: int = 10)
     order = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "experiment_key"]
     terms = asked.select("query_id", F.explode("_m").alias("term"), F.lit(True).alias("material_")).unionByName(asked.select("query_id", F.explode("_p").alias("term"), F.lit(False).alias("material_")))
     texts = experiments.select("experiment_key", normalize_key(F.concat_ws(" ", *said)).alias("_text"))
-    plain = F.contains("_text", F.col("term"))
-    blank = ~F.col("material_") & F.contains("_text", F.translate("term", "_", " "))
-    hits = texts.join(terms.select("term", "material_").distinct(), plain | blank).select("experiment_key", "term", "material_", plain.alias("plain"))
+    forms = terms.select("term", "material_", F.col("term").alias("form"), F.lit(True).alias("plain")).unionByName(
+        terms.where("NOT material_").select("term", "material_", F.translate("term", "_", " ").alias("form"), F.lit(False).alias("plain"))
+    ).distinct()
+    held = contained(texts, forms, "experiment_key", "_text", "form").join(forms, "form")
+    hits = held.groupBy("experiment_key", "term", "material_").agg(F.bool_or("plain").alias("plain"))
     per = terms.join(hits, ["term", "material_"]).groupBy("query_id", "experiment_key").agg(F.count_if("material_").alias("n_m"), F.count_if(~F.col("material_")).alias("n_p"), F.bool_or("plain").alias("near"))
     enough = ((F.size("_m") == 0) | (F.col("n_m") > 0)) & ((F.size("_p") == 0) | (F.col("n_p") > 0) | (F.col("n_m") >= 2))
     pairs = per.join(asked, "query_id").join(experiments, "experiment_key").withColumn("exact", F.coalesce(enough & fits, F.lit(False)))
@@ -125,8 +128,10 @@ def search_experts(experts: DataFrame, queries: DataFrame, k: int = 10) -> DataF
     asked = queries.select("query_id", _folded("topics").alias("_topics"))
     topics = asked.select("query_id", F.explode("_topics").alias("t"))
     mine = experts.select("name", _folded("expertise").alias("_mine")).withColumn("_text", normalize_key(F.array_join("_mine", " ")))
-    inside = F.contains("_text", F.col("t")) | F.contains("_text", F.translate("t", "_", " ")) | F.array_contains("_mine", F.col("t"))
-    hits = mine.join(topics.select("t").distinct(), inside).select("name", "t", F.array_contains("_mine", F.col("t")).alias("same")).distinct()
+    forms = topics.select("t", F.col("t").alias("form")).unionByName(topics.select("t", F.translate("t", "_", " ").alias("form"))).distinct()
+    inside = contained(mine, forms, "name", "_text", "form").join(forms, "form").select("name", "t", F.lit(False).alias("same"))
+    equal = mine.select("name", F.explode("_mine").alias("t"), F.lit(True).alias("same")).join(topics.select("t").distinct(), "t", "left_semi").select("name", "t", "same")
+    hits = inside.unionByName(equal).groupBy("name", "t").agg(F.bool_or("same").alias("same"))
     shared = topics.join(hits, "t").groupBy("query_id", "name").agg(F.count_if("same").alias("_equal"), F.count("*").alias("_inside"))
     score = F.when(F.col("_equal") > 0, F.col("_equal")).otherwise(F.col("_inside")).cast("int")
     scored = _best(shared.select("query_id", "name", score.alias("score")), k, F.col("score").desc(), "name")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
@@ -10,20 +12,32 @@ from ..functions.text import normalize_key
 EDGE_KEY = ("source_id", "subject_id", "predicate", "object_id", "evidence")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. A local session that names none gets one of its own; on a cluster, whose
+    machines would not see it, that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    made = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_table(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder that the session names. A local session that names none gets one of
-    its own; on a cluster, whose machines would not see it, that is an error."""
+    """df cut from its lineage by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-            return df.checkpoint()
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

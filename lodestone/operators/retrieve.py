@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOISE_WORDS, search_tokens
+from .contain import contained
 from .graph import shared_table
 
 K1, B = 1.2, 0.75
@@ -86,10 +87,12 @@ def all_groups(index: DataFrame, groups: DataFrame) -> DataFrame:
 
 def substring_hits(chunks: DataFrame, queries: DataFrame, text: str = "text", first: int = 8) -> DataFrame:
     """(query_id, document_id) by any of a query's first tokens (queries: query_id, tokens) inside the text; a query without tokens
-    takes every document. The queries that come here are few; they are broadcast when Spark finds them small."""
+    takes every document. Texts and tokens meet by their rarest trigram."""
     asked = queries.select("query_id", F.slice("tokens", 1, first).alias("tokens"))
     low = chunks.select("document_id", F.lower(text).alias("_low"))
-    return low.join(asked, (F.size("tokens") == 0) | F.exists("tokens", lambda t: F.col("_low").contains(t))).select("query_id", "document_id")
+    terms = asked.select("query_id", F.explode("tokens").alias("term"))
+    found = contained(low, terms, "document_id", "_low").join(terms, "term").select("query_id", "document_id").distinct()
+    return found.unionByName(asked.where(F.size("tokens") == 0).select("query_id").crossJoin(chunks.select("document_id")))
 
 
 def with_fallback(queries: DataFrame, *found: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def alias_tokens(parsed: DataFrame, terms: DataFrame, most_aliases: int = 8) ->
     """(query_id, tokens): for parsed (query_id, canonical), the tokens of each canonical name, its parts and first aliases."""
     ranked = terms.withColumn("_nth", F.row_number().over(Window.partitionBy("category", "canonical").orderBy("alias"))).where(F.col("_nth") <= most_aliases)
     names = ranked.groupBy("category", "canonical").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
-    joined = parsed.join(F.broadcast(names), "canonical")
+    joined = parsed.join(names, "canonical")
     words = F.concat(F.array("canonical"), F.split("canonical", "_"), F.col("aliases"))
     tokens = F.flatten(F.transform(words, lambda w: search_tokens(w)))
     return joined.select("query_id", "category", "canonical", tokens.alias("t")).groupBy("query_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("category", "canonical", "t"))), lambda x: x["t"]))).alias("tokens"))
@@ -198,7 +201,7 @@ def hybrid_score(rank: Column, vector: Column, reliability: Column, wanted: Colu
     magnitude = F.abs(rank)
     text_rank = 1 / (1 + magnitude) if norm == "inverse" else magnitude / (1 + magnitude)
     base = F.when(F.coalesce(reliability, F.lit(0.0)) == 0, F.lit(0.5)).otherwise(reliability)
-    terms = F.aggregate(wanted, F.lit(0.0), lambda s, t: s + F.when(F.coalesce(F.array_contains(names, t), F.lit(False)), 0.45).when(low_text.contains(t), 0.25).otherwise(0.0))
+    terms = F.aggregate(wanted, F.lit(0.0), lambda s, t: s + F.when(F.coalesce(F.array_contains(names, t), F.lit(False)), 0.45).when(low_text.contains(t) | low_text.contains(F.translate(t, "_", " ")), 0.25).otherwise(0.0))
     extra = F.aggregate(aliases, F.lit(0.0), lambda s, t: s + F.when(low_text.contains(t), 0.03).otherwise(0.0))
     return F.round(base + 0.25 * F.coalesce(text_rank, F.lit(0.0)) + 0.55 * F.coalesce(vector, F.lit(0.0)) + terms + extra, 3)
 
@@ -238,8 +241,8 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     wanted = asked.select("query_id", F.explode("tokens").alias("prefix"))
     told = allowed.select("document_id", "year", "reliability_score", "geography", "additional_geography")
     limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to", "q_geography"), "query_id").join(told, "document_id").where(metadata_filter()).select(*rows.columns, "year", "reliability_score")
-    # at most 160 rows a query; what follows reads them several times
-    ranked = shared_table(top_k(limited(bm25(index, lengths, wanted)), min(160, max(40, 10 * k)), F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"))
+    # at most 2k rows a query; what follows reads them several times
+    ranked = shared_table(top_k(limited(bm25(index, lengths, wanted)), 2 * k, F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"))
     missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     surest = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"]
     loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, *surest)
@@ -248,7 +251,7 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     asks = ["year_from", "year_to", "q_geography"]
     kinds = missed.join(loose.select("query_id").distinct(), "query_id", "left_anti").select("query_id", *asks).withColumn("kind", F.xxhash64(*asks))
     each = kinds.select("kind", *asks).dropDuplicates(["kind"])
-    any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), 2 * k, *surest)
+    any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), min(160, max(40, 10 * k)), *surest)
     last = any_.withColumnRenamed("query_id", "kind").join(kinds.select("query_id", "kind"), "kind").select(*loose.columns)
     found = shared_table(with_fallback(asked, ranked, loose, last).select("query_id", "document_id", "rank", "method"))
     rows = found.join(asked.select("query_id", "tokens", "wanted"), "query_id").join(allowed, "document_id")
