@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.access import may_see
-from ..operators import request, retrieve
+from ..operators import report, request, retrieve
 from ..operators.graph import shared_path
-from ..operators.index import TextIndex
+from ..operators.index import TextIndex, ranks
 from . import mapping
 from .mapping import table
 from .register import registry
-from .text_queries import NOISE, NORMAL, PLAIN, STOPS
+from .text_queries import NOISE, NORMAL, PLAIN, RANKS, STOPS, WANTED
 
 QUERIES, ORACLES, query = registry()
 
@@ -179,3 +179,74 @@ def c24_request_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, groups = asked_of(spark, sf_dir)
     held = corpus(spark, sf_dir)
     return request.facts(asked, request.documents(asked, groups, held), held).select("query_id", "fact_id", "numeric_match", "source_id")
+
+
+ANSWERS = """,
+tries AS (
+  SELECT p_partkey AS key, lower(concat_ws(' ', p_name, CASE p_size % 3 WHEN 0 THEN 'than_ore' WHEN 1 THEN 'mit' END, CASE WHEN p_size % 4 = 0 THEN 'licensing' ELSE 'that run' END, '')) AS said, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'thonland' END AS place, 2000 + p_size AS year, p_size % 7 / 7.0::DOUBLE AS rel FROM part),
+tested AS (
+  SELECT query_id, key, title, tries.year, tries.place, rel, len(list_filter(materials, lambda m: contains(said, m))) AS n_m, len(list_filter(processes, lambda w: contains(said, w) OR contains(said, replace(w, '_', ' ')))) AS n_p,
+    len(list_filter(list_concat(materials, processes), lambda w: contains(said, w))) > 0 AS near,
+    (len(geography) = 0 OR coalesce(list_contains(geography, tries.place), false)) AND (year_from IS NULL OR tries.year >= year_from) AND (year_to IS NULL OR tries.year <= year_to)
+      AND (len(materials) = 0 OR n_m > 0) AND (len(processes) = 0 OR n_p > 0 OR n_m >= 2) AS exact
+  FROM asked, tries),
+experiments AS (
+  SELECT * FROM tested WHERE exact OR (near AND query_id NOT IN (SELECT query_id FROM tested WHERE exact))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, year DESC, key) <= 8),
+clashes AS (
+  SELECT query_id, subject, property, unit, count(*) AS n_facts, CASE WHEN max(lo) > min(hi) THEN 'contradiction' ELSE 'range_divergence' END AS kind FROM (SELECT * REPLACE (CASE WHEN subject = 'licensing' THEN 'Licensing' ELSE subject END AS subject) FROM found)
+  GROUP BY query_id, subject, property, unit HAVING count(*) >= 2 AND (max(lo) > min(hi) OR count(DISTINCT (round(lo, 6), round(hi, 6))) > 1)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY subject, property, unit) <= 10),
+missing AS (
+  SELECT query_id, 'no_documents' AS gap FROM asked WHERE query_id NOT IN (SELECT query_id FROM chosen)
+  UNION ALL SELECT query_id, 'no_experiments' FROM asked WHERE len(materials) + len(processes) > 0 AND query_id NOT IN (SELECT query_id FROM experiments)
+  UNION ALL SELECT query_id, 'untested_pair' FROM asked WHERE list_contains(processes, 'licensing') AND list_contains(materials, 'apache') AND query_id NOT IN (SELECT query_id FROM experiments WHERE exact)
+  UNION ALL SELECT query_id, 'no_numeric_match' FROM asked WHERE bound IS NOT NULL AND query_id IN (SELECT query_id FROM found) AND query_id NOT IN (SELECT query_id FROM found WHERE numeric_match)),
+marks AS (
+  SELECT query_id, rel::DOUBLE AS s FROM chosen UNION ALL SELECT query_id, unnest([confidence, extraction_confidence]) FROM found UNION ALL SELECT query_id, rel FROM experiments),
+sums AS (
+  SELECT a.query_id, (SELECT count(*) FROM chosen x WHERE x.query_id = a.query_id) AS n_docs, (SELECT count(*) FROM found x WHERE x.query_id = a.query_id) AS n_facts, (SELECT count(*) FROM experiments x WHERE x.query_id = a.query_id) AS n_tried,
+    (SELECT count(*) FROM missing x WHERE x.query_id = a.query_id) AS n_gaps, (SELECT count(*) FROM clashes x WHERE x.query_id = a.query_id) AS n_clashes, (SELECT count(*) FROM found x WHERE x.query_id = a.query_id AND suspicious) AS n_doubt,
+    (SELECT avg(s) FROM marks x WHERE x.query_id = a.query_id) AS mean FROM asked a),
+answers AS (
+  SELECT query_id, CASE WHEN n_gaps > 0 THEN 'gap_analysis' WHEN intent = 'comparison' THEN 'comparison' WHEN intent = 'experiments' THEN 'protocol' ELSE 'review' END AS mode, n_docs, n_facts, n_tried, n_gaps, n_clashes, n_doubt,
+    CASE WHEN mean IS NULL THEN 0.2 ELSE round(least(1, greatest(0, mean + least(0.12, 0.02 * (n_docs + n_tried)) - least(0.25, 0.08 * n_gaps) - least(0.15, 0.05 * n_clashes) - least(0.12, 0.015 * n_doubt))), 2) END AS confidence
+  FROM sums JOIN asked USING (query_id))"""
+
+
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    rules = spark.createDataFrame(RULES, "gap string, process_terms array<string>, material_terms array<string>")
+    return request.run(requests(spark, sf_dir), corpus(spark, sf_dir), terms_of(spark), spark.createDataFrame(UNITS, "canonical string, alias string"), rules, AS_OF_YEAR)
+
+
+@query("WITH " + REQUESTS.strip() + FACTS + ANSWERS + "\nSELECT query_id, mode, confidence, n_gaps::INT AS gaps, n_clashes::INT AS contradictions, n_doubt::INT AS suspicious FROM answers")
+def c24_request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and confidence of every request, and what they rest on."""
+    return _run(spark, sf_dir)["answers"]
+
+
+@query("WITH " + REQUESTS.strip() + FACTS + ANSWERS + """
+SELECT query_id, '01 Answer' AS section, 1::BIGINT AS n_lines, md5(CASE WHEN n_docs > 0 THEN 'Found ' || n_docs || ' sources, ' || n_tried || ' experiments and ' || n_facts || ' facts. Confidence: ' || printf('%.2f', confidence) ELSE 'No sources found. Confidence: ' || printf('%.2f', confidence) END) AS said FROM answers
+UNION ALL SELECT query_id, '03 Gap analysis', 1, md5('- Sources: ' || n_docs || '; facts: ' || n_facts || '; located: ' || n_facts) FROM answers WHERE mode = 'gap_analysis'
+UNION ALL SELECT query_id, '06 Sources', count(*), md5(string_agg(nth || '. **' || label || '** ' || CASE WHEN id % 4 = 0 THEN 'public' ELSE 'internal' END || ', ' || printf('%.3f', score), chr(10) ORDER BY nth)) FROM (
+  SELECT query_id, chosen.doc_id AS id, score, concat_ws(' / ', title, chosen.year, place) AS label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(chosen.year, 0) DESC, nth) AS nth FROM chosen JOIN sources ON source_id = chosen.doc_id) GROUP BY 1
+UNION ALL SELECT query_id, '05 Experiments', count(*), md5(string_agg('- **' || key || ' ' || title || '** (' || concat_ws(', ', year, place) || ')', chr(10) ORDER BY exact DESC, rel DESC, year DESC, key)) FROM experiments GROUP BY 1
+UNION ALL SELECT query_id, '07 Contradictions', count(*), md5(string_agg('- **' || subject || ' / ' || property || '**: ' || kind || ' of ' || n_facts, chr(10) ORDER BY subject, property, unit)) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY subject, property, unit) AS nth FROM clashes) WHERE nth <= 5 GROUP BY 1
+UNION ALL SELECT query_id, '08 Gaps', count(*), md5(string_agg('- ' || gap, chr(10) ORDER BY gap)) FROM missing GROUP BY 1
+UNION ALL SELECT query_id, '10 Conclusion', 1, md5(CASE WHEN n_gaps > 0 THEN 'A draft: gaps or divergences need an expert''s review.' ELSE 'Documents, experiments, conditions and experts suffice for a first review.' END) FROM answers""")
+def c23_request_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven sections of every request's report, each by its number of lines and a digest of them."""
+    lines = report.sections(_run(spark, sf_dir)).where("section NOT IN ('02 Understood', '03 Comparison', '03 Protocol', '03 Evidence table', '04 Facts', '09 Experts')")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("query_id", "section").agg(F.count("*").alias("n_lines"), F.md5(body).alias("said"))
+
+
+@query(RANKS + "\nSELECT query_id, doc_id AS document_id, round(rank, 6) AS rank FROM r")
+def c2_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 from a stored index that grew in two steps; only shards that may hold a wanted prefix are read."""
+    chunks = mapping.chunks(spark, sf_dir)
+    index = TextIndex(spark, shared_path(spark, "index"))
+    index.add(chunks.where("document_id % 2 = 0"))
+    index.add(chunks)
+    wanted = spark.createDataFrame(WANTED, "query_id int, prefix string")
+    return ranks(index.hits(wanted, chunks.schema["document_id"].dataType), wanted).select("query_id", "document_id", F.round("rank", 6).alias("rank"))
