@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import conversion_factor, interval, is_open, overlaps, scaled
+from ..functions.numeric import CONVERSIONS, conversion_factor, interval, is_open, overlaps, scaled
 from ..functions.text import normalize_key
 from .contain import contained
 
@@ -15,20 +15,61 @@ def with_interval(df: DataFrame, name: str = "span") -> DataFrame:
     return df.withColumn(name, interval(F.col("comparator"), F.col("value"), F.col("min_value"), F.col("max_value")))
 
 
+#: The unit in which each group of convertible units is counted, and the others' factors.
+BASE_UNITS = ("mg_l", "kg_day", "m3_h")
+TO_BASE = {unit: (unit, 1.0) for unit in BASE_UNITS} | {a: (b, k) for a, b, k in CONVERSIONS if b in BASE_UNITS}
+#: Bins of values are powers of two from 2^-40 to 2^40 for each sign, and one for zero; what lies beyond goes to the ends.
+POWERS = 40
+ANY, EVERY = "\u0000any", "\u0000every"
+
+
+def _bins(span: Column, factor: Column) -> Column:
+    """The bins that an interval meets, as a run of whole numbers, with one more on both sides, since a conversion's rounding may move a
+    value over an edge; an open end reaches to the last bin."""
+    power = lambda v: F.greatest(F.lit(-POWERS), F.least(F.lit(POWERS), F.floor(F.log2(F.abs(v))))) + POWERS + 1
+    number = lambda v: F.when(v == 0, 0).when(v > 0, power(v)).otherwise(-power(v))
+    far = 2 * POWERS + 1
+    first = F.when(span["lo"].isNull(), -far).otherwise(F.greatest(F.lit(-far), number(span["lo"] * factor) - 1)).cast("int")
+    last = F.when(span["hi"].isNull(), far).otherwise(F.least(F.lit(far), number(span["hi"] * factor) + 1)).cast("int")
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _property_keys(name: str, asking: bool) -> Column:
+    """A filter stands under its property, or under ANY without one, and under EVERY; a fact looks under its property and ANY, or under
+    EVERY without one. So each pair that agrees meets under one key."""
+    own = F.col(name)
+    return F.array(F.coalesce(own, F.lit(ANY)), F.lit(EVERY)) if asking else F.when(own.isNull(), F.array(F.lit(EVERY))).otherwise(F.array(own, F.lit(ANY)))
+
+
+def _keyed(df: DataFrame, name: str, unit: str, span: str, asking: bool, begin: str) -> DataFrame:
+    """df with a row for each key: _p, of the property; _d, of the units that convert, in the same way; _b, each bin, in the base unit, or in
+    numbers as they stand where one side has no unit. begin: the least bin under that _d."""
+    pairs = [x for u, (base, k) in TO_BASE.items() for x in (u, F.struct(F.lit(base).alias("d"), F.lit(k).alias("k")))]
+    own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in pairs)), F.col(unit)), F.struct(F.coalesce(F.col(unit), F.lit(ANY)).alias("d"), F.lit(1.0).alias("k")))
+    plain = lambda d: F.struct(F.lit(d).alias("d"), F.lit(1.0).alias("k"))
+    dims = F.array(own, plain(EVERY)) if asking else F.when(F.col(unit).isNull(), F.array(plain(EVERY))).otherwise(F.array(own, plain(ANY)))
+    told = df.withColumn("_p", F.explode(_property_keys(name, asking))).withColumn("_u", F.explode(dims)).withColumn("_bins", _bins(F.col(span), F.col("_u.k")))
+    return told.select("*", F.col("_u.d").alias("_d"), F.array_min("_bins").alias(begin), F.explode("_bins").alias("_b")).drop("_u", "_bins")
+
+
 def numeric_matches(facts: DataFrame, filters: DataFrame) -> DataFrame:
     """facts with query_id, for the (fact, query) pairs where some filter of the query holds.
 
     filters (query_id, property, comparator, value, min_value, max_value, unit): the property must agree if both have one, the
-    fact is converted to the filter's unit, and the intervals must meet. Rows with a property are joined on it; only those
-    without one are paired by the interval test alone. A filter that asks nothing holds; a fact without values does not."""
-    f = with_interval(facts)
-    q = with_interval(filters).select("query_id", F.col("property").alias("_property"), F.col("unit").alias("_unit"), F.col("span").alias("_span"))
+    fact is converted to the filter's unit, and the intervals must meet. A filter that asks nothing holds; a fact without values
+    does not meet one that asks something.
+
+    Facts and filters meet by equal keys alone: property, kind of unit, and bin of values; a pair that shares several bins is
+    compared in the first. Filters that ask nothing meet facts by property."""
+    f = with_interval(facts, "_fact")
+    q = with_interval(filters).select("query_id", F.col("property").alias("_property"), F.col("unit").alias("_unit"), F.col("span").alias("_span")).distinct()
     factor = conversion_factor(F.col("unit"), F.col("_unit"))
-    holds = is_open(F.col("_span")) | (factor.isNotNull() & ~is_open(F.col("span")) & overlaps(scaled(F.col("span"), factor), F.col("_span")))
-    same = f.where("property IS NOT NULL").join(q.where("_property IS NOT NULL"), F.col("property") == F.col("_property"))
-    loose = f.where("property IS NULL").join(q.where("_property IS NOT NULL")).unionByName(f.join(q.where("_property IS NULL")))
-    out = same.unionByName(loose).where(holds)
-    return out.select("query_id", *facts.columns).dropDuplicates(["query_id", "fact_id"])
+    left = _keyed(f.where(~is_open(F.col("_fact"))), "property", "unit", "_fact", False, "_from")
+    right = _keyed(q.where(~is_open(F.col("_span"))), "_property", "_unit", "_span", True, "_since")
+    met = left.join(right, ["_p", "_d", "_b"]).where(F.col("_b") == F.greatest("_from", "_since")).where(factor.isNotNull() & overlaps(scaled(F.col("_fact"), factor), F.col("_span")))
+    free = q.where(is_open(F.col("_span"))).withColumn("_p", F.explode(_property_keys("_property", True))).select("query_id", "_p").distinct()
+    loose = f.withColumn("_p", F.explode(_property_keys("property", False))).join(free, "_p")
+    return met.select("query_id", *facts.columns).unionByName(loose.select("query_id", *facts.columns)).dropDuplicates(["query_id", "fact_id"])
 
 
 def search_facts(facts: DataFrame, wanted: DataFrame, filters: DataFrame, core_terms: DataFrame, k: int = 8, min_confidence: float = 0.0, strict: bool = False) -> DataFrame:

@@ -84,6 +84,58 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, fan_out: int |
     return seen
 
 
+#: Parts into which a hub's edges are dealt before the first of them are chosen.
+SALTS = 16
+
+
+def _first_edges(ends: DataFrame, fan_out: int) -> DataFrame:
+    """The fan_out edges of least id of each node: first of each salted part of its edges, then of what those leave, so no task sorts a
+    hub's whole adjacency."""
+    salt = F.pmod(F.hash("id"), F.lit(SALTS))
+    part = F.row_number().over(Window.partitionBy("node", "_salt").orderBy("id", "other"))
+    some = ends.withColumn("_salt", salt).withColumn("_nth", part).where(F.col("_nth") <= fan_out)
+    return some.withColumn("_nth", F.row_number().over(Window.partitionBy("node").orderBy("id", "other"))).where(F.col("_nth") <= fan_out).select("node", "other", "id")
+
+
+def bounded_graph(edges: DataFrame, seeds: DataFrame, depth: int, limit: int = 60, fan_out: int = 100, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The neighborhood of each seed under budgets: nodes (seed, node, depth, nth), at most `limit`, and edges (seed, id, subject_id,
+    object_id, depth, nth), at most twice as many. seeds (seed, node): a seed may begin at several nodes; edges (id, subject_id,
+    object_id, and source_id if `sources`, the ids that may be seen, is given; an edge without a source may be).
+
+    Hops go through edges that may be seen, from each node the fan_out of least id. New nodes come in the order of the node
+    that found them and the edge's id, and are taken while the seed's budget lasts; what is beyond it is not followed. An edge counts if both of
+    its nodes were taken; edges come in the order of hop, finding node and id. Each hop reads only edges at its frontier, and
+    its frontier, of at most `limit` rows a seed, is checkpointed."""
+    if sources is not None:
+        allowed = sources.select(F.col("id").alias("source_id")).distinct()
+        edges = edges.join(allowed, "source_id", "left_semi").select(*edges.columns).unionByName(edges.where("source_id IS NULL"))
+    plain = edges.select("id", "subject_id", "object_id").where("subject_id <> object_id")
+    ends = both_ways(plain)
+    first = seeds.select("seed", "node").distinct()
+    order = Window.partitionBy("seed").orderBy("node")
+    seen = shared_table(first.withColumns({"depth": F.lit(0), "nth": F.row_number().over(order)}).where(F.col("nth") <= limit))
+    frontier, met = seen, None
+    for hop in range(1, depth + 1):
+        near = _first_edges(ends.join(frontier.select("node").distinct(), "node", "left_semi"), fan_out)
+        walked = frontier.select("seed", "node", F.col("nth").alias("by")).join(near, "node").select("seed", "by", "id", "node", "other", F.lit(hop).alias("depth"))
+        walked = shared_table(walked)
+        met = walked if met is None else met.unionByName(walked)
+        new = walked.groupBy("seed", F.col("other").alias("node")).agg(F.min(F.struct("by", "id")).alias("found")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        taken = seen.groupBy("seed").agg(F.count("*").alias("taken"))
+        numbered = new.join(taken, "seed").withColumn("nth", (F.col("taken") + F.row_number().over(Window.partitionBy("seed").orderBy("found", "node"))).cast("int"))
+        frontier = shared_table(numbered.where(F.col("nth") <= limit).select("seed", "node", F.lit(hop).alias("depth"), "nth"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    if met is None:
+        return seen, plain.limit(0).select(F.lit(None).cast(seeds.schema["seed"].dataType).alias("seed"), "id", "subject_id", "object_id", F.lit(0).alias("depth"), F.lit(0).alias("nth"))
+    inside = seen.select("seed", "node")
+    once = met.join(inside, ["seed", "node"], "left_semi").join(inside.withColumnRenamed("node", "other"), ["seed", "other"], "left_semi").groupBy("seed", "id").agg(F.min(F.struct("depth", "by")).alias("found"))
+    nth = F.row_number().over(Window.partitionBy("seed").orderBy("found", "id"))
+    kept = once.withColumn("nth", nth).where(F.col("nth") <= 2 * limit)
+    return seen, kept.join(plain, "id").select("seed", "id", "subject_id", "object_id", "found.depth", "nth")
+
+
 def reach_counts(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, reached): distinct nodes within depth of each seed, the seed included."""
     return neighborhood(edges, seeds, depth, fan_out=None).groupBy("seed").agg(F.count("*").alias("reached"))

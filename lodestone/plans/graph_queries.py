@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.access import may_see
 from ..operators import curate, dashboard, graph
 from . import mapping
 from .mapping import table
@@ -65,6 +66,49 @@ def d2_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighborhood(mapping.place_edges(spark, sf_dir), seeds, 2, fan_out=1_000_000)
 
 
+#: Budgets of the bounded neighborhoods below, and hops.
+LIMIT, FAN_OUT, HOPS = 30, 12, 4
+
+BOUNDED = f"""
+WITH l AS (SELECT DISTINCT l_suppkey + 10000000 AS s, l_partkey AS p FROM lineitem),
+g AS (SELECT s * 1000000 + p AS id, s, p FROM l WHERE p % 7 = 0 OR (p % 10) % 4 < 2),
+both_ AS (SELECT s AS node, p AS other, id FROM g UNION ALL SELECT p, s, id FROM g),
+e AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY node ORDER BY id) <= {FAN_OUT}),
+f0 AS (SELECT s_nationkey AS seed, s_suppkey + 10000000 AS node, 0 AS depth, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth FROM supplier QUALIFY nth <= {LIMIT}),
+seen0 AS (FROM f0)""" + "".join(f""",
+w{h} AS (SELECT seed, nth AS by_, e.node, other, id, {h} AS depth FROM f{h - 1} JOIN e USING (node)),
+f{h} AS (
+  SELECT seed, node, {h} AS depth, taken + row_number() OVER (PARTITION BY seed ORDER BY found, node) AS nth FROM (
+    SELECT seed, other AS node, min({{'by_': by_, 'id': id}}) AS found FROM w{h} WHERE (seed, other) NOT IN (SELECT (seed, node) FROM seen{h - 1}) GROUP BY ALL) JOIN (SELECT seed, count(*) AS taken FROM seen{h - 1} GROUP BY 1) USING (seed)
+  QUALIFY nth <= {LIMIT}),
+seen{h} AS (FROM seen{h - 1} UNION ALL FROM f{h})""" for h in range(1, HOPS + 1))
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each nation as a seed that begins at its suppliers, over suppliers and parts; a part's number tells its edges' source, one in seven
+    has none."""
+    p = F.col("object_id")
+    edges = mapping.supply_edges(spark, sf_dir).withColumns({"id": F.col("subject_id") * 1_000_000 + p, "source_id": F.when(p % 7 != 0, p % 10)})
+    sources = spark.range(10).select("id", F.expr(mapping.LEVEL.format("id")).alias("confidentiality"))
+    seeds = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("seed"), (F.col("s_suppkey") + 10_000_000).alias("node"))
+    return graph.bounded_graph(edges, seeds, HOPS, LIMIT, FAN_OUT, sources.where(may_see(F.col("confidentiality"), "researcher")))
+
+
+@query(BOUNDED + f"SELECT seed, node, depth, nth::INT AS nth FROM seen{HOPS}")
+def d2_bounded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within four hops of each seed, thirty at most, through edges that a researcher may see."""
+    return _bounded(spark, sf_dir)[0].select("seed", "node", "depth", "nth")
+
+
+@query(BOUNDED + f""",
+met AS ({" UNION ALL ".join(f"FROM w{h}" for h in range(1, HOPS + 1))}),
+once AS (SELECT seed, id, min({{'depth': depth, 'by_': by_}}) AS found FROM met WHERE (seed, node) IN (SELECT (seed, node) FROM seen{HOPS}) AND (seed, other) IN (SELECT (seed, node) FROM seen{HOPS}) GROUP BY ALL)
+SELECT seed, g.id, s AS subject_id, p AS object_id, found.depth AS depth, row_number() OVER (PARTITION BY seed ORDER BY found, once.id)::INT AS nth FROM once JOIN g ON g.id = once.id QUALIFY nth <= {2 * LIMIT}""")
+def d2_bounded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between those nodes, sixty a seed at most."""
+    return _bounded(spark, sf_dir)[1]
+
+
 @query("SELECT l_partkey::VARCHAR AS subject_id, count(*) AS n FROM lineitem WHERE l_linestatus <> 'O' GROUP BY 1")
 def d4_fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.facts_of(mapping.facts(spark, sf_dir).withColumnRenamed("subject", "subject_id"), ["verified"])

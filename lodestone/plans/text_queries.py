@@ -304,6 +304,37 @@ def c15_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.numeric_matches(rows, asked.unionByName(more)).select("fact_id", "query_id")
 
 
+#: Filters told from orders: with and without a property, a unit and either end; facts told from line items likewise.
+OPEN_FILTERS = """
+WITH q AS (
+  SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 5 = 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END END AS property, CASE o_orderkey % 4 WHEN 0 THEN 'mg_l' WHEN 1 THEN 'g_l' WHEN 2 THEN 'l_s' END AS unit,
+    CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 10 - 5000 END AS lo, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice / 10 - 4995 END AS hi FROM orders),
+f AS (SELECT p_partkey AS fact_id, CASE WHEN p_partkey % 4 > 0 THEN CASE p_size % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END END AS property, CASE p_partkey % 5 WHEN 0 THEN 'mg_l' WHEN 1 THEN 'g_l' WHEN 2 THEN 'm3_h' WHEN 3 THEN 'm3_day' END AS unit, p_retailprice - 950 AS v FROM part),
+k(a, b, k) AS (VALUES ('g_l', 'mg_l', 1000.0::DOUBLE), ('mg_l', 'g_l', 0.001::DOUBLE), ('m3_h', 'l_s', 1 / 3.6::DOUBLE)),
+m AS (
+  SELECT query_id, fact_id, CASE WHEN f.unit IS NULL OR q.unit IS NULL OR f.unit = q.unit THEN v ELSE v * k END AS x, lo, hi FROM q JOIN f ON q.property IS NULL OR f.property IS NULL OR q.property = f.property
+  LEFT JOIN k ON k.a = f.unit AND k.b = q.unit)
+SELECT query_id, count(*) AS n, sum(fact_id)::BIGINT AS facts FROM m WHERE (lo IS NULL AND hi IS NULL) OR (x IS NOT NULL AND coalesce(x >= lo, true) AND coalesce(x <= hi, true)) GROUP BY 1"""
+
+
+@query(OPEN_FILTERS)
+def c15_open_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a filter, most of them without a property, against every part as a fact."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("double")
+    name = lambda c: F.when(c == 0, "R").when(c == 1, "A").otherwise("N")
+    asked = table(spark, sf_dir, "orders").select(
+        key.alias("query_id"), F.when(F.col("o_custkey") % 5 == 0, name(F.col("o_custkey") % 3)).alias("property"), F.lit("between").alias("comparator"), none.alias("value"),
+        F.when(key % 7 > 0, F.col("o_totalprice") / 10 - 5000).alias("min_value"), F.when(key % 11 > 0, F.col("o_totalprice") / 10 - 4995).alias("max_value"),
+        F.when(key % 4 == 0, "mg_l").when(key % 4 == 1, "g_l").when(key % 4 == 2, "l_s").alias("unit"),
+    )
+    p, size = F.col("p_partkey"), F.col("p_size") % 3
+    rows = table(spark, sf_dir, "part").select(
+        p.alias("fact_id"), F.when(p % 4 > 0, name(size)).alias("property"), F.lit("=").alias("comparator"), (F.col("p_retailprice") - 950).alias("value"), none.alias("min_value"), none.alias("max_value"),
+        F.when(p % 5 == 0, "mg_l").when(p % 5 == 1, "g_l").when(p % 5 == 2, "m3_h").when(p % 5 == 3, "m3_day").alias("unit"),
+    )
+    return facts.numeric_matches(rows, asked).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("fact_id").alias("facts"))
+
+
 @query("""
 WITH f AS (SELECT l_partkey::VARCHAR AS subject, CASE WHEN l_orderkey % 9 > 0 THEN l_returnflag END AS property, l_linestatus AS unit, CASE WHEN l_orderkey % 4 = 0 THEN l_extendedprice END AS value, l_quantity AS low, CASE WHEN l_orderkey % 5 > 1 THEN l_quantity + 20 WHEN l_orderkey % 5 = 1 THEN 0 END AS high FROM lineitem),
 r AS (SELECT subject, property, unit, coalesce(value, low) AS lo, CASE WHEN value IS NOT NULL THEN value WHEN coalesce(high, 0) <> 0 THEN high ELSE low END AS hi FROM f WHERE property IS NOT NULL),
