@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate, extract
+from ..operators import backfill, evaluate
 from ..sources import files, sinks
 from . import mapping
 from .mapping import table
 from .register import registry
+from .text_queries import NORMAL
 
 QUERIES, ORACLES, query = registry()
 
@@ -121,15 +122,67 @@ def a16_missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.missing_embeddings(mapping.chunks(spark, sf_dir).select("document_id"), have, "m")
 
 
-@query("""
-WITH f AS (SELECT doc_id AS fact_id, substr(text, 1 + length(text) // 2, 260) AS e, text FROM documents WHERE length(text) > 10)
-SELECT fact_id, fact_id AS document_id, (instr(text, e) - 1)::INT AS start, (instr(text, e) - 1 + length(e))::INT AS stop FROM f""")
+#: Documents as the chunks of fifty sources, some with a page marker, and facts with six forms of evidence.
+BACKFILL = r"""
+WITH raw AS (SELECT doc_id AS document_id, doc_id % 50 AS source_id, doc_id // 50 AS chunk_no, CASE WHEN doc_id % 7 = 0 THEN '[page ' || doc_id || '] ' ELSE '' END || text AS text, CASE WHEN doc_id % 3 = 0 THEN 'page ' || doc_id END AS locator FROM documents),
+c AS (SELECT * REPLACE (coalesce(locator, CASE WHEN document_id % 7 = 0 THEN 'page ' || document_id ELSE 'chunk ' || (chunk_no + 1) END) AS locator), {normal} AS body FROM raw),
+f AS (
+  SELECT document_id AS fact_id, CASE WHEN document_id % 13 > 0 THEN source_id END AS source_id, CASE WHEN document_id % 6 = 5 OR document_id % 11 = 3 THEN document_id END AS own, CASE WHEN document_id % 6 = 5 THEN 5 END AS own_start,
+    CASE document_id % 6 WHEN 0 THEN text[length(text) // 2 + 1:length(text) // 2 + 300] WHEN 1 THEN body[1:130] || ' zz ' || document_id WHEN 2 THEN text[length(text) // 2 + 1:length(text) // 2 + 30] WHEN 3 THEN 'zz absent ' || document_id WHEN 5 THEN 'x' END AS text FROM c),
+n AS (SELECT *, substring({normal}, 1, 260) AS needle FROM f),
+hit AS (
+  SELECT fact_id, arg_min({{'d': document_id, 's': CASE WHEN contains(body, needle) THEN strpos(body, needle) ELSE strpos(body, needle[1:120]) END - 1, 'n': CASE WHEN contains(body, needle) THEN length(needle) ELSE 120 END}}, chunk_no) AS h
+  FROM n JOIN c ON c.source_id = n.source_id AND (contains(body, needle) OR (length(needle) >= 40 AND contains(body, needle[1:120]))) WHERE needle <> '' AND (own IS NULL OR own_start IS NULL) GROUP BY 1),
+spot AS (
+  SELECT fact_id, h.d AS document_id, h.s AS start, h.s + h.n AS stop FROM hit
+  UNION ALL SELECT fact_id, x.document_id, 0, CASE WHEN length(x.text) > 0 THEN length(x.text) ELSE length(n.text) END FROM n JOIN c x ON x.document_id = coalesce(own, (SELECT arg_min(y.document_id, y.chunk_no) FROM c y WHERE y.source_id = n.source_id))
+  WHERE needle <> '' AND n.source_id IS NOT NULL AND (own IS NULL OR own_start IS NULL) AND fact_id NOT IN (SELECT fact_id FROM hit))
+"""
+
+
+def _backfilled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    i, none = F.col("document_id"), F.lit(None)
+    raw = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("source_id"), F.floor(F.col("doc_id") / 50).alias("chunk_no"),
+        F.concat(F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("[page "), "doc_id", F.lit("] "))).otherwise(""), "text").alias("text"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("page "), "doc_id")).alias("locator"), none.cast("string").alias("locator_type"), none.cast("int").alias("start_char"), none.cast("int").alias("end_char"),
+    )
+    half = F.floor(F.length("text") / 2).cast("int") + 1
+    evidence = (
+        F.when(i % 6 == 0, F.substring(F.col("text"), half, F.lit(300))).when(i % 6 == 1, F.concat(F.substring(text.normalize_text(F.col("text")), 1, 130), F.lit(" zz "), i))
+        .when(i % 6 == 2, F.substring(F.col("text"), half, F.lit(30))).when(i % 6 == 3, F.concat(F.lit("zz absent "), i)).when(i % 6 == 5, "x")
+    )
+    rows = raw.select(
+        i.alias("fact_id"), F.when(i % 13 > 0, F.col("source_id")).alias("source_id"), F.when((i % 6 == 5) | (i % 11 == 3), i).alias("document_id"), evidence.alias("evidence"),
+        none.cast("string").alias("evidence_locator"), F.when(i % 6 == 5, 5).alias("evidence_start"), none.cast("int").alias("evidence_end"),
+    )
+    return backfill.backfill(rows, raw, raw.where("document_id % 2 = 0").select("document_id"))
+
+
+@query(BACKFILL.format(normal=NORMAL) + """
+SELECT fact_id, coalesce(own, spot.document_id) AS document_id, locator AS evidence_locator, coalesce(own_start, start)::INT AS evidence_start, stop::INT AS evidence_end
+FROM f LEFT JOIN spot USING (fact_id) LEFT JOIN c ON c.document_id = coalesce(spot.document_id, CASE WHEN own_start IS NOT NULL THEN own END)""")
 def a17_evidence_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence cut from the middle of each document is found again in it."""
-    chunks = mapping.chunks(spark, sf_dir).withColumn("chunk_no", F.lit(0))
-    middle = F.substring(F.col("text"), F.lit(1) + F.floor(F.length("text") / 2).cast("int"), F.lit(260))
-    facts = chunks.where(F.length("text") > 10).select(F.col("document_id").alias("fact_id"), "source_id", middle.alias("evidence"))
-    return extract.evidence_backfill(facts, chunks)
+    """Evidence from the middle or the begin of chunks, with another end, absent, missing, or placed already."""
+    return _backfilled(spark, sf_dir)["facts"].select("fact_id", "document_id", "evidence_locator", "evidence_start", "evidence_end")
+
+
+@query(BACKFILL.format(normal=NORMAL) + """
+SELECT document_id, c.locator, least(50, len(rows) - CASE WHEN named THEN 1 ELSE 0 END) AS n_rows FROM c JOIN (
+  SELECT *, len(rows[1]) = width AND len(list_filter(rows[1], lambda x: x = '')) = 0 AS named FROM (
+    SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM (
+      SELECT document_id, list_transform(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda s: contains(s, ' | ')), lambda s: list_transform(string_split(trim(s), '|'), lambda x: trim(x))) AS rows FROM c) WHERE len(rows) >= 2) WHERE width >= 2) USING (document_id)
+WHERE document_id % 2 = 1""")
+def a17_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipe tables of the chunks that have none yet."""
+    return _backfilled(spark, sf_dir)["tables"].select("document_id", "locator", "n_rows")
+
+
+@query("""
+SELECT document_id, locator, CASE WHEN document_id % 3 = 0 THEN NULL WHEN document_id % 7 = 0 THEN 'page' ELSE 'chunk' END AS locator_type FROM c""".replace("SELECT", BACKFILL.format(normal=NORMAL) + "SELECT", 1))
+def a17_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators by marker or number where chunks have none."""
+    return _backfilled(spark, sf_dir)["documents"].select("document_id", "locator", "locator_type")
 
 
 @query("SELECT 'documents' AS name, count(*) AS n, 100 AS least, count(*) >= 100 AS ok FROM documents UNION ALL SELECT 'pages', count(*), 1000000, count(*) >= 1000000 FROM pages")
