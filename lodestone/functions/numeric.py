@@ -50,7 +50,7 @@ def scaled(i: Column, factor: Column) -> Column:
 
 
 def numeric_warnings(unit: Column, value: Column, low: Column, high: Column) -> Column:
-    """Names of the rules that a condition breaks; empty for a valid one."""
+    """Names of the rules that a condition breaks; empty for a valid one. The names and bounds are fixed values."""
     values = F.array_compact(F.array(value, low, high))
     some = lambda test: F.exists(values, test)
     rule = lambda when, name: F.when(when, F.lit(name))

@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that search ignores, and words too common in this corpus to rank by.
-STOP_WORDS = tuple(
-    "какие какой какая для при если исходная требуемый покажите все между последние где как что и в на по за the and or of in for with каковы считается описаны существуют".split()
+STOP_WORDS = (
+    "какие", "какой", "какая", "для", "при", "если", "исходная", "требуемый", "покажите", "все", "между", "последние",
+    "где", "как", "что", "и", "в", "на", "по", "за", "the", "and", "or", "of", "in", "for", "with", "каковы",
+    "считается", "описаны", "существуют",
+)
+NOISE_WORDS = (
+    "есть", "методы", "подходят", "вода", "воды", "содержит", "последних", "последние", "пробелы", "комбинации",
+    "concentration", "total", "dissolved", "solids",
 )
-NOISE_WORDS = tuple("есть методы подходят вода воды содержит последних последние пробелы комбинации concentration total dissolved solids".split())
 
 #: Bounds of the size buckets, in MiB.
 SIZE_BOUNDS = ((1, "<1MB"), (10, "1-10MB"), (50, "10-50MB"), (100, "50-100MB"))

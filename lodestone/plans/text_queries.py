@@ -93,9 +93,20 @@ terms(category, canonical, pattern) AS (VALUES {", ".join(f"('{c}', '{n}', '(?i)
 hits AS (SELECT DISTINCT doc_id, {TYPE_OF} AS type, canonical FROM documents, terms WHERE regexp_matches({NORMAL}, pattern))"""
 
 
-@query(f"WITH {HITS} SELECT doc_id, type, canonical FROM hits")
+#: The place of a term: after what stands before the first match, and after the sign of its left border, if it begins with one.
+PLACED = f"""
+WITH words(category, canonical, alias) AS (VALUES {", ".join(f"('{c}', '{n}', '{a.lower()}')" for c, n, a in TERMS)}),
+patterns AS (SELECT *, '(?i)' || CASE WHEN alias LIKE '% %' THEN alias ELSE '(?:^|[^\\p{{L}}\\p{{N}}_])' || alias || '(?:[^\\p{{L}}\\p{{N}}_]|$)' END AS pattern FROM words),
+spots AS (
+  SELECT doc_id, {TYPE_OF} AS type, canonical, alias, length(regexp_split_to_array(body, pattern)[1]) + CASE WHEN lower(regexp_extract(body, pattern)[1]) = alias[1] THEN 0 ELSE 1 END AS start
+  FROM (SELECT doc_id, {NORMAL} AS body FROM documents), patterns WHERE regexp_matches(body, pattern))
+"""
+
+
+@query(PLACED + "SELECT doc_id, type, canonical, min(start)::INT AS start, (min(start) + arg_min(length(alias), struct_pack(s := start, l := -length(alias))))::INT AS stop FROM spots GROUP BY doc_id, type, canonical")
 def b10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), _terms(spark)).select("doc_id", "type", "canonical")
+    """The earliest hit of every term with its place in the normalized text."""
+    return extract.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), _terms(spark)).select("doc_id", "type", "canonical", "start", "stop")
 
 
 @query(f"""WITH {HITS}
