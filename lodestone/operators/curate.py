@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import shared_table
+
 #: What a review does to a fact's status; a comment leaves it.
 REVIEW_STATUS = {"verify": "verified", "reject": "rejected", "contradict": "contradicted", "supersede": "superseded"}
 SEVERITY = ("low", "medium", "high", "critical")
@@ -131,6 +133,74 @@ def fact_history(facts: DataFrame, reviews: DataFrame, assignments: DataFrame, d
     return out
 
 
+def supersede_chains(facts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, reviews, rejects) after commands (seq, old_id, new_id, reviewer, role, comment), applied in the order of seq, chains of any length
+    in one call.
+
+    The old fact becomes superseded and is reviewed as such; the new one links to the old of its last command; its version is its own, or one more
+    than the old one's at that time, if that is more. A command whose facts are the same or unknown is rejected.
+
+    What a command gives its new fact is the longest way to it through earlier commands, each of which made the next one's old fact. Ways double in
+    length each round: a command hands what it knows to those 1, 2, 4, ... steps on, so a chain of a thousand links takes ten rounds. Every round
+    is checkpointed; only whether any way is left comes to the driver."""
+    known = facts.select("id", F.coalesce("version", F.lit(1)).alias("_version"))
+    valid = commands.where("old_id <> new_id").join(known.select(F.col("id").alias("new_id")), "new_id", "left_semi").join(known.withColumnsRenamed({"id": "old_id", "_version": "_old_version"}), "old_id")
+    gives = shared_table(valid.select("seq", "old_id", "new_id", (F.col("_old_version") + 1).alias("value")))
+    made, takes = gives.select("seq", F.col("new_id").alias("fact")), gives.select(F.col("seq").alias("to"), F.col("old_id").alias("fact"))
+    ways, step = shared_table(made.join(takes, "fact").where("seq < to").select("seq", "to").distinct()), 1
+    while not ways.isEmpty():
+        told = ways.join(gives.select("seq", "value"), "seq").groupBy(F.col("to").alias("seq")).agg((F.max("value") + step).alias("more"))
+        gives = shared_table(gives.join(told, "seq", "left").withColumn("value", F.greatest("value", F.coalesce("more", "value"))).drop("more"))
+        ways, step = shared_table(ways.join(ways.select(F.col("seq").alias("to"), F.col("to").alias("on")), "to").select("seq", F.col("on").alias("to")).distinct()), 2 * step
+    new = gives.groupBy(F.col("new_id").alias("id")).agg(F.max("value").alias("_value"), F.max_by("old_id", "seq").alias("_from"))
+    old = gives.select(F.col("old_id").alias("id"), F.lit(True).alias("_old")).distinct()
+    out = facts.join(old, "id", "left").join(new, "id", "left").withColumns({
+        "status": F.when(F.col("_old"), "superseded").otherwise(F.col("status")),
+        "version": F.greatest("version", "_value"),
+        "supersedes_fact_id": F.coalesce("_from", "supersedes_fact_id"),
+    }).select(*facts.columns)
+    done = commands.join(gives.select("seq"), "seq", "left_semi")
+    reviews = done.select("seq", F.col("old_id").alias("fact_id"), "reviewer", "role", F.lit("mark_superseded").alias("action"), "comment")
+    return out, reviews, commands.join(gives.select("seq"), "seq", "left_anti").withColumn("reason", F.lit("same or unknown facts"))
+
+
+def chains(facts: DataFrame) -> DataFrame:
+    """(id, root, place): the first fact of each fact's chain of replacements, and how many links lead to it, by pointer doubling over
+    supersedes_fact_id. A link to an unknown fact ends a chain there; facts of a circle, and those that lead into one, have neither."""
+    ids = facts.select("id")
+    links = facts.where("supersedes_fact_id IS NOT NULL").select("id", F.col("supersedes_fact_id").alias("to")).join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    at = shared_table(ids.join(links, "id", "left").select("id", F.coalesce("to", "id").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("to").isNull().alias("done")))
+    # a way of more links than there are facts is a circle
+    for _ in range(max(1, at.count()).bit_length() + 1):
+        if at.where("NOT done").isEmpty():
+            break
+        beyond = at.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("place").alias("_place"), F.col("done").alias("_done"))
+        moved = at.where("NOT done").join(beyond, "root").select("id", F.col("_root").alias("root"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done"))
+        at = shared_table(at.where("done").unionByName(moved))
+    return at.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("place")).alias("place"))
+
+
+def history_rows(facts: DataFrame, reviews: DataFrame, assignments: DataFrame, disputes: DataFrame, comments: DataFrame) -> DataFrame:
+    """(id, kind, ref, actor, said) of everything that happened to each fact, in long form, so that a fact of any length of history is no
+    group: reviews (fact_id, seq, reviewer, action), assignments (fact_id, seq, assignee, status), disputes (fact_id, dispute_id, severity, status),
+    their comments (dispute_id, comment_id, author, comment), the fact that it supersedes, those that supersede it, and its chain (root, and its place)."""
+    row = lambda df, kind, ref, actor, said: df.select(F.col("fact_id").alias("id"), F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref"), F.col(actor).cast("string").alias("actor") if actor else F.lit(None).cast("string").alias("actor"), said.cast("string").alias("said"))
+    own = facts.select(F.col("id").alias("fact_id"))
+    of = lambda df: df.join(own, "fact_id", "left_semi")
+    links = facts.where("supersedes_fact_id IS NOT NULL").select(F.col("id").alias("fact_id"), "supersedes_fact_id", "status")
+    back = links.select(F.col("supersedes_fact_id").alias("fact_id"), F.col("fact_id").alias("by"), "status")
+    placed = chains(facts).where("place > 0").select(F.col("id").alias("fact_id"), "root", "place")
+    parts = [
+        row(of(reviews), "review", "seq", "reviewer", F.col("action")), row(of(assignments), "assignment", "seq", "assignee", F.col("status")), row(of(disputes), "dispute", "dispute_id", None, F.concat_ws(" ", "severity", "status")),
+        row(of(disputes).select("fact_id", "dispute_id").join(comments, "dispute_id"), "dispute_comment", "comment_id", "author", F.col("comment")),
+        row(links, "supersedes", "supersedes_fact_id", None, F.col("status")), row(of(back), "superseded_by", "by", None, F.col("status")), row(placed, "chain", "root", None, F.col("place")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def pending_queue(facts: DataFrame, assignments: DataFrame, limit: int = 100) -> DataFrame:
     """Facts that wait for a decision, surest first, with the active assignee."""
     active = assignments.where("status = 'active'").groupBy(F.col("fact_id").alias("id")).agg(F.max_by("assignee", "seq").alias("assignee"))

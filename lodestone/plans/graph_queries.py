@@ -321,6 +321,53 @@ def f6_fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("id", F.size("reviews").cast("long").alias("n_reviews"), F.element_at("reviews", 1)["seq"].alias("first_seq"))
 
 
+#: Orders as facts in chains: each customer's orders replace one another in the order of their numbers, and every eleventh order is no fact.
+CHAINED = """
+WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey, 1 + o_orderkey % 3 AS version FROM orders WHERE o_orderkey % 11 <> 5),
+cmd AS (SELECT o_orderkey AS seq, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS old_id, o_orderkey AS new_id FROM orders),
+valid AS (SELECT * FROM cmd WHERE old_id IN (SELECT id FROM o) AND new_id IN (SELECT id FROM o)),
+walk(id, version, root, place) AS (
+  SELECT id, version, id, 0::BIGINT FROM o WHERE id NOT IN (SELECT new_id FROM valid)
+  UNION ALL SELECT o.id, greatest(o.version, w.version + 1), w.root, w.place + 1 FROM walk w JOIN valid ON old_id = w.id JOIN o ON o.id = new_id)
+"""
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.where("o_orderkey % 11 <> 5").select(F.col("o_orderkey").alias("id"), F.lit("candidate").alias("status"), (F.lit(1) + F.col("o_orderkey") % 3).cast("long").alias("version"), F.lit(None).cast("long").alias("supersedes_fact_id"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    commands = orders.select(F.col("o_orderkey").alias("seq"), before.alias("old_id"), F.col("o_orderkey").alias("new_id"), F.lit("r").alias("reviewer"), F.lit("analyst").alias("role"), F.lit(None).cast("string").alias("comment")).where("old_id IS NOT NULL")
+    return curate.supersede_chains(rows, commands)
+
+
+@query(CHAINED + "SELECT w.id, CASE WHEN w.id IN (SELECT old_id FROM valid) THEN 'superseded' ELSE 'candidate' END AS status, version::BIGINT AS version, old_id AS supersedes_fact_id FROM walk w LEFT JOIN valid ON new_id = w.id")
+def f5_supersede_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as one chain of replacements, in one call."""
+    return _chained(spark, sf_dir)[0]
+
+
+@query(CHAINED + """,
+h AS (
+  SELECT user_id AS id, 'review' AS kind, event_id AS ref, event_type AS actor, CASE event_type WHEN 'click' THEN 'verify' WHEN 'error' THEN 'reject' WHEN 'view' THEN 'comment' WHEN 'purchase' THEN 'contradict' ELSE 'supersede' END AS said FROM events
+  UNION ALL SELECT o_custkey, 'assignment', o_orderkey, o_orderstatus, 'active' FROM orders
+  UNION ALL SELECT o_custkey, 'dispute', o_orderkey, NULL, CASE o_orderpriority[1] WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END || ' ' || CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END FROM orders
+  UNION ALL SELECT o_custkey, 'dispute_comment', l_linenumber, l_returnflag, 'part ' || l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION ALL SELECT new_id, 'supersedes', old_id, NULL, CASE WHEN new_id IN (SELECT old_id FROM valid) THEN 'superseded' ELSE 'candidate' END FROM valid
+  UNION ALL SELECT old_id, 'superseded_by', new_id, NULL, CASE WHEN new_id IN (SELECT old_id FROM valid) THEN 'superseded' ELSE 'candidate' END FROM valid
+  UNION ALL SELECT id, 'chain', root, NULL, place::VARCHAR FROM walk WHERE place > 0)
+SELECT kind, id, count(*) AS n, sum(ref)::BIGINT AS refs, min(actor) AS first_actor, min(said) AS first_said, max(said) AS last_said FROM h WHERE id IN (SELECT id FROM o) GROUP BY 1, 2""")
+def f6_history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that happened to each fact: reviews, assignments, disputes with comments, replacements and chains."""
+    rows, orders = _chained(spark, sf_dir)[0], table(spark, sf_dir, "orders")
+    assignments = orders.select(F.col("o_custkey").alias("fact_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("assignee"), F.lit("active").alias("status"))
+    disputes = mapping.disputes(spark, sf_dir).select(F.col("id").alias("dispute_id"), "fact_id", "severity", "status")
+    comments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dispute_id"), F.col("l_linenumber").alias("comment_id"), F.col("l_returnflag").alias("author"), F.concat(F.lit("part "), "l_partkey").alias("comment"))
+    found = curate.history_rows(rows, mapping.reviews(spark, sf_dir), assignments, disputes, comments)
+    return found.groupBy("kind", "id").agg(F.count("*").alias("n"), F.sum("ref").alias("refs"), F.min("actor").alias("first_actor"), F.min("said").alias("first_said"), F.max("said").alias("last_said"))
+
+
 @query("""
 WITH a AS (SELECT event_id, user_id FROM events)
 SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linestatus = 'O' ORDER BY 1 - l_discount DESC, 1 DESC LIMIT 100""".replace("WITH a AS (SELECT event_id, user_id FROM events)\n", ""))

@@ -49,7 +49,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, "recommendation").otherwise("measured").alias("predicate"), F.when(flag == "R", "version").when(flag == "A", "recovery").otherwise("temperature").alias("property"),
         F.lit("between").alias("comparator"), F.lit(None).cast("double").alias("value"), F.col("l_quantity").cast("double").alias("min_value"), (F.col("l_quantity") + 20).cast("double").alias("max_value"),
         F.when(flag == "R", "percent").otherwise("mg_l").alias("unit"), (1 - F.col("l_discount")).cast("double").alias("confidence"), (1 - F.col("l_tax")).cast("double").alias("extraction_confidence"),
-        F.when(F.col("l_tax") > 0.05, "suspicious").otherwise("valid").alias("validation_status"), F.concat(F.lit("line "), "l_linenumber").alias("evidence_locator"), F.col("l_comment").alias("evidence") if "l_comment" in li.columns else F.lit("line item").alias("evidence"),
+        F.when(F.col("l_tax") > 0.05, "suspicious").otherwise("valid").alias("validation_status"), F.concat(F.lit("line "), "l_linenumber").alias("evidence_locator"), F.lit("line item").alias("evidence"),
     )
 
 
