@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import both_ways
-
-
-def accessible(sources: DataFrame, access: Column) -> DataFrame:
-    return sources.where(access)
+from .graph import both_ways, low_connectivity, shared_table
 
 
 def of_sources(rows: DataFrame, sources: DataFrame, column: str = "source_id") -> DataFrame:
@@ -83,3 +79,22 @@ def manager_summary(sources: DataFrame, facts: DataFrame, disputes: DataFrame, a
     open_ = F.col("status") != "resolved"
     d = disputes.agg(F.count_if(open_).alias("open_disputes"), F.count_if(open_ & (F.col("due_at") < as_of)).alias("overdue_disputes"))
     return s.crossJoin(f).crossJoin(d)
+
+
+def board(sources: DataFrame, facts: DataFrame, edges: DataFrame, entities: DataFrame, disputes: DataFrame, reviews: DataFrame, experiments: DataFrame, access: Column, as_of: Column, as_of_year: int) -> dict[str, DataFrame]:
+    """All panels as one viewer sees them: of the sources that `access` allows, and of the facts, edges, disputes (fact_id) and reviews (fact_id,
+    reviewer, created_at) that belong to these; what has no source is in no panel. Experiments have no access filter, as in the surveyed system.
+
+    The sources that may be seen are found once, and so are the ids of their facts; the rest are semi-joins to these."""
+    seen = shared_table(sources.where(access))
+    mine = facts.where("source_id IS NOT NULL")
+    mine = of_sources(mine, seen)
+    ids = shared_table(mine.select(F.col("id").alias("fact_id")).distinct())
+    ends = of_sources(edges.where("source_id IS NOT NULL"), seen)
+    disputed, reviewed = disputes.join(ids, "fact_id", "left_semi"), reviews.join(ids, "fact_id", "left_semi")
+    return {
+        "sources_by_type": counts_by(seen, "source_type"), "entities_by_type": entities_by_type(ends, entities), "facts_by_status": counts_by(mine, "status", missing="candidate"),
+        "facts_by_validation": counts_by(mine, "validation_status", missing="valid"), "coverage": coverage_by_property(mine), "freshness": freshness(seen), "stale": stale_list(seen, as_of_year),
+        "disputes": disputes_by_severity(disputed), "overdue": overdue_list(disputed, as_of), "reviewers": reviewer_activity(reviewed), "experiments": counts_by(experiments, "process"),
+        "low_connectivity": low_connectivity(entities, ends, ["Process", "Material"]), "summary": manager_summary(seen, mine, disputed, as_of, as_of_year),
+    }

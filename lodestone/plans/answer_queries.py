@@ -16,12 +16,13 @@ QUERIES, ORACLES, query = registry()
 
 
 @query("""
-SELECT l_suppkey AS source_id, count(DISTINCT p_name) + 1 AS names FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+SELECT source_id, count(*) AS n_names, md5(string_agg(name, '|' ORDER BY name)) AS names FROM (
+  SELECT DISTINCT l_suppkey AS source_id, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT l_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY 1""")
 def c7_source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names at the edges of each supplier: its parts' and its own."""
     entities = mapping.supply_entities(spark, sf_dir).withColumn("normalized_name", F.col("name"))
     edges = mapping.supply_edges(spark, sf_dir).withColumn("source_id", F.col("subject_id") - 10_000_000)
-    return retrieve.entity_names(edges, entities).select("source_id", F.size("names").cast("long").alias("names"))
+    return retrieve.entity_names(edges, entities).select("source_id", F.size("names").cast("long").alias("n_names"), F.md5(F.array_join(F.array_sort("names"), "|")).alias("names"))
 
 
 #: Each part as a candidate: brand and type are wanted terms, the name's words are alias tokens.
@@ -128,12 +129,17 @@ def c18_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS query_id, len(list_slice(list(l_orderkey), 1, 30)) AS n_sources FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
+WITH s AS (SELECT l_suppkey AS query_id, l_orderkey AS id, (l_tax * 100)::INT AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_tax DESC, l_orderkey) AS nth FROM lineitem),
+f AS (SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS id, ((1 - l_discount) * 100)::INT AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY 1 - l_discount DESC, l_orderkey * 10 + l_linenumber) AS nth FROM lineitem)
+SELECT query_id, sources, facts FROM (SELECT query_id, md5(string_agg(id || ':' || score, ',' ORDER BY nth)) AS sources FROM s WHERE nth <= 30 GROUP BY 1)
+JOIN (SELECT query_id, md5(string_agg(id || ':' || score, ',' ORDER BY nth)) AS facts FROM f WHERE nth <= 30 GROUP BY 1) USING (query_id)""")
 def c20_evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thirty sources and facts of each supplier, in order, with their scores in hundredths."""
     li = table(spark, sf_dir, "lineitem").withColumn("query_id", F.col("l_suppkey"))
     found = li.select("query_id", F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("document_id"), F.col("l_tax").alias("score"))
     rows = mapping.facts(spark, sf_dir).withColumn("query_id", F.col("source_id"))
-    return facts.evidence_pack(found, rows).select("query_id", F.size("sources").cast("long").alias("n_sources"))
+    told = lambda c, key, score: F.md5(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[key], F.round(x[score] * 100).cast("int"))), ","))
+    return facts.evidence_pack(found, rows).select("query_id", told("sources", "source_id", "score").alias("sources"), told("facts", "fact_id", "confidence").alias("facts"))
 
 
 @query("""
@@ -165,13 +171,16 @@ def b26_query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", facts.query_intent(F.col("q")).alias("intent"), facts.query_years(F.col("q"), 2024).alias("y")).select("o_orderkey", "intent", "y.*")
 
 
-@query("SELECT p_type AS query_id, count(DISTINCT w) AS n_tokens FROM (SELECT p_type, unnest(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]{3,}')) AS w FROM (SELECT DISTINCT p_type, min(p_brand) OVER (PARTITION BY p_type) AS p_brand FROM part)) GROUP BY 1")
+@query("""
+WITH one AS (SELECT p_type, min(p_brand) AS alias FROM part GROUP BY 1),
+w AS (SELECT p_type, regexp_extract_all(lower(p_type || ' ' || replace(p_type, '_', ' ') || ' ' || alias), '[a-z0-9]{3,}') AS words FROM one)
+SELECT p_type AS query_id, array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i), ' ') AS tokens FROM w""")
 def b27_alias_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types as canonical names with one alias each."""
+    """Part types as canonical names with one alias each; the tokens in order."""
     one = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_brand").alias("alias"))
     terms = one.select(F.lit("materials").alias("category"), F.col("p_type").alias("canonical"), "alias")
     parsed = one.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("canonical"))
-    return retrieve.alias_tokens(parsed, terms).select("query_id", F.size("tokens").cast("long").alias("n_tokens"))
+    return retrieve.alias_tokens(parsed, terms).select("query_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("SELECT p_name AS subject, 'validated_by' AS predicate, p_type AS object FROM part UNION ALL SELECT p_name, 'uses_material', unnest([p_brand, 'steel']) FROM part")
@@ -195,7 +204,7 @@ def b25_curated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), m AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey = 1)
-SELECT CASE WHEN l_suppkey = 1 AND l_partkey IN (SELECT l_partkey FROM m) THEN 99999999 ELSE l_suppkey + 10000000 END AS subject_id, count(*) AS edges FROM e GROUP BY 1""")
+SELECT CASE WHEN l_suppkey = 1 AND l_partkey IN (SELECT l_partkey FROM m) THEN 99999999 ELSE l_suppkey + 10000000 END AS subject_id, count(*) AS edges, sum(l_partkey)::BIGINT AS parts, min(l_partkey) AS first_part, max(l_partkey) AS last_part FROM e GROUP BY 1""")
 def d8_split_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first supplier's returned parts go to a new entity."""
     edges = mapping.supply_edges(spark, sf_dir)
@@ -204,7 +213,7 @@ def d8_split_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_suppkey = 1").select((F.col("l_suppkey") + 10_000_000).alias("s"), "l_partkey").distinct()
     listed = returned.select(F.xxhash64("s", "l_partkey").alias("edge_id"))
     _, _, moved = graph.split_entity(entities, edges.select("id", "subject_id", "object_id"), edges, 10_000_001, new, listed.select(F.col("edge_id").alias("fact_id")), listed)
-    return moved.groupBy("subject_id").agg(F.count("*").alias("edges"))
+    return moved.groupBy("subject_id").agg(F.count("*").alias("edges"), F.sum("object_id").alias("parts"), F.min("object_id").alias("first_part"), F.max("object_id").alias("last_part"))
 
 
 @query()

@@ -137,15 +137,16 @@ def d6_low_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem),
 m AS (SELECT DISTINCT CASE WHEN s % 10 = 0 AND s > 10 THEN 10 ELSE s END AS s, o FROM e)
-SELECT s + 10000000 AS subject_id, count(*) AS edges FROM m GROUP BY 1""")
+SELECT s + 10000000 AS id, count(*) AS edges, sum(o)::BIGINT AS parts, CASE WHEN s = 10 THEN (SELECT string_agg(s_name, ',' ORDER BY s_name) FROM supplier WHERE s_suppkey % 10 = 0 AND s_suppkey > 10) ELSE '' END AS aliases FROM m WHERE s IN (SELECT s_suppkey FROM supplier) GROUP BY s""")
 def d7_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth supplier is merged into the first such one."""
+    """Every tenth supplier is merged into the first such one, which takes their names as aliases and their edges, each part once."""
     entities = mapping.supply_entities(spark, sf_dir).withColumns({"aliases": F.array().cast("array<string>")})
     edges = mapping.supply_edges(spark, sf_dir)
     pairs = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0 AND s_suppkey > 10").select((F.col("s_suppkey") + 10_000_000).alias("old_id"), F.lit(10_000_010).cast("long").alias("new_id"))
     facts = edges.select("id", "subject_id", "object_id")
-    _, _, merged = graph.merge_entities(entities, facts, edges, pairs)
-    return merged.groupBy("subject_id").agg(F.count("*").alias("edges"))
+    kept, _, merged = graph.merge_entities(entities, facts, edges, pairs)
+    counts = merged.groupBy(F.col("subject_id").alias("id")).agg(F.count("*").alias("edges"), F.sum("object_id").alias("parts"))
+    return kept.where("type = 'Process'").join(counts, "id").select("id", "edges", "parts", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query("SELECT source AS source_type, count(*) AS n FROM documents GROUP BY 1")
@@ -226,6 +227,51 @@ def e12_manager_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.manager_summary(mapping.sources(spark, sf_dir), mapping.facts(spark, sf_dir), mapping.disputes(spark, sf_dir), _as_of(), 2024)
 
 
+BOARD = DISPUTES.replace("WITH d AS", "WITH d0 AS") + f""",
+s AS (SELECT doc_id AS id, source AS source_type, CASE WHEN doc_id % 16 < 15 THEN 2010 + doc_id % 16 END AS year FROM documents WHERE doc_id % 4 < 2),
+f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS source_id, l_returnflag AS property, CASE WHEN l_linestatus = 'O' THEN 'candidate' ELSE 'verified' END AS status, CASE WHEN l_tax > 0.05 THEN 'suspicious' ELSE 'valid' END AS validation_status FROM lineitem WHERE l_partkey IN (SELECT id FROM s)),
+e AS (SELECT DISTINCT l_suppkey + 10000000 AS a, l_partkey AS b FROM lineitem WHERE l_partkey IN (SELECT id FROM s)),
+d AS (SELECT * FROM d0 WHERE id * 10 + 1 IN (SELECT id FROM f)),
+v AS (SELECT event_type AS reviewer FROM events WHERE user_id * 10 + 1 IN (SELECT id FROM f)),
+ends AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e),
+low AS (SELECT 'Material' AS type, p_name AS name, node FROM ends JOIN part ON p_partkey = node GROUP BY ALL HAVING count(*) = 1 UNION ALL SELECT 'Process', s_name, node FROM ends JOIN supplier ON s_suppkey + 10000000 = node GROUP BY ALL HAVING count(*) = 1),
+late AS (SELECT * FROM d WHERE status <> 'resolved' AND due_at < TIMESTAMP '{AS_OF}')
+"""
+
+
+@query(BOARD + """
+SELECT 'sources_by_type' AS panel, source_type AS key, count(*) AS n FROM s GROUP BY 2
+UNION ALL SELECT 'entities_by_type', CASE WHEN node >= 10000000 THEN 'Process' ELSE 'Material' END, count(DISTINCT node) FROM ends GROUP BY 2
+UNION ALL SELECT 'facts_by_status', status, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'facts_by_validation', validation_status, count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'coverage', property || ':' || unnest(['facts', 'sources', 'verified', 'flagged']), unnest([count(*), count(DISTINCT source_id), count(*) FILTER (status = 'verified'), count(*) FILTER (validation_status = 'suspicious')]) FROM f GROUP BY property
+UNION ALL SELECT 'freshness', coalesce(year::VARCHAR, 'unknown'), count(*) FROM s GROUP BY year
+UNION ALL (SELECT 'stale', id::VARCHAR, coalesce(year, 0) FROM s WHERE year IS NULL OR year < 2019 ORDER BY year NULLS FIRST, id LIMIT 25)
+UNION ALL SELECT 'disputes', severity || ':' || status, count(*) FROM d GROUP BY 2
+UNION ALL (SELECT 'overdue', id::VARCHAR, 1 FROM late ORDER BY due_at, id LIMIT 25)
+UNION ALL SELECT 'reviewers', reviewer, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'experiments', p_type, count(*) FROM part GROUP BY 2
+UNION ALL (SELECT 'low_connectivity', name, 1 FROM low ORDER BY type, name, node LIMIT 20)
+UNION ALL SELECT 'summary', unnest(['sources', 'stale_sources', 'facts', 'verified_facts', 'contradicted_facts', 'flagged_facts', 'open_disputes', 'overdue_disputes']), unnest([(SELECT count(*) FROM s), (SELECT count(*) FROM s WHERE year IS NULL OR year < 2019), (SELECT count(*) FROM f),
+  (SELECT count(*) FROM f WHERE status = 'verified'), 0, (SELECT count(*) FROM f WHERE validation_status = 'suspicious'), (SELECT count(*) FROM d WHERE status <> 'resolved'), (SELECT count(*) FROM late)])""")
+def e_board_under_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every panel of the dashboard as a researcher sees it; half of the documents, and most parts, are hidden or no sources."""
+    facts = mapping.facts(spark, sf_dir).withColumn("source_id", F.col("subject").cast("long"))
+    edges = mapping.supply_edges(spark, sf_dir).withColumn("source_id", F.col("object_id"))
+    disputes = mapping.disputes(spark, sf_dir).withColumn("fact_id", F.col("id") * 10 + 1)
+    reviews = mapping.reviews(spark, sf_dir).select((F.col("fact_id") * 10 + 1).alias("fact_id"), "reviewer", F.col("at").alias("created_at"))
+    panels = dashboard.board(mapping.sources(spark, sf_dir), facts, edges, mapping.supply_entities(spark, sf_dir), disputes, reviews, table(spark, sf_dir, "part").select(F.col("p_type").alias("process")), may_see(F.col("confidentiality"), "researcher"), _as_of(), 2024)
+    keys = {"sources_by_type": "source_type", "entities_by_type": "type", "facts_by_status": "status", "facts_by_validation": "validation_status", "freshness": "year", "reviewers": "reviewer", "experiments": "process"}
+    each = lambda names: F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("long").alias("n")) for c in names)))
+    row = lambda panel, key, n=F.col("n"): panels[panel].select(F.lit(panel).alias("panel"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+    out = [row(panel, F.col(key)) for panel, key in keys.items()]
+    out += [row("stale", F.col("id"), F.coalesce("year", F.lit(0))), row("disputes", F.concat_ws(":", "severity", "status")), row("overdue", F.col("id"), F.lit(1)), row("low_connectivity", F.col("name"), F.col("edges"))]
+    out.append(panels["coverage"].select("property", each(["facts", "sources", "verified", "flagged"]).alias("x")).select(F.lit("coverage").alias("panel"), F.concat_ws(":", "property", "x.c").alias("key"), "x.n"))
+    out.append(panels["summary"].select(each(panels["summary"].columns).alias("x")).select(F.lit("summary").alias("panel"), F.col("x.c").alias("key"), "x.n"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 REVIEWS = """
 WITH c AS (SELECT event_id AS seq, user_id AS fact_id, ts, CASE event_type WHEN 'click' THEN 'verify' WHEN 'error' THEN 'reject' WHEN 'view' THEN 'comment' WHEN 'purchase' THEN 'contradict' ELSE 'supersede' END AS action, event_type FROM events)
 """

@@ -179,6 +179,46 @@ def b23_document_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Parts as files in four folders: some with front matter, whole or in part; the sentences are those of MEASURED.
+INGESTED = """
+WITH f AS (
+  SELECT p_partkey AS source_id, CASE p_partkey % 4 WHEN 0 THEN '/c/reports/' WHEN 1 THEN '/c/2011/статьи/' WHEN 2 THEN '/c/misc/' ELSE '/c/patents/1999/' END || 'file ' || p_partkey || '.md' AS path, p_size,
+    p_partkey % 3 = 0 AS named, p_partkey % 5 = 0 AS rated, p_partkey % 7 = 0 AS dated FROM part),
+m AS (
+  SELECT source_id, path, CASE WHEN named THEN 'Title ' || source_id ELSE 'file ' || source_id END AS title, CASE source_id % 4 WHEN 0 THEN 'report' WHEN 1 THEN 'article' ELSE 'uploaded_document' END AS source_type, 'en' AS language,
+    CASE WHEN named THEN 'Chile' ELSE 'everywhere' END AS geography, CASE WHEN dated THEN 2020 WHEN source_id % 4 = 1 THEN 2011 WHEN source_id % 4 = 3 THEN 1999 WHEN source_id BETWEEN 1900 AND 2099 THEN source_id END AS year, CASE WHEN rated THEN (source_id % 9) / 10.0 ELSE 0.55 END::DOUBLE AS reliability_score,
+    CASE WHEN rated THEN 'secret' ELSE 'internal' END AS confidentiality, p_size FROM f)
+"""
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    key = F.col("source_id")
+    folder = F.when(key % 4 == 0, "/c/reports/").when(key % 4 == 1, "/c/2011/статьи/").when(key % 4 == 2, "/c/misc/").otherwise("/c/patents/1999/")
+    said = F.concat_ws("\n", F.when(key % 3 == 0, F.concat(F.lit("title: 'Title "), key, F.lit("'\ngeography: Chile"))), F.when(key % 5 == 0, F.concat(F.lit("reliability_score: "), (key % 9) / 10, F.lit("\nconfidentiality: secret"))), F.when(key % 7 == 0, "year: 2020\nnote: x"))
+    block = F.when(said != "", F.concat(F.lit("---\n"), said, F.lit("\n---\n"))).otherwise("")
+    files = _measured(spark, sf_dir).select("source_id", F.concat(folder, F.lit("file "), key, F.lit(".md")).alias("path"), F.concat(block, "text").alias("text"))
+    terms = spark.createDataFrame(MEASURE_TERMS, "category string, canonical string, alias string")
+    return ingest.ingest_documents(files, terms, spark.createDataFrame(UNITS, "canonical string, alias string"), {"geography": "everywhere"})
+
+
+@query(INGESTED + "SELECT source_id, path, title, source_type, language, geography, year::INT AS year, reliability_score, confidentiality FROM m")
+def b23_ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file is by its front matter, path and the defaults."""
+    return _ingested(spark, sf_dir)["sources"].select("source_id", "path", "title", "source_type", "language", "geography", "year", "reliability_score", "confidentiality")
+
+
+@query(INGESTED + """,
+s AS (SELECT *, 'In leaching calcium was ' || p_size || '-' || (p_size + 10) || ' мг/л, the temperature ≤ ' || p_size || ' °C and recovery ' || p_size * 3 || ' %.' AS said FROM m),
+v AS (
+  SELECT source_id, reliability_score, 'calcium_concentration' AS property, false AS odd, strpos(said, 'was ') + 3 AS start, strpos(said, ' мг/л') + 4 AS stop FROM s
+  UNION ALL SELECT source_id, reliability_score, 'temperature', false, strpos(said, '≤') - 1, strpos(said, '°C') + 1 FROM s
+  UNION ALL SELECT source_id, reliability_score, 'recovery', p_size * 3 > 100, strpos(said, 'recovery ') + 7, strpos(said, '%') FROM s)
+SELECT source_id, property, 'leaching' AS subject, reliability_score AS confidence, round(CASE WHEN odd THEN greatest(0.1, reliability_score - 0.25) ELSE reliability_score END, 6) AS extraction_confidence, start::INT AS evidence_start, stop::INT AS evidence_end, 'chunk 1' AS evidence_locator FROM v""")
+def b23_ingested_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of each file with their source's reliability, and where their values stand."""
+    return _ingested(spark, sf_dir)["facts"].select("source_id", "property", "subject", "confidence", F.round("extraction_confidence", 6).alias("extraction_confidence"), "evidence_start", "evidence_end", "evidence_locator")
+
+
 PIPES = r"""
 WITH l AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: contains(s, ' | ')), lambda s: list_transform(string_split(trim(s), '|'), lambda c: trim(c))) AS rows FROM documents),
 w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM l WHERE len(rows) >= 2),
