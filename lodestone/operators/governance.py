@@ -168,6 +168,28 @@ def replace_members(members: DataFrame, commands: DataFrame, users: DataFrame) -
     return kept.unionByName(known), rejects
 
 
+def apply_group_commands(groups: DataFrame, members: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, members, rejects) after commands (seq, action upsert or delete, group_id, display_name, role, external_id) on groups (id, display_name, role,
+    external_id) and members (group_id, user_id), in the order of seq.
+
+    A group goes by its id, else its name, else its external id; its name is its id where it has none; its role must be known, if it has one. A
+    deletion needs a group that is there at that time, and takes its members, who do not come back with a later upsert. All other commands are rejected."""
+    named = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+    key = F.coalesce(named("group_id"), F.when(F.col("action") == "upsert", F.coalesce(named("display_name"), named("external_id"))))
+    told = commands.withColumns({"_id": key, "_role": F.lower(F.trim("role"))})
+    fits = F.coalesce((F.col("action") == "delete") | ((F.col("action") == "upsert") & (F.coalesce("_role", F.lit("")).isin("", *ROLES))), F.lit(False)) & F.col("_id").isNotNull()
+    there = groups.select(F.col("id").alias("_id"), F.lit(True).alias("_there"))
+    # a deletion finds what the last upsert or deletion before it has left
+    before = told.where(fits).join(there, "_id", "left").withColumn("_before", F.lag("action").over(Window.partitionBy("_id").orderBy("seq")))
+    valid = before.where((F.col("action") == "upsert") | F.coalesce(F.col("_before") == "upsert", F.col("_there"), F.lit(False)))
+    last = valid.groupBy("_id").agg(F.max_by(F.struct("action", F.coalesce(named("display_name"), F.col("_id")).alias("display_name"), F.when(F.col("_role") != "", F.col("_role")).alias("role"), "external_id"), "seq").alias("_c"), F.bool_or(F.col("action") == "delete").alias("_gone"))
+    both = groups.join(last.withColumnRenamed("_id", "id"), "id", "full").where(F.col("_c").isNull() | (F.col("_c.action") == "upsert"))
+    new = F.col("_c").isNotNull()
+    out = both.select("id", *(F.when(new, F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c) for c in ("display_name", "role", "external_id")))
+    kept = members.join(last.where("_gone").select(F.col("_id").alias("group_id")), "group_id", "left_anti")
+    return out, kept.select(*members.columns), commands.join(valid.select("seq"), "seq", "left_anti").withColumn("reason", F.lit("no such group, no name, or unknown role or action"))
+
+
 def find_users(users: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, id) for asked names: by id, else user_name, else external_id."""
     hits = None

@@ -123,6 +123,44 @@ def g14a_directory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.sync_users(users, snapshot, F.lit("1998-01-01").cast("timestamp_ntz"))[0].select("id", "role", "active")
 
 
+#: Nations as groups, customers as members, and orders as commands on the groups of five times as many numbers; some have no id but a name.
+GROUPS = """
+WITH g AS (SELECT n_nationkey::VARCHAR AS id, n_name AS display_name, CASE WHEN n_regionkey = 0 THEN 'analyst' END AS role, NULL::VARCHAR AS external_id FROM nation),
+c AS (
+  SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'delete' WHEN o_orderkey % 17 = 1 THEN 'rename' ELSE 'upsert' END AS action, CASE WHEN o_orderkey % 7 > 0 THEN (o_custkey % 125)::VARCHAR END AS group_id, CASE WHEN o_orderkey % 5 > 0 THEN ' name ' || o_custkey % 30 || ' ' END AS display_name,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Manager' WHEN 1 THEN 'nobody' WHEN 2 THEN '' END AS role FROM orders),
+k AS (SELECT *, coalesce(group_id, CASE WHEN action = 'upsert' THEN trim(display_name) END) AS id FROM c),
+f AS (SELECT *, lag(action) OVER (PARTITION BY id ORDER BY seq) AS before FROM k WHERE id IS NOT NULL AND (action = 'delete' OR (action = 'upsert' AND coalesce(role, '') <> 'nobody'))),
+v AS (SELECT * FROM f WHERE action = 'upsert' OR coalesce(before = 'upsert', id IN (SELECT id FROM g))),
+l AS (SELECT id, arg_max({'action': action, 'name': coalesce(trim(display_name), id), 'role': CASE WHEN role = 'Manager' THEN 'manager' END}, seq) AS x, bool_or(action = 'delete') AS gone FROM v GROUP BY 1)
+"""
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    none = F.lit(None).cast("string")
+    groups = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("display_name"), F.when(F.col("n_regionkey") == 0, "analyst").alias("role"), none.alias("external_id"))
+    members = mapping.users(spark, sf_dir).select(F.col("nation").cast("string").alias("group_id"), F.col("id").alias("user_id"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    commands = table(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.when(k % 3 == 0, "delete").when(k % 17 == 1, "rename").otherwise("upsert").alias("action"), F.when(k % 7 > 0, (c % 125).cast("string")).alias("group_id"), F.when(k % 5 > 0, F.concat(F.lit(" name "), c % 30, F.lit(" "))).alias("display_name"),
+        F.when(k % 4 == 0, "Manager").when(k % 4 == 1, "nobody").when(k % 4 == 2, "").alias("role"), none.alias("external_id"),
+    )
+    return governance.apply_group_commands(groups, members, commands)
+
+
+@query(GROUPS + "SELECT coalesce(l.id, g.id) AS id, CASE WHEN l.id IS NOT NULL THEN l.x.name ELSE g.display_name END AS display_name, CASE WHEN l.id IS NOT NULL THEN l.x.role ELSE g.role END AS role FROM g FULL JOIN l ON l.id = g.id WHERE l.id IS NULL OR l.x.action = 'upsert'")
+def g14a_group_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups after upserts and deletions in order."""
+    return _grouped(spark, sf_dir)[0].select("id", "display_name", "role")
+
+
+@query(GROUPS + "SELECT c_nationkey::VARCHAR AS group_id, c_custkey::VARCHAR AS user_id, 'member' AS kind FROM customer WHERE c_nationkey::VARCHAR NOT IN (SELECT id FROM l WHERE gone) UNION ALL SELECT NULL, seq::VARCHAR, 'reject' FROM c WHERE seq NOT IN (SELECT seq FROM v)")
+def g14a_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that no deletion took, and the commands that were rejected."""
+    _, members, rejects = _grouped(spark, sf_dir)
+    return members.withColumn("kind", F.lit("member")).unionByName(rejects.select(F.lit(None).cast("string").alias("group_id"), F.col("seq").cast("string").alias("user_id"), F.lit("reject").alias("kind")))
+
+
 @query("SELECT n_nationkey::BIGINT AS group_id, c_custkey::VARCHAR AS user_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0 OR c_custkey % 2 = 0")
 def g14b_replace_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = mapping.users(spark, sf_dir)

@@ -116,6 +116,46 @@ def a15_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.progress(_files(spark, sf_dir), _manifest(spark, sf_dir))
 
 
+#: Documents as files of ten kinds in their source's folder; two in three are in the manifest, with files that are elsewhere.
+REPORTED = """
+WITH k AS (SELECT doc_id, ['md', 'doc', 'rar', 'part2.rar', 'zip', '001', '002', 'png', 'docx', 'xyz'][doc_id % 10 + 1] AS kind, coalesce(source, '') AS folder FROM documents),
+f AS (SELECT *, '/root/' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE folder || '/' END || doc_id || '.' || kind AS path, regexp_extract(kind, '[^.]+$') AS suffix FROM k),
+m AS (
+  SELECT *, CASE WHEN doc_id % 3 = 1 THEN ['indexed', 'failed', 'unsupported', 'duplicate_skipped'][doc_id // 7 % 4 + 1] ELSE ['archive_indexed', 'failed'][doc_id // 7 % 2 + 1] END AS status, CASE WHEN doc_id // 14 % 3 = 0 THEN 'no_chunks' WHEN doc_id // 14 % 3 = 1 THEN 'image' END AS error FROM f WHERE doc_id % 3 > 0),
+b AS (
+  SELECT path, suffix, kind, folder, doc_id, NULL AS status, NULL AS error, true AS there, false AS listed FROM f WHERE doc_id % 3 = 0 UNION ALL SELECT path, suffix, kind, folder, doc_id, status, error, true, true FROM m
+  UNION ALL SELECT '/old/' || doc_id || '.md', 'md', 'md', folder, doc_id, 'indexed', NULL, false, true FROM f WHERE doc_id % 9 = 0),
+t AS (
+  SELECT *, there AND NOT listed AS pending, CASE WHEN kind = 'zip' THEN 'supported_archive' WHEN kind IN ('md', 'docx') THEN 'supported' ELSE 'unsupported' END AS triage,
+    CASE kind WHEN 'doc' THEN 'install_soffice_for_legacy_office' WHEN 'rar' THEN 'ingest_with_unrar_extraction' WHEN 'part2.rar' THEN 'skip_auxiliary_rar_volume' WHEN 'zip' THEN 'ingest_zip_archive' WHEN '001' THEN 'ingest_split_archive_reconstruction'
+      WHEN '002' THEN 'skip_auxiliary_split_archive_part' WHEN 'png' THEN 'requires_image_ocr_pipeline' WHEN 'xyz' THEN 'manual_format_triage' ELSE 'continue_batch_ingest' END AS action,
+    CASE WHEN status = 'unsupported' THEN CASE WHEN error = 'image' THEN 'wait_for_image_ocr_pipeline' WHEN kind = 'rar' THEN 'retry_unsupported_with_unrar' WHEN kind = 'part2.rar' THEN 'skip_auxiliary_rar_volume' WHEN kind = '001' THEN 'retry_split_archive_reconstruction'
+      WHEN kind = '002' THEN 'skip_auxiliary_split_archive_part' WHEN kind = 'png' THEN 'wait_for_image_ocr_pipeline' ELSE 'manual_format_triage' END
+      WHEN status = 'failed' AND error = 'no_chunks' THEN 'requires_ocr_for_failed_document' WHEN status = 'failed' THEN 'retry_failed_after_error_triage' END AS retry FROM b),
+rows AS (
+  SELECT path, 'total' AS part, 'files' AS key, false AS sampled FROM t WHERE there UNION ALL SELECT path, 'total', 'manifest', false FROM t WHERE listed UNION ALL SELECT path, 'total', 'manifested', false FROM t WHERE there AND listed
+  UNION ALL SELECT path, 'total', 'pending', false FROM t WHERE pending UNION ALL SELECT path, 'total', 'done', false FROM t WHERE there AND status IN ('indexed', 'archive_indexed', 'duplicate_skipped') UNION ALL SELECT path, 'total', 'elsewhere', false FROM t WHERE NOT there
+  UNION ALL SELECT path, 'status', status, false FROM t WHERE listed UNION ALL SELECT path, 'suffix_status', suffix || ':' || status, false FROM t WHERE listed UNION ALL SELECT path, 'root_status', status, false FROM t WHERE listed AND there
+  UNION ALL SELECT path, 'pending_status', triage, true FROM t WHERE pending UNION ALL SELECT path, 'pending_suffix', suffix, false FROM t WHERE pending UNION ALL SELECT path, 'pending_folder', CASE WHEN doc_id % 4 = 0 THEN '<root>' ELSE folder END, false FROM t WHERE pending
+  UNION ALL SELECT path, 'pending_action', action, true FROM t WHERE pending UNION ALL SELECT path, 'error', coalesce(error, '<unknown>'), true FROM t WHERE status = 'failed' UNION ALL SELECT path, 'retry_action', retry, true FROM t WHERE retry IS NOT NULL)
+SELECT part, key, count(*) AS n, CASE WHEN any_value(sampled) THEN array_to_string(list_sort(list(path))[1:4], ' ') END AS samples FROM rows GROUP BY 1, 2"""
+
+
+@query(REPORTED)
+def a15_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, states, folders, failure groups, actions and samples, with a RAR tool at hand and no office converter."""
+    key = F.col("doc_id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), n.cast("int") + 1)
+    told = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/root/"), F.when(key % 4 == 0, "").otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit("/"))), key, F.lit("."), pick(["md", "doc", "rar", "part2.rar", "zip", "001", "002", "png", "docx", "xyz"], key % 10)).alias("path"))
+    seventh = F.floor(key / 7)
+    status = F.when(key % 3 == 1, pick(["indexed", "failed", "unsupported", "duplicate_skipped"], seventh % 4)).otherwise(pick(["archive_indexed", "failed"], seventh % 2))
+    error = F.when(F.floor(key / 14) % 3 == 0, "no_chunks").when(F.floor(key / 14) % 3 == 1, "image")
+    listed = told.where("doc_id % 3 > 0").select("path", status.alias("status"), error.alias("error"))
+    elsewhere = told.where("doc_id % 9 = 0").select(F.concat(F.lit("/old/"), key, F.lit(".md")).alias("path"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("error"))
+    found = files.progress_report(told.select("path"), listed.unionByName(elsewhere), "/root", 4, extracts_rar=True)
+    return found.select("part", "key", "n", F.array_join("samples", " ").alias("samples"))
+
+
 @query("SELECT doc_id AS document_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def a16_missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit("m").alias("model"))

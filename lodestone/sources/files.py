@@ -230,6 +230,70 @@ def progress(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.groupBy(suffix(F.col("path")).alias("suffix"), "status").agg(F.count("*").alias("n")).withColumn("action", action)
 
 
+#: Suffixes by what they need, names of archive volumes, and what counts as done.
+LEGACY_OFFICE, IMAGES, SPLIT = ("doc", "xls", "ppt"), ("gif", "jpg", "jpeg", "png", "tif", "tiff"), ("001", "002")
+VOLUME = r"(?i)\.part0*(\d+)\.rar$"
+
+
+def _volume_action(path: Column, first: Column, tools: bool) -> Column:
+    """What a volume of a RAR archive needs: later ones come with the first."""
+    later = F.regexp_extract(file_name(path), VOLUME, 1).try_cast("int") > 1
+    return F.when(F.coalesce(later, F.lit(False)), "skip_auxiliary_rar_volume").otherwise(first)
+
+
+def pending_action(path: Column, status: Column, reason: Column, converts_office: bool = False, extracts_rar: bool = False) -> Column:
+    """What a file that the manifest does not have needs, by its suffix and triage, and by the tools at hand."""
+    kind = suffix(path)
+    return (
+        F.when(reason == "image", "requires_image_ocr_pipeline")
+        .when(kind.isin(*LEGACY_OFFICE), "ingest_with_soffice_conversion" if converts_office else "install_soffice_for_legacy_office")
+        .when(kind == "rar", _volume_action(path, F.lit("ingest_with_unrar_extraction" if extracts_rar else "install_unrar_for_rar"), extracts_rar))
+        .when(kind == "zip", "ingest_zip_archive").when(kind == "001", "ingest_split_archive_reconstruction").when(kind == "002", "skip_auxiliary_split_archive_part")
+        .when(kind.isin(*IMAGES), "requires_image_ocr_pipeline").when(status == "supported", "continue_batch_ingest").when(status == "supported_archive", "continue_archive_ingest")
+        .otherwise("manual_format_triage")
+    )
+
+
+def retry_action(path: Column, status: Column, error: Column, converts_office: bool = False, extracts_rar: bool = False) -> Column:
+    """What an unsupported or failed file of the manifest waits for; null for others."""
+    kind, said = suffix(path), F.coalesce(error, F.lit(""))
+    unsupported = F.when(said == "image", "wait_for_image_ocr_pipeline")
+    if converts_office:
+        unsupported = unsupported.when(kind.isin(*LEGACY_OFFICE), "retry_unsupported_with_soffice")
+    unsupported = unsupported.when(kind == "rar", _volume_action(path, F.lit("retry_unsupported_with_unrar" if extracts_rar else "manual_format_triage"), extracts_rar))
+    unsupported = unsupported.when(kind == "001", "retry_split_archive_reconstruction").when(kind == "002", "skip_auxiliary_split_archive_part").when(kind.isin(*IMAGES), "wait_for_image_ocr_pipeline").otherwise("manual_format_triage")
+    return F.when(status == "unsupported", unsupported).when((status == "failed") & (said == "no_chunks"), "requires_ocr_for_failed_document").when(status == "failed", "retry_failed_after_error_triage")
+
+
+def progress_report(files: DataFrame, manifest: DataFrame, root: str, sample: int = 10, converts_office: bool = False, extracts_rar: bool = False) -> DataFrame:
+    """(part, key, n, samples) of files (path) below root against the manifest (path, status, error): totals; the manifest by status, by suffix and status, of
+    files that are there and of others; pending files by status, suffix, folder and action; failures by error; retries by action. samples:
+    the first paths of pending states and actions, errors and retries.
+
+    Files and manifest meet once, each row gives its few (part, key), and sums are combined before the shuffle; samples are the first of each
+    block of a key and then of these, so a key's paths are never in one place."""
+    told = triage(F.col("path"))
+    both = files.select("path", F.lit(True).alias("_there")).join(manifest.select("path", "status", "error", F.lit(True).alias("_listed")), "path", "full")
+    there, listed = F.coalesce("_there", F.lit(False)), F.coalesce("_listed", F.lit(False))
+    folder = F.when(top_folder(F.col("path"), root) != "", top_folder(F.col("path"), root)).otherwise("<root>")
+    kind = F.when(suffix(F.col("path")) != "", suffix(F.col("path"))).otherwise("<none>")
+    pending, failed = there & ~listed, listed & (F.col("status") == "failed")
+    retry = retry_action(F.col("path"), F.col("status"), F.col("error"), converts_office, extracts_rar)
+    parts = [
+        (there, "total", F.lit("files"), False), (listed, "total", F.lit("manifest"), False), (there & listed, "total", F.lit("manifested"), False), (pending, "total", F.lit("pending"), False),
+        (there & listed & F.col("status").isin(*DONE), "total", F.lit("done"), False), (listed, "status", F.col("status"), False), (listed, "suffix_status", F.concat_ws(":", kind, "status"), False), (there & listed, "root_status", F.col("status"), False),
+        (listed & ~there, "total", F.lit("elsewhere"), False), (pending, "pending_status", told["status"], True), (pending, "pending_suffix", kind, False), (pending, "pending_folder", folder, False),
+        (pending, "pending_action", pending_action(F.col("path"), told["status"], told["reason"], converts_office, extracts_rar), True), (failed, "error", F.coalesce("error", F.lit("<unknown>")), True), (listed & retry.isNotNull(), "retry_action", retry, True),
+    ]
+    each = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(part).alias("part"), key.alias("key"), F.lit(sampled).alias("sampled"))) for when, part, key, sampled in parts)))
+    rows = both.select("path", F.explode(each).alias("x")).select("path", "x.*")
+    counts = rows.groupBy("part", "key").agg(F.count("*").alias("n"))
+    block = rows.where("sampled").withColumn("_block", F.pmod(F.xxhash64("path"), F.lit(64)))
+    some = block.withColumn("_n", F.row_number().over(Window.partitionBy("part", "key", "_block").orderBy("path"))).where(F.col("_n") <= sample)
+    first = some.withColumn("_n", F.row_number().over(Window.partitionBy("part", "key").orderBy("path"))).where(F.col("_n") <= sample)
+    return counts.join(first.groupBy("part", "key").agg(F.array_sort(F.collect_list("path")).alias("samples")), ["part", "key"], "left")
+
+
 def missing_embeddings(documents: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
     """Documents without a vector of the model."""
     return documents.join(embeddings.where(F.col("model") == model).select("document_id"), "document_id", "left_anti")
