@@ -148,3 +148,59 @@ def test_request_log_stream(spark, tmp_path):
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row.path, row.requests, row.errors, row.avg_ms, row.max_ms) == ("/x", 2, 1, 10.0, 15.0)
     assert ingest.batch_request_metrics(spark, str(tmp_path / "log")).count() == 2
+
+
+def states(spark, out):
+    rows = spark.read.schema(ingest.MANIFEST).parquet(f"{out}/manifest").orderBy("batch").collect()
+    return {r.path.rsplit("/in/", 1)[-1]: (r.status, (r.duplicate_of or "").rsplit("/in/", 1)[-1]) for r in rows}
+
+
+def test_stateful_ingest_knows_earlier_batches(spark, tmp_path):
+    """Duplicates across batches from the state alone, archives with members, broken files, and a repeated batch."""
+    import shutil
+
+    root, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    root.mkdir()
+    (root / "b [1].txt").write_text("first text")
+    (root / "a.txt").write_text("first text")
+    (root / "x.exe").write_text("first text")
+    (root / "bad.zip").write_bytes(b"PK broken")
+    with zipfile.ZipFile(root / "z.zip", "w") as z:
+        z.writestr("in.md", "inside")
+        z.writestr("a.md", "first text")
+    ingest.start_stateful_ingest(spark, str(root), out, mark).awaitTermination()
+    first = states(spark, out)
+    assert first["a.txt"] == ("indexed", "") and first["b [1].txt"] == ("duplicate_skipped", "a.txt") and first["x.exe"] == ("unsupported", "")
+    assert first["bad.zip"][0] == "failed" and first["z.zip"] == ("archive_indexed", "") and first["z.zip!/in.md"] == ("indexed", "") and first["z.zip!/a.md"] == ("duplicate_skipped", "a.txt")
+    # the manifest is not asked: without it the next batch still knows what came before
+    shutil.move(f"{out}/manifest", str(tmp_path / "moved"))
+    (root / "c.md").write_text("inside")
+    (root / "d.md").write_text("new")
+    (root / "e.md").write_text("  ")
+    ingest.start_stateful_ingest(spark, str(root), out, mark).awaitTermination()
+    second = states(spark, out)
+    assert second == {"c.md": ("duplicate_skipped", "z.zip!/in.md"), "d.md": ("indexed", ""), "e.md": ("failed", "")}
+    # a run that died after it wrote, before it was committed: the batch comes again and replaces itself
+    last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for stale in (last, last.with_name(f".{last.name}.crc")):
+        if stale.exists():
+            stale.unlink()
+    before = sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect())
+    ingest.start_stateful_ingest(spark, str(root), out, mark).awaitTermination()
+    assert states(spark, out) == second and sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect()) == before == ["first text", "inside", "new"]
+
+
+def test_retry_takes_what_has_changed(spark, tmp_path):
+    root, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    root.mkdir()
+    (root / "a.txt").write_text("one")
+    (root / "b.docx").write_bytes(b"broken")
+    (root / "c.exe").write_text("two")
+    ingest.start_stateful_ingest(spark, str(root), out, mark).awaitTermination()
+    assert {k: v[0] for k, v in states(spark, out).items()} == {"a.txt": "indexed", "b.docx": "failed", "c.exe": "unsupported"}
+    with zipfile.ZipFile(root / "b.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="x"><w:t>Mended</w:t></w:document>')
+    assert ingest.retry_ingest(spark, out) == 1
+    assert {k: v[0] for k, v in states(spark, out).items()} == {"a.txt": "indexed", "b.docx": "indexed", "c.exe": "unsupported"}
+    assert ingest.retry_ingest(spark, out) == 0 and ingest.retry_ingest(spark, out, unsupported=True) == 1
+    assert sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect()) == ["Mended", "one"]
