@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,45 +56,51 @@ def close_assignments(assignments: DataFrame, decided: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(done, "completed").otherwise(F.col("status")), "released_at": F.coalesce("_closed", "released_at")}).select(*assignments.columns)
 
 
-DISPUTE = "dispute_id long, fact_id long, severity string, status string, assignee string, due_at timestamp, escalated_at timestamp, resolved_by string, resolved_at timestamp, resolution string, fact_status string, n_comments long, rejected array<long>"
+def settle_disputes(commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(disputes, comments, reviews, rejects) after commands (dispute_id, fact_id, seq, action open, comment, escalate, assign or resolve, severity, assignee,
+    actor, due_at, resolution, fact_status, at) in the order of seq.
+
+    A dispute begins with its first opening, which makes its fact contradicted, and ends with the first resolution after it, which may set another
+    status; in between it can be escalated, to a named severity or by one step, and assigned; comments count until after its end. All else is
+    rejected. Openings and resolutions are reviews of the fact. These are extremes and counts, combined before the shuffle, so that a
+    dispute with any number of commands is no group."""
+    named = F.when(F.col("severity") != "", F.col("severity"))
+    opened = commands.where("action = 'open'").groupBy("dispute_id").agg(F.min("seq").alias("_open"), F.min_by(F.struct("fact_id", "severity", "assignee", "due_at"), "seq").alias("_first"))
+    after = commands.join(opened.select("dispute_id", "_open"), "dispute_id").where("seq >= _open")
+    ended = after.where("action = 'resolve'").groupBy("dispute_id").agg(F.min("seq").alias("_end"))
+    told = after.join(ended, "dispute_id", "left")
+    before_end = F.col("_end").isNull() | (F.col("seq") < F.col("_end"))
+    stands = (F.col("seq") == F.col("_open")) | (F.col("action") == "comment") | (F.col("seq") == F.col("_end")) | (F.col("action").isin("escalate", "assign") & before_end)
+    valid = told.where(stands & ((F.col("seq") > F.col("_open")) | (F.col("action") == "open"))).drop("_open", "_end")
+    of = lambda action: F.col("action") == action
+    last = valid.groupBy("dispute_id").agg(
+        F.count_if(of("comment")).alias("n_comments"), F.max(F.when(of("escalate"), F.col("seq"))).alias("_escalated"), F.max_by(F.when(of("escalate"), F.col("at")), F.when(of("escalate"), F.col("seq"))).alias("escalated_at"),
+        F.max(F.when(of("escalate") & named.isNotNull(), F.struct("seq", named.alias("severity")))).alias("_named"), F.max(F.when(of("assign"), F.struct("seq", "assignee"))).alias("_assigned"),
+        F.max(F.when(of("resolve"), F.struct("seq", "actor", "at", "resolution", "fact_status"))).alias("_done"),
+    )
+    # steps since the last severity that was named
+    steps = valid.where(of("escalate") & named.isNull()).join(last.select("dispute_id", F.coalesce("_named.seq", F.lit(-1)).alias("_since")), "dispute_id").where("seq > _since").groupBy("dispute_id").agg(F.count("*").alias("_steps"))
+    joined = opened.join(last, "dispute_id").join(steps, "dispute_id", "left")
+    level = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i, name in enumerate(SEVERITY) for x in (name, i))), F.coalesce("_named.severity", "_first.severity")), F.lit(0))
+    raised = F.element_at(F.array(*map(F.lit, SEVERITY)), F.least(level + F.col("_steps").cast("int"), F.lit(len(SEVERITY) - 1)) + 1)
+    disputes = joined.select(
+        "dispute_id", "_first.fact_id", F.when(F.col("_steps") > 0, raised).otherwise(F.coalesce("_named.severity", "_first.severity")).alias("severity"),
+        F.when(F.col("_done").isNotNull(), "resolved").when(F.col("_escalated").isNotNull(), "escalated").otherwise("open").alias("status"),
+        F.when(F.col("_assigned").isNotNull(), F.col("_assigned.assignee")).otherwise(F.col("_first.assignee")).alias("assignee"), "_first.due_at", "escalated_at", F.col("_done.actor").alias("resolved_by"),
+        F.col("_done.at").alias("resolved_at"), F.col("_done.resolution").alias("resolution"), F.coalesce(F.when(F.col("_done.fact_status") != "", F.col("_done.fact_status")), F.lit("contradicted")).alias("fact_status"), "n_comments",
+    )
+    comments = valid.where(of("comment")).select("dispute_id", F.col("seq").alias("comment_id"), F.col("actor").alias("author"), "at")
+    kinds = F.when(of("open"), "open_dispute").when(of("resolve"), "resolve_dispute")
+    reviews = valid.withColumn("_kind", kinds).where("_kind IS NOT NULL").join(opened.select("dispute_id", F.col("_first.fact_id").alias("_fact")), "dispute_id").select("seq", F.col("_fact").alias("fact_id"), F.col("actor").alias("reviewer"), F.col("_kind").alias("action"), F.col("resolution").alias("comment"), "at")
+    return disputes, comments, reviews, commands.join(valid.select("dispute_id", "seq"), ["dispute_id", "seq"], "left_anti")
 
 
 def fold_disputes(commands: DataFrame) -> DataFrame:
-    """A row for each dispute after its commands in order of seq: dispute_id, fact_id, seq, action (open, comment, escalate, assign,
-    resolve), severity, assignee, actor, due_at, resolution, fact_status, at.
-
-    Opening makes the fact contradicted; a resolution may set another status; a resolved dispute takes only comments. Commands
-    that do not apply are listed in `rejected`. One dispute's commands are few, and they depend on each other, hence a fold."""
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        state: dict | None = None
-        rejected: list[int] = []
-        comments = 0
-        for c in batch.sort_values("seq").to_dict("records"):
-            action = c["action"]
-            if action == "open" and state is None:
-                state = {"dispute_id": c["dispute_id"], "fact_id": c["fact_id"], "severity": c["severity"], "status": "open", "assignee": c["assignee"], "due_at": c["due_at"], "escalated_at": None, "resolved_by": None, "resolved_at": None, "resolution": None, "fact_status": "contradicted"}
-            elif state is None or action == "open" or (state["status"] == "resolved" and action != "comment"):
-                rejected.append(int(c["seq"]))
-            elif action == "comment":
-                comments += 1
-            elif action == "assign":
-                state["assignee"] = c["assignee"]
-            elif action == "escalate":
-                level = SEVERITY.index(state["severity"]) if state["severity"] in SEVERITY else 0
-                state |= {"status": "escalated", "severity": c["severity"] or SEVERITY[min(level + 1, len(SEVERITY) - 1)], "escalated_at": c["at"]}
-            elif action == "resolve":
-                state |= {"status": "resolved", "resolved_by": c["actor"], "resolved_at": c["at"], "resolution": c["resolution"], "fact_status": c["fact_status"] or state["fact_status"]}
-            else:
-                rejected.append(int(c["seq"]))
-        row = (state or {"dispute_id": batch["dispute_id"].iloc[0]}) | {"n_comments": comments, "rejected": rejected}
-        names = [f.split()[0] for f in DISPUTE.split(", ")]
-        out = pd.DataFrame([{n: row.get(n) for n in names}], columns=names)
-        for n in ("due_at", "escalated_at", "resolved_at"):
-            out[n] = pd.to_datetime(out[n])
-        return out
-
-    return commands.groupBy("dispute_id").applyInPandas(fold, DISPUTE)
+    """The disputes of settle_disputes, and for each dispute_id of commands the numbers of its rejected ones, in order."""
+    disputes, _, _, rejects = settle_disputes(commands)
+    listed = rejects.groupBy("dispute_id").agg(F.array_sort(F.collect_list("seq")).alias("rejected"))
+    ids = commands.select("dispute_id").distinct()
+    return ids.join(disputes, "dispute_id", "left").join(listed, "dispute_id", "left").withColumns({"n_comments": F.coalesce("n_comments", F.lit(0)), "rejected": F.coalesce("rejected", F.array().cast("array<long>"))})
 
 
 def dispute_list(disputes: DataFrame, comments: DataFrame, as_of: Column) -> DataFrame:

@@ -337,6 +337,49 @@ def f3_dispute_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.fold_disputes(commands).select("dispute_id", "status", "n_comments", F.size("rejected").cast("long").alias("n_rejected"), F.col("resolved_at").cast("timestamp_ntz").alias("resolved_at"))
 
 
+#: Events as commands on their users' disputes, of all kinds and in any order.
+SETTLED = """
+WITH c AS (
+  SELECT user_id AS d, event_id AS seq, ts, event_type AS actor, CASE event_id % 7 WHEN 2 THEN 'assign' WHEN 3 THEN 'escalate' WHEN 4 THEN 'open' WHEN 5 THEN 'escalate' WHEN 6 THEN CASE WHEN event_id % 5 = 0 THEN 'resolve' ELSE 'close' END ELSE 'comment' END AS action,
+    CASE WHEN event_id % 7 = 4 THEN 'medium' WHEN event_id % 14 = 5 THEN 'high' WHEN event_id % 14 = 12 THEN '' END AS severity FROM events),
+o AS (SELECT *, min(seq) FILTER (action = 'open') OVER (PARTITION BY d) AS o FROM c),
+e AS (SELECT *, min(seq) FILTER (action = 'resolve' AND seq > o) OVER (PARTITION BY d) AS e FROM o),
+v AS (SELECT * FROM e WHERE seq = o OR (seq > o AND (action = 'comment' OR seq = e OR (action IN ('assign', 'escalate') AND (e IS NULL OR seq < e))))),
+n AS (SELECT *, max(seq) FILTER (action = 'escalate' AND severity <> '') OVER (PARTITION BY d) AS named FROM v),
+s AS (
+  SELECT d, max(e) AS e, count(*) FILTER (action = 'comment') AS n_comments, count(*) FILTER (action = 'escalate') AS escalations, count(*) FILTER (action = 'escalate' AND coalesce(severity, '') = '' AND seq > coalesce(named, -1)) AS steps, max(named) AS named,
+    arg_max(seq, seq) FILTER (action = 'assign') AS assigned, arg_max(actor, seq) FILTER (action = 'resolve') AS resolved_by, max(ts) FILTER (action = 'escalate') AS escalated_at FROM n GROUP BY 1)
+"""
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    i, none = F.col("event_id"), F.lit(None)
+    kind = F.when(i % 7 == 2, "assign").when((i % 7 == 3) | (i % 7 == 5), "escalate").when(i % 7 == 4, "open").when((i % 7 == 6) & (i % 5 == 0), "resolve").when(i % 7 == 6, "close").otherwise("comment")
+    return curate.settle_disputes(table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("dispute_id"), F.col("user_id").alias("fact_id"), i.alias("seq"), kind.alias("action"), F.when(i % 7 == 4, "medium").when(i % 14 == 5, "high").when(i % 14 == 12, "").alias("severity"),
+        F.concat(F.lit("a"), i).alias("assignee"), F.col("event_type").alias("actor"), none.cast("timestamp_ntz").alias("due_at"), none.cast("string").alias("resolution"), F.when(i % 2 == 0, "verified").alias("fact_status"), F.col("ts").alias("at"),
+    ))
+
+
+@query(SETTLED + """
+SELECT s.d AS dispute_id, CASE WHEN e IS NOT NULL THEN 'resolved' WHEN escalations > 0 THEN 'escalated' ELSE 'open' END AS status, ['low', 'medium', 'high', 'critical'][least(CASE WHEN named IS NULL THEN 1 ELSE 2 END + steps, 3) + 1] AS severity,
+  'a' || coalesce(assigned, (SELECT min(o) FROM o WHERE o.d = s.d)) AS assignee, resolved_by, CASE WHEN e % 2 = 0 THEN 'verified' ELSE 'contradicted' END AS fact_status, n_comments, escalated_at FROM s""")
+def f3_dispute_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disputes after openings, comments, escalations, assignments and resolutions."""
+    return _settled(spark, sf_dir)[0].select("dispute_id", "status", "severity", "assignee", "resolved_by", "fact_status", "n_comments", "escalated_at")
+
+
+@query(SETTLED + """
+SELECT 'review' AS kind, d AS id, seq, CASE action WHEN 'open' THEN 'open_dispute' ELSE 'resolve_dispute' END AS action, actor FROM v WHERE action IN ('open', 'resolve')
+UNION ALL SELECT 'comment', d, seq, NULL, actor FROM v WHERE action = 'comment' UNION ALL SELECT 'reject', d, seq, action, actor FROM c WHERE seq NOT IN (SELECT seq FROM v)""")
+def f3_dispute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews and comments that disputes leave, and the commands that did not apply."""
+    _, comments, reviews, rejects = _settled(spark, sf_dir)
+    out = reviews.select(F.lit("review").alias("kind"), F.col("fact_id").alias("id"), "seq", "action", F.col("reviewer").alias("actor"))
+    out = out.unionByName(comments.select(F.lit("comment").alias("kind"), F.col("dispute_id").alias("id"), F.col("comment_id").alias("seq"), F.lit(None).cast("string").alias("action"), F.col("author").alias("actor")))
+    return out.unionByName(rejects.select(F.lit("reject").alias("kind"), F.col("dispute_id").alias("id"), "seq", "action", "actor"))
+
+
 @query(DISPUTES + f"""
 SELECT d.id, CASE WHEN status = 'resolved' THEN 'closed' WHEN due_at IS NULL THEN 'unassigned_sla' WHEN due_at < TIMESTAMP '{AS_OF}' THEN 'overdue' ELSE 'within_sla' END AS sla_state, coalesce(n, 0) AS n_comments
 FROM d LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = d.id""")

@@ -165,6 +165,20 @@ found AS (
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY numeric_match DESC, confidence DESC, year DESC NULLS LAST, fact_id) <= 24)"""
 
 
+@query("WITH " + REQUESTS.strip() + """
+SELECT query_id, array_to_string(materials, ',') AS materials, array_to_string(processes, ',') AS processes, array_to_string(equipment, ',') AS equipment, array_to_string(properties, ',') AS properties, array_to_string(geography, ',') AS geography,
+  intent, year_from::INT AS year_from, year_to::INT AS year_to, CASE WHEN bound IS NOT NULL THEN 'version <= ' || bound::INT || ' percent' ELSE '' END AS conditions, array_to_string(tokens, ' ') AS tokens FROM asked""")
+def b26_request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every request names: terms of five kinds, intent, years, numeric conditions, and its search tokens."""
+    asked = asked_of(spark, sf_dir)[0]
+    told = F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", c["property"], c["comparator"], c["value"].cast("int"), c["unit"])), "; ")
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return asked.select(
+        "query_id", joined("materials", "materials"), joined("processes", "processes"), joined("equipment", "equipment"), joined("properties", "properties"), joined("geography_terms", "geography"),
+        "intent", "year_from", "year_to", told.alias("conditions"), F.array_join("tokens", " ").alias("tokens"),
+    )
+
+
 @query("WITH " + REQUESTS.strip() + "\nSELECT query_id, doc_id AS source_id, method, score, array_to_string(matched, ',') AS matched_entities FROM chosen")
 def c24_request_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of every request: structured match, BM25, substrings or the most reliable ones, by the hybrid score."""
