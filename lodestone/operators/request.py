@@ -138,20 +138,23 @@ def documents(asked: DataFrame, groups: DataFrame, corpus: Corpus, k: int = 8) -
     first = shared_table(top_k(strict, 2 * k, *by_rank).withColumn("method", F.lit("structured")))
     left = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
     second = shared_table(top_k(any_of.join(left.select("query_id"), "query_id", "left_semi"), 2 * k, *by_rank).withColumn("method", F.lit("bm25")))
-    left = left.join(second.select("query_id").distinct(), "query_id", "left_anti")
-    spoken = left.where(F.size("tokens") > 0)
-    inside = substring_hits(corpus.chunks, spoken.select("query_id", "tokens")).withColumn("rank", F.lit(0.0))
-    third = shared_table(top_k(within(inside), 2 * k, *sure, "document_id").withColumn("method", F.lit("like")))
-    left = left.join(third.select("query_id").distinct(), "query_id", "left_anti")
-    # what is left shares one choice for each set of limits; a query without tokens takes its 2k as a match
-    asks = ["year_from", "year_to", "q_geography", "include_internal"]
-    kinds = left.select("query_id", *asks, (F.size("tokens") == 0).alias("mute")).withColumn("kind", F.xxhash64(*asks))
-    each = kinds.select("kind", *asks).dropDuplicates(["kind"])
-    most = min(160, max(40, 10 * k))
-    shared = top_k(each.crossJoin(told).where(fits).select("kind", "document_id", "year", "reliability_score"), most, *sure, F.col("document_id").desc(), group="kind")
-    mute = top_k(each.crossJoin(told).where(fits).select("kind", "document_id", "year", "reliability_score"), 2 * k, *sure, "document_id", group="kind")
-    chosen = lambda rows, mute_, rank, method: rows.join(kinds.where(F.col("mute") == mute_).select("query_id", "kind"), "kind").select("query_id", "document_id", F.lit(rank).cast("double").alias("rank"), "year", "reliability_score", F.lit(method).alias("method"))
-    found = shared_table(first.unionByName(second).unionByName(third).unionByName(chosen(mute, True, 0.0, "like")).unionByName(chosen(shared, False, None, "supplemental")))
+    left = shared_table(left.join(second.select("query_id").distinct(), "query_id", "left_anti"))
+    found = first.unionByName(second)
+    # texts are searched, and the most reliable chunks chosen, only if some query is left
+    if not left.isEmpty():
+        spoken = left.where(F.size("tokens") > 0)
+        inside = substring_hits(corpus.chunks, spoken.select("query_id", "tokens")).withColumn("rank", F.lit(0.0))
+        third = shared_table(top_k(within(inside), 2 * k, *sure, "document_id").withColumn("method", F.lit("like")))
+        left = left.join(third.select("query_id").distinct(), "query_id", "left_anti")
+        # what is left shares one choice for each set of limits; a query without tokens takes its 2k as a match
+        asks = ["year_from", "year_to", "q_geography", "include_internal"]
+        kinds = left.select("query_id", *asks, (F.size("tokens") == 0).alias("mute")).withColumn("kind", F.xxhash64(*asks))
+        each = kinds.select("kind", *asks).dropDuplicates(["kind"])
+        most = min(160, max(40, 10 * k))
+        shared = top_k(each.crossJoin(told).where(fits).select("kind", "document_id", "year", "reliability_score"), most, *sure, F.col("document_id").desc(), group="kind")
+        mute = top_k(each.crossJoin(told).where(fits).select("kind", "document_id", "year", "reliability_score"), 2 * k, *sure, "document_id", group="kind")
+        chosen = lambda rows, mute_, rank, method: rows.join(kinds.where(F.col("mute") == mute_).select("query_id", "kind"), "kind").select("query_id", "document_id", F.lit(rank).cast("double").alias("rank"), "year", "reliability_score", F.lit(method).alias("method"))
+        found = shared_table(found.unionByName(third).unionByName(chosen(mute, True, 0.0, "like")).unionByName(chosen(shared, False, None, "supplemental")))
     numbered = found.withColumn("candidate_rank", F.row_number().over(_of_query(F.round("rank", 9).asc_nulls_last(), *sure, F.when(F.col("method") == "supplemental", -F.col("document_id")).otherwise(F.col("document_id")))))
     rows = numbered.drop("year", "reliability_score").join(corpus.chunks.select("document_id", "source_id", "text"), "document_id").join(seen, "source_id")
     want = F.array_distinct(F.concat("wanted_materials", "wanted_processes", "properties"))

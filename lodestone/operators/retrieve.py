@@ -235,17 +235,21 @@ def search(chunks: DataFrame, sources: DataFrame, queries: DataFrame, index: Dat
     limited = lambda rows: rows.join(asked.select("query_id", "year_from", "year_to", "q_geography"), "query_id").join(told, "document_id").where(metadata_filter()).select(*rows.columns, "year", "reliability_score")
     # at most 2k rows a query; what follows reads them several times
     ranked = shared_table(top_k(limited(bm25(index, lengths, wanted)), 2 * k, F.round("rank", 9), F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"))
-    missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-    surest = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"]
-    loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, *surest)
-    # a query that even substrings leave without a candidate takes the most reliable chunks that it may see; all such queries
-    # of the same years and places share one choice
-    asks = ["year_from", "year_to", "q_geography"]
-    kinds = missed.join(loose.select("query_id").distinct(), "query_id", "left_anti").select("query_id", *asks).withColumn("kind", F.xxhash64(*asks))
-    each = kinds.select("kind", *asks).dropDuplicates(["kind"])
-    any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), min(160, max(40, 10 * k)), *surest)
-    last = any_.withColumnRenamed("query_id", "kind").join(kinds.select("query_id", "kind"), "kind").select(*loose.columns)
-    found = shared_table(with_fallback(asked, ranked, loose, last).select("query_id", "document_id", "rank", "method"))
+    missed = shared_table(asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti"))
+    tiers = [ranked]
+    # texts are searched only if some query has to fall back
+    if not missed.isEmpty():
+        surest = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last(), "document_id"]
+        loose = top_k(limited(substring_hits(allowed, missed).withColumn("rank", F.lit(0.0))), 2 * k, *surest)
+        # a query that even substrings leave without a candidate takes the most reliable chunks that it may see; all such queries
+        # of the same years and places share one choice
+        asks = ["year_from", "year_to", "q_geography"]
+        kinds = missed.join(loose.select("query_id").distinct(), "query_id", "left_anti").select("query_id", *asks).withColumn("kind", F.xxhash64(*asks))
+        each = kinds.select("kind", *asks).dropDuplicates(["kind"])
+        any_ = top_k(told.join(each, metadata_filter()).select(F.col("kind").alias("query_id"), "document_id", F.lit(0.0).alias("rank"), "year", "reliability_score"), min(160, max(40, 10 * k)), *surest)
+        last = any_.withColumnRenamed("query_id", "kind").join(kinds.select("query_id", "kind"), "kind").select(*loose.columns)
+        tiers += [loose, last]
+    found = shared_table(with_fallback(asked, *tiers).select("query_id", "document_id", "rank", "method"))
     rows = found.join(asked.select("query_id", "tokens", "wanted"), "query_id").join(allowed, "document_id")
     if callable(vectors):
         vectors = vectors(rows.select("document_id", "text").dropDuplicates(["document_id"]))
