@@ -165,6 +165,61 @@ def b13_units_and_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "unit_canonical", numeric.comparator(raw).alias("comparator"), F.array_join(warned, ",").alias("warnings"))
 
 
+#: How comparators are written, and what each means; no comparator and an unknown one too.
+WRITTEN = [
+    ("≤", "<="), ("<=", "<="), ("=<", "<="), ("не более", "<="), (" НЕ  БОЛЕЕ ", "<="), ("до", "<="), ("ниже", "<"), ("менее", "<"), ("<", "<"), ("≥", ">="), (">=", ">="), ("=>", ">="), ("не менее", ">="), ("от", ">="),
+    ("выше", ">"), ("более", ">"), (">", ">"), ("=", "="), ("", "="), ("примерно", "примерно"),
+]
+
+
+@query("WITH w(nth, written, meant) AS (VALUES " + ", ".join(f"({i}, '{w}', '{m}')" for i, (w, m) in enumerate(WRITTEN)) + f""")
+SELECT p_partkey, CASE WHEN p_partkey % 21 = 20 THEN '=' ELSE meant END AS comparator FROM part LEFT JOIN w ON nth = p_partkey % 21""")
+def b14_comparators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way to write a comparator, in turn, and none."""
+    written = F.get(F.array(*(F.lit(w) for w, _ in WRITTEN)), (F.col("p_partkey") % 21).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", numeric.comparator(written).alias("comparator"))
+
+
+@query("""
+WITH p AS (
+  SELECT p_partkey, ['celsius', 'percent', 'm_s', 'mg_l', 'rub_m3', 'usd_m3', 'other', NULL][p_partkey % 8 + 1] AS unit, CASE WHEN p_partkey % 3 > 0 THEN (p_size - 10.0) * 10 ** (p_partkey % 6) END AS v,
+    CASE WHEN p_partkey % 4 = 1 THEN p_size - 5.0 END AS lo, CASE WHEN p_partkey % 5 > 1 THEN 20.0 - p_size END AS hi FROM part),
+w AS (SELECT *, list_filter([v, lo, hi], lambda x: x IS NOT NULL) AS xs FROM p)
+SELECT p_partkey, concat_ws(',', CASE WHEN lo > hi THEN 'range_min_gt_max' END,
+  CASE WHEN unit IS DISTINCT FROM 'celsius' AND len(list_filter(xs, lambda x: x < 0)) > 0 THEN 'negative_value_for_non_temperature_unit' END,
+  CASE WHEN unit = 'percent' AND len(list_filter(xs, lambda x: x < 0 OR x > 100)) > 0 THEN 'percent_outside_0_100' END,
+  CASE WHEN unit = 'celsius' AND len(list_filter(xs, lambda x: x < -100 OR x > 2000)) > 0 THEN 'temperature_outside_expected_range' END,
+  CASE WHEN unit = 'm_s' AND len(list_filter(xs, lambda x: x < 0 OR x > 50)) > 0 THEN 'velocity_outside_expected_range' END,
+  CASE WHEN unit = 'mg_l' AND len(list_filter(xs, lambda x: x < 0 OR x > 1000000)) > 0 THEN 'concentration_outside_expected_range' END,
+  CASE WHEN unit IN ('rub_m3', 'usd_m3') AND len(list_filter(xs, lambda x: x <= 0)) > 0 THEN 'cost_not_positive' END) AS warnings FROM w""")
+def b15_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven rules, met and broken, with values and ends present and missing."""
+    key, size, none = F.col("p_partkey"), F.col("p_size"), F.lit(None).cast("string")
+    unit = F.get(F.array(*map(F.lit, ("celsius", "percent", "m_s", "mg_l", "rub_m3", "usd_m3", "other")), none), (key % 8).cast("int"))
+    value, low, high = F.when(key % 3 > 0, (size - 10.0) * F.pow(F.lit(10.0), key % 6)), F.when(key % 4 == 1, size - 5.0), F.when(key % 5 > 1, 20.0 - size)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(numeric.numeric_warnings(unit, value, low, high), ",").alias("warnings"))
+
+
+#: Sentences before a value, and what it measures: strong properties win wherever they stand last among properties, else the last name counts,
+#: and only what stands at most 110 characters before the value does.
+CONTEXTS = [
+    ("recovery and temperature", "temperature"), ("the temperature of calcium", "temperature"), ("ore grade of calcium", "calcium_concentration"), ("calcium in ore grade", "grade"), ("nothing", None),
+    ("temperature, then grade", "grade"), ("grade, then recovery, SO4", "recovery"), ("magnesium " + "and so on " * 12, None), ("Grade " + "and on " * 14, "grade"), ("upgrade of calciums", None), ("ore grade", "grade"),
+]
+
+
+@query("WITH s(nth, said, property) AS (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if m is None else repr(m)})" for i, (t, m) in enumerate(CONTEXTS)) + f""")
+SELECT p_partkey AS document_id, property, p_size::DOUBLE AS value, length(trim(said)) + 1 AS start FROM part JOIN s ON nth = p_partkey % {len(CONTEXTS)}""")
+def b12_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's size measures, by the sentence before it."""
+    terms = spark.createDataFrame([("properties", "temperature", "temperature"), ("properties", "recovery", "recovery"), ("properties", "grade", "grade"), ("properties", "grade", "ore grade")], "category string, canonical string, alias string")
+    said = F.get(F.array(*(F.lit(t) for t, _ in CONTEXTS)), (F.col("p_partkey") % len(CONTEXTS)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.concat(F.trim(said), F.lit(" "), "p_size", F.lit("%")).alias("text"))
+    found = extract.conditions(rows, terms, spark.createDataFrame([("percent", "%")], "canonical string, alias string"))
+    # a match begins with the blank before its number
+    return found.select("document_id", "property", "value", (F.col("start") + 1).alias("start"))
+
+
 @query("""
 SELECT 'sources' AS name, count(*) AS n FROM part UNION ALL SELECT 'documents', count(*) FROM part UNION ALL SELECT 'entities', 3 UNION ALL SELECT 'edges', count(*) * 3 FROM part
 UNION ALL SELECT 'facts', count(*) * 3 FROM part UNION ALL SELECT 'embeddings', count(*) FROM part UNION ALL SELECT 'tables', 0 UNION ALL SELECT 'failures', 0""")
