@@ -172,6 +172,7 @@ def supersede_chains(facts: DataFrame, commands: DataFrame) -> tuple[DataFrame,
 def chains(facts: DataFrame) -> DataFrame:
     """(id, root, place): the first fact of each fact's chain of replacements, and how many links lead to it, by pointer doubling over
     supersedes_fact_id. A link to an unknown fact ends a chain there; facts of a circle, and those that lead into one, have neither."""
+    facts = shared_table(facts.select("id", "supersedes_fact_id"))
     ids = facts.select("id")
     links = facts.where("supersedes_fact_id IS NOT NULL").select("id", F.col("supersedes_fact_id").alias("to")).join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
     at = shared_table(ids.join(links, "id", "left").select("id", F.coalesce("to", "id").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("to").isNull().alias("done")))
@@ -179,9 +180,9 @@ def chains(facts: DataFrame) -> DataFrame:
     for _ in range(max(1, at.count()).bit_length() + 1):
         if at.where("NOT done").isEmpty():
             break
+        # what has reached its root meets the root's own row, which leaves it as it is
         beyond = at.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("place").alias("_place"), F.col("done").alias("_done"))
-        moved = at.where("NOT done").join(beyond, "root").select("id", F.col("_root").alias("root"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done"))
-        at = shared_table(at.where("done").unionByName(moved))
+        at = shared_table(at.join(beyond, "root").select("id", F.col("_root").alias("root"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done")))
     return at.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("place")).alias("place"))
 
 
