@@ -58,21 +58,21 @@ bare AS (
   SELECT p.* FROM placed p JOIN entropy e ON p.value = e.value WHERE rank = 3 AND regexp_matches(p.value, '[0-9]') AND regexp_matches(p.value, '[a-z]') AND regexp_matches(p.value, '[A-Z]') AND bits >= 3.5
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.start < p.start + p.size AND p.start < b.start + b.size)),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-texts AS (SELECT value, min({{'o': source, 'r': repo}}) AS holder FROM found GROUP BY value, digest),
-repos AS (SELECT value, holder.o AS owner, count(DISTINCT holder.r) AS n FROM texts GROUP BY 1, 2),
-owners AS (SELECT value, count(*) AS n_owners, sum(n) AS n_repos, max(n) AS most FROM repos GROUP BY 1),
+texts AS (SELECT value, count(DISTINCT digest) AS n_texts FROM found GROUP BY 1),
+repos AS (SELECT value, source AS owner, count(DISTINCT repo) AS n FROM found GROUP BY 1, 2),
+owners AS (SELECT value, count(*) AS n_owners, sum(n) AS n_repos, max(n) AS most, any_value(n_texts) AS n_texts FROM repos JOIN texts USING (value) GROUP BY 1),
 judged AS (
-  SELECT f.*, n_owners, n_repos, n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos AS shared, length(f.value) >= 12 AND bits >= 2.5 AND NOT (n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos) AS live
+  SELECT f.*, n_owners, n_repos, n_texts, n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos AS shared, length(f.value) >= 12 AND bits >= 2.5 AND NOT (n_owners >= {SHARED_OWNERS} AND 2 * most <= n_repos) AS live
   FROM found f JOIN owners o ON f.value = o.value JOIN entropy e ON f.value = e.value),
 spans AS (
   SELECT row, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS c, count(*) FILTER (rank = 2) AS h,
     string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
     string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) FILTER (rank < 3 OR live) AS spans,
     count(*) FILTER (live) AS n_live, count(*) FILTER (shared AND rank < 3) AS n_shared,
-    max(n_owners) FILTER (rank < 3 OR live) AS most_owners, max(n_repos) FILTER (rank < 3 OR live) AS most_repos
+    max(n_owners) FILTER (rank < 3 OR live) AS most_owners, max(n_repos) FILTER (rank < 3 OR live) AS most_repos, max(n_texts) FILTER (rank < 3 OR live) AS most_texts
   FROM judged GROUP BY 1)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared,
-  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos, coalesce(most_texts, 0)::BIGINT AS most_texts
 FROM d LEFT JOIN spans USING (row)
 """

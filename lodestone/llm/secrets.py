@@ -2,11 +2,11 @@
 
 Candidates are found in each whole text: assignments to secret-like names, cloud access keys and long hexadecimal runs
 (the base kinds), and bare runs of mixed, high-entropy characters (kind `bare`). Each candidate's value is hashed, and the
-hashes are counted over the whole corpus by distinct repository and distinct owner; the copies of one text count once, for
-the owner that sorts first. A value is a widely copied example if at least `shared_owners` owners hold it and none of them
-has more than half of the repositories that do; held mostly in one owner's repositories it is that owner's, whoever copied
-it. Any value that is no such example and looks live (long and varied enough) is an owner-specific credential. Bare
-candidates become spans only if they are owner-specific.
+hashes are counted over the whole corpus by distinct repository, distinct owner and distinct text; a file copied verbatim to
+twenty owners has twenty owners and one text. A value is a widely copied example if at least `shared_owners` owners hold it,
+none of them has more than half of the repositories that do, and at least `least_texts` texts hold it; held mostly in one
+owner's repositories it is that owner's, whoever copied it. Any value that is no such example and looks live (long and varied
+enough) is an owner-specific credential. Bare candidates become spans only if they are owner-specific.
 
 The counts run over distinct (value, text), (value, owner, repository) and (value, owner), which each task combines before
 the shuffle, so a value or an owner with a third of all rows stays spread; values come back to their documents by a join that
@@ -61,14 +61,21 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind's rank, end, value), in order of start and kind."""
     base = [(m.start(), 0, m.end(), m[1]) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
     base += [(m.start(), rank, m.end(), m[0]) for rank, pattern in ((1, _ACCESS), (2, _HEX)) for m in pattern.finditer(text)]
-    held = sorted((s, e) for s, _, e, _ in base)
+    # base spans and bare runs are met in one pass by start; only the base spans that reach furthest matter
+    held, at, reach = sorted((s, e) for s, _, e, _ in base), 0, 0
     for m in _BARE.finditer(text):
-        value = m[0]
-        if any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and entropy(value) >= 3.5 and not any(s < m.end() and m.start() < e for s, e in held):
-            base.append((m.start(), 3, m.end(), value))
+        while at < len(held) and held[at][0] < m.end():
+            reach = max(reach, held[at][1])
+            at += 1
+        if reach <= m.start() and _varied(m[0]):
+            base.append((m.start(), 3, m.end(), m[0]))
     return sorted(base)
 
 
+def _varied(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and entropy(value) >= 3.5
+
+
 def looks_live(value: str) -> bool:
     return len(value) >= LIVE_LENGTH and entropy(value) >= LIVE_ENTROPY
 
@@ -98,17 +105,16 @@ def scan(docs: DataFrame, keep: list[str], name: str = "scan") -> DataFrame:
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners, most) of the values in held (hash, digest, owner, repo): the repositories and owners that
-    hold a value, and the most repositories of one owner that do."""
-    texts = held.groupBy("hash", "digest").agg(F.min(F.struct("owner", "repo")).alias("by"))
-    repos = texts.select("hash", "by.owner", "by.repo").distinct()
-    owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max("n").alias("most"))
+    """(hash, n_repos, n_owners, most, n_texts) of the values in held (hash, digest, owner, repo): the repositories, owners and
+    texts that hold a value, and the most repositories of one owner that do."""
+    texts = held.select("hash", "digest").distinct().groupBy("hash").agg(F.count("*").alias("n_texts"))
+    owners = held.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    return owners.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max("n").alias("most")).join(texts, "hash")
 
 
-def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS, name: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str], shared_owners: int = SHARED_OWNERS, least_texts: int = 1, name: str = "secrets") -> DataFrame:
     """The columns of docs in keep, and a struct of the given name: n_assign, n_access, n_hex, base_sha256 and spans, an array of
-    (start, rank, stop, live, shared, n_owners, n_repos) in order.
+    (start, rank, stop, live, shared, n_owners, n_repos, n_texts) in order.
 
     The scan is written to the shared folder once; what is joined after that are the candidates, not the texts."""
     keep = [c for c in docs.columns if c in keep]
@@ -118,10 +124,10 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, keep: list[str],
     found = write_shared(scan(told, [*keep, repo_, owner_, digest], told_).withColumn(row, F.monotonically_increasing_id()), "secrets")
     held = found.select(F.col(row).alias("row"), F.col(repo_).alias("repo"), F.col(owner_).alias("owner"), F.col(digest).alias("digest"), F.explode(F.col(told_)["found"]).alias("s"))
     verdict = held.select("row", "s", F.col("s.hash").alias("hash")).join(ownership(held.select(F.col("s.hash").alias("hash"), "digest", "owner", "repo")), "hash")
-    shared = (F.col("n_owners") >= shared_owners) & (2 * F.col("most") <= F.col("n_repos"))
-    span = F.struct("s.start", "s.rank", "s.stop", (F.col("s.live") & ~shared).alias("live"), shared.alias("shared"), "n_owners", "n_repos")
+    shared = (F.col("n_owners") >= shared_owners) & (2 * F.col("most") <= F.col("n_repos")) & (F.col("n_texts") >= least_texts)
+    span = F.struct("s.start", "s.rank", "s.stop", (F.col("s.live") & ~shared).alias("live"), shared.alias("shared"), "n_owners", "n_repos", "n_texts")
     spans = verdict.where((F.col("s.rank") < 3) | (F.col("s.live") & ~shared)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,live:boolean,shared:boolean,n_owners:bigint,n_repos:bigint>>")
+    empty = F.array().cast(spans.schema["spans"].dataType)
     joined = found.join(spans.select(F.col("row").alias(row), F.col("spans").alias(digest + "_spans")), row, "left")
     whole = F.struct(*(F.col(told_)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256")), F.coalesce(F.col(digest + "_spans"), empty).alias("spans"))
     return joined.select(*map(of, keep), whole.alias(name))
@@ -133,7 +139,8 @@ def spans_text(spans: Column) -> Column:
 
 
 def _where(docs: DataFrame) -> tuple[Column, Column]:
-    """The documents' owner is their source; a repository is a source's documents in one language."""
+    """The documents' owner is their source; a repository is a source's documents in one language. The tables name no repository,
+    so where a source has one language, its repository adds nothing to it."""
     return F.concat_ws("/", "source", "lang"), F.col("source")
 
 
@@ -146,6 +153,7 @@ def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", "secrets.base_sha256", spans_text(spans).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["shared"]).alias("n_shared"), widest("n_owners").alias("most_owners"), widest("n_repos").alias("most_repos"),
+        widest("n_texts").alias("most_texts"),
     )
 
 
@@ -167,11 +175,12 @@ def _masked(text: pd.Series, bounds: pd.Series) -> pd.Series:
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: masks all base candidates that are no shared example, of any length and entropy, and bare live ones, and
-    keeps every document; n_chars follows. All other columns keep their values, whatever their names; for odd input see the
+    keeps every document; n_chars follows. Here an example must also stand in SHARED_OWNERS different texts at
+    least, since one file's copies may all leak one credential. Ownership is that of the stage's own input. All other columns keep their values, whatever their names; for odd input see the
     module."""
     columns = docs.columns
     name, bounds_, masked = private(columns, "secrets", "bounds", "masked")
-    found = find_secrets(docs, *_where(docs), columns, name=name)
+    found = find_secrets(docs, *_where(docs), columns, least_texts=SHARED_OWNERS, name=name)
     hidden = F.filter(of(name)["spans"], lambda s: ~s["shared"])
     bounds = F.flatten(F.transform(hidden, lambda s: F.array(s["start"], s["stop"])))
     found = found.withColumn(bounds_, bounds)
