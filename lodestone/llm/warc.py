@@ -10,8 +10,10 @@ its Last-Modified; a revisit without validators resolves unverified. The headers
 replace the response's own (RFC 9110, 15.4.5); all other headers come from the response.
 
 Defined results: a revisit without an earlier response is `unresolved`; at equal times a response does not count as earlier;
-among responses of one time the largest record_id counts; a null URL or time is never resolved; null headers are empty;
-repeated records each get their row; extra columns are ignored.
+among responses of one URL and time the largest record_id counts (null is the least), and among those of one record_id the one
+with the largest body (null is the least), then headers; a record_id that other URLs or times use too makes no difference; a
+revisit or response without a record_id is resolved like any other (response_id is null then, the verdict tells); a null URL or
+time is never resolved; null headers are empty; repeated records each get their row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ def _slice(keys: DataFrame, slice_rows: int) -> Column:
 
 
 def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(record_id, canonical, at, response_id) of the revisits among records (record_id, canonical, at, full) that have an earlier response."""
+    """(record_id, canonical, at, response_at, response_id) of the revisits among records (record_id, canonical, at, full) that have
+    an earlier response, once each."""
     keys = records.select("record_id", "canonical", "at", "full").where("canonical IS NOT NULL AND at IS NOT NULL")
     keys = keys.withColumn("slice", _slice(keys, slice_rows))
     response = F.when(F.col("full"), F.struct("at", "record_id"))
@@ -66,7 +69,7 @@ def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFram
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     inherited = asked.select("canonical", "slice", F.max("end").over(before).alias("carried"))
     found = near.join(inherited, ["canonical", "slice"], "left").withColumn("found", F.coalesce("found", "carried"))
-    return found.where("found IS NOT NULL").select("record_id", "canonical", "at", F.col("found.record_id").alias("response_id")).distinct()
+    return found.where("found IS NOT NULL").select("record_id", "canonical", "at", F.col("found.at").alias("response_at"), F.col("found.record_id").alias("response_id")).distinct()
 
 
 def _tag(value: Column) -> Column:
@@ -81,13 +84,19 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     keyed = records.withColumn("canonical", canonical_url(F.col("url"))).withColumn("full", F.coalesce(full, F.lit(False)))
     revisits = keyed.where((F.col("warc_type") == "revisit") & (F.col("status") == 304))
     used = keyed.where(F.col("full") | ((F.col("warc_type") == "revisit") & (F.col("status") == 304)))
-    matched = revisits.drop("body", "full").join(latest_earlier(used, slice_rows), ["record_id", "canonical", "at"], "left")
-    stored = keyed.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("body"))
-    joined = matched.join(stored.dropDuplicates(["response_id"]), "response_id", "left")
+    found = latest_earlier(used, slice_rows).select(*(F.col(c).alias(f"_{c}") for c in ("record_id", "canonical", "at")), "response_at", "response_id")
+    # ids may be null, and may be used again by other URLs: they are only a part of each key
+    same = F.col("record_id").eqNullSafe(F.col("_record_id")) & (F.col("canonical") == F.col("_canonical")) & (F.col("at") == F.col("_at"))
+    matched = revisits.drop("body", "full").join(found, same, "left").drop("_record_id", "_canonical", "_at")
+    content = F.struct("body", F.array_sort(F.map_entries("headers")).alias("entries"))
+    stored = keyed.where("full AND canonical IS NOT NULL AND at IS NOT NULL").groupBy("canonical", "at", "record_id").agg(F.max(content).alias("content"))
+    stored = stored.select(*(F.col(c).alias(f"_{c}") for c in ("record_id", "canonical", "at")), F.map_from_entries("content.entries").alias("stored"), "content.body")
+    of_response = F.col("response_id").eqNullSafe(F.col("_record_id")) & (F.col("canonical") == F.col("_canonical")) & (F.col("response_at") == F.col("_at"))
+    joined = matched.join(stored, of_response, "left")
     own, old = F.col("headers"), F.col("stored")
     tag, modified = own["etag"], own["last-modified"]
     verdict = (
-        F.when(F.col("response_id").isNull(), "unresolved")
+        F.when(F.col("response_at").isNull(), "unresolved")
         .when(tag.isNotNull(), F.when(_tag(tag).eqNullSafe(_tag(old["etag"])), "resolved").otherwise("validator_mismatch"))
         .when(modified.isNotNull(), F.when(modified.eqNullSafe(old["last-modified"]), "resolved").otherwise("validator_mismatch"))
         .otherwise("unverified")
