@@ -471,6 +471,21 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_with_repeated_and_missing_record_ids(spark):
+    """Ids that other URLs use again, no ids at all, several bodies under one id, and revisits given twice."""
+    schema = "record_id long, url string, at long, warc_type string, status int, headers map<string,string>, body string"
+    full = lambda i, at, host, body: (i, f"http://{host}/", at, "response", 200, {"etag": body}, body)
+    again = lambda i, at, host, tag: (i, f"http://{host}/", at, "revisit", 304, {"etag": tag}, None)
+    rows = [full(1, 10, "a.com", "of a"), full(1, 10, "b.com", "of b"), full(1, 30, "a.com", "later"), full(None, 10, "c.com", "no id"), full(5, 10, "d.com", "x"), full(5, 10, "d.com", "z"), full(5, 10, "d.com", "y")]
+    rows += [again(2, 20, "a.com", "of a"), again(2, 20, "b.com", "of b"), again(2, 40, "a.com", "later"), again(None, 20, "a.com", "of a"), again(3, 20, "c.com", "no id"), again(None, 20, "c.com", "stale"), again(4, 20, "d.com", "z"), again(4, 20, "d.com", "z"), again(1, None, "a.com", "of a")]
+    for slice_rows in (1, 100):
+        got = sorted((r.canonical, r.record_id or 0, r.verdict, r.response_id or 0, r.body or "") for r in warc.resolve_revisits(spark.createDataFrame(rows, schema), slice_rows).collect())
+        assert got == sorted([
+            ("a.com", 2, "resolved", 1, "of a"), ("b.com", 2, "resolved", 1, "of b"), ("a.com", 2, "resolved", 1, "later"), ("a.com", 0, "resolved", 1, "of a"), ("c.com", 3, "resolved", 0, "no id"),
+            ("c.com", 0, "validator_mismatch", 0, ""), ("d.com", 4, "resolved", 5, "z"), ("d.com", 4, "resolved", 5, "z"), ("a.com", 1, "unresolved", 0, ""),
+        ])
+
+
 STAGES = {"language_id": language.keep_spoken, "near_duplicates": neardup.keep_one_of_each, "decontamination": decontaminate.drop_contaminated, "secrets": secrets.mask_secrets}
 #: Names that the operators use inside, and others that are awkward.
 CLASHES = ["lang_pred", "score", "node", "sig", "k1", "component_id", "n_shingles", "spans", "found", "n_hit", "n_words", "items", "row", "repo", "owner", "digest", "scan", "secrets", "bounds", "masked", "n_assign", "hash", "_text", "doc_row", "piece", "length", "Found", "parts", "hits"]
@@ -521,3 +536,29 @@ def test_a_value_of_one_owners_repositories_is_no_shared_example(spark):
     got = {r.doc_id: r.secrets.spans[0] for r in secrets.find_secrets(df, F.col("repo"), F.col("source"), ["doc_id"]).collect()}
     assert (got[0].live, got[0].shared, got[0].n_owners, got[0].n_repos) == (True, False, 3, 8)
     assert (got[20].live, got[20].shared, got[20].n_owners, got[20].n_repos) == (False, True, 3, 3)
+
+
+def test_verbatim_copies_count_their_owners(spark):
+    """One text at 20 owners: true counts decide `shared`, the pipeline's mask asks for different texts as well."""
+    text = "token=9f8A7b6C5d4E3f2G1h0Jk and kQ8dWz3RtY6uPm1XcV9bN2sL in one file"
+    df = spark.createDataFrame([(i, text, f"owner{i}", "en") for i in range(20)], "doc_id long, text string, source string, lang string")
+    for r in secrets.find_secrets(df, F.concat_ws("/", "source", "lang"), F.col("source"), ["doc_id"]).collect():
+        assert [(s.rank, s.shared, s.live, s.n_owners, s.n_repos, s.n_texts) for s in r.secrets.spans] == [(0, True, False, 20, 20, 1)]
+    assert {r.text for r in secrets.mask_secrets(spark, df, "").collect()} == {"[SECRET] and [SECRET] in one file"}
+
+
+def test_bare_runs_are_met_in_one_pass():
+    """Bare runs among overlapping base spans, against a look at all pairs, and a long text in little time."""
+    import time
+
+    bare, runs = "kQ8dWz3RtY6uPm1XcV9bN2sLe", ["token=kQ8dWz3RtY6uPm1XcV9bN2sLe", "AKIA" + "B2" * 10 + "cdEf", "0a" * 20, "x" + "0f" * 16 + "Zq7Wd", "secret: abcdefgh"]
+    rng = random.Random(5)
+    for _ in range(300):
+        text = rng.choice([" ", "", "-"]).join(rng.choice([bare, *runs]) for _ in range(rng.randint(0, 8)))
+        found = secrets.candidates(text)
+        base = [(s, e) for s, rank, e, _ in found if rank < 3]
+        want = [m.span() for m in secrets._BARE.finditer(text) if secrets._varied(m[0]) and not any(s < m.end() and m.start() < e for s, e in base)]
+        assert [(s, e) for s, rank, e, _ in found if rank == 3] == want
+    began = time.perf_counter()
+    assert len(secrets.candidates(f"{bare} token=abcdefgh1 " * 40_000)) == 80_000
+    assert time.perf_counter() - began < 30
