@@ -3,7 +3,9 @@
 One suffix automaton is built from a labelled sample of each language. A text is cut greedily into the longest phrases
 that occur in the sample (a symbol that the sample lacks is a phrase by itself and counts twice); the language that needs the fewest phrases,
 each costed at log2 of its sample's length and divided by the text's length, wins. All texts of an Arrow batch walk all
-automata in step with numpy, so a symbol costs a few table lookups for each language.
+automata in step with numpy, so a symbol costs a few table lookups for each language. Long texts walk in blocks side by side:
+each block is parsed as if a phrase began there, and then again from the state in which the block before it ends, until that
+state is the one of its earlier parse. Two parses of a text soon meet in one state, so this second walk is short.
 
 Symbols are the letters of the samples, however many, in lower case; a run of anything else is one gap, and letters that no
 sample has are one symbol more, which no phrase holds. The automata's transitions lie in one double array (the entry of a
@@ -11,7 +13,8 @@ state and a symbol is at base[state] + symbol), whose size follows the samples a
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with nothing to learn from every text is
 `und`. A tie goes to the language that sorts first. Repeated rows each get their row. Rows with a null doc_id are
-predicted but never learned from. Very long texts are parsed whole. Extra columns are ignored.
+predicted but never learned from. Very long texts are parsed whole, and phrases go on over the ends of blocks. Beyond
+`most_langs` distinct labels those of the most documents are learned, ties by name. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +30,19 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fields, held_out, let_go, of, pieces, private, table
 
 #: The classifier is fitted on at most so many documents and code points of each language, and takes from a document at most
-#: a stretch of SAMPLE_STRETCH code points, which begins at a place told by a hash of doc_id.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCH = 128, 32_768, 512
-#: Texts are parsed in blocks of so many symbols; a phrase ends at its block's end.
-BLOCK = 512
+#: a stretch of SAMPLE_STRETCH code points, which begins at a place told by a hash of doc_id. It knows at most MOST_LANGS
+#: languages, those with the most labelled documents.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCH, MOST_LANGS = 128, 32_768, 512, 256
+#: Texts are parsed in blocks of so many symbols, and the states of two parses are compared after every STRIDE of them.
+BLOCK, STRIDE = 512, 32
 PAD, GAP, RARE, FIRST = 0, 1, 2, 3
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, stretch: int = SAMPLE_STRETCH) -> dict[str, str]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, stretch: int = SAMPLE_STRETCH, most_langs: int = MOST_LANGS) -> dict[str, str]:
     """A bounded labelled sample for each language, from learnable rows of (doc_id, text, lang), chosen by a hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    labels = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    known = known.join(F.broadcast(labels.select("lang")), "lang", "left_semi")  # at most most_langs rows
     begin = F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - stretch + 1, F.lit(1))) + 1
     part = F.substring(F.col("text"), begin.cast("int"), F.lit(stretch))
     told = known.select("lang", F.xxhash64("doc_id").alias("rank"), "doc_id", part.alias("text"))
@@ -145,22 +151,53 @@ class CrossParser:
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases needed, as [text, language]."""
-        blocks = np.array([-(-len(x) // BLOCK) for x in coded])
-        starts = np.concatenate(([0], np.cumsum(blocks)))
-        sheet = np.full(starts[-1] * BLOCK, PAD, self.symbol.dtype)
+        size = np.array([-(-len(x) // BLOCK) for x in coded], np.int64)
+        starts = np.concatenate(([0], np.cumsum(size)))
+        n = int(starts[-1])
+        sheet = np.full(n * BLOCK, PAD, self.symbol.dtype)
         for at, x in zip(starts, coded):
             sheet[at * BLOCK : at * BLOCK + len(x)] = x
         steps = np.ascontiguousarray(sheet.reshape(-1, BLOCK).T.astype(np.int32))
-        state = self.start[:, steps[0]] if starts[-1] else np.zeros((len(self.langs), 0), np.int32)
-        lost = np.array(self.lost, np.int32)[:, None]
-        ended = (state == lost).astype(np.int32)
-        for step in steps[1:]:
-            at = self.base[state] + step
-            on = self.owner[at] == state
-            state = np.where(on, self.to[at], self.start[:, step])
-            ended += (~on * (1 + (state == lost))) * (step != PAD)
-        total = np.concatenate((np.zeros((len(self.langs), 1), np.int64), np.cumsum(ended, axis=1, dtype=np.int64)), axis=1)
-        return (total[:, starts[1:]] - total[:, starts[:-1]]).T + blocks[:, None]
+        # a column is a block in a language; a text's first block begins in the lost state, from which every symbol begins a phrase
+        lost = np.repeat(np.array(self.lost, np.int32), n)
+        goes_on = np.ones(n, bool)
+        goes_on[starts[:-1][size > 0]] = False
+        states = np.full((BLOCK // STRIDE, len(lost)), -1, np.int32)
+        counts = np.zeros(states.shape, np.int32)
+        entered = lost.copy()
+        columns = np.arange(len(lost))
+        while len(columns):
+            self._walk(steps, columns, entered[columns], lost, states, counts)
+            before = np.roll(states[-1], 1)
+            changed = np.tile(goes_on, len(self.langs)) & (before != entered)
+            entered = np.where(changed, before, entered)
+            columns = np.flatnonzero(changed)
+        total = np.zeros((len(self.langs), n + 1), np.int64)
+        np.cumsum(counts[-1].reshape(len(self.langs), n), axis=1, out=total[:, 1:])
+        return (total[:, starts[1:]] - total[:, starts[:-1]]).T
+
+    def _walk(self, steps: np.ndarray, columns: np.ndarray, state: np.ndarray, lost: np.ndarray, states: np.ndarray, counts: np.ndarray) -> None:
+        """Parses the given columns from the given states. states and counts hold each column's state and phrases so far after
+        every STRIDE symbols; a column ends where its state is that of its earlier parse, and its later counts move along."""
+        row, block = np.divmod(columns, max(1, steps.shape[1]))
+        row, lost_, phrases, start = row * self.width, lost[columns], np.zeros(len(columns), np.int32), self.start.ravel()
+        for t, step in enumerate(steps):
+            symbol = step[block]
+            at = self.base[state] + symbol
+            ends = self.owner[at] != state
+            state = np.where(ends, start[row + symbol], self.to[at])
+            phrases += ends * (1 + (state == lost_)) * (symbol != PAD)
+            k, rest = divmod(t + 1, STRIDE)
+            if rest:
+                continue
+            met = states[k - 1, columns] == state
+            if met.any():
+                moved = columns[met]
+                counts[k - 1 :, moved] += phrases[met] - counts[k - 1, moved]
+                columns, row, block, lost_, phrases, state = (x[~met] for x in (columns, row, block, lost_, phrases, state))
+            states[k - 1, columns], counts[k - 1, columns] = state, phrases
+            if not len(columns):
+                break
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         coded = [self.code(x or "") for x in texts]
