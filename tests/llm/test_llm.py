@@ -315,19 +315,26 @@ def test_cross_parsing_equals_a_plain_parse():
     parser = language.CrossParser(sample)
     flat = {k: "".join(chr(c) for c in parser.code(v)) for k, v in sample.items()}
     texts = ["abc xyz", "abdabdabd", "zzzz zzy!", "ab" * 900, "", "?", "??a", "ééé a é", wide[50:90] + "\u4e00\u9fa5", "a" * 512 + "b", wide + "abc"]
+    words = sample["aa"].split() + sample["bb"].split() + list(wide[:40])
+    texts += ["ab" * n for n in (255, 256, 257, 2_000)] + ["abc abd acd " * 400, " ".join(draw.choice(words) for _ in range(3_000)), wide * 2]
     coded = [parser.code(t) for t in texts]
     for x, found in zip(coded, parser.phrases(coded)):
         said = "".join(chr(c) for c in x)
         for lang, n in zip(parser.langs, found):
-            count = 0
-            for at in range(0, len(said), language.BLOCK):
-                block, i = said[at : at + language.BLOCK], 0
-                while i < len(block):
-                    size = 0
-                    while i + size < len(block) and block[i : i + size + 1] in flat[lang]:
-                        size += 1
-                    i, count = i + max(1, size), count + 1 + (size == 0)
+            count = i = 0
+            while i < len(said):
+                size = 0
+                while i + size < len(said) and said[i : i + size + 1] in flat[lang]:
+                    size += 1
+                i, count = i + max(1, size), count + 1 + (size == 0)
             assert n == count, (said[:20], lang)
+    assert parser.phrases([]).shape == (0, 3) and parser.phrases([parser.code("")]).tolist() == [[0, 0, 0]]
+
+
+def test_most_languages_are_those_of_the_most_documents(spark):
+    rows = [(i, "the and of to in " * 3, "en") for i in range(40)] + [(100 + i, "der die das und ein " * 3, "de") for i in range(30)] + [(200 + i, "x y", f"junk{i}") for i in range(60)]
+    sample = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=2)
+    assert sorted(sample) == ["de", "en"]
 
 
 def test_languages_of_many_letters(spark):
