@@ -180,7 +180,8 @@ spot AS (
 """
 
 
-def _backfilled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _backfilling(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, chunks, and the chunks that have tables."""
     i, none = F.col("document_id"), F.lit(None)
     raw = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("source_id"), F.floor(F.col("doc_id") / 50).alias("chunk_no"),
@@ -196,7 +197,7 @@ def _backfilled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         i.alias("fact_id"), F.when(i % 13 > 0, F.col("source_id")).alias("source_id"), F.when((i % 6 == 5) | (i % 11 == 3), i).alias("document_id"), evidence.alias("evidence"),
         none.cast("string").alias("evidence_locator"), F.when(i % 6 == 5, 5).alias("evidence_start"), none.cast("int").alias("evidence_end"),
     )
-    return backfill.backfill(rows, raw, raw.where("document_id % 2 = 0").select("document_id"))
+    return rows, raw, raw.where("document_id % 2 = 0").select("document_id")
 
 
 @query(BACKFILL.format(normal=NORMAL) + """
@@ -204,7 +205,8 @@ SELECT fact_id, coalesce(own, spot.document_id) AS document_id, locator AS evide
 FROM f LEFT JOIN spot USING (fact_id) LEFT JOIN c ON c.document_id = coalesce(spot.document_id, CASE WHEN own_start IS NOT NULL THEN own END)""")
 def a17_evidence_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence from the middle or the begin of chunks, with another end, absent, missing, or placed already."""
-    return _backfilled(spark, sf_dir)["facts"].select("fact_id", "document_id", "evidence_locator", "evidence_start", "evidence_end")
+    rows, raw, _ = _backfilling(spark, sf_dir)
+    return backfill.placed_facts(rows, backfill.with_locators(raw)).select("fact_id", "document_id", "evidence_locator", "evidence_start", "evidence_end")
 
 
 @query(BACKFILL.format(normal=NORMAL) + """
@@ -215,14 +217,15 @@ SELECT document_id, c.locator, least(50, len(rows) - CASE WHEN named THEN 1 ELSE
 WHERE document_id % 2 = 1""")
 def a17_missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipe tables of the chunks that have none yet."""
-    return _backfilled(spark, sf_dir)["tables"].select("document_id", "locator", "n_rows")
+    _, raw, tables = _backfilling(spark, sf_dir)
+    return backfill.missing_tables(backfill.with_locators(raw), tables).select("document_id", "locator", "n_rows")
 
 
 @query("""
 SELECT document_id, locator, CASE WHEN document_id % 3 = 0 THEN NULL WHEN document_id % 7 = 0 THEN 'page' ELSE 'chunk' END AS locator_type FROM c""".replace("SELECT", BACKFILL.format(normal=NORMAL) + "SELECT", 1))
 def a17_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locators by marker or number where chunks have none."""
-    return _backfilled(spark, sf_dir)["documents"].select("document_id", "locator", "locator_type")
+    return backfill.with_locators(_backfilling(spark, sf_dir)[1]).select("document_id", "locator", "locator_type")
 
 
 @query("SELECT 'documents' AS name, count(*) AS n, 100 AS least, count(*) >= 100 AS ok FROM documents UNION ALL SELECT 'pages', count(*), 1000000, count(*) >= 1000000 FROM pages")

@@ -206,3 +206,34 @@ def test_counts_equal_those_of_pairs_and_make_none(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
     # pairs of facts and filters meet in no join: the only one is that of the ranges' offsets
     assert plan_of(facts.match_counts(facts_, asked)).split("== Physical Plan ==")[1].count("Join") == 1
+
+
+def test_locators_and_tables_locate_no_evidence(spark, tmp_path, monkeypatch):
+    from lodestone.plans import source_queries
+
+    spark.createDataFrame([(i, "s", f"text {i}\na | b\nc | d") for i in range(6)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(backfill, "located", lambda *_: pytest.fail("evidence was located"))
+    monkeypatch.setattr(backfill, "shared_table", lambda *_: pytest.fail("texts were stored"))
+    assert source_queries.a17_locators(spark, str(tmp_path)).count() == 6 and source_queries.a17_missing_tables(spark, str(tmp_path)).count() == 3
+
+
+def test_evidence_is_located_as_by_search(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("ab é😀") for _ in range(n)).strip()
+    texts = [word(rnd.randrange(1, 300)) for _ in range(60)]
+    chunks = [(f"s{i % 3}", i, i // 3, texts[i // 2]) for i in range(120)]
+    flat_ = {i: " ".join(t.split()) for _, i, _, t in chunks}
+    wanted = []
+    for f in range(200):
+        body = flat_[rnd.randrange(120)]
+        at = rnd.randrange(max(1, len(body)))
+        needle = rnd.choice([body[at : at + rnd.randrange(1, 200)], body[at : at + 130] + " zz", word(3)]).strip()[: backfill.LONG]
+        wanted.append((f, f"s{f % 4}", needle))
+    want = {}
+    for f, s, needle in wanted:
+        for _, i, _, _ in sorted((c for c in chunks if c[0] == s), key=lambda c: c[2]):
+            for part in [needle, needle[: backfill.SHORT]] if len(needle) >= backfill.LEAST else [needle]:
+                if needle and f not in want and part in flat_[i]:
+                    want[f] = (i, flat_[i].index(part), flat_[i].index(part) + len(part))
+    got = backfill.located(spark.createDataFrame(wanted, "fact_id long, source_id string, needle string"), spark.createDataFrame(chunks, "source_id string, document_id long, chunk_no long, text string"))
+    assert {r.fact_id: (r.document_id, r.start, r.stop) for r in got.collect()} == want
