@@ -267,3 +267,15 @@ def test_sentences_about_parts_are_dealt_to_all_tasks(spark, tmp_path):
 
     spark.range(50).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert text_queries.b11_numeric_conditions(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_are_searched_in_slices_of_a_batch(spark):
+    from lodestone.operators.chunk import SLICE, chunk, chunks_of, found_in_texts
+
+    texts = [None, "", *("word. " * n for n in range(0, 900, 7))]
+    df = spark.createDataFrame([(i, t, None if i % 2 else [i]) for i, t in enumerate(texts)], "doc_id long, text string, tags array<long>").coalesce(1)
+    want = [(i, None if i % 2 else [i], *c.values()) for i, t in enumerate(texts) for c in chunks_of(t)]
+    got = chunk(df)
+    assert got.columns == ["doc_id", "tags", "chunk_no", "text", "locator_type", "locator", "start_char", "end_char"] and sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[2])) == want
+    sizes = found_in_texts(df, "text", lambda t: [{"n": 1}], "n int").select("doc_id").mapInArrow(lambda bs: bs, "doc_id long")
+    assert sizes.count() == len(texts) > 2 * SLICE and "ArrowEvalPython" not in plan_of(got)
