@@ -41,6 +41,16 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The most rows of a side that is sent whole to every task.
+MOST_SENT = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df to be joined where the other side is read, so that rows which meet nothing are not shuffled; with more than MOST_SENT rows as it is. The
+    planner does not know the size of a checkpoint or of rows from the driver, and would shuffle both sides."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
 def upsert_entities(hits: DataFrame, order: str = "seq") -> DataFrame:
     """One entity for each (type, normalized name) of hits (type, name, order); the first spelling stays, the rest are aliases."""
     keyed = hits.select("type", "name", order, normalize_key(F.col("name")).alias("normalized_name")).where("normalized_name <> ''")

@@ -229,3 +229,15 @@ def test_prefix_hits_count_each_token_under_its_prefixes(spark):
     wanted = spark.createDataFrame([(1, "li"), (1, "licen"), (2, "zz"), (2, "li")], "query_id int, prefix string")
     assert {tuple(r) for r in retrieve.prefix_hits(index, wanted).collect()} == {("li", 1, 3), ("li", 2, 5), ("licen", 1, 3)}
     assert retrieve.prefix_hits(index, wanted.limit(0)).count() == 0
+
+
+def test_words_that_no_one_wants_are_not_shuffled(spark):
+    """Wanted prefixes from the driver and from a checkpoint go to where words are read; accents and letters of several code units count as before."""
+    chunks = spark.createDataFrame([(1, "Crème brûlée, ÉTÉ Ёж 𝔘x ſ İstanbul"), (2, "ete ete naïve"), (3, None), (4, "")], "document_id long, text string")
+    wanted = spark.createDataFrame([(1, "ete"), (1, "cre"), (2, "ёж"), (2, "nai"), (3, "zz")], "query_id int, prefix string")
+    for asked in (wanted, retrieve.shared_table(wanted)):
+        found = retrieve.prefix_hits(retrieve.occurrences(chunks), asked)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+        assert {tuple(r) for r in found.collect()} == {("ete", 1, 1), ("cre", 1, 1), ("ete", 2, 2), ("ёж", 1, 1), ("nai", 2, 1)}
+    counted = chunks.select("document_id", F.size(retrieve.index_words(F.col("text"))).alias("a"), F.size(retrieve.index_tokens(F.col("text"))).alias("b")).collect()
+    assert all(r.a == r.b for r in counted)
