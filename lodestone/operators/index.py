@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .retrieve import B, K1, index_tokens
+from .graph import sent, shared_table
+from .retrieve import B, K1, index_words, plain
 
-#: Occurrences of tokens in a shard, about.
-SHARD_TOKENS = 20_000_000
+#: Occurrences of tokens in a shard, about, and the tasks that count and sort a shard's: their memory is that of its part.
+SHARD_TOKENS, SHARD_TASKS = 20_000_000, 16
 
 
 class TextIndex:
@@ -50,12 +51,16 @@ class TextIndex:
         """Indexes the chunks (document_id, text) that the index does not have yet; the number of them. Of rows with one document_id the
         longest text counts, the greatest of equals. embed: makes (document_id, vector) of new chunks."""
         kind = chunks.schema["document_id"].dataType
-        new = chunks.select("document_id", "text").where("document_id IS NOT NULL").join(self.documents(kind).select("document_id"), "document_id", "left_anti")
-        new = new.groupBy("document_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+        new = chunks.select("document_id", "text").where("document_id IS NOT NULL")
+        if self._generations():
+            new = new.join(self.documents(kind).select("document_id"), "document_id", "left_anti")
+        # texts are shuffled to find the longest only if some document_id has several
+        if not new.groupBy("document_id").count().where("count > 1").isEmpty():
+            new = new.groupBy("document_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
         generation = f"g{uuid.uuid4().hex}"
         at = lambda name: f"{self.path}/{name}/generation={generation}"
-        told = new.select("document_id", "text", index_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-        lengths = told.select("document_id", F.size("tokens").alias("len"))
+        told = new.select("document_id", "text", index_words(F.coalesce("text", F.lit(""))).alias("words"))
+        lengths = told.select("document_id", F.size("words").alias("len"))
         vectors = embed(new) if embed else lengths.select("document_id", F.lit(None).cast("array<float>").alias("vector")).limit(0)
         lengths.join(vectors.select("document_id", F.col("vector").cast("array<float>").alias("vector")), "document_id", "left").write.parquet(at("documents"))
         written = self.spark.read.parquet(at("documents"))
@@ -63,9 +68,10 @@ class TextIndex:
         if not size.documents:
             return 0
         # ranges of (token, document_id) serve the grouping as well, so occurrences are shuffled once
-        ranged = told.select("document_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).repartitionByRange(size.tokens // shard_tokens + 1, "token", "document_id")
+        words = told.select("document_id", F.size("words").alias("len"), F.explode("words").alias("word")).select("document_id", "len", plain(F.col("word")).alias("token"))
+        ranged = words.repartitionByRange((size.tokens // shard_tokens + 1) * SHARD_TASKS, "token", "document_id")
         counted = ranged.groupBy("token", "document_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")).sortWithinPartitions("token", "document_id")
-        counted.withColumn("shard", F.spark_partition_id()).write.partitionBy("shard").parquet(at("postings"))
+        counted.withColumn("shard", (F.spark_partition_id() / SHARD_TASKS).cast("int")).write.partitionBy("shard").parquet(at("postings"))
         if size.tokens:
             stored = self.spark.read.schema(f"token string, document_id {kind.simpleString()}, tf long, len int, shard int").parquet(at("postings"))
             stored.groupBy("shard").agg(F.min("token").alias("first"), F.max("token").alias("last")).write.parquet(at("shards"))
@@ -93,17 +99,17 @@ class TextIndex:
     def hits(self, wanted: DataFrame, key: T.DataType) -> DataFrame:
         """(prefix, document_id, f, score): occurrences of tokens with each wanted prefix, and what they add to a BM25 score.
 
-        N and the mean length are over all documents, before any filter; an idf that is not positive counts as 1e-6."""
+        N and the mean length are over all documents, before any filter; an idf that is not positive counts as 1e-6. The occurrences are
+        written once, and there are no more numbers of documents than wanted prefixes."""
         totals = self._generations()
         n_all = sum(r.documents for r in totals)
         mean = sum(r.tokens for r in totals) / max(1, n_all)
-        asked = wanted.select("prefix").distinct()
+        asked = sent(wanted.select("prefix").distinct())
         lengths = asked.agg(F.collect_set(F.length("prefix")).alias("ns"))
         cut = self.postings(asked, key).crossJoin(F.broadcast(lengths)).withColumn("n", F.explode("ns")).where(F.length("token") >= F.col("n"))
         held = cut.withColumn("prefix", F.substring(F.col("token"), F.lit(1), F.col("n"))).join(asked, "prefix")
-        found = held.groupBy("prefix", "document_id").agg(F.sum("tf").alias("f"), F.max("len").alias("len"))
-        # grouped by the same columns as found, so both read one exchange
-        n = found.groupBy("prefix").agg(F.count_if(F.col("f") > 0).alias("n"))
+        found = shared_table(held.groupBy("prefix", "document_id").agg(F.sum("tf").alias("f"), F.max("len").alias("len")))
+        n = sent(found.groupBy("prefix").agg(F.count_if(F.col("f") > 0).alias("n")))
         idf = F.log((F.lit(n_all) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         f, norm = F.col("f"), F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(mean))
         return found.join(n, "prefix").select("prefix", "document_id", "f", (F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + norm)).alias("score"))
@@ -111,12 +117,12 @@ class TextIndex:
 
 def ranks(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, document_id, rank): minus the sum of the scores of all wanted (query_id, prefix), as often as each stands there."""
-    times = wanted.groupBy("query_id", "prefix").agg(F.count("*").alias("times"))
+    times = sent(wanted.groupBy("query_id", "prefix").agg(F.count("*").alias("times")))
     return hits.join(times, "prefix").groupBy("query_id", "document_id").agg((-F.sum(F.col("score") * F.col("times"))).alias("rank"))
 
 
 def meeting_all(hits: DataFrame, groups: DataFrame) -> DataFrame:
     """(query_id, document_id) that meet each group of a query: groups (query_id, group_id, prefix) are OR inside and AND between."""
     needed = groups.groupBy("query_id").agg(F.countDistinct("group_id").alias("needed"))
-    met = groups.join(hits, "prefix").groupBy("query_id", "document_id").agg(F.countDistinct("group_id").alias("met"))
+    met = hits.join(sent(groups), "prefix").groupBy("query_id", "document_id").agg(F.countDistinct("group_id").alias("met"))
     return met.join(needed, "query_id").where("met = needed").select("query_id", "document_id")

@@ -51,6 +51,16 @@ def test_index_grows_and_answers_as_one_pass_does(spark, tmp_path):
     assert index.documents(kind).where("vector IS NOT NULL").count() == 33 and index.documents(kind).count() == 43
 
 
+def test_several_tasks_write_a_shard(spark, tmp_path):
+    """A shard's tasks each count their own range of it, and each (token, document_id) once; so does an index whose ids repeat."""
+    index, chunks = TextIndex(spark, f"file://{tmp_path}/index"), spark.createDataFrame(DOCS, "document_id long, text string")
+    index.add(chunks.unionByName(chunks.where("document_id = 20")), shard_tokens=1000)
+    assert index._read("shards", "shard int, first string, last string").count() == 1
+    assert len(list(tmp_path.glob("index/postings/generation=*/shard=0/*.parquet"))) > 4
+    rows = index._read("postings", "token string, document_id long, tf long, len int, shard int").select("token", "document_id", "tf")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, retrieve.postings(chunks).collect()))
+
+
 def test_index_reads_only_the_shards_of_its_prefixes(spark, tmp_path):
     index = TextIndex(spark, f"file://{tmp_path}/index")
     index.add(spark.createDataFrame(DOCS, "document_id long, text string"), shard_tokens=10)
