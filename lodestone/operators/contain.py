@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import sent, shared_table
+
 GRAM = 3
 
 
@@ -18,13 +20,13 @@ def contained(texts: DataFrame, terms: DataFrame, key: str, text: str = "text",
 
     A text and a term meet by the term's rarest run of three characters (of all its characters, if it has fewer), rarest by the number
     of texts that hold it; then the whole term is looked for. Only runs that some term has leave a text, and only the
-    lengths that terms have are cut (one row of at most three numbers goes to every task). Null and empty terms, and null texts, match nothing."""
+    lengths that terms have are cut (one row of at most three numbers goes to every task); they are written once, since texts are dear to cut. Null and empty terms, and null texts, match nothing."""
     asked = terms.select(F.col(term).alias("term")).where("term <> ''").distinct().withColumn("n", F.least(F.length("term"), F.lit(GRAM)))
     wanted = asked.select("term", "n", F.explode(_grams(F.col("term"), F.col("n"))).alias("gram"))
     lengths = asked.agg(F.collect_set("n").alias("ns"))
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
     cut = rows.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode("ns"))
-    held = cut.select("key", F.explode(_grams(F.col("text"), F.col("n"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = shared_table(cut.select("key", F.explode(_grams(F.col("text"), F.col("n"))).alias("gram")).join(sent(wanted.select("gram").distinct()), "gram", "left_semi"))
     frequency = held.groupBy("gram").agg(F.count("*").alias("df"))
     # a run that no text holds rules its term out: it is the rarest, and meets nothing
     ranked = wanted.join(frequency, "gram", "left").withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("df", F.lit(0)), "gram")))

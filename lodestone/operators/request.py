@@ -18,7 +18,7 @@ from ..functions.numeric import conversion_factor, interval, is_open, overlaps,
 from ..functions.text import NOISE_WORDS, normalize_key, ranked_tokens, search_tokens
 from .extract import CATEGORIES, conditions, entities
 from .facts import answer_mode, confidence, query_intent, query_years, search_experiments, search_experts
-from .graph import shared_table
+from .graph import sent, shared_table
 from .index import TextIndex, meeting_all, ranks
 from .retrieve import alias_tokens, best_of_sources, dot, hybrid_score, metadata_filter, relative_cut, substring_hits, top_k
 
@@ -127,17 +127,18 @@ def documents(asked: DataFrame, groups: DataFrame, corpus: Corpus, k: int = 8) -
     sure = [F.col("reliability_score").desc_nulls_last(), F.col("year").desc_nulls_last()]
 
     def within(rows: DataFrame) -> DataFrame:
-        return rows.join(limits, "query_id").join(told, "document_id").where(fits).select("query_id", "document_id", "rank", "year", "reliability_score")
+        return rows.join(sent(limits), "query_id").join(told, "document_id").where(fits).select("query_id", "document_id", "rank", "year", "reliability_score")
 
     wanted = asked.select("query_id", F.explode("tokens").alias("prefix"))
     key = corpus.chunks.schema["document_id"].dataType
-    hits = shared_table(corpus.index.hits(groups.select("prefix").unionByName(wanted.select("prefix")), key))
-    strict = within(ranks(hits, groups).join(meeting_all(hits, groups), ["query_id", "document_id"], "left_semi"))
-    any_of = within(ranks(hits, wanted))
+    # dealt by document, hits give ranks and meet what is told of a document without another shuffle of all pairs of query and document
+    by_document = corpus.index.hits(groups.select("prefix").unionByName(wanted.select("prefix")), key).repartition("document_id")
+    strict = within(ranks(by_document, groups).join(meeting_all(by_document, groups), ["query_id", "document_id"], "left_semi"))
     by_rank = [F.round("rank", 9), *sure, "document_id"]
     first = shared_table(top_k(strict, 2 * k, *by_rank).withColumn("method", F.lit("structured")))
     left = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    second = shared_table(top_k(any_of.join(left.select("query_id"), "query_id", "left_semi"), 2 * k, *by_rank).withColumn("method", F.lit("bm25")))
+    any_of = within(ranks(by_document, wanted.join(left.select("query_id"), "query_id", "left_semi")))
+    second = shared_table(top_k(any_of, 2 * k, *by_rank).withColumn("method", F.lit("bm25")))
     left = shared_table(left.join(second.select("query_id").distinct(), "query_id", "left_anti"))
     found = first.unionByName(second)
     # texts are searched, and the most reliable chunks chosen, only if some query is left
