@@ -32,6 +32,13 @@ def test_substrings_meet_by_trigrams(spark):
     assert contained(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([], "term string"), "k").collect() == []
 
 
+def test_texts_are_cut_into_trigrams_once(spark):
+    """What is read twice is a checkpoint of the wanted runs, so the cross with the lengths is no part of the plan that follows."""
+    texts = spark.createDataFrame([(1, "abcd"), (2, "xyz")], "k long, text string")
+    found = contained(texts, spark.createDataFrame([("bcd",), ("q",)], "term string"), "k")
+    assert "NestedLoop" not in plan_of(found) and list(map(tuple, found.collect())) == [(1, "bcd")]
+
+
 DOCS = [(i, f"alpha beta{i % 7} {'gamma ' * (i % 4)}word{i}") for i in range(40)] + [(40, None), (41, ""), (42, "Café no nö")]
 
 
