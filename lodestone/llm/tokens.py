@@ -2,9 +2,9 @@
 
 A text is cut at its spaces; each piece is encoded once for a worker and kept in a bounded table, so that frequent words
 cost a lookup. The pieces are such that the tokenizer's own word splitting never looks across them: texts in which a
-space touches other white space are encoded whole. A piece of plain Latin letters, perhaps with full stops or commas
-after it, goes straight to the tokenizer's merge model, which is what its splitting would do; any other piece goes
-through the whole tokenizer.
+space touches other white space are encoded whole. A piece of plain Latin letters, perhaps with punctuation after it, or
+two such with a line end between them, has its words sent straight to the tokenizer's merge model, which is what its
+splitting would do; any other piece goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ import os
 import re
 import sys
 from array import array
-from itertools import chain, filterfalse
 
 from .common import kept
 
-#: Bytes that a worker's table of known pieces may take; beyond them it starts afresh. A piece takes PIECE_BYTES and its
-#: letters and ids.
+#: Bytes that a worker's two tables of known pieces may take: once the younger has half of them it becomes the older one, from
+#: which pieces still met are taken over. A piece takes PIECE_BYTES and its letters and ids.
 MOST_BYTES, PIECE_BYTES = 96 << 20, 180
 #: White space to Python alone.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Letters and the ASCII punctuation after them, but for the apostrophe, which begins contractions.
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+_PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,70 +50,97 @@ class Encoder:
         self.whole.encode_special_tokens = special_as_text
         added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.model = Tokenizer(self.whole.model)
+        self.merges = self.whole.model.tokenize
         self.spaced, self.letters, self.most_bytes = spaced, _byte_letters(), most_bytes
-        # a piece that holds an added token, or at whose ends white space touches a space, has None: its text is encoded whole
-        self.known: dict[str, bytes | None] = {}
+        # a piece that holds an added token, or at whose ends white space touches a space, has False: its text is encoded whole
+        self.known: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
         self.held = 0
 
     @staticmethod
-    def _packed(encodings) -> list[bytes]:
-        out = [array("I", e.ids) for e in encodings]
+    def _packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
         if sys.byteorder == "big":
-            for ids in out:
-                ids.byteswap()
-        return [ids.tobytes() for ids in out]
+            out.byteswap()
+        return out.tobytes()
 
     def _encode_whole(self, pieces: list[str]) -> list[bytes]:
-        return self._packed(self.whole.encode_batch_fast(pieces, add_special_tokens=False)) if pieces else []
+        return [self._packed(e.ids) for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes], before: str) -> None:
+    def _encode_word(self, word: str, lead: str) -> bytes:
+        """A word of plain letters with `lead` in front of it, already in the letters that stand for bytes."""
+        return self._packed([t.id for t in self.merges(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
+
+    def _learn(self, pieces: list[str], known: dict[str, bytes | bool], before: str) -> None:
         """Encodes new pieces, each with `before` in front of it."""
-        plain, ends, odd = {}, [], []
+        plain, odd = [], []
         for piece in pieces:
             m = _PLAIN.fullmatch(piece)
             if m:
-                word = m[1] if self.spaced else m[1].lower()
-                ends.append((piece, word, m[2]))
-                plain[word] = b""
+                word, mark, next_word, next_mark = m.groups()
+                plain.append((piece, word if self.spaced else word.lower(), mark if next_word is None else f"{mark}\n", next_word, next_mark))
             elif self.spaced and before and (not piece or piece[0].isspace() or piece[-1].isspace()):
-                known[piece] = None
+                known[piece] = False
             elif self.added and self.added.search(piece):
-                known[piece] = None
+                known[piece] = False
             else:
                 odd.append(piece)
-        # a word may be known already, without the mark or the capital letter
-        plain = {word: known.get(word) or b"" for word in plain}
-        words = [word for word, found in plain.items() if not found]
-        lead = before.translate(self.letters)
-        coded = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
-        plain.update(zip(words, self._packed(self.model.encode_batch_fast(coded, add_special_tokens=False))))
-        marks = {m: b"" for _, _, m in ends if m}
+        marks = {m: b"" for _, _, *ends in plain for m in ends[::2] if m}
         marks.update(zip(marks, self._encode_whole(list(marks))))
-        for piece, word, mark in ends:
-            known[piece] = plain[word] + marks[mark] if mark else plain[word]
+        lead, words, next_words = before.translate(self.letters), {}, {}
+        for piece, word, mark, next_word, next_mark in plain:
+            # a word may be known already, without the mark or the capital letter
+            ids = known.get(word) or words.get(word)
+            if not ids:
+                ids = words[word] = self._encode_word(word, lead)
+            if mark:
+                ids += marks[mark]
+            if next_word:
+                if next_word not in next_words:
+                    next_words[next_word] = self._encode_word(next_word, "")
+                ids += next_words[next_word] + (marks[next_mark] if next_mark else b"")
+            known[piece] = ids
         known.update(zip(odd, self._encode_whole([before + piece for piece in odd])))
 
+    def _fill(self, pieces: list[str], before: str) -> None:
+        """Puts pieces that the table lacks into it, from the table before or anew."""
+        older = {p: ids for p in pieces if (ids := self.older.get(p)) is not None}
+        self.known.update(older)
+        self._learn([p for p in pieces if p not in older], self.known, before)
+        self.held += sum(PIECE_BYTES + len(p) + len(self.known[p] or b"") for p in pieces)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > self.most_bytes:
-            self.known, self.held = {}, 0
-        if self.spaced:
-            cut = [t.split(" ") for t in texts]
-            odd = [i for i, p in enumerate(cut) if p[0][-1:].isspace()]
-            rest, before = [p[1:] for p in cut], " "
-        else:
-            odd = [i for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)]
-            rest, before = [t.split() for t in texts], ""
-        new = list(dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(rest))))
-        self._learn(new, self.known, before)
-        self.held += sum(PIECE_BYTES + len(p) + len(self.known[p] or b"") for p in new)
-        first: dict[str, bytes | None] = {}
+        if self.held > self.most_bytes // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        odd, heads, rows, gaps, new = [], [], [], [], {}
+        get, before = self.known.get, " " if self.spaced else ""
+        for i, t in enumerate(texts):
+            if self.spaced:
+                row = t.split(" ")
+                heads.append(row.pop(0))
+                if heads[i][-1:].isspace():
+                    odd.append(i)
+            else:
+                row = t.split()
+                if any(c in t for c in _SEPARATORS):
+                    odd.append(i)
+            found = list(map(get, row))
+            if None in found:
+                gap = [(k, row[k]) for k, ids in enumerate(found) if ids is None]
+                gaps.append((found, gap))
+                new.update(dict.fromkeys(p for _, p in gap))
+            rows.append(found)
+        self._fill(list(new), before)
+        for found, gap in gaps:
+            for k, p in gap:
+                found[k] = self.known[p]
+        first: dict[str, bytes | bool] = {}
         if self.spaced:
-            self._learn(list({p[0] for p in cut}), first, "")
-        get, out = self.known.__getitem__, []
-        for i, p in enumerate(rest):
+            self._learn(list(set(heads)), first, "")
+        out = []
+        for i, found in enumerate(rows):
             try:
-                out.append((first[cut[i][0]] if self.spaced else b"") + b"".join(map(get, p)))
+                out.append((first[heads[i]] if self.spaced else b"") + b"".join(found))
             except TypeError:
                 out.append(b"")
                 odd.append(i)

@@ -179,6 +179,34 @@ def test_encoder_equals_the_tokenizer():
             assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_punctuated_words_go_straight_to_the_merge_model(monkeypatch):
+    from tokenizers import Tokenizer
+
+    random.seed(29)
+    made = lambda: "".join(random.choice("abeinorstÉèüß") for _ in range(random.randint(1, 9))) + random.choice(["", ".", ",", "&&&", "$$$", "_-", ")]}", "!?"])
+    texts = [" ".join(random.choice([made(), f"{made()}\n{made()}"]) for _ in range(40)) for _ in range(30)]
+    odd = ["it's 'so'\ns a.'\nll b.\n\nC x<|endoftext|>\nno y.<|endoftext|> z", "a.\n b\n", "\nA\nB.\nC", "1&&&\nA2 A$3"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.vocabulary(name)
+        whole = Tokenizer.from_file(path)
+        mine, seen = tokens.Encoder(path, spaced, special_as_text=False), []
+        encode_whole = mine._encode_whole
+        monkeypatch.setattr(mine, "_encode_whole", lambda pieces: seen.extend(pieces) or encode_whole(pieces))
+        got = mine.encode(texts)
+        assert not any(c.isalpha() for piece in seen for c in piece)
+        assert [np.frombuffer(b, "<u4").tolist() for b in got + mine.encode(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in texts + odd]
+
+
+def test_pieces_still_met_outlive_a_full_table(monkeypatch):
+    mine = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True, most_bytes=4_000)
+    learned, learn = [], mine._learn
+    monkeypatch.setattr(mine, "_learn", lambda pieces, *more: learned.extend(pieces) or learn(pieces, *more))
+    texts = [" ".join(["x", "often", *(f"seldom{10 * i + k}" for k in range(10))]) for i in range(20)]
+    expected = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True).encode(texts)
+    assert [mine.encode([t])[0] for t in texts] == expected
+    assert learned.count("often") == 1 and mine.held < 4_000
+
+
 def test_encoder_of_the_operators_equals_an_untouched_tokenizer():
     from tokenizers import Tokenizer
 
