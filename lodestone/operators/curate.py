@@ -191,6 +191,8 @@ def history_rows(facts: DataFrame, reviews: DataFrame, assignments: DataFrame, d
     group: reviews (fact_id, seq, reviewer, action), assignments (fact_id, seq, assignee, status), disputes (fact_id, dispute_id, severity, status),
     their comments (dispute_id, comment_id, author, comment), the fact that it supersedes, those that supersede it, and its chain (root, and its place)."""
     row = lambda df, kind, ref, actor, said: df.select(F.col("fact_id").alias("id"), F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref"), F.col(actor).cast("string").alias("actor") if actor else F.lit(None).cast("string").alias("actor"), said.cast("string").alias("said"))
+    # used seven times: what gives the facts is computed once
+    facts = shared_table(facts.select("id", "supersedes_fact_id", "status"))
     own = facts.select(F.col("id").alias("fact_id"))
     of = lambda df: df.join(own, "fact_id", "left_semi")
     links = facts.where("supersedes_fact_id IS NOT NULL").select(F.col("id").alias("fact_id"), "supersedes_fact_id", "status")

@@ -69,3 +69,17 @@ def test_disputes_settle_whatever_comes(spark):
     assert [r.comment_id for r in comments.collect()] == [7]
     empty = curate.settle_disputes(spark.createDataFrame([], schema))
     assert [df.count() for df in empty] == [0, 0, 0, 0] and curate.fold_disputes(spark.createDataFrame(commands, schema)).where(F.col("dispute_id") == 3).first().rejected == [1]
+
+
+def test_history_computes_its_facts_once(spark):
+    facts = spark.range(1, 7).select("id", F.lit("candidate").alias("status"), F.when(F.col("id") % 3 != 1, F.col("id") - 1).alias("supersedes_fact_id"))
+    reviews = spark.createDataFrame([(1, 1, "a", "verify"), (9, 2, "a", "reject")], "fact_id long, seq long, reviewer string, action string")
+    assignments = spark.createDataFrame([(2, 3, "b", "active")], "fact_id long, seq long, assignee string, status string")
+    disputes = spark.createDataFrame([(3, 4, "low", "open")], "fact_id long, dispute_id long, severity string, status string")
+    comments = spark.createDataFrame([(4, 5, "c", "said")], "dispute_id long, comment_id long, author string, comment string")
+    got = curate.history_rows(facts, reviews, assignments, disputes, comments)
+    kinds = {}
+    for r in got.collect():
+        kinds.setdefault(r.kind, set()).add((r.id, r.ref))
+    assert kinds == {"review": {(1, 1)}, "assignment": {(2, 3)}, "dispute": {(3, 4)}, "dispute_comment": {(3, 5)}, "supersedes": {(2, 1), (3, 2), (5, 4), (6, 5)}, "superseded_by": {(1, 2), (2, 3), (4, 5), (5, 6)}, "chain": {(2, 1), (3, 1), (5, 4), (6, 4)}}
+    assert "Range (" not in got._jdf.queryExecution().toString()
