@@ -33,7 +33,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, write_shared
 
 THRESHOLD, MOST_TERMS = 0.75, 1_000
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([-._].*)?$"
@@ -91,7 +91,7 @@ def _terms(text: str) -> list[str]:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def passages(text: Column) -> Column:
@@ -140,6 +140,8 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     spark = files.sparkSession
     anchor = rf"(?i)(^|[^A-Za-z0-9])({'|'.join(sorted(vectors.anchors))})([^A-Za-z0-9]|$)"
     near = files.where(F.col("text").rlike(anchor)).select("path", F.explode(F.array_distinct(passages(F.col("text")))).alias("passage")).where(F.col("passage").rlike(anchor)).distinct()
+    # few and read twice, below different joins: texts are cut into passages once
+    near = write_shared(near, "passages")
     counted = near.select("path", "passage", F.explode(tokens(F.col("passage"))).alias("term")).groupBy("path", "passage", "term").agg(F.count("*").alias("n"))
     idf = F.broadcast(spark.createDataFrame(sorted(vectors.idf.items()), "term string, idf double"))
     weighed = counted.join(idf, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(vectors.rare)))
@@ -235,7 +237,7 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     """A row for each path of files (path, text): path, licence, basis (own, inherited or none), similarity and from_dir."""
     files = files.select("path", "text")
     paths = files.select("path").distinct()
-    own = stated_licences(files, templates, threshold)
+    own = write_shared(stated_licences(files, templates, threshold), "licences")
     joined = paths.alias("p").join(own.alias("o"), F.expr("p.path <=> o.path"), "left").join(inherited(paths, own, licence_file).alias("i"), F.expr("p.path = i.path"), "left")
     basis = F.when(F.col("o.licence").isNotNull(), "own").when(F.col("i.inherited").isNotNull(), "inherited").otherwise("none")
     return joined.select(F.col("p.path").alias("path"), F.coalesce("o.licence", "i.inherited").alias("licence"), basis.alias("basis"), "o.similarity", F.when(F.col("o.licence").isNull(), F.col("i.from_dir")).alias("from_dir"))

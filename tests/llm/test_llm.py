@@ -483,6 +483,13 @@ def test_licence_cosine_equals_brute_force(spark):
     assert got == best and len(got) >= 2
 
 
+def test_licence_scan_cuts_texts_once(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/x.txt", prose(30)), ("b", None), ("c", "...")], "path string, text string")
+    found = licences.scan_licences(df)
+    assert {(r.path, r.licence, r.basis) for r in found.collect()} == {("a/LICENSE", "MIT", "own"), ("a/x.txt", "MIT", "inherited"), ("b", None, "none"), ("c", None, "none")}
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString().replace("split(path", "").replace("split(dir", "")
+
+
 def test_wrapped_headers_and_licence_texts_are_found(spark):
     import textwrap
 
