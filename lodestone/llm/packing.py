@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces, table, texts_of, write_shared
+from .common import bounded_batches, pieces, table, write_shared
 from .configuration import rounded, solve
 from .tokens import encoder, vocabulary
 
@@ -42,9 +42,9 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary(vocabulary_name), spaced=True)
         for whole in batches:
-            for batch in pieces(whole, 1 << 20):
+            for batch in pieces(whole, 4 << 20):
                 at, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, coded in enumerate(code.encode(texts_of(batch.column("text")))):
+                for row, coded in enumerate(code.encode(batch.column("text"))):
                     coded = memoryview(coded + end)
                     n = len(coded) // 4
                     first, begin, number = (n - 1) % capacity + 1, 0, 0

@@ -1,29 +1,34 @@
 """Fast exact encoding with a public tokenizer inside Python workers.
 
-A text is cut at its spaces; each piece is encoded once for a worker and kept in a bounded table, so that frequent words
-cost a lookup. The pieces are such that the tokenizer's own word splitting never looks across them: texts in which a
-space touches other white space are encoded whole. A piece of plain Latin letters, perhaps with punctuation after it, or
-two such with a line end between them, has its words sent straight to the tokenizer's merge model, which is what its
-splitting would do; any other piece goes through the whole tokenizer.
+Texts are cut at their spaces, a batch at a time, and each distinct piece is looked at once. The pieces are such that the
+tokenizer's own word splitting never looks across them: texts in which a space touches other white space are encoded whole. A
+piece of plain Latin letters, perhaps with punctuation after it, or two such with a line end between them, is cut into its words,
+as the tokenizer's splitting would do. Each word, or other piece, is encoded once for a worker and kept in a bounded table, so
+that frequent ones cost a lookup. Plain words are sent straight to the tokenizer's merge model, many in one call; other pieces
+go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-#: Bytes that a worker's two tables of known pieces may take: once the younger has half of them it becomes the older one, from
-#: which pieces still met are taken over. A piece takes PIECE_BYTES and its letters and ids.
-MOST_BYTES, PIECE_BYTES = 96 << 20, 180
-#: White space to Python alone.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Letters and the ASCII punctuation after them, but for the apostrophe, which begins contractions.
-_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
-_PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
+#: Bytes that a worker's two tables of known words may take: once the younger has half of them it becomes the older one, from
+#: which words still met are taken over. A word takes WORD_BYTES and its letters and ids; longer ones than LONGEST_KEPT are not kept.
+MOST_BYTES, WORD_BYTES, LONGEST_KEPT = 96 << 20, 180, 256
+#: How many new words are sent to the merge model in one call.
+AT_ONCE = 1024
+#: Letters, and the ASCII punctuation after them, but for the apostrophe, which begins contractions.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = rf"\A{_LETTERS}(?:{_MARKS})?(?:\n{_LETTERS}(?:{_MARKS})?)?\z"
+#: In a vocabulary with spaces, a word's key in the tables has a line end in front of it where the text has no space there.
+_PLAIN_KEY = rf"\A\n?(?:{_LETTERS}|{_MARKS})\z|\A\n\n\z"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,6 +38,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """A column as Python strings, without a scalar for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
 
@@ -40,113 +50,148 @@ class Encoder:
     otherwise, which is the tokenizer's default, they become the special tokens, and texts that hold one are encoded whole.
 
     spaced: the vocabulary has tokens that begin with a space, and a piece takes the space before it; otherwise white
-    space is dropped and letters are folded to lower case."""
+    space is dropped, letters are folded to lower case, and a word's last token has the model's suffix."""
 
     def __init__(self, path: str, spaced: bool, most_bytes: int = MOST_BYTES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = special_as_text
         added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.merges = self.whole.model.tokenize
-        self.spaced, self.letters, self.most_bytes = spaced, _byte_letters(), most_bytes
-        # a piece that holds an added token, or at whose ends white space touches a space, has False: its text is encoded whole
-        self.known: dict[str, bytes | bool] = {}
-        self.older: dict[str, bytes | bool] = {}
+        # the merge model alone, on words with blanks between them that are already in the letters that stand for bytes
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.spaced, self.most_bytes, self.letters = spaced, most_bytes, _byte_letters()
+        # tokens that begin with a space, or that end a word
+        vocabulary, suffix = self.whole.get_vocab(), self.whole.model.end_of_word_suffix
+        self.limits = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.limits[[i for t, i in vocabulary.items() if (t.startswith(self.letters[32]) if spaced else suffix and t.endswith(suffix))]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        out = array("I", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def _encode_whole(self, pieces: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
-
-    def _encode_word(self, word: str, lead: str) -> bytes:
-        """A word of plain letters with `lead` in front of it, already in the letters that stand for bytes."""
-        return self._packed([t.id for t in self.merges(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
-
-    def _learn(self, pieces: list[str], known: dict[str, bytes | bool], before: str) -> None:
-        """Encodes new pieces, each with `before` in front of it."""
-        plain, odd = [], []
-        for piece in pieces:
-            m = _PLAIN.fullmatch(piece)
-            if m:
-                word, mark, next_word, next_mark = m.groups()
-                plain.append((piece, word if self.spaced else word.lower(), mark if next_word is None else f"{mark}\n", next_word, next_mark))
-            elif self.spaced and before and (not piece or piece[0].isspace() or piece[-1].isspace()):
-                known[piece] = False
-            elif self.added and self.added.search(piece):
-                known[piece] = False
+        return np.array(ids, "<u4").tobytes()
+
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_plain(self, keys: list[str]) -> list[bytes]:
+        """The ids of plain words, by their keys."""
+        out, letters, space = [], self.letters, self.letters[32]
+        words = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in keys]
+        skipped = np.zeros(len(words), np.int64)
+        if self.spaced:
+            # a space alone stands before words without one, to tell them apart; it is taken off again
+            bare = [w[0] in ("\n", letters[10]) for w in words]
+            words = [f"{space} {w[1:]}" if b else space + w for w, b in zip(words, bare)]
+            skipped[bare] = 1
+        words = [w.replace("\n", letters[10]) if "\n" in w else w for w in words]
+        for at in range(0, len(words), AT_ONCE):
+            part, skip = words[at : at + AT_ONCE], skipped[at : at + AT_ONCE]
+            [coded] = self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            limits = np.flatnonzero(self.limits[ids])
+            if len(limits) == len(part):
+                begins, ends = (limits, np.append(limits[1:], len(ids))) if self.spaced else (np.append(0, limits[:-1] + 1), limits + 1)
+                data = ids.tobytes()
+                out += [data[i:j] for i, j in zip((4 * (begins + skip)).tolist(), (4 * ends).tolist())]
             else:
-                odd.append(piece)
-        marks = {m: b"" for _, _, *ends in plain for m in ends[::2] if m}
-        marks.update(zip(marks, self._encode_whole(list(marks))))
-        lead, words, next_words = before.translate(self.letters), {}, {}
-        for piece, word, mark, next_word, next_mark in plain:
-            # a word may be known already, without the mark or the capital letter
-            ids = known.get(word) or words.get(word)
-            if not ids:
-                ids = words[word] = self._encode_word(word, lead)
-            if mark:
-                ids += marks[mark]
-            if next_word:
-                if next_word not in next_words:
-                    next_words[next_word] = self._encode_word(next_word, "")
-                ids += next_words[next_word] + (marks[next_mark] if next_mark else b"")
-            known[piece] = ids
-        known.update(zip(odd, self._encode_whole([before + piece for piece in odd])))
-
-    def _fill(self, pieces: list[str], before: str) -> None:
-        """Puts pieces that the table lacks into it, from the table before or anew."""
-        older = {p: ids for p in pieces if (ids := self.older.get(p)) is not None}
-        self.known.update(older)
-        self._learn([p for p in pieces if p not in older], self.known, before)
-        self.held += sum(PIECE_BYTES + len(p) + len(self.known[p] or b"") for p in pieces)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+                # a vocabulary whose tokens do not tell words apart
+                out += [self._packed(e.ids[k:]) for k, e in zip(skip.tolist(), self.words.encode_batch_fast(part, add_special_tokens=False))]
+        return out
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """The ids of new words and pieces, by their keys."""
+        is_plain = pc.match_substring_regex(pa.array(keys, pa.large_string()), _PLAIN_KEY).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(keys)
+        plain, odd = np.flatnonzero(is_plain).tolist(), np.flatnonzero(~is_plain).tolist()
+        for i, ids in zip(plain, self._encode_plain([keys[i] for i in plain])):
+            out[i] = ids
+        texts = [keys[i] if not self.spaced else keys[i][1:] if keys[i][0] == "\n" else f" {keys[i]}" for i in odd]
+        for i, ids in zip(odd, self._encode_whole(texts)):
+            out[i] = ids
+        return out
+
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """The ids of words and pieces, by their keys: from the tables, or anew."""
+        found = list(map(self.known.get, keys))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        missing = [keys[k] for k in at]
+        ids = list(map(self.older.get, missing)) if self.older else [None] * len(missing)
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(new, self._learn([missing[k] for k in new]) if new else []):
+            ids[k] = x
+        for k, x in zip(at, ids):
+            found[k] = x
+        self._keep(missing, ids)
+        return found
+
+    def _keep(self, keys: list[str], ids: list[bytes]) -> None:
+        if max(map(len, keys), default=0) > LONGEST_KEPT:
+            short = [k for k, key in enumerate(keys) if len(key) <= LONGEST_KEPT]
+            keys, ids = [keys[k] for k in short], [ids[k] for k in short]
+        self.known.update(zip(keys, ids))
+        self.held += WORD_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, ids))
+
+    def _keys(self, found: pa.Array, n_first: int) -> tuple[pa.Array, np.ndarray]:
+        """(keys of each piece, with blanks between them; pieces whose texts must be encoded whole: those that hold an added token, or at
+        whose ends white space touches a space). The last n_first pieces begin texts and have no space before them."""
+        plain = pc.match_substring_regex(found, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        whole, n_inside = np.zeros(len(found), bool), len(found) - n_first
+        odd = np.flatnonzero(~is_plain)
+        for i, piece in zip(odd.tolist(), _strings(found.filter(pc.invert(plain)))):
+            at_space = self.spaced and (piece[-1:].isspace() or (i < n_inside and (not piece or piece[0].isspace())))
+            whole[i] = at_space or bool(self.added and self.added.search(piece))
+        if self.spaced:
+            cut = pc.replace_substring_regex(pc.replace_substring(found, "\n", " \n\n \n"), rf"({_MARKS})", " \n\\1")
+        else:
+            cut = pc.replace_substring_regex(pc.utf8_lower(found), rf"({_MARKS})", r" \1")
+        keys = pc.if_else(pa.array(whole), "", pc.if_else(plain, cut, found))
+        if n_first:
+            first = pc.binary_join_element_wise(pa.scalar("\n", keys.type), keys.slice(n_inside), pa.scalar("", keys.type))
+            keys = pa.concat_arrays([keys.slice(0, n_inside), first])
+        return keys, whole
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; a null among an Arrow column's is empty."""
         if self.held > self.most_bytes // 2:
             self.known, self.older, self.held = {}, self.known, 0
-        odd, heads, rows, gaps, new = [], [], [], [], {}
-        get, before = self.known.get, " " if self.spaced else ""
-        for i, t in enumerate(texts):
-            if self.spaced:
-                row = t.split(" ")
-                heads.append(row.pop(0))
-                if heads[i][-1:].isspace():
-                    odd.append(i)
-            else:
-                row = t.split()
-                if any(c in t for c in _SEPARATORS):
-                    odd.append(i)
-            found = list(map(get, row))
-            if None in found:
-                gap = [(k, row[k]) for k, ids in enumerate(found) if ids is None]
-                gaps.append((found, gap))
-                new.update(dict.fromkeys(p for _, p in gap))
-            rows.append(found)
-        self._fill(list(new), before)
-        for found, gap in gaps:
-            for k, p in gap:
-                found[k] = self.known[p]
-        first: dict[str, bytes | bool] = {}
+        if not self.known:
+            # the keys of pieces without a letter
+            self.known.update({"": b"", "\n": b""} if self.spaced else {"": b""})
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        if not len(column):
+            return []
+        cut = pc.split_pattern(column, " ") if self.spaced else pc.ascii_split_whitespace(column)
+        begins = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        codes, found, first = coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.empty(0, np.int64)
         if self.spaced:
-            self._learn(list(set(heads)), first, "")
-        out = []
-        for i, found in enumerate(rows):
-            try:
-                out.append((first[heads[i]] if self.spaced else b"") + b"".join(found))
-            except TypeError:
-                out.append(b"")
-                odd.append(i)
-        odd = sorted(set(odd))
-        for i, ids in zip(odd, self._encode_whole([texts[i] for i in odd])):
-            out[i] = ids
+            # pieces that stand only at a text's begin need no key with a space before them
+            first, nth = np.unique(codes[begins[:-1]], return_inverse=True)
+            codes[begins[:-1]] = len(found) + nth
+            inside = np.zeros(len(found) + len(first), bool)
+            inside[codes] = True
+            found = pa.concat_arrays([pc.if_else(pa.array(inside[: len(found)]), found, ""), found.take(pa.array(first))])
+        keys, whole = self._keys(found, len(first))
+        lists = pc.split_pattern(keys, " ")
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self._ids(_strings(words.dictionary)), pa.large_binary())
+        kind = pa.LargeListArray if pa.types.is_large_list(lists.type) else pa.ListArray
+        rows = kind.from_arrays(lists.offsets, words.indices).take(pa.array(codes))
+        joined = ids.take(rows.flatten())
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[rows.offsets.to_numpy()[begins]].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        out = [bytes(data[i:j]) for i, j in zip(ends, ends[1:])]
+        odd = np.unique(np.searchsorted(begins, np.flatnonzero(whole[codes]), side="right") - 1).tolist()
+        for i, x in zip(odd, self._encode_whole([column[i].as_py() for i in odd])):
+            out[i] = x
         return out
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,24 @@ def test_pieces_still_met_outlive_a_full_table(monkeypatch):
     assert learned.count("often") == 1 and mine.held < 4_000
 
 
+def test_words_are_merged_once_for_all_pieces_that_hold_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    odd = [None, "", "\n", "a\n", "\na", "\xa0a b\xa0", "A\xa0 b", "--", "-- --", ", a ,", "...\nA", "a.\n.b", "a\n\nb", "Ġ Ċ Ġa", "a\x00b \x00", "l'été d'ÿ", "e\u0301 e", "x" * 400, "ß\nß, ß"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.vocabulary(name)
+        whole = Tokenizer.from_file(path)
+        mine, learned = tokens.Encoder(path, spaced, special_as_text=False), []
+        learn = mine._learn
+        monkeypatch.setattr(mine, "_learn", lambda keys: learned.extend(keys) or learn(keys))
+        texts = ["x often often, often.\nOften", "y often; (often) often!?\noften often,"]
+        for t in (texts, pa.array(texts[::-1] + odd, pa.string()), pa.array([*odd, "cut off"]).slice(3, 9)):
+            got = [np.frombuffer(b, "<u4").tolist() for b in mine.encode(t)]
+            assert got == [whole.encode(x or "", add_special_tokens=False).ids for x in (t if isinstance(t, list) else t.to_pylist())]
+        assert sum(k.lower().strip() == "often" for k in learned) == (3 if spaced else 1)
+        assert not any(len(k) > tokens.LONGEST_KEPT for k in mine.known) and mine.encode([]) == []
+
+
 def test_encoder_of_the_operators_equals_an_untouched_tokenizer():
     from tokenizers import Tokenizer
 
