@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, pieces, table, texts_of
+from .common import bounded_batches, new_path, pieces, table
 from .tokens import encoder, vocabulary
 
 END_ID, VOCABULARY = 2, "word_bpe_49k.json"
@@ -127,8 +127,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_name: str = VOCABUL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, writer = encoder(vocabulary(vocabulary_name), spaced=False), Writer(frame_ids)
         for whole in batches:
-            for batch in pieces(whole, 1 << 20):
-                for key, ids in zip(batch.column("doc_id").to_pylist(), code.encode(texts_of(batch.column("text")))):
+            for batch in pieces(whole, 4 << 20):
+                for key, ids in zip(batch.column("doc_id").to_pylist(), code.encode(batch.column("text"))):
                     for part in writer.add(key, ids + end):
                         yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
         for part in writer.finish():
