@@ -77,15 +77,17 @@ def pipe_rows(text: Column) -> Column:
     return F.when((F.size(rows) >= 2) & (F.array_max(F.transform(rows, lambda r: F.size(r))) >= 2), rows)
 
 
-def pipe_table(text: Column, max_rows: int = 50) -> Column:
-    """struct(headers, rows as maps) of a text's pipe table, or null. A first line with an empty cell, or shorter than the
-    widest, is data, and the columns are called column_1 and so on."""
+def pipe_table(text: Column, max_rows: int | None = 50) -> Column:
+    """struct(headers, rows as maps) of a text's pipe table, or null; its first max_rows rows, or all of them with None. A first line with
+    an empty cell, or shorter than the widest, is data, and the columns are called column_1 and so on."""
     rows = pipe_rows(text)
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     first = F.element_at(rows, 1)
     named = (F.size(first) == width) & ~F.exists(first, lambda h: h == "")
     headers = F.when(named, first).otherwise(F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("column_"), i)))
-    data = F.slice(F.when(named, F.slice(rows, 2, F.size(rows))).otherwise(rows), 1, max_rows)
+    data = F.when(named, F.slice(rows, 2, F.size(rows))).otherwise(rows)
+    if max_rows is not None:
+        data = F.slice(data, 1, max_rows)
     padded = F.transform(data, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
     maps = F.transform(padded, lambda r: F.transform(F.arrays_zip(headers.alias("h"), r.alias("c")), lambda z: F.struct(z["h"].alias("key"), z["c"].alias("value"))))
     return F.when(rows.isNotNull() & (F.size(data) > 0), F.struct(headers.alias("headers"), maps.alias("rows"), F.size(data).alias("n_rows")))

@@ -210,7 +210,7 @@ def a17_evidence_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BACKFILL.format(normal=NORMAL) + """
-SELECT document_id, c.locator, least(50, len(rows) - CASE WHEN named THEN 1 ELSE 0 END) AS n_rows FROM c JOIN (
+SELECT document_id, c.locator, len(rows) - CASE WHEN named THEN 1 ELSE 0 END AS n_rows FROM c JOIN (
   SELECT *, len(rows[1]) = width AND len(list_filter(rows[1], lambda x: x = '')) = 0 AS named FROM (
     SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM (
       SELECT document_id, list_transform(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda s: contains(s, ' | ')), lambda s: list_transform(string_split(trim(s), '|'), lambda x: trim(x))) AS rows FROM c) WHERE len(rows) >= 2) WHERE width >= 2) USING (document_id)

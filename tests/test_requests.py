@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,6 +242,21 @@ def test_locators_and_tables_locate_no_evidence(spark, tmp_path, monkeypatch):
     assert source_queries.a17_locators(spark, str(tmp_path)).count() == 6 and source_queries.a17_missing_tables(spark, str(tmp_path)).count() == 3
 
 
+def test_missing_tables_have_all_their_rows(spark, tmp_path):
+    from lodestone.plans import source_queries
+
+    lines = "\n".join(f"{i} | x{i}" for i in range(120))
+    spark.createDataFrame([(1, "s", f"a | b\n{lines}"), (3, "s", f"a | \n{lines}")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(source_queries.ORACLES["a17_missing_tables"]).fetchall()
+    got = source_queries.a17_missing_tables(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.document_id: r.n_rows for r in got} == {1: 120, 3: 121}
+    documents = spark.createDataFrame([("s", 1, "l", f"a | b\n{lines}")], "source_id string, document_id long, locator string, text string")
+    table = backfill.missing_tables(documents, documents.where("false")).first()
+    assert [{c.key: c.value for c in row} for row in table.rows] == [{"a": str(i), "b": f"x{i}"} for i in range(120)]
+
+
 def test_evidence_is_located_as_by_search(spark):
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("ab é😀") for _ in range(n)).strip()
