@@ -157,10 +157,12 @@ def documents(asked: DataFrame, groups: DataFrame, corpus: Corpus, k: int = 8) -
         chosen = lambda rows, mute_, rank, method: rows.join(kinds.where(F.col("mute") == mute_).select("query_id", "kind"), "kind").select("query_id", "document_id", F.lit(rank).cast("double").alias("rank"), "year", "reliability_score", F.lit(method).alias("method"))
         found = shared_table(found.unionByName(third).unionByName(chosen(mute, True, 0.0, "like")).unionByName(chosen(shared, False, None, "supplemental")))
     numbered = found.withColumn("candidate_rank", F.row_number().over(_of_query(F.round("rank", 9).asc_nulls_last(), *sure, F.when(F.col("method") == "supplemental", -F.col("document_id")).otherwise(F.col("document_id")))))
-    rows = numbered.drop("year", "reliability_score").join(corpus.chunks.select("document_id", "source_id", "text"), "document_id").join(seen, "source_id")
+    # candidates are few: they meet texts and vectors as these are read, without a shuffle of either
+    numbered = sent(shared_table(numbered.drop("year", "reliability_score")))
+    rows = corpus.chunks.select("document_id", "source_id", "text").join(numbered, "document_id").join(seen, "source_id")
     want = F.array_distinct(F.concat("wanted_materials", "wanted_processes", "properties"))
     rows = rows.join(asked.select("query_id", want.alias("wanted"), F.array_distinct("aliases").alias("aliases")), "query_id")
-    stored = corpus.index.documents(key).where("vector IS NOT NULL").select("document_id", F.col("vector").alias("_v"))
+    stored = corpus.index.documents(key).where("vector IS NOT NULL").select("document_id", F.col("vector").alias("_v")).join(numbered.select("document_id"), "document_id", "left_semi")
     query_text = F.concat_ws(" ", "text", F.array_join(F.concat("materials", "processes", "equipment", "properties", "geography_terms", "aliases"), " "))
     query_vectors = corpus.embed(asked.select("query_id", query_text.alias("text")), key="query_id").select("query_id", F.col("vector").alias("_q"))
     rows = rows.join(stored, "document_id", "left").join(query_vectors, "query_id", "left").join(corpus.source_entities, "source_id", "left")
@@ -197,20 +199,22 @@ def facts(asked: DataFrame, found: DataFrame, corpus: Corpus, k: int = 8) -> Dat
     a source meet them by property, or all of them where they want none, once for each set of wishes."""
     seen = visible(corpus).select("source_id", F.col("year").alias("source_year"), F.col("title").alias("source_title"), "confidentiality")
     known = corpus.sources.select(F.col("id").alias("source_id"), F.lit(True).alias("_known"))
-    rows = corpus.facts.join(known, "source_id", "left").join(seen.withColumn("_seen", F.lit(True)), "source_id", "left").where(F.col("_known").isNull() | F.col("_seen")).drop("_known", "_seen")
+    told = lambda rows: rows.join(known, "source_id", "left").join(seen.withColumn("_seen", F.lit(True)), "source_id", "left").where(F.col("_known").isNull() | F.col("_seen")).drop("_known", "_seen")
     props = F.array_distinct(F.concat("properties", F.filter(F.transform("conditions", lambda c: c["property"]), lambda p: p.isNotNull())))
     asks = asked.select("query_id", props.alias("_props"), "conditions", "min_confidence", "strict", "include_internal", F.transform(F.array_distinct(F.concat("materials", "processes")), lambda t: F.lower(t)).alias("_core"))
     recommends = F.coalesce(F.col("predicate").isin(*RECOMMENDED), F.lit(False))
     fits = (F.size("_props") == 0) | F.coalesce(F.array_contains("_props", F.col("property")), F.lit(False)) | recommends
     level = F.col("include_internal") | F.col("source_id").isNull() | (F.coalesce("confidentiality", F.lit("public")) == "public")
     by_source = found.select("query_id", "source_id").distinct()
-    mine = rows.join(by_source, "source_id").join(asks, "query_id").withColumn("_sourced", F.lit(True))
+    # facts meet the few found sources as they are read, and only those of found sources meet what is told of them
+    named = told(corpus.facts.join(sent(by_source), "source_id")).join(asks, "query_id").withColumn("_sourced", F.lit(True))
     lone = asks.join(by_source.select("query_id").distinct(), "query_id", "left_anti")
-    # keys of a fact: its property, that it recommends, and one that all facts have; a query meets a fact by the first that both have
-    wishes = lone.withColumn("_wish", F.explode(F.when(F.size("_props") == 0, F.array(F.lit("a"))).otherwise(F.concat(F.transform("_props", lambda p: F.concat(F.lit("p"), p)), F.array(F.lit("r"))))))
-    keyed = rows.withColumn("_wish", F.explode(F.array_compact(F.array(F.lit("a"), F.when(recommends, F.lit("r")), F.when(F.col("property").isNotNull() & ~recommends, F.concat(F.lit("p"), "property"))))))
-    loose = keyed.join(wishes, "_wish").drop("_wish").withColumn("_sourced", F.lit(False))
-    named = mine.unionByName(loose).where(fits & level & (F.coalesce("confidence", F.lit(0.0)) >= F.col("min_confidence")))
+    if not lone.isEmpty():
+        # keys of a fact: its property, that it recommends, and one that all facts have; a query meets a fact by the first that both have
+        wishes = lone.withColumn("_wish", F.explode(F.when(F.size("_props") == 0, F.array(F.lit("a"))).otherwise(F.concat(F.transform("_props", lambda p: F.concat(F.lit("p"), p)), F.array(F.lit("r"))))))
+        keyed = told(corpus.facts).withColumn("_wish", F.explode(F.array_compact(F.array(F.lit("a"), F.when(recommends, F.lit("r")), F.when(F.col("property").isNotNull() & ~recommends, F.concat(F.lit("p"), "property"))))))
+        named = named.unionByName(keyed.join(wishes, "_wish").drop("_wish").withColumn("_sourced", F.lit(False)))
+    named = named.where(fits & level & (F.coalesce("confidence", F.lit(0.0)) >= F.col("min_confidence")))
     entities_ = corpus.source_entities.select("source_id", F.col("names").alias("_names"))
     core = F.coalesce(F.arrays_overlap("_core", F.coalesce("_names", _none())), F.lit(False)) | F.coalesce(F.array_contains("_core", normalize_key(F.col("subject"))), F.lit(False))
     if "object" in corpus.facts.columns:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.numeric import CONVERSIONS
-from lodestone.operators import backfill, extract, facts, graph, report, retrieve
-from lodestone.operators.contain import contained
+from lodestone.operators import backfill, extract, facts, graph, report, request, retrieve
+from lodestone.operators.contain import contained, with_held
 from lodestone.operators.index import TextIndex, meeting_all, ranks
 
 
@@ -40,6 +40,79 @@ def test_texts_are_cut_into_trigrams_once(spark):
     assert "NestedLoop" not in plan_of(found) and list(map(tuple, found.collect())) == [(1, "bcd")]
 
 
+def test_few_terms_are_found_as_many_are(spark):
+    rnd = random.Random(3)
+    texts = [(i, "".join(rnd.choice("abcä 😀") for _ in range(rnd.randrange(30)))) for i in range(100)] + [(900, None), (901, ""), (902, "(x.*) a\nb")]
+    terms = ["a", "ab", "abc", "ab c", "cä", "ä😀a", "zzz", "", None, ".*", "a\nb", "a", "bcab a"]
+    rows, asked = spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted({(k, t) for k, x in texts for t in terms if x is not None and t and t in x})
+    for few in (0, 64):
+        assert sorted(map(tuple, contained(rows, asked, "k", few=few).collect())) == want
+        held = {r.k: r.held for r in with_held(rows, asked, "k", few=few).collect()}
+        assert len(held) == 103 and sorted((k, t) for k, ts in held.items() for t in ts) == want and all(ts == sorted(ts) for ts in held.values())
+    # few terms cut no text into runs, and meet in no join
+    assert "Join" not in plan_of(contained(rows, asked, "k")) and "regexp_extract_all" not in plan_of(contained(rows, asked, "k"))
+
+
+def experiments_brute(exps, asked, k):
+    out = set()
+    fold = lambda ts: list(dict.fromkeys(t.lower() for t in ts or []))
+    for q, ms, ps, places, low, high in asked:
+        ms, ps, met, near = fold(ms), fold(ps), [], []
+        for e in exps:
+            said = " ".join(x for x in e[1:4] if x is not None).lower()
+            n_m, n_p = sum(m in said for m in ms), sum(p in said or p.replace("_", " ") in said for p in ps)
+            fits = (low is None or (e[5] is not None and e[5] >= low)) and (high is None or (e[5] is not None and e[5] <= high)) and (not places or e[4] in places)
+            if fits and (not ms or n_m) and (not ps or n_p or n_m >= 2):
+                met.append(e)
+            elif any(t in said for t in ms + ps):
+                near.append(e)
+        rank = lambda e: (e[6] is None, -(e[6] or 0), e[5] is None, -(e[5] or 0), e[0])
+        out |= {(q, e[0], bool(met)) for e in sorted(met or near, key=rank)[:k]}
+    return out
+
+
+def test_experiments_are_cut_by_kind_before_they_meet_queries(spark, monkeypatch):
+    rnd = random.Random(4)
+    exps = [(i, rnd.choice(["plain", "copper heap", "ore_x", None]), rnd.choice(["copper", "ore", "zinc", None]), rnd.choice(["heap leach", "heap_leach", "roast", None]), rnd.choice(["a", "b", None]), rnd.choice([2001, 2002, None]), rnd.choice([0.1, 0.5, None])) for i in range(400)]
+    pick = lambda *xs: rnd.choice([None, [], *([x] for x in xs), list(xs)])
+    asked = [(q, pick("copper", "Ore"), pick("heap_leach", "roast"), pick("a"), rnd.choice([None, 2002]), rnd.choice([None, 2001, 2002])) for q in range(120)] + [(500, ["absent"], [], None, None, None), (501, [""], ["ROAST"], ["c"], None, None)]
+    # an empty term is no term of any text
+    want = experiments_brute(exps, [(q, [m for m in ms or []] if q != 501 else ["\0"], *rest) for q, ms, *rest in asked], 3)
+    kept, real = [], facts.shared_table
+    monkeypatch.setattr(facts, "shared_table", lambda df: kept.append(real(df)) or kept[-1])
+    rows = spark.createDataFrame(exps, "experiment_key long, title string, material string, process string, geography string, year int, reliability_score double").withColumn("result_summary", F.lit(""))
+    found = facts.search_experiments(rows, spark.createDataFrame(asked, "query_id long, materials array<string>, processes array<string>, geography array<string>, year_from int, year_to int"), 3)
+    assert {(r.query_id, r.experiment_key, r.exact) for r in found.collect()} == want and found.count() == len(want)
+    best = kept[-1].groupBy("held", "geography", "year").count()
+    assert best.where("count > 3").isEmpty() and kept[-1].count() < 400
+    # one experiment or a thousand of a kind: as many rows meet the queries
+    kept.clear()
+    many = spark.range(1000).select(F.col("id").alias("experiment_key"), F.lit("copper").alias("title"), F.lit("ore").alias("material"), F.lit("roast").alias("process"), F.lit("").alias("result_summary"), F.lit("a").alias("geography"), F.lit(2001).alias("year"), F.lit(0.5).alias("reliability_score"))
+    same = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.lit("copper")).alias("materials"), F.array(F.lit("roast")).alias("processes"), F.array().cast("array<string>").alias("geography"), F.lit(None).cast("int").alias("year_from"), F.lit(None).cast("int").alias("year_to"))
+    assert facts.search_experiments(many, same, 8).count() == 400 and kept[-1].count() == 8
+
+
+def test_facts_are_read_once_where_all_queries_have_sources(spark, tmp_path, monkeypatch):
+    told = "fact_id string, source_id long, subject string, predicate string, property string, comparator string, value double, min_value double, max_value double, unit string, confidence double"
+    spark.createDataFrame([(f"f{i}", i % 9, "s", "measured", "p", "=", 1.0, None, None, "g", 0.5) for i in range(60)], told).write.parquet(f"{tmp_path}/facts")
+    sources = spark.createDataFrame([(i, "t", 2000, 0.5, "a", "b", "public" if i != 2 else "secret") for i in range(4)], "id long, title string, year int, reliability_score double, geography string, additional_geography string, confidentiality string")
+    corpus = request.Corpus(None, None, sources, spark.createDataFrame([], "source_id long, names array<string>"), spark.read.parquet(f"{tmp_path}/facts"), None, None, F.col("confidentiality") == "public", None)
+    asked = spark.createDataFrame([(1, [], [], [], [], 0.0, False, True), (2, [], [], [], [], 0.0, False, True)], f"query_id long, properties array<string>, materials array<string>, processes array<string>, conditions array<{request.CONDITION}>, min_confidence double, strict boolean, include_internal boolean")
+    plans, real = [], request.shared_table
+    monkeypatch.setattr(request, "shared_table", lambda df: plans.append(plan_of(df)) or real(df))
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "query_id long, source_id long")
+    ids = lambda rows: {(r.query_id, r.fact_id) for r in rows.collect()}
+    own = {(q, f"f{i}") for q, s in ((1, 1), (2, 3)) for i in range(60) if i % 9 == s}
+    assert ids(request.facts(asked, pairs, corpus)) == own
+    assert plans[-1].split("== Physical Plan ==")[1].count("FileScan") == 1
+    # a query without a source still meets all facts that it may see, those of unknown sources too
+    loose = sorted(f"f{i}" for i in range(60) if i % 9 != 2)
+    known = [f for f in loose if int(f[1:]) % 9 < 4]
+    got = ids(request.facts(asked, pairs.where("query_id = 1"), corpus))
+    assert {f for q, f in got if q == 1} == {f for q, f in own if q == 1} and {f for q, f in got if q == 2} == set((known + [f for f in loose if f not in known])[:24])
+
+
 DOCS = [(i, f"alpha beta{i % 7} {'gamma ' * (i % 4)}word{i}") for i in range(40)] + [(40, None), (41, ""), (42, "Café no nö")]
 
 
