@@ -1,15 +1,17 @@
 """A stored prefix index of chunks: postings by ranges of tokens, lengths and vectors beside them, kept up by what is new.
 
 Under its folder: postings/generation=g/shard=n (token, document_id, tf, len), each shard one range of (token, document_id) in order;
-shards/generation=g (shard, first, last, the tokens at its ends); documents/generation=g (document_id, len, vector); committed/generation=g
-(documents, tokens), written last. A generation that is not committed, of a run that died, is never read. A search reads
+shards/generation=g (shard, first, last, the tokens at its ends); documents/generation=g (document_id, len, vector); words/generation=g, from
+which these are made; committed/generation=g (documents, tokens), written last. A generation that is not committed, of a run that died, is never read. A search reads
 the shards whose token ranges meet its prefixes, by partition filters that the plan shows, and never tokenizes a stored text again."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,23 @@ from .retrieve import B, K1, index_words, plain
 
 #: Occurrences of tokens in a shard, about, and the tasks that count and sort a shard's: their memory is that of its part.
 SHARD_TOKENS, SHARD_TASKS = 20_000_000, 16
+#: Texts whose tokens a worker counts at a time.
+TEXTS = 256
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document_id, len, tokens, tfs) of (document_id, len, said), tokens with blanks between them: each token of a text once."""
+    for whole in batches:
+        for batch in (whole.slice(i, TEXTS) for i in range(0, whole.num_rows, TEXTS)):
+            tokens, tfs, ends = [], [], [0]
+            for said in batch.column("said").to_pylist():
+                counts = Counter(said.split(" ")) if said else {}
+                tokens.extend(counts)
+                tfs.extend(counts.values())
+                ends.append(len(tokens))
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(tokens, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("len"), *lists], ["document_id", "len", "tokens", "tfs"])
 
 
 class TextIndex:
@@ -59,19 +78,23 @@ class TextIndex:
             new = new.groupBy("document_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
         generation = f"g{uuid.uuid4().hex}"
         at = lambda name: f"{self.path}/{name}/generation={generation}"
-        told = new.select("document_id", "text", index_words(F.coalesce("text", F.lit(""))).alias("words"))
-        lengths = told.select("document_id", F.size("words").alias("len"))
+        # texts are cut into words once; blanks are in no word, so a text's words lose their accents together
+        cut = new.select("document_id", index_words(F.coalesce("text", F.lit(""))).alias("words"))
+        said = cut.select("document_id", F.size("words").alias("len"), plain(F.array_join("words", " ")).alias("said"))
+        said.mapInArrow(_counted, f"document_id {kind.simpleString()}, len int, tokens array<string>, tfs array<long>").write.parquet(at("words"))
+        told = self.spark.read.parquet(at("words"))
+        lengths = told.select("document_id", "len")
         vectors = embed(new) if embed else lengths.select("document_id", F.lit(None).cast("array<float>").alias("vector")).limit(0)
         lengths.join(vectors.select("document_id", F.col("vector").cast("array<float>").alias("vector")), "document_id", "left").write.parquet(at("documents"))
         written = self.spark.read.parquet(at("documents"))
         size = written.agg(F.count("*").alias("documents"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens")).first()
         if not size.documents:
             return 0
-        # ranges of (token, document_id) serve the grouping as well, so occurrences are shuffled once
-        words = told.select("document_id", F.size("words").alias("len"), F.explode("words").alias("word")).select("document_id", "len", plain(F.col("word")).alias("token"))
+        words = told.select("document_id", "len", F.explode(F.arrays_zip("tokens", "tfs")).alias("w")).select("w.tokens", "document_id", "w.tfs", "len").toDF("token", "document_id", "tf", "len")
         ranged = words.repartitionByRange((size.tokens // shard_tokens + 1) * SHARD_TASKS, "token", "document_id")
-        counted = ranged.groupBy("token", "document_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")).sortWithinPartitions("token", "document_id")
-        counted.withColumn("shard", (F.spark_partition_id() / SHARD_TASKS).cast("int")).write.partitionBy("shard").parquet(at("postings"))
+        # the writer asks for rows by shard; one sort serves both
+        shard = (F.spark_partition_id() / SHARD_TASKS).cast("int")
+        ranged.withColumn("shard", shard).sortWithinPartitions("shard", "token", "document_id").write.partitionBy("shard").parquet(at("postings"))
         if size.tokens:
             stored = self.spark.read.schema(f"token string, document_id {kind.simpleString()}, tf long, len int, shard int").parquet(at("postings"))
             stored.groupBy("shard").agg(F.min("token").alias("first"), F.max("token").alias("last")).write.parquet(at("shards"))
@@ -105,8 +128,11 @@ class TextIndex:
         n_all = sum(r.documents for r in totals)
         mean = sum(r.tokens for r in totals) / max(1, n_all)
         asked = sent(wanted.select("prefix").distinct())
-        lengths = asked.agg(F.collect_set(F.length("prefix")).alias("ns"))
-        cut = self.postings(asked, key).crossJoin(F.broadcast(lengths)).withColumn("n", F.explode("ns")).where(F.length("token") >= F.col("n"))
+        # a token is cut to the lengths of those prefixes alone that begin as it does, over as many letters as the shortest has
+        shortest = asked.agg(F.min(F.length("prefix"))).first()[0] or 0
+        lengths = sent(asked.groupBy(F.substring("prefix", 1, shortest).alias("head")).agg(F.collect_set(F.length("prefix")).alias("ns")))
+        met = self.postings(asked, key).withColumn("head", F.substring("token", 1, shortest)).join(lengths, "head")
+        cut = met.withColumn("n", F.explode("ns")).where(F.length("token") >= F.col("n"))
         held = cut.withColumn("prefix", F.substring(F.col("token"), F.lit(1), F.col("n"))).join(asked, "prefix")
         found = shared_table(held.groupBy("prefix", "document_id").agg(F.sum("tf").alias("f"), F.max("len").alias("len")))
         n = sent(found.groupBy("prefix").agg(F.count_if(F.col("f") > 0).alias("n")))

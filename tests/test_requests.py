@@ -153,6 +153,33 @@ def test_index_reads_only_the_shards_of_its_prefixes(spark, tmp_path):
     assert {r.token[:5] for r in index.postings(wanted, T.LongType()).collect()} >= {"word3"}
 
 
+def test_texts_are_cut_into_words_once(spark, tmp_path, monkeypatch):
+    from lodestone.operators import index as module
+
+    calls, real = [], module.index_words
+    passes = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: passes.add(1) or t, "string").asNondeterministic()
+    monkeypatch.setattr(module, "index_words", lambda text: calls.append(1) or real(seen(text)))
+    index, chunks = TextIndex(spark, f"file://{tmp_path}/index"), spark.createDataFrame(DOCS, "document_id long, text string")
+    assert index.add(chunks, shard_tokens=30) == 43 and len(calls) == 1 and passes.value == 43
+
+
+def test_tokens_meet_the_lengths_of_prefixes_that_begin_alike(spark, tmp_path):
+    index, chunks = TextIndex(spark, f"file://{tmp_path}/index"), spark.createDataFrame(DOCS, "document_id long, text string")
+    index.add(chunks.where("document_id % 2 = 0"), shard_tokens=30)
+    index.add(chunks, shard_tokens=30)
+    words = [(i, w) for i, x in DOCS for w in re.findall(r"\w+", (x or "").replace("é", "e").replace("ö", "o").lower())]
+    for prefixes in (["a", "bet", "beta1", "word", "word3", "n", "caf", "zz", "beta1"], ["gamma", "word12", "word1"], [""], []):
+        wanted = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+        want = {}
+        for p in set(prefixes):
+            for i, w in words:
+                if w.startswith(p):
+                    want[p, i] = want.get((p, i), 0) + 1
+        rows = index.hits(wanted, T.LongType()).collect()
+        assert {(r.prefix, r.document_id): r.f for r in rows} == want and len(rows) == len(want)
+
+
 def test_groups_are_and_of_or(spark):
     hits = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 3)], "prefix string, document_id long")
     groups = spark.createDataFrame([(1, "x", "a"), (1, "x", "c"), (1, "y", "b"), (2, "x", "b"), (3, "x", "q"), (3, "y", "b")], "query_id int, group_id string, prefix string")
